@@ -246,3 +246,311 @@ def q_yearly_topic_stat_load(spark, d):
     group by 1, 2""", "f_paper_author"))
 def q_coauthor_edges(spark, d):
     return G.coauthor_edges(B.paper_authors(spark, d))
+
+
+# ----------------------------------------------------------------- network
+
+from scriptorium.plans import papers as P  # noqa: E402
+from scriptorium.plans import profiles as R  # noqa: E402
+
+NET_TOPICS = ["Brand#1", "brand#7"]
+
+
+def _net_sql(scope_filter: str = "") -> dict[str, str]:
+    return {
+        "scope": f"""select paper_id from f_paper p {scope_filter}
+                     order by year desc nulls first, paper_id limit 200""",
+        "sb": "select * from f_paper_author where paper_id in (select paper_id from scope)",
+        "involved": """select a.*, c.cnt from f_author a
+                       join (select author_id, count(distinct paper_id) as cnt from sb group by 1) c using (author_id)""",
+        "pairs": """select x.paper_id, x.author_id as a, y.author_id as b
+                    from sb x join sb y on x.paper_id = y.paper_id and x.author_id < y.author_id""",
+        "ih": "select author_id, institution is not distinct from 'Home University' as home from involved",
+        "collab": """select case when ha.home then p.b else p.a end as author_id,
+                            count(distinct case when ha.home then p.a else p.b end) as n
+                     from pairs p join ih ha on ha.author_id = p.a join ih hb on hb.author_id = p.b
+                     where ha.home <> hb.home group by 1""",
+        "ext": """select i.*, coalesce(c.n, 0) as n from involved i left join collab c using (author_id)
+                  where i.institution is distinct from 'Home University'""",
+        "nodes": """select author_id, name, (cnt | 1) + 2 as val, 'Home University' as grp, institution, faculty
+                    from involved where institution is not distinct from 'Home University'
+                    union all
+                    select author_id, name, (cnt | 1) + 2, 'External Partner',
+                           case when coalesce(institution, '') <> '' then institution else 'External' end,
+                           cast(null as varchar)
+                    from ext where n >= 2""",
+        "links": """select cast(a as varchar) as source, cast(b as varchar) as target, count(*) as weight
+                    from pairs where a in (select author_id from nodes) and b in (select author_id from nodes)
+                    group by a, b""",
+    }
+
+
+_F5_FILTER = """where paper_id in (
+    select i.paper_id from f_interaction i left join f_topic t on t.topic_id = i.primary_topic_id
+    where t.name in ('Brand#1', 'brand#7')
+       or len(list_filter(i.predicted_multi_labels,
+                          lambda l: contains(upper(l), 'BRAND#1') or contains(upper(l), 'BRAND#7'))) > 0)"""
+_NET_VIEWS = ("f_paper", "f_paper_author", "f_author", "f_interaction", "f_topic")
+
+
+def _network(spark, d, topics=None):
+    return G.author_network(B.papers(spark, d), B.paper_authors(spark, d), B.authors(spark, d), HOME,
+                            limit=200, topic_names=topics, interaction=B.interactions(spark, d),
+                            topic=B.topics(spark, d))
+
+
+@register("network_nodes", with_views("""
+    select cast(author_id as varchar) as id, name, val, grp as "group", institution, faculty from nodes""",
+                                      *_NET_VIEWS, extra=_net_sql()))
+def q_network_nodes(spark, d):
+    return _network(spark, d)[0]
+
+
+@register("network_links", with_views("select * from links", *_NET_VIEWS, extra=_net_sql()))
+def q_network_links(spark, d):
+    return _network(spark, d)[1]
+
+
+@register("network_totals", with_views("""
+    select count(*) as total_external_found, count(*) filter (where n >= 2) as qualified_external_count
+    from ext""", *_NET_VIEWS, extra=_net_sql()))
+def q_network_totals(spark, d):
+    return _network(spark, d)[2]
+
+
+@register("network_nodes_topics", with_views("""
+    select cast(author_id as varchar) as id, name, val, grp as "group", institution, faculty from nodes""",
+                                             *_NET_VIEWS, extra=_net_sql(_F5_FILTER)))
+def q_network_nodes_topics(spark, d):
+    return _network(spark, d, NET_TOPICS)[0]
+
+
+@register("network_links_topics", with_views("select * from links", *_NET_VIEWS, extra=_net_sql(_F5_FILTER)))
+def q_network_links_topics(spark, d):
+    return _network(spark, d, NET_TOPICS)[1]
+
+
+@register("edge_class", with_views("""
+    select l.source, l.target, l.weight,
+           case when coalesce(s.grp = 'Home University', false) and coalesce(t.grp = 'Home University', false)
+                then 'internal' else 'external' end as edge_class
+    from links l left join nodes s on cast(s.author_id as varchar) = l.source
+                 left join nodes t on cast(t.author_id as varchar) = l.target""",
+                                   *_NET_VIEWS, extra=_net_sql()))
+def q_edge_class(spark, d):
+    nodes, links, _ = _network(spark, d)
+    return G.edge_class(links, nodes, HOME)
+
+
+@register("scope_by_topics", with_views(f"""
+    select paper_id, title from f_paper p {_F5_FILTER}""", *_NET_VIEWS))
+def q_scope_by_topics(spark, d):
+    return G.scope_by_topics(B.papers(spark, d), B.interactions(spark, d), B.topics(spark, d),
+                             NET_TOPICS).select("paper_id", "title")
+
+
+@register("newest_papers", with_views("""
+    select paper_id, year from f_paper order by year desc nulls first, paper_id limit 200""", "f_paper"))
+def q_newest_papers(spark, d):
+    return G.newest(B.papers(spark, d).select("paper_id", "year"), 200)
+
+
+@register("home_collaborators", with_views("""
+    select author_id, n as home_collaborators from ext where n > 0""", *_NET_VIEWS, extra=_net_sql()))
+def q_home_collaborators(spark, d):
+    scope = G.newest(B.papers(spark, d).select("paper_id", "year"), 200)
+    sb = B.paper_authors(spark, d).join(scope.select("paper_id"), "paper_id", "left_semi")
+    inv = G.authors_in(scope, sb, B.authors(spark, d))
+    is_home = inv.select("author_id", F.col("institution").eqNullSafe(HOME).alias("home"))
+    ext = inv.filter(~F.col("institution").eqNullSafe(HOME)).select("author_id")
+    return G.home_collaborators(G.author_pairs(sb), is_home).join(ext, "author_id", "left_semi")
+
+
+# ------------------------------------------------------------------ papers
+
+_LABEL_TOPICS_SQL = """
+    select paper_id, list(t.topic_id order by i) as ids, list(t.name order by i) as nm
+    from (select paper_id, generate_subscripts(predicted_multi_labels, 1) as i,
+                 unnest(predicted_multi_labels) as label from f_interaction) x
+    join f_topic t on t.topic_id = try_cast(trim(replace(split_part(label, ':', 1), 'Topic ', '')) as int)
+    group by 1"""
+
+_AUTHORS_OF_SQL = """
+    select pa.paper_id, list(a.name order by a.author_id) as names
+    from f_paper_author pa join f_author a using (author_id) group by 1"""
+
+
+def _cards_sql(where: str, page_no: int, size: int = 12) -> str:
+    return with_views(f"""
+    select p.paper_id as id, p.title, p.year, coalesce(lt.ids, []) as topic_ids,
+           coalesce(lt.nm, []) as topic_names, coalesce(au.names, []) as authors, p.citation_count, p.doi
+    from (select * from f_paper p {where}
+          order by year desc nulls first, citation_count desc nulls first, paper_id
+          limit {size} offset {(page_no - 1) * size}) p
+    left join au using (paper_id) left join lt using (paper_id)""",
+                      *_NET_VIEWS, extra={"au": _AUTHORS_OF_SQL, "lt": _LABEL_TOPICS_SQL})
+
+
+def _cards(spark, d, **kw):
+    return P.paper_cards(B.papers(spark, d), B.paper_authors(spark, d), B.authors(spark, d),
+                         B.interactions(spark, d), B.topics(spark, d), **kw)
+
+
+_SEARCH_TEXT = "urgent order 12"
+_SEARCH_AUTHOR = "supplier#00000004"
+_SEARCH_WHERE = f"""where (contains(upper(title), upper('{_SEARCH_TEXT}'))
+        or paper_id in (select pa.paper_id from f_paper_author pa join f_author a using (author_id)
+                        where contains(upper(a.name), upper('{_SEARCH_TEXT}'))))"""
+_FILTERED_WHERE = _F5_FILTER + """
+    and paper_id in (select paper_id from f_paper_author where author_id = 42)"""
+
+
+@register("paper_cards", _cards_sql("", 1))
+def q_paper_cards(spark, d):
+    return _cards(spark, d, number=1, size=12)[0]
+
+
+@register("paper_cards_page3", _cards_sql("", 3))
+def q_paper_cards_page3(spark, d):
+    return _cards(spark, d, number=3, size=12)[0]
+
+
+@register("paper_cards_search", _cards_sql(_SEARCH_WHERE, 1))
+def q_paper_cards_search(spark, d):
+    return _cards(spark, d, number=1, size=12, text=_SEARCH_TEXT)[0]
+
+
+def _filtered_pages_sql() -> str:
+    return f"(select count(*) from f_paper p {_FILTERED_WHERE})"
+
+
+@register("paper_cards_filtered", with_views(f"""
+    select p.paper_id as id, p.title, p.year, coalesce(lt.ids, []) as topic_ids,
+           coalesce(lt.nm, []) as topic_names, coalesce(au.names, []) as authors, p.citation_count, p.doi
+    from (select *, row_number() over (order by year desc nulls first, citation_count desc nulls first, paper_id)
+                    as rn
+          from f_paper p {_FILTERED_WHERE}) p
+    left join au using (paper_id) left join lt using (paper_id)
+    where rn > (greatest(1, cast(ceil({_filtered_pages_sql()} / 12.0) as int)) - 1) * 12
+      and rn <= greatest(1, cast(ceil({_filtered_pages_sql()} / 12.0) as int)) * 12""",
+                                             *_NET_VIEWS, extra={"au": _AUTHORS_OF_SQL, "lt": _LABEL_TOPICS_SQL}))
+def q_paper_cards_filtered(spark, d):
+    # page 999 is past the end: clamped to the last page
+    return _cards(spark, d, number=999, size=12, topic_names=NET_TOPICS, author_id=42)[0]
+
+
+@register("paper_page_info", with_views(f"""
+    select cast(pages as int) as current_page, cast(pages as int) as total_pages, n as total_items,
+           12 as page_size, false as has_next, pages > 1 as has_previous
+    from (select n, greatest(1, cast(ceil(n / 12.0) as int)) as pages
+          from (select count(*) as n from f_paper p {_FILTERED_WHERE}) c) x""", *_NET_VIEWS))
+def q_paper_page_info(spark, d):
+    _, info = _cards(spark, d, number=999, size=12, topic_names=NET_TOPICS, author_id=42)
+    return P.page_info_frame(spark, info)
+
+
+@register("paper_search", with_views(f"""
+    select paper_id, title from f_paper p {_SEARCH_WHERE}""", *_NET_VIEWS))
+def q_paper_search(spark, d):
+    return P.search_papers(B.papers(spark, d), B.paper_authors(spark, d), B.authors(spark, d),
+                           _SEARCH_TEXT).select("paper_id", "title")
+
+
+@register("paper_search_author", with_views(f"""
+    select paper_id, title from f_paper p
+    where contains(upper(title), upper('{_SEARCH_AUTHOR}'))
+       or paper_id in (select pa.paper_id from f_paper_author pa join f_author a using (author_id)
+                       where contains(upper(a.name), upper('{_SEARCH_AUTHOR}')))""", *_NET_VIEWS))
+def q_paper_search_author(spark, d):
+    return P.search_papers(B.papers(spark, d), B.paper_authors(spark, d), B.authors(spark, d),
+                           _SEARCH_AUTHOR).select("paper_id", "title")
+
+
+@register("papers_of_author", with_views("""
+    select paper_id, title from f_paper where paper_id in (select paper_id from f_paper_author where author_id = 42)""",
+                                         "f_paper", "f_paper_author"))
+def q_papers_of_author(spark, d):
+    return P.papers_of(B.papers(spark, d), B.paper_authors(spark, d), 42).select("paper_id", "title")
+
+
+@register("paper_detail_topics", with_views("select paper_id, ids as topic_ids, nm as topic_names from lt",
+                                            *_NET_VIEWS, extra={"lt": _LABEL_TOPICS_SQL}))
+def q_paper_detail_topics(spark, d):
+    return P.label_topics(B.interactions(spark, d), B.topics(spark, d))
+
+
+_DETAIL_CHART_SQL = """
+    select paper_id, rank, topic_id, t.name as subject, round(prob, 4) as probability
+    from (select paper_id, topic_id, prob,
+                 row_number() over (partition by paper_id order by prob desc, topic_id) as rank
+          from (select paper_id, generate_subscripts(topic_distribution, 1) - 1 as topic_id,
+                       unnest(topic_distribution) as prob from f_interaction) x
+          where prob > 0.01) r
+    join f_topic t using (topic_id)
+    where rank <= 6"""
+
+
+@register("paper_detail_chart", with_views(_DETAIL_CHART_SQL, *_NET_VIEWS))
+def q_paper_detail_chart(spark, d):
+    return P.detail_chart(B.interactions(spark, d), B.topics(spark, d))
+
+
+@register("chart_profile", with_views("""
+    select paper_id, rank, topic_id, subject, probability, chart_rank, cast(round(probability * 100) as int) as percent
+    from (select *, row_number() over (partition by paper_id order by probability desc, rank) as chart_rank
+          from dc where probability > 0.02) x
+    where chart_rank <= 6""", *_NET_VIEWS, extra={"dc": _DETAIL_CHART_SQL}))
+def q_chart_profile(spark, d):
+    return P.chart_profile(P.detail_chart(B.interactions(spark, d), B.topics(spark, d)), "paper_id")
+
+
+@register("home_first", with_views("""
+    select paper_id, pos, author_id, name, institution,
+           row_number() over (partition by paper_id
+                              order by (institution is not distinct from 'Home University') desc, pos,
+                                       author_id) - 1
+               as display_pos
+    from f_authorship join f_author using (author_id)""", "f_authorship", "f_author"))
+def q_home_first(spark, d):
+    rows = B.authorships(spark, d).join(B.authors(spark, d), "author_id").select("paper_id", "pos", "author_id",
+                                                                                  "name", "institution")
+    return P.home_first(rows, HOME)
+
+
+@register("paper_detail", with_views("""
+    select p.paper_id, p.doi, p.title, p.year, p.citation_count, coalesce(au.names, []) as authors,
+           lt.ids as topic_ids, lt.nm as topic_names
+    from f_paper p left join au using (paper_id) left join lt using (paper_id) where p.paper_id = 7""",
+                                     *_NET_VIEWS, extra={"au": _AUTHORS_OF_SQL, "lt": _LABEL_TOPICS_SQL}))
+def q_paper_detail(spark, d):
+    out = P.paper_detail(B.papers(spark, d), B.paper_authors(spark, d), B.authors(spark, d),
+                         B.interactions(spark, d), B.topics(spark, d), paper_id=7)
+    return out.select("paper_id", "doi", "title", "year", "citation_count", "authors", "topic_ids", "topic_names")
+
+
+# ---------------------------------------------------------------- profiles
+
+@register("author_totals", with_views("""
+    select a.author_id, coalesce(c.n, 0) as total_papers, coalesce(c.s, 0) as total_citations
+    from f_author a left join (select author_id, count(*) as n, sum(coalesce(citation_count, 0)) as s
+                               from f_paper_author join f_paper using (paper_id) group by 1) c using (author_id)""",
+                                      "f_author", "f_paper_author", "f_paper"))
+def q_author_totals(spark, d):
+    return R.author_totals(B.authors(spark, d), B.paper_authors(spark, d), B.papers(spark, d))
+
+
+@register("author_profile", with_views("""
+    select r.author_id, r.rank, r.topic_id, t.name as subject, round(r.total / n.n, 4) as probability
+    from (select *, row_number() over (partition by author_id order by total desc, topic_id) as rank
+          from (select author_id, idx - 1 as topic_id, sum(p) as total
+                from (select pa.author_id, unnest(i.topic_distribution) as p,
+                             generate_subscripts(i.topic_distribution, 1) as idx
+                      from f_paper_author pa join f_interaction i using (paper_id)
+                      where len(i.topic_distribution) > 0) x
+                group by 1, 2) s) r
+    join (select pa.author_id, count(*) as n from f_paper_author pa join f_interaction i using (paper_id)
+          where len(i.topic_distribution) > 0 group by 1) n using (author_id)
+    join f_topic t on t.topic_id = r.topic_id
+    where r.rank <= 6 and r.total > 0""", *_NET_VIEWS))
+def q_author_profile(spark, d):
+    return R.author_profile(B.paper_authors(spark, d), B.interactions(spark, d), B.topics(spark, d))

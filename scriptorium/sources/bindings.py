@@ -208,3 +208,90 @@ def results(spark: SparkSession, d: str) -> DataFrame:
                     F.when(F.col("primary_topic_id") == -1, F.array().cast("array<string>"))
                      .otherwise(F.col("keywords")).alias("topic_keywords"),
                     "topic_distribution"))
+
+
+def _doc_authors(spark: SparkSession, d: str, raw: bool) -> DataFrame:
+    """Authors of a document: the line items of the order with the document's
+    id, in line order. Every sixth supplier's display name carries non-ASCII
+    letters, every seventh has no external id, even lines upper-case the name
+    and every eleventh raw display name is empty."""
+    li = authorships(spark, d)
+    s = read(spark, d, "supplier", "s_suppkey", "s_name")
+    k = F.col("s_suppkey")
+    disp = (F.when(k % 11 == 0, F.lit(""))
+            .when(k % 6 == 0, F.concat(F.lit("José "), F.col("s_name")))
+            .when(F.col("pos") % 2 == 0, F.upper("s_name"))
+            .otherwise(F.col("s_name")))
+    oid = F.when(k % 7 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("A"), k.cast("string")))
+    rows = li.join(s, li.author_id == s.s_suppkey).select("paper_id", "pos", disp.alias("name"), oid.alias("id"))
+    if raw:
+        item = F.struct(F.struct(F.col("id").alias("id"), F.col("name").alias("display_name")).alias("author"))
+    else:
+        item = F.struct(X.clean_text("name").alias("name"), F.col("id").alias("openalex_id"))
+    return (rows.filter(F.lit(raw) | (F.col("name") != ""))
+            .groupBy("paper_id")
+            .agg(F.sort_array(F.collect_list(F.struct("pos", item.alias("x")))).alias("_a"))
+            .select(F.col("paper_id").alias("doc_id"), F.col("_a.x").alias("authors")))
+
+
+def inverted_index(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, abstract_inverted_index): word -> positions of the document's
+    blank-separated tokens. Positions are gathered per (document, word), then
+    per document; a document is one row, so a group is bounded by its text."""
+    t = read(spark, d, "documents", "doc_id", "text")
+    toks = t.select("doc_id", F.posexplode(F.split("text", " ")).alias("p", "w"))
+    per_word = toks.groupBy("doc_id", "w").agg(F.array_sort(F.collect_list("p")).alias("ps"))
+    return (per_word.groupBy("doc_id")
+            .agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("abstract_inverted_index")))
+
+
+def raw_works(spark: SparkSession, d: str) -> DataFrame:
+    """Landed work items (the works API shape) from documents: a DOI URL for
+    two thirds, title = first line, authorships from line items, year, venue,
+    inverted-index abstract (null for every fourth), citations."""
+    t = read(spark, d, "documents", "doc_id", "text", "source", "n_chars")
+    k = F.col("doc_id")
+    a = _doc_authors(spark, d, raw=True)
+    idx = inverted_index(spark, d)
+    return (t.join(a, "doc_id", "left").join(idx, "doc_id", "left")
+            .select(k.alias("seq"),
+                    F.when(k % 3 == 0, F.lit(None).cast("string"))
+                     .otherwise(F.concat(F.lit("https://doi.org/"), F.md5("text"))).alias("doi"),
+                    F.when(k % 17 == 0, F.lit(None).cast("string"))
+                     .otherwise(F.split_part(F.col("text"), F.lit("\n"), F.lit(1))).alias("title"),
+                    F.coalesce("authors", F.array().cast(
+                        "array<struct<author:struct<id:string,display_name:string>>>")).alias("authorships"),
+                    (F.lit(2000) + k % 25).cast("int").alias("publication_year"),
+                    F.col("source").alias("venue_name"),
+                    F.when(k % 4 == 0, F.lit(None)).otherwise(F.col("abstract_inverted_index"))
+                     .alias("abstract_inverted_index"),
+                    (F.col("n_chars") % 100).cast("int").alias("cited_by_count")))
+
+
+def clean_docs(spark: SparkSession, d: str) -> DataFrame:
+    """Clean records for dedupe: ``docs`` plus cleaned authors from line items."""
+    a = _doc_authors(spark, d, raw=False)
+    dd = docs(spark, d)
+    return (dd.join(a, dd.seq == a.doc_id, "left")
+            .select("seq", "doi", "title", "abstract",
+                    F.coalesce("authors", F.array().cast("array<struct<name:string,openalex_id:string>>"))
+                     .alias("authors_struct")))
+
+
+def staff(spark: SparkSession, d: str) -> DataFrame:
+    """Staff rows of the staff API shape from suppliers of home nations:
+    first/last names from the supplier name (every eleventh last name
+    missing), padded e-mails (every third missing), own faculty (every fourth
+    empty) and the requested faculty."""
+    s = read(spark, d, "supplier", "s_suppkey", "s_name", "s_nationkey")
+    n = read(spark, d, "nation", "n_nationkey", "n_name")
+    k = F.col("s_suppkey")
+    return (s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey)
+            .select(k.alias("seq"),
+                    F.concat(F.lit(" "), F.split_part("s_name", F.lit("#"), F.lit(1))).alias("First_Name_En"),
+                    F.when(k % 11 == 0, F.lit(None).cast("string"))
+                     .otherwise(F.split_part("s_name", F.lit("#"), F.lit(2))).alias("Last_Name_En"),
+                    F.when(k % 3 == 0, F.lit(None).cast("string"))
+                     .otherwise(F.concat(F.lit(" s"), k.cast("string"), F.lit("@example.org "))).alias("Email"),
+                    F.when(k % 4 == 0, F.lit("")).otherwise(F.col("n_name")).alias("Faculty_Name_En"),
+                    F.lit("Requested Faculty").alias("faculty_en")))
