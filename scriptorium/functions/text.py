@@ -45,17 +45,22 @@ def rebuild_abstract(index: Column | str) -> Column:
     Every (position, map ordinal, word) triple is sorted; for a position held by
     several words the one from the later map entry wins, as when the positions
     are written into a list in map order. Gaps need no blanks because X1
-    collapses whitespace anyway. Null or empty maps give ''."""
+    collapses whitespace anyway. Null or empty maps give ''.
+
+    The sorted array is compared with itself shifted by one (``zip_with``
+    pads the shorter side with null): a triple is kept when the next one has
+    another position. Linear in the text length; the sorted array is an
+    argument, never referenced from inside a lambda (which would re-evaluate
+    it per element)."""
     idx = _c(index)
     triples = F.array_sort(F.flatten(F.transform(
         F.map_entries(idx),
         lambda e, i: F.transform(e["value"], lambda p: F.struct(p.alias("p"), i.alias("i"), e["key"].alias("w"))),
     )))
-    last_per_pos = F.filter(
-        triples,
-        lambda x, k: F.get(triples, k + 1).isNull() | (F.get(triples, k + 1)["p"] != x["p"]),
-    )
-    words = F.transform(last_per_pos, lambda x: x["w"])
+    following = F.slice(triples, 2, F.greatest(F.size(triples), F.lit(1)))
+    kept = F.zip_with(triples, following,
+                      lambda x, y: F.when(y.isNull() | (y["p"] != x["p"]), x["w"]))
+    words = F.filter(kept, lambda w: w.isNotNull())
     return clean_text(F.array_join(words, " "))
 
 
@@ -116,9 +121,11 @@ def year_text(col: Column | str) -> Column:
 
 
 def doc_text(title: Column | str, abstract: Column | str) -> Column:
-    """F2 text: ``title + '. ' + abstract`` with nulls as '' and trimmed."""
-    return F.trim(F.concat(F.coalesce(_c(title), F.lit("")), F.lit(". "),
-                           F.coalesce(_c(abstract), F.lit(""))))
+    """F2 text: ``title + '. ' + abstract`` with nulls as '' and stripped of
+    surrounding whitespace (Unicode white space and \x1C-\x1F, as Python's
+    ``str.strip``)."""
+    joined = F.concat(F.coalesce(_c(title), F.lit("")), F.lit(". "), F.coalesce(_c(abstract), F.lit("")))
+    return F.regexp_replace(joined, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
 
 
 def split_names(text: Column | str) -> Column:

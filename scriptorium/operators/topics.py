@@ -149,13 +149,12 @@ def top_terms(scores: DataFrame, group_col: str, n: int = TOP_N_WORDS, term_col:
             .select(group_col, F.col(f"_k.{term_col}").alias("keywords")))
 
 
-def topic_keywords(terms: DataFrame, n_topics: int, topic_col: str = "topic_id",
+def topic_keywords(terms: DataFrame, topic_ids: DataFrame, topic_col: str = "topic_id",
                    n: int = TOP_N_WORDS) -> DataFrame:
-    """Top ``n`` c-TF-IDF words for every topic id 0..n_topics-1; a topic
-    without terms gets an empty list."""
+    """Top ``n`` c-TF-IDF words for every topic id of ``topic_ids``
+    (0..n-1 in the original); a topic without terms gets an empty list."""
     top = top_terms(ctfidf(terms, topic_col), topic_col, n=n)
-    ids = terms.sparkSession.range(n_topics).select(F.col("id").cast("int").alias(topic_col))
-    return (ids.join(top, topic_col, "left")
+    return (topic_ids.select(topic_col).join(top, topic_col, "left")
             .select(topic_col, F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords")))
 
 
@@ -254,7 +253,7 @@ def topic_centroids(vecs: DataFrame, topic_col: str = "topic_id", vec_col: str =
     partial aggregation (hot topics only add partial rows), then re-assembled
     in position order; one row per topic, so the result is bounded."""
     parts = (vecs.filter(F.col(topic_col) != X.OUTLIER_TOPIC_ID)
-             .select(topic_col, F.posexplode(vec_col).alias("pos", "x"))
+             .select(topic_col, F.posexplode(F.col(vec_col).cast("array<double>")).alias("pos", "x"))
              .groupBy(topic_col, "pos").agg(F.avg("x").alias("m")))
     return (parts.groupBy(topic_col)
             .agg(F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("_c"))
@@ -273,7 +272,7 @@ def reassign_outliers(vecs: DataFrame, threshold: float = OUTLIER_THRESHOLD, id_
     packed = cents.agg(F.collect_list(F.struct(F.col(topic_col).alias("t"),
                                                F.col("centroid").alias("c"),
                                                _norm(F.col("centroid")).alias("cn")))).scalar()
-    v = F.col(vec_col)
+    v = F.col(vec_col).cast("array<double>")
     vn = _norm(v)
     vecs = vecs.withColumn("_cents", packed)   # no subquery inside the lambda
     scored = F.transform(F.col("_cents"), lambda c: F.struct((_dot(v, c["c"]) / (vn * c["cn"])).alias("s"),
@@ -304,30 +303,32 @@ def assign_topics(vecs: DataFrame, k: int, seed: int = 42, vec_col: str = "embed
                       vector_to_array("probability").alias("topic_distribution"))
 
 
-def soft_topics(docs: DataFrame, scores: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+def soft_topics(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 topic_col: str = "topic_id", min_similarity: float = SOFT_MIN_SIMILARITY,
                 stop: list[str] | None = None) -> DataFrame:
-    """T5: per document, cosine of its c-TF-IDF vector with each topic's
-    c-TF-IDF vector; similarities below ``min_similarity`` are dropped and the
-    rest normalised to sum 1 (A8). Long form (doc, topic, prob).
-
-    Whole documents are scored (the library's sliding token windows are not
-    rebuilt). The join is on term: each document term meets at most one row per
-    topic, so the fan-out is bounded by the topic count."""
-    idf = scores.select("term", F.col("score"), F.col("n"), topic_col)
-    term_idf = (scores.select("term", (F.col("score") / (F.col("n") / F.col("class_total"))).alias("idf"))
-                if "class_total" in scores.columns else None)
-    if term_idf is None:
-        raise ValueError("scores must carry class_total (use ctfidf)")
-    term_idf = term_idf.dropDuplicates(["term"])
+    """T5: per document, cosine of its c-TF-IDF vector with each (non-outlier)
+    topic's c-TF-IDF vector; similarities below ``min_similarity`` are dropped
+    and the rest normalised to sum 1 (A8). Long form (doc, topic, prob).
+
+    ``terms`` is T1's output for the fitted topics. Whole documents are scored
+    (the library's sliding token windows are not rebuilt). The join is on
+    term and each term has at most one row per topic, so the fan-out of a
+    document term is bounded by the topic count; the per-document window
+    holds at most one row per topic."""
+    scores = ctfidf(terms, topic_col)
+    per_class = terms.groupBy(topic_col).agg(F.sum("n").alias("class_total"))
+    avg = per_class.agg(F.floor(F.avg("class_total")).cast("double").alias("A")).scalar()
+    idf = (terms.groupBy("term").agg(F.sum("n").alias("term_total"))
+           .select("term", F.log(1 + avg / F.col("term_total")).alias("idf")))
+    topics = scores.filter(F.col(topic_col) != X.OUTLIER_TOPIC_ID).select(topic_col, "term", "score")
     dt = (docs.select(id_col, F.explode(term_list(text_col, stop)).alias("term"))
           .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("c")))
     dlen = dt.groupBy(id_col).agg(F.sum("c").alias("dl"))
-    dvec = (dt.join(dlen, id_col).join(term_idf, "term")
+    dvec = (dt.join(dlen, id_col).join(idf, "term")
             .select(id_col, "term", (F.col("c") / F.col("dl") * F.col("idf")).alias("w")))
     dnorm = dvec.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
-    tnorm = idf.groupBy(topic_col).agg(F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("tn"))
-    dots = (dvec.join(idf.select("term", topic_col, "score"), "term")
+    tnorm = topics.groupBy(topic_col).agg(F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("tn"))
+    dots = (dvec.join(topics, "term")
             .groupBy(id_col, topic_col).agg(F.sum(F.col("w") * F.col("score")).alias("dot")))
     sims = (dots.join(dnorm, id_col).join(F.broadcast(tnorm), topic_col)
             .select(id_col, topic_col, (F.col("dot") / (F.col("dn") * F.col("tn"))).alias("sim"))

@@ -554,3 +554,227 @@ def q_author_totals(spark, d):
     where r.rank <= 6 and r.total > 0""", *_NET_VIEWS))
 def q_author_profile(spark, d):
     return R.author_profile(B.paper_authors(spark, d), B.interactions(spark, d), B.topics(spark, d))
+
+
+# ------------------------------------------------------- text and ingest
+
+from scriptorium.functions import text as X  # noqa: E402
+from scriptorium.operators import dedupe as DD  # noqa: E402
+from scriptorium.operators import topics as T  # noqa: E402
+from scriptorium.operators import upsert as U  # noqa: E402
+from scriptorium.oracle_sql import clean_text_sql, stop_words_sql  # noqa: E402
+from scriptorium.sources import ingest as I  # noqa: E402
+from scriptorium.sources.tables import read  # noqa: E402
+
+
+@register("clean_text_pages", f"select page_id, {clean_text_sql('html')} as clean from pages")
+def q_clean_text_pages(spark, d):
+    return read(spark, d, "pages", "page_id", "html").select("page_id", X.clean_text("html").alias("clean"))
+
+
+@register("clean_text_documents", f"select doc_id, {clean_text_sql('text')} as clean from documents")
+def q_clean_text_documents(spark, d):
+    return read(spark, d, "documents", "doc_id", "text").select("doc_id", X.clean_text("text").alias("clean"))
+
+
+@register("rebuild_abstract", f"select doc_id, {clean_text_sql('text')} as abstract from documents")
+def q_rebuild_abstract(spark, d):
+    return B.inverted_index(spark, d).select("doc_id", X.rebuild_abstract("abstract_inverted_index").alias("abstract"))
+
+
+# Raw display names of a document's authors (the raw-works binding) in SQL.
+_DISPLAY_SQL = """
+    select l_orderkey as doc_id, l_linenumber as lpos,
+           case when s_suppkey % 7 = 0 then null else 'A' || s_suppkey end as oid,
+           case when s_suppkey % 11 = 0 then '' when s_suppkey % 6 = 0 then 'José ' || s_name
+                when l_linenumber % 2 = 0 then upper(s_name) else s_name end as disp
+    from lineitem join supplier on l_suppkey = s_suppkey"""
+
+
+@register("works_from_raw", with_views(f"""
+    select doc_id as seq, md5(text) as doi,
+           case when doc_id % 17 = 0 then '(No Title)' else split_part(text, chr(10), 1) end as title,
+           cast(2000 + doc_id % 25 as int) as year, source as venue, cast(n_chars % 100 as int) as citation_count,
+           coalesce((select count(*) from disp where disp.doc_id = documents.doc_id), 0) as n_authors
+    from documents where doc_id % 3 <> 0""", extra={"disp": _DISPLAY_SQL}))
+def q_works_from_raw(spark, d):
+    w = I.works_from_raw(B.raw_works(spark, d))
+    return w.select("seq", "doi", "title", "year", "venue", "citation_count",
+                    F.size("authorships").cast("long").alias("n_authors"))
+
+
+@register("clean_papers", with_views(f"""
+    select doc_id as seq, md5(text) as doi,
+           {clean_text_sql("case when doc_id % 17 = 0 then '(No Title)' else split_part(text, chr(10), 1) end")}
+               as title,
+           case when doc_id % 4 = 0 then '' else {clean_text_sql('text')} end as abstract,
+           coalesce((select array_to_string(list({clean_text_sql('disp')} order by lpos, oid nulls first, disp), ', ')
+                     from disp where disp.doc_id = documents.doc_id and disp <> ''), '') as authors_text,
+           cast(2000 + doc_id % 25 as int) as year, source as venue, cast(n_chars % 100 as int) as citation_count
+    from documents where doc_id % 3 <> 0""", extra={"disp": _DISPLAY_SQL}))
+def q_clean_papers(spark, d):
+    c = I.clean_papers(I.works_from_raw(B.raw_works(spark, d)))
+    return c.select("seq", "doi", "title", "abstract", "authors_text", "year", "venue", "citation_count")
+
+
+@register("flatten_authors", with_views(f"""
+    select doc_id, generate_subscripts(names, 1) - 1 as pos, unnest(names) as name, unnest(ids) as openalex_id
+    from (select doc_id, list({clean_text_sql('disp')} order by lpos, oid nulls first, disp) as names,
+                 list(oid order by lpos, oid nulls first, disp) as ids
+          from disp where disp <> '' and doc_id in (select doc_id from documents) group by 1) x""",
+                                        extra={"disp": _DISPLAY_SQL}))
+def q_flatten_authors(spark, d):
+    r = B.raw_works(spark, d).select(F.col("seq").alias("doc_id"), X.flatten_authors("authorships").alias("a"))
+    return (r.select("doc_id", F.posexplode("a").alias("pos", "x"))
+            .select("doc_id", "pos", F.col("x.name").alias("name"), F.col("x.openalex_id").alias("openalex_id")))
+
+
+@register("roster_from_staff", """
+    select trim(' ' || split_part(s_name, '#', 1)) || ' ' || trim(split_part(s_name, '#', 2)) as name,
+           'Home University' as institution,
+           trim(case when s_suppkey % 4 = 0 then 'Requested Faculty' else n_name end) as faculty,
+           case when s_suppkey % 3 = 0 then null else trim(' s' || s_suppkey || '@example.org ') end as email
+    from supplier join nation on s_nationkey = n_nationkey
+    where s_suppkey % 11 <> 0""")
+def q_roster_from_staff(spark, d):
+    return I.roster_from_staff(B.staff(spark, d), HOME)
+
+
+_CANDIDATES_SQL = """
+    select s_name as name, 'P' || l_partkey as candidate_id, l_orderkey * 10 + l_linenumber as rank
+    from lineitem join supplier on l_suppkey = s_suppkey"""
+
+
+def _candidates(spark, d):
+    li = read(spark, d, "lineitem", "l_suppkey", "l_partkey", "l_orderkey", "l_linenumber")
+    s = read(spark, d, "supplier", "s_suppkey", "s_name")
+    return li.join(s, li.l_suppkey == s.s_suppkey).select(
+        F.col("s_name").alias("name"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("candidate_id"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("rank"))
+
+
+@register("resolve_author", with_views(f"""
+    select a.author_id, a.name, c.candidate_id as openalex_id
+    from f_author a left join (
+        select name, candidate_id from (
+            select *, row_number() over (partition by name order by rank, candidate_id) as rn from cands) r
+        where rn = 1) c using (name)""", "f_author", extra={"cands": _CANDIDATES_SQL}))
+def q_resolve_author(spark, d):
+    return I.resolve_author(B.authors(spark, d).select("author_id", "name"), _candidates(spark, d))
+
+
+def _works(spark, d):
+    return read(spark, d, "lineitem", "l_suppkey", "l_orderkey", "l_linenumber", "l_shipdate").select(
+        F.col("l_suppkey").alias("author"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("work_id"),
+        F.col("l_shipdate").alias("publication_date"))
+
+
+def _cap_sql(n: int) -> str:
+    return f"""
+    select author, work_id, rank from (
+        select l_suppkey as author, l_orderkey * 10 + l_linenumber as work_id,
+               row_number() over (partition by l_suppkey order by l_shipdate desc nulls last,
+                                  l_orderkey * 10 + l_linenumber) as rank
+        from lineitem) r
+    where rank <= {n}"""
+
+
+@register("cap_per_author", _cap_sql(I.FETCH_CAP))
+def q_cap_per_author(spark, d):
+    return I.cap_per_author(_works(spark, d)).select("author", "work_id", "rank")
+
+
+@register("cap_per_author_100", _cap_sql(100))
+def q_cap_per_author_100(spark, d):
+    return I.cap_per_author(_works(spark, d), n=100).select("author", "work_id", "rank")
+
+
+# ------------------------------------------------------------------ dedupe
+
+# clean records with cleaned authors (the clean-docs binding) in SQL.
+_CLEAN_AUTHORS_SQL = f"""
+    select doc_id, row_number() over (partition by doc_id order by lpos, nm, oid nulls first) - 1 as pos,
+           nm as name, oid as openalex_id
+    from (select doc_id, lpos, oid, {clean_text_sql('disp')} as nm from disp where disp <> '') x"""
+
+_GROUPS_SQL = """
+    select r.*, case when r.doi is not null and d0.d0 is not null and r.seq >= d0.d0 then 'doi'
+                     when r.tkey is not null then 'title' end as group_kind,
+                case when r.doi is not null and d0.d0 is not null and r.seq >= d0.d0 then r.doi
+                     when r.tkey is not null then r.tkey end as group_key
+    from (select x.*, coalesce(t0.t0 < x.seq, false) as absorb
+          from (select *, nullif(lower(coalesce(title, '')), '') as tkey from f_doc) x
+          left join (select nullif(lower(coalesce(title, '')), '') as tkey, min(seq) as t0 from f_doc
+                     where doi is null and nullif(lower(coalesce(title, '')), '') is not null group by 1) t0
+          using (tkey)) r
+    left join (select doi, min(seq) as d0 from (
+                   select x.*, coalesce(t0.t0 < x.seq, false) as absorb
+                   from (select *, nullif(lower(coalesce(title, '')), '') as tkey from f_doc) x
+                   left join (select nullif(lower(coalesce(title, '')), '') as tkey, min(seq) as t0 from f_doc
+                              where doi is null and nullif(lower(coalesce(title, '')), '') is not null
+                              group by 1) t0 using (tkey)) y
+               where doi is not null and not absorb group by 1) d0 using (doi)"""
+
+
+def _clean_docs(spark, d):
+    return B.clean_docs(spark, d)
+
+
+@register("dedupe_group", with_views("""
+    select seq, group_kind, group_key from g""", "f_doc", extra={"g": _GROUPS_SQL}))
+def q_dedupe_group(spark, d):
+    return DD.dedupe_group(_clean_docs(spark, d)).select("seq", "group_kind", "group_key")
+
+
+@register("dedupe_papers", with_views("""
+    select group_kind, group_key, count(*) as group_size, arg_min(seq, seq) as seq,
+           arg_min(struct_pack(v := doi), seq).v as doi, arg_min(struct_pack(v := title), seq).v as title,
+           coalesce(arg_min(abstract, seq) filter (where coalesce(abstract, '') <> ''), arg_min(abstract, seq))
+               as abstract
+    from g where group_kind is not null group by 1, 2""", "f_doc", extra={"g": _GROUPS_SQL}))
+def q_dedupe_papers(spark, d):
+    return DD.dedupe_papers(_clean_docs(spark, d)).select("group_kind", "group_key", "group_size", "seq", "doi",
+                                                          "title", "abstract")
+
+
+_MERGE_SQL = """
+    select g.group_kind, g.group_key, arg_min(a.name, g.seq * 100000 + a.pos) as name,
+           arg_min(a.openalex_id, g.seq * 100000 + a.pos) as openalex_id,
+           min(g.seq * 100000 + a.pos) as o
+    from g join ca a on a.doc_id = g.seq
+    where g.group_kind is not null
+      and (g.group_kind, g.group_key) in (select group_kind, group_key from g where group_kind is not null
+                                          group by 1, 2 having count(*) > 1)
+    group by g.group_kind, g.group_key, coalesce(nullif(a.openalex_id, ''), lower(a.name))"""
+
+
+@register("merge_authors", with_views("""
+    select group_kind, group_key, o // 100000 as first_seq, cast(o % 100000 as int) as first_pos, name, openalex_id
+    from m""", "f_doc", extra={"g": _GROUPS_SQL, "disp": _DISPLAY_SQL, "ca": _CLEAN_AUTHORS_SQL, "m": _MERGE_SQL}))
+def q_merge_authors(spark, d):
+    g = DD.dedupe_group(_clean_docs(spark, d)).filter(F.col("group_kind").isNotNull())
+    return DD.merge_authors_long(g)
+
+
+@register("dedupe_authors_text", with_views("""
+    select s.group_kind, s.group_key,
+           case when s.n > 1 then coalesce(m.txt, '') else coalesce(f.txt, '') end as authors_text
+    from (select group_kind, group_key, count(*) as n, min(seq) as first_seq from g
+          where group_kind is not null group by 1, 2) s
+    left join (select group_kind, group_key, array_to_string(list(name order by o), ', ') as txt
+               from m group by 1, 2) m using (group_kind, group_key)
+    left join (select doc_id, array_to_string(list(name order by pos), ', ') as txt from ca group by 1) f
+           on f.doc_id = s.first_seq""",
+                                            "f_doc", extra={"g": _GROUPS_SQL, "disp": _DISPLAY_SQL,
+                                                            "ca": _CLEAN_AUTHORS_SQL, "m": _MERGE_SQL}))
+def q_dedupe_authors_text(spark, d):
+    return DD.dedupe_papers(_clean_docs(spark, d)).select("group_kind", "group_key", "authors_text")
+
+
+@register("dedupe_metrics", with_views("""
+    select cast((select count(*) from f_doc) as bigint) as original_papers,
+           cast(count(*) as bigint) as final_unique_papers, cast(coalesce(sum(n - 1), 0) as bigint) as duplicates_merged
+    from (select group_kind, group_key, count(*) as n from g where group_kind is not null group by 1, 2) x""",
+                                       "f_doc", extra={"g": _GROUPS_SQL}))
+def q_dedupe_metrics(spark, d):
+    return DD.dedupe_metrics(_clean_docs(spark, d))
