@@ -97,9 +97,12 @@ def term_list(text: Column | str, stop: list[str] | None = None) -> Column:
     does when stop words are removed before n-grams are formed."""
     stop_arr = F.array(*[F.lit(w) for w in (stop if stop is not None else stop_words())])
     kept = F.filter(tokens(text), lambda t: ~F.array_contains(stop_arr, t))
-    bigrams = F.filter(
-        F.transform(kept, lambda t, i: F.when(i > 0, F.concat_ws(" ", F.get(kept, i - 1), t))),
-        lambda b: b.isNotNull())
+    # Pair each token with the next one (the array shifted by one; zip_with
+    # pads with null). Linear: the token array is an argument, not evaluated
+    # inside the lambda.
+    nxt = F.slice(kept, 2, F.greatest(F.size(kept), F.lit(1)))
+    bigrams = F.filter(F.zip_with(kept, nxt, lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b))),
+                       lambda b: b.isNotNull())
     return F.concat(kept, bigrams)
 
 
@@ -287,18 +290,22 @@ def reassign_outliers(vecs: DataFrame, threshold: float = OUTLIER_THRESHOLD, id_
 
 
 def assign_topics(vecs: DataFrame, k: int, seed: int = 42, vec_col: str = "embedding",
-                  id_col: str = "vec_id", max_iter: int = 20) -> DataFrame:
+                  id_col: str = "vec_id", max_iter: int = 50, components: int = 5) -> DataFrame:
     """Topic assignment with a soft distribution per document.
 
-    Re-aimed on Spark ML: a Gaussian mixture over the document vectors gives a
-    hard ``cluster_id`` (most probable component) and ``topic_distribution``
-    (the component probabilities). The clusters are not those of the original
-    density clustering; only shape and invariants are checked."""
+    Re-aimed on Spark ML: the vectors are reduced to ``components`` dimensions
+    (PCA, standing in for the original's 5-component reduction), then a
+    Gaussian mixture gives a hard ``cluster_id`` (most probable component) and
+    ``topic_distribution`` (the component probabilities). Both fits are
+    distributed (tree aggregation per iteration). The clusters are not those of
+    the original density clustering; only shape and invariants are checked."""
     from pyspark.ml.clustering import GaussianMixture
+    from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
-    data = vecs.select(id_col, array_to_vector(vec_col).alias("features"))
-    model = GaussianMixture(k=k, seed=seed, maxIter=max_iter, featuresCol="features").fit(data)
-    out = model.transform(data)
+    data = vecs.select(id_col, array_to_vector(F.col(vec_col).cast("array<double>")).alias("raw"))
+    reduced = PCA(k=components, inputCol="raw", outputCol="features").fit(data).transform(data)
+    model = GaussianMixture(k=k, seed=seed, maxIter=max_iter, featuresCol="features").fit(reduced)
+    out = model.transform(reduced)
     return out.select(id_col, F.col("prediction").cast("int").alias("cluster_id"),
                       vector_to_array("probability").alias("topic_distribution"))
 

@@ -778,3 +778,247 @@ def q_dedupe_authors_text(spark, d):
                                        "f_doc", extra={"g": _GROUPS_SQL}))
 def q_dedupe_metrics(spark, d):
     return DD.dedupe_metrics(_clean_docs(spark, d))
+
+
+# ------------------------------------------------------------------ topics
+
+_RE_TOKEN = r"\b\w\w+\b"
+
+_TERMS_SQL = {
+    "td": f"""select v.topic_id, d.doc_id, {clean_text_sql('d.text')} as clean
+              from documents d join f_vec v on d.doc_id = v.vec_id""",
+    "kept": f"""select topic_id, doc_id,
+                       list_filter(regexp_extract_all(lower(clean), '{_RE_TOKEN}'),
+                                   lambda t: not list_contains({stop_words_sql()}, t)) as k from td""",
+    "terms": """select topic_id, term, count(*) as n
+                from (select topic_id, unnest(list_concat(k, list_transform(range(1, len(k)),
+                                                                         lambda i: k[i] || ' ' || k[i + 1]))) as term
+                      from kept) x group by 1, 2""",
+    "pc": "select topic_id, sum(n) as ct from terms group by 1",
+    "aa": "select floor(avg(ct)) as a from pc",
+    "pt": "select term, sum(n) as tt from terms group by 1",
+    "sc": """select t.topic_id, t.term, t.n, t.n / pc.ct * ln(1 + aa.a / pt.tt) as score
+             from terms t join pc using (topic_id) join pt using (term), aa""",
+    "ids": "select distinct topic_id from f_vec where topic_id <> -1",
+    "kw": """select ids.topic_id, coalesce(list_slice(top.k, 1, 15), cast([] as varchar[])) as keywords
+             from ids left join (select topic_id, list(term order by score desc, term) as k from sc group by 1) top
+             using (topic_id)""",
+}
+
+
+def _topic_text_docs(spark, d):
+    docs = read(spark, d, "documents", "doc_id", "text").select("doc_id", X.clean_text("text").alias("text"))
+    v = B.vectors(spark, d).select(F.col("vec_id").alias("doc_id"), "topic_id")
+    return docs.join(v, "doc_id")
+
+
+def _terms(spark, d):
+    return T.topic_terms(_topic_text_docs(spark, d))
+
+
+def _keywords(spark, d):
+    ids = B.vectors(spark, d).filter(F.col("topic_id") != -1).select("topic_id").distinct()
+    return T.topic_keywords(_terms(spark, d), ids)
+
+
+@register("topic_terms", with_views("select topic_id, term, n from terms", "f_vec", extra=_TERMS_SQL))
+def q_topic_terms(spark, d):
+    return _terms(spark, d)
+
+
+@register("topic_keywords", with_views("select topic_id, keywords from kw", "f_vec", extra=_TERMS_SQL))
+def q_topic_keywords(spark, d):
+    return _keywords(spark, d)
+
+
+@register("topic_diversity", with_views("""
+    select coalesce(count(distinct w) / count(w), 0.0) as diversity
+    from (select unnest(list_slice(keywords, 1, 15)) as w from kw) x""", "f_vec", extra=_TERMS_SQL))
+def q_topic_diversity(spark, d):
+    return T.topic_diversity(_keywords(spark, d))
+
+
+@register("topic_labels", with_views("""
+    select topic_id, coalesce(case when topic_id % 2 = 0 then 'Named topic ' || topic_id end,
+                              array_to_string(list_slice(keywords, 1, 5), ', ')) as name,
+           case when topic_id = -1 then 'Outlier / Noise'
+                else 'Topic ' || topic_id || ': ' ||
+                     coalesce(case when topic_id % 2 = 0 then 'Named topic ' || topic_id end,
+                              array_to_string(list_slice(keywords, 1, 5), ', ')) end as cluster_label,
+           keywords
+    from kw""", "f_vec", extra=_TERMS_SQL))
+def q_topic_labels(spark, d):
+    kw = _keywords(spark, d)
+    names = (kw.filter(F.col("topic_id") % 2 == 0)
+             .select("topic_id", F.concat(F.lit("Named topic "), F.col("topic_id").cast("string")).alias("name")))
+    return T.topic_labels(kw, names).select("topic_id", "name", "cluster_label", "keywords")
+
+
+_REASSIGN_SQL = {
+    "cent": """select topic_id, pos, avg(x) as m
+               from (select topic_id, unnest(cast(embedding as double[])) as x,
+                            generate_subscripts(embedding, 1) as pos from f_vec where topic_id <> -1) x
+               group by 1, 2""",
+    "cn": "select topic_id, sqrt(sum(m * m)) as cn from cent group by 1",
+    "o": """select vec_id, unnest(cast(embedding as double[])) as x, generate_subscripts(embedding, 1) as pos
+            from f_vec where topic_id = -1""",
+    "onorm": "select vec_id, sqrt(sum(x * x)) as vn from o group by 1",
+    "sims": """select d.vec_id, d.topic_id, d.dot / (n.vn * cn.cn) as s
+               from (select o.vec_id, c.topic_id, sum(o.x * c.m) as dot from o join cent c using (pos)
+                     group by 1, 2) d
+               join onorm n using (vec_id) join cn using (topic_id)""",
+    "best": """select vec_id, topic_id as best_topic, s
+               from (select *, row_number() over (partition by vec_id order by s desc, topic_id) as rn from sims) r
+               where rn = 1""",
+}
+
+
+def _reassign_sql(threshold: float) -> str:
+    return with_views(f"""
+    select v.vec_id, v.topic_id,
+           case when v.topic_id = -1 and b.s >= {threshold} then b.best_topic else v.topic_id end as new_topic_id,
+           case when v.topic_id = -1 then round(b.s, 6) end as best_similarity
+    from f_vec v left join best b using (vec_id)""", "f_vec", extra=_REASSIGN_SQL)
+
+
+@register("reassign_outliers", _reassign_sql(0.5))
+def q_reassign_outliers(spark, d):
+    return T.reassign_outliers(B.vectors(spark, d), 0.5)
+
+
+@register("reassign_outliers_025", _reassign_sql(0.25))
+def q_reassign_outliers_025(spark, d):
+    return T.reassign_outliers(B.vectors(spark, d), 0.25)
+
+
+_SOFT_SQL = dict(_TERMS_SQL)
+_SOFT_SQL.update({
+    "alld": f"""select doc_id, list_filter(regexp_extract_all(lower({clean_text_sql('text')}), '{_RE_TOKEN}'),
+                                           lambda t: not list_contains({stop_words_sql()}, t)) as k
+                from documents""",
+    "dt": """select doc_id, term, count(*) as c
+             from (select doc_id, unnest(list_concat(k, list_transform(range(1, len(k)),
+                                                                    lambda i: k[i] || ' ' || k[i + 1]))) as term
+                   from alld) x group by 1, 2""",
+    "dl": "select doc_id, sum(c) as dl from dt group by 1",
+    "idf": "select term, ln(1 + aa.a / pt.tt) as idf from pt, aa",
+    "dvec": "select doc_id, term, c / dl * idf as w from dt join dl using (doc_id) join idf using (term)",
+    "dn": "select doc_id, sqrt(sum(w * w)) as dn from dvec group by 1",
+    "tsc": "select topic_id, term, score from sc where topic_id <> -1",
+    "tn": "select topic_id, sqrt(sum(score * score)) as tn from tsc group by 1",
+    "sims": """select doc_id, topic_id, dot / (dn * tn) as sim
+               from (select doc_id, topic_id, sum(w * score) as dot from dvec join tsc using (term) group by 1, 2) x
+               join dn using (doc_id) join tn using (topic_id)
+               where dot / (dn * tn) >= 0.01""",
+})
+
+
+@register("soft_topics", with_views("""
+    select doc_id, topic_id, round(sim / sum(sim) over (partition by doc_id), 6) as prob from sims""",
+                                    "f_vec", extra=_SOFT_SQL))
+def q_soft_topics(spark, d):
+    docs = read(spark, d, "documents", "doc_id", "text").select("doc_id", X.clean_text("text").alias("text"))
+    return T.soft_topics(docs, _terms(spark, d))
+
+
+@register("multi_labels", with_views("select paper_id, predicted_multi_labels from f_interaction", *_NET_VIEWS))
+def q_multi_labels(spark, d):
+    return B.interactions(spark, d).select("paper_id", "predicted_multi_labels")
+
+
+@register("label_parts", with_views("""
+    select paper_id, i, label,
+           case when strpos(label, ': ') > 0 then substr(label, strpos(label, ': ') + 2) else label end as name,
+           try_cast(trim(replace(split_part(label, ':', 1), 'Topic ', '')) as int) as topic_id
+    from (select paper_id, generate_subscripts(predicted_multi_labels, 1) - 1 as i,
+                 unnest(predicted_multi_labels) as label from f_interaction) x""", *_NET_VIEWS))
+def q_label_parts(spark, d):
+    ex = B.interactions(spark, d).select("paper_id", F.posexplode("predicted_multi_labels").alias("i", "label"))
+    return ex.select("paper_id", "i", "label", X.label_name("label").alias("name"),
+                     X.label_topic_id("label").alias("topic_id"))
+
+
+@register("normalise", with_views("""
+    select vec_id, list_transform(e, lambda x: round(x / case when s = 0 then 1 else s end, 6)) as dist
+    from (select vec_id, list_transform(cast(embedding as double[]), lambda x: abs(x)) as e,
+                 list_sum(list_transform(cast(embedding as double[]), lambda x: abs(x))) as s from f_vec) x""",
+                                  "f_vec"))
+def q_normalise(spark, d):
+    v = B.vectors(spark, d).select("vec_id", F.transform(F.col("embedding").cast("array<double>"),
+                                                         lambda x: F.abs(x)).alias("e"))
+    return v.select("vec_id", F.transform(T.normalise("e"), lambda x: F.round(x, 6)).alias("dist"))
+
+
+@register("topic_docs", with_views(r"""
+    select seq, regexp_replace(coalesce(title, '') || '. ' || coalesce(abstract, ''),
+                               '^[\s\x0B\x1C-\x1F\x85\pZ]+|[\s\x0B\x1C-\x1F\x85\pZ]+$', '', 'g') as doc
+    from f_doc
+    where length(regexp_replace(coalesce(title, '') || '. ' || coalesce(abstract, ''),
+                                '^[\s\x0B\x1C-\x1F\x85\pZ]+|[\s\x0B\x1C-\x1F\x85\pZ]+$', '', 'g')) >= 10""",
+                                   "f_doc"))
+def q_topic_docs(spark, d):
+    return T.topic_docs(B.docs(spark, d)).select("seq", "doc")
+
+
+@register("keep_tokens", f"""
+    select doc_id, list_filter(regexp_extract_all(lower({clean_text_sql('text')}), '{_RE_TOKEN}'),
+                               lambda t: not list_contains({stop_words_sql()}, t)
+                                         and not regexp_full_match(t, '[0-9.,]+') and length(t) > 2) as tokens
+    from documents""")
+def q_keep_tokens(spark, d):
+    docs = read(spark, d, "documents", "doc_id", "text")
+    return docs.select("doc_id", T.keep_tokens(X.clean_text("text")).alias("tokens"))
+
+
+@register("assign_topics")
+def q_assign_topics(spark, d):
+    """T3 (rows only): Gaussian mixture over the document vectors."""
+    v = B.vectors(spark, d)
+    k = v.select(F.count_distinct("label")).first()[0]
+    return T.assign_topics(v, k=int(k))
+
+
+# ------------------------------------------------------------------- sinks
+
+_UPSERT_SQL = """
+    select coalesce(b.paper_id, u.paper_id) as paper_id,
+           case when u.paper_id is not null then u.title else b.title end as title,
+           case when b.paper_id is not null then b.year else u.year end as year,
+           case when u.paper_id is not null then u.citation_count else b.citation_count end as citation_count
+    from (select paper_id, title, year, citation_count from f_paper where paper_id % 2 = 0) b
+    full outer join (
+        select paper_id, arg_max(title, seq) as title, arg_max(struct_pack(v := year), seq).v as year,
+               arg_max(citation_count, seq) as citation_count
+        from (select paper_id, upper(title) as title, cast(null as int) as year, citation_count + 1 as citation_count,
+                     1 as seq from f_paper where paper_id % 3 = 0
+              union all
+              select paper_id, lower(title), cast(null as int), citation_count + 2, 2 from f_paper
+              where paper_id % 6 = 0) x
+        group by 1) u on b.paper_id = u.paper_id"""
+
+
+@register("upsert", with_views(_UPSERT_SQL, "f_paper"))
+def q_upsert(spark, d):
+    p = B.papers(spark, d).select("paper_id", "title", "year", "citation_count")
+    base = p.filter(F.col("paper_id") % 2 == 0)
+    u1 = p.filter(F.col("paper_id") % 3 == 0).select("paper_id", F.upper("title").alias("title"),
+                                                      F.lit(None).cast("int").alias("year"),
+                                                      (F.col("citation_count") + 1).alias("citation_count"),
+                                                      F.lit(1).alias("seq"))
+    u2 = p.filter(F.col("paper_id") % 6 == 0).select("paper_id", F.lower("title").alias("title"),
+                                                      F.lit(None).cast("int").alias("year"),
+                                                      (F.col("citation_count") + 2).alias("citation_count"),
+                                                      F.lit(2).alias("seq"))
+    return U.upsert(base, u1.unionByName(u2), ["paper_id"], ["title", "citation_count"], order="seq")
+
+
+@register("append_distinct", with_views("""
+    select paper_id, author_id from f_paper_author where paper_id % 2 = 0
+    union all
+    select distinct paper_id, author_id from f_authorship a
+    where not exists (select 1 from f_paper_author b
+                      where b.paper_id % 2 = 0 and b.paper_id = a.paper_id and b.author_id = a.author_id)""",
+                                        "f_paper_author", "f_authorship"))
+def q_append_distinct(spark, d):
+    base = B.paper_authors(spark, d).filter(F.col("paper_id") % 2 == 0)
+    return U.append_distinct(base, B.authorships(spark, d).select("paper_id", "author_id"), ["paper_id", "author_id"])
