@@ -106,6 +106,24 @@ def term_list(text: Column | str, stop: list[str] | None = None) -> Column:
     return F.concat(kept, bigrams)
 
 
+def with_terms(docs: DataFrame, text_col: str = "text", stop: list[str] | None = None,
+               out_col: str = "terms") -> DataFrame:
+    """T1 row part on a DataFrame: adds ``out_col`` = unigrams and bigrams
+    after stop-word removal. Stop words are removed by Spark ML's
+    ``StopWordsRemover`` (a JVM hash-set lookup per token); bigrams pair
+    neighbours of the kept tokens, as a count vectorizer does when stop words
+    are removed before n-grams are formed."""
+    from pyspark.ml.feature import StopWordsRemover
+    remover = StopWordsRemover(inputCol="_tok", outputCol="_kept", caseSensitive=True,
+                               stopWords=stop if stop is not None else stop_words())
+    kept = remover.transform(docs.withColumn("_tok", tokens(text_col)))
+    k = F.col("_kept")
+    nxt = F.slice(k, 2, F.greatest(F.size(k), F.lit(1)))
+    bigrams = F.filter(F.zip_with(k, nxt, lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b))),
+                       lambda b: b.isNotNull())
+    return kept.withColumn(out_col, F.concat(k, bigrams)).drop("_tok", "_kept")
+
+
 def topic_terms(docs: DataFrame, topic_col: str = "topic_id", text_col: str = "text",
                 stop: list[str] | None = None) -> DataFrame:
     """(topic, term, n) term counts per topic.
@@ -113,7 +131,8 @@ def topic_terms(docs: DataFrame, topic_col: str = "topic_id", text_col: str = "t
     Terms are generated row-locally and aggregated with partial (map-side)
     aggregation before the shuffle on (topic, term), so a topic that holds a
     large share of the documents only adds rows to many partial buffers."""
-    return (docs.select(topic_col, F.explode(term_list(text_col, stop)).alias("term"))
+    return (with_terms(docs.select(topic_col, text_col), text_col, stop)
+            .select(topic_col, F.explode("terms").alias("term"))
             .groupBy(topic_col, "term").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -123,7 +142,10 @@ def ctfidf(terms: DataFrame, topic_col: str = "topic_id") -> DataFrame:
     of term t over all classes (class-based TF-IDF, Grootendorst 2022).
 
     Class totals (one row per topic) and term totals are aggregates joined
-    back; A is a scalar subquery."""
+    back; A is a scalar subquery. ``terms`` is read three times, so it is
+    persisted once (the (topic, term) aggregate, far smaller than the texts;
+    lost blocks are recomputed from lineage)."""
+    terms = _persisted(terms)
     per_class = terms.groupBy(topic_col).agg(F.sum("n").alias("class_total"))
     avg = per_class.agg(F.floor(F.avg("class_total")).cast("double").alias("A")).scalar()
     per_term = terms.groupBy("term").agg(F.sum("n").alias("term_total"))
@@ -132,6 +154,11 @@ def ctfidf(terms: DataFrame, topic_col: str = "topic_id") -> DataFrame:
                     (F.col("n") / F.col("class_total") * F.log(1 + avg / F.col("term_total"))).alias("score")))
 
 
+def _persisted(df: DataFrame) -> DataFrame:
+    from pyspark import StorageLevel
+    return df if df.storageLevel.useMemory or df.storageLevel.useDisk else df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def top_terms(scores: DataFrame, group_col: str, n: int = TOP_N_WORDS, term_col: str = "term",
               score_col: str = "score", salts: int = 16) -> DataFrame:
     """The ``n`` best terms per group (score desc, term asc) as an ordered
@@ -322,13 +349,14 @@ def soft_topics(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_
     term and each term has at most one row per topic, so the fan-out of a
     document term is bounded by the topic count; the per-document window
     holds at most one row per topic."""
+    terms = _persisted(terms)
     scores = ctfidf(terms, topic_col)
     per_class = terms.groupBy(topic_col).agg(F.sum("n").alias("class_total"))
     avg = per_class.agg(F.floor(F.avg("class_total")).cast("double").alias("A")).scalar()
     idf = (terms.groupBy("term").agg(F.sum("n").alias("term_total"))
            .select("term", F.log(1 + avg / F.col("term_total")).alias("idf")))
     topics = scores.filter(F.col(topic_col) != X.OUTLIER_TOPIC_ID).select(topic_col, "term", "score")
-    dt = (docs.select(id_col, F.explode(term_list(text_col, stop)).alias("term"))
+    dt = (with_terms(docs.select(id_col, text_col), text_col, stop).select(id_col, F.explode("terms").alias("term"))
           .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("c")))
     dlen = dt.groupBy(id_col).agg(F.sum("c").alias("dl"))
     dvec = (dt.join(dlen, id_col).join(idf, "term")
