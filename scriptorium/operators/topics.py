@@ -192,7 +192,8 @@ def topic_diversity(keywords: DataFrame, n: int = TOP_N_WORDS) -> DataFrame:
     """Distinct words / total words over the first ``n`` keywords of each
     topic; 0 when there are none."""
     words = keywords.select(F.explode(F.slice("keywords", 1, n)).alias("w"))
-    return words.agg(F.coalesce(F.count_distinct("w") / F.count("w"), F.lit(0.0)).alias("diversity"))
+    return words.agg(F.coalesce(F.try_divide(F.count_distinct("w"), F.count("w")), F.lit(0.0))
+                     .cast("double").alias("diversity"))
 
 
 # ------------------------------------------------------------- distributions
