@@ -131,11 +131,21 @@ def topic_terms(docs: DataFrame, topic_col: str = "topic_id", text_col: str = "t
     Terms are generated row-locally and aggregated with partial (map-side)
     aggregation before the shuffle on (topic, term), so a topic that holds a
     large share of the documents only adds rows to many partial buffers."""
-    return (with_terms(docs.select(topic_col, text_col), text_col, stop)
-            .select(topic_col, F.explode("terms").alias("term"))
+    return (explode_terms(with_terms(docs.select(topic_col, text_col), text_col, stop), topic_col)
             .groupBy(topic_col, "term").agg(F.count(F.lit(1)).alias("n")))
 
 
+def explode_terms(df: DataFrame, *keep: str) -> DataFrame:
+    """One row per term of ``terms``.
+
+    ``explode_outer`` + a null filter instead of ``explode``: for a plain
+    explode Catalyst infers ``size(terms) > 0`` and pushes that filter into the
+    scan, which would run the whole cleaning and tokenising chain a second time
+    inside the scan tasks, below any repartition and before any join."""
+    return (df.select(*keep, F.explode_outer("terms").alias("term"))
+            .filter(F.col("term").isNotNull()))
+
+
 def ctfidf(terms: DataFrame, topic_col: str = "topic_id") -> DataFrame:
     """T2 scores: ``tf(t,c) / |c| * ln(1 + A / f(t))`` with |c| the term total
     of class c, A the integer mean of |c| over classes and f(t) the total count
@@ -357,7 +367,7 @@ def soft_topics(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_
     idf = (terms.groupBy("term").agg(F.sum("n").alias("term_total"))
            .select("term", F.log(1 + avg / F.col("term_total")).alias("idf")))
     topics = scores.filter(F.col(topic_col) != X.OUTLIER_TOPIC_ID).select(topic_col, "term", "score")
-    dt = (with_terms(docs.select(id_col, text_col), text_col, stop).select(id_col, F.explode("terms").alias("term"))
+    dt = (explode_terms(with_terms(docs.select(id_col, text_col), text_col, stop), id_col)
           .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("c")))
     dlen = dt.groupBy(id_col).agg(F.sum("c").alias("dl"))
     dvec = (dt.join(dlen, id_col).join(idf, "term")

@@ -564,17 +564,19 @@ from scriptorium.operators import topics as T  # noqa: E402
 from scriptorium.operators import upsert as U  # noqa: E402
 from scriptorium.oracle_sql import clean_text_sql, stop_words_sql  # noqa: E402
 from scriptorium.sources import ingest as I  # noqa: E402
-from scriptorium.sources.tables import read  # noqa: E402
+from scriptorium.sources.tables import read, spread  # noqa: E402
 
 
 @register("clean_text_pages", f"select page_id, {clean_text_sql('html')} as clean from pages")
 def q_clean_text_pages(spark, d):
-    return read(spark, d, "pages", "page_id", "html").select("page_id", X.clean_text("html").alias("clean"))
+    return spread(read(spark, d, "pages", "page_id", "html"), "page_id").select(
+        "page_id", X.clean_text("html").alias("clean"))
 
 
 @register("clean_text_documents", f"select doc_id, {clean_text_sql('text')} as clean from documents")
 def q_clean_text_documents(spark, d):
-    return read(spark, d, "documents", "doc_id", "text").select("doc_id", X.clean_text("text").alias("clean"))
+    return spread(read(spark, d, "documents", "doc_id", "text"), "doc_id").select(
+        "doc_id", X.clean_text("text").alias("clean"))
 
 
 @register("rebuild_abstract", f"select doc_id, {clean_text_sql('text')} as abstract from documents")
@@ -807,9 +809,10 @@ _TERMS_SQL = {
 
 
 def _topic_text_docs(spark, d):
-    docs = read(spark, d, "documents", "doc_id", "text").select("doc_id", X.clean_text("text").alias("text"))
+    # join first, then clean: only documents with a vector are cleaned
     v = B.vectors(spark, d).select(F.col("vec_id").alias("doc_id"), "topic_id")
-    return docs.join(v, "doc_id")
+    docs = spread(read(spark, d, "documents", "doc_id", "text"), "doc_id").join(v, "doc_id")
+    return docs.select("doc_id", "topic_id", X.clean_text("text").alias("text"))
 
 
 def _terms(spark, d):
@@ -917,7 +920,8 @@ _SOFT_SQL.update({
     select doc_id, topic_id, round(sim / sum(sim) over (partition by doc_id), 6) as prob from sims""",
                                     "f_vec", extra=_SOFT_SQL))
 def q_soft_topics(spark, d):
-    docs = read(spark, d, "documents", "doc_id", "text").select("doc_id", X.clean_text("text").alias("text"))
+    docs = spread(read(spark, d, "documents", "doc_id", "text"), "doc_id").select(
+        "doc_id", X.clean_text("text").alias("text"))
     return T.soft_topics(docs, _terms(spark, d))
 
 
@@ -966,7 +970,7 @@ def q_topic_docs(spark, d):
                                          and not regexp_full_match(t, '[0-9.,]+') and length(t) > 2) as tokens
     from documents""")
 def q_keep_tokens(spark, d):
-    docs = read(spark, d, "documents", "doc_id", "text")
+    docs = spread(read(spark, d, "documents", "doc_id", "text"), "doc_id")
     return docs.select("doc_id", T.keep_tokens(X.clean_text("text")).alias("tokens"))
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as X
-from scriptorium.sources.tables import read
+from scriptorium.sources.tables import read, spread
 
 # Fixed values of the bindings.
 HOME_INSTITUTION = "Home University"
@@ -141,7 +141,7 @@ def interactions(spark: SparkSession, d: str) -> DataFrame:
 def docs(spark: SparkSession, d: str) -> DataFrame:
     """Clean-zone paper records from documents: every third has no DOI, every
     fourth an empty abstract; title = first line."""
-    t = read(spark, d, "documents", "doc_id", "text", "source", "lang")
+    t = spread(read(spark, d, "documents", "doc_id", "text", "source", "lang"), "doc_id")
     k = F.col("doc_id")
     return t.select(
         k.alias("seq"),
@@ -215,7 +215,8 @@ def _doc_authors(spark: SparkSession, d: str, raw: bool) -> DataFrame:
     id, in line order. Every sixth supplier's display name carries non-ASCII
     letters, every seventh has no external id, even lines upper-case the name
     and every eleventh raw display name is empty."""
-    li = authorships(spark, d)
+    ids = read(spark, d, "documents", "doc_id").withColumnRenamed("doc_id", "paper_id")
+    li = authorships(spark, d).join(ids, "paper_id", "left_semi")
     s = read(spark, d, "supplier", "s_suppkey", "s_name")
     k = F.col("s_suppkey")
     disp = (F.when(k % 11 == 0, F.lit(""))
@@ -238,7 +239,7 @@ def inverted_index(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, abstract_inverted_index): word -> positions of the document's
     blank-separated tokens. Positions are gathered per (document, word), then
     per document; a document is one row, so a group is bounded by its text."""
-    t = read(spark, d, "documents", "doc_id", "text")
+    t = spread(read(spark, d, "documents", "doc_id", "text"), "doc_id")
     toks = t.select("doc_id", F.posexplode(F.split("text", " ")).alias("p", "w"))
     per_word = toks.groupBy("doc_id", "w").agg(F.array_sort(F.collect_list("p")).alias("ps"))
     return (per_word.groupBy("doc_id")
@@ -249,7 +250,7 @@ def raw_works(spark: SparkSession, d: str) -> DataFrame:
     """Landed work items (the works API shape) from documents: a DOI URL for
     two thirds, title = first line, authorships from line items, year, venue,
     inverted-index abstract (null for every fourth), citations."""
-    t = read(spark, d, "documents", "doc_id", "text", "source", "n_chars")
+    t = spread(read(spark, d, "documents", "doc_id", "text", "source", "n_chars"), "doc_id")
     k = F.col("doc_id")
     a = _doc_authors(spark, d, raw=True)
     idx = inverted_index(spark, d)

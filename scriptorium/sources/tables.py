@@ -19,3 +19,20 @@ def table_path(sf_dir: str, name: str) -> str:
 def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(table_path(sf_dir, name))
     return df.select(*columns) if columns else df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give CPU-heavy per-row work (regex cleaning, tokenising) enough tasks.
+
+    A scan yields at most one task per parquet row group; a table stored as
+    a few large row groups would run all its text work in a few tasks. When the
+    scan has fewer partitions than twice the task slots, hash-repartition it
+    (on ``keys`` when given, so later aggregations on those keys reuse the
+    partitioning instead of shuffling again). A cluster-sized scan already has
+    far more partitions than slots and is left untouched. Planning only: no job
+    runs here."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= 2 * slots:
+        return df
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), slots)
+    return df.repartition(n, *keys) if keys else df.repartition(n)
