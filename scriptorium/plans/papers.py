@@ -96,7 +96,8 @@ def label_topics(interaction: DataFrame, topic: DataFrame) -> DataFrame:
     X8 parses the id, unknown ids and unparsable labels are skipped.
     Returns (paper_id, topic_ids, topic_names)."""
     t = topic.select("topic_id", "name")
-    ex = (interaction.select("paper_id", F.posexplode("predicted_multi_labels").alias("i", "label"))
+    ex = (interaction.select("paper_id", F.posexplode_outer("predicted_multi_labels").alias("i", "label"))
+          .filter(F.col("i").isNotNull())
           .withColumn("topic_id", X.label_topic_id("label"))
           .filter(F.col("topic_id").isNotNull())
           .join(F.broadcast(t), "topic_id"))
@@ -152,7 +153,7 @@ def top_topics(dist_rows: DataFrame, topic: DataFrame, key: str, n: int = TOP_TO
 
 def distribution_rows(interaction: DataFrame, floor: float = DETAIL_FLOOR) -> DataFrame:
     """F9 (paper): (paper_id, topic_id = index, prob) for prob > floor."""
-    return (interaction.select("paper_id", F.posexplode("topic_distribution").alias("topic_id", "prob"))
+    return (interaction.select("paper_id", F.posexplode_outer("topic_distribution").alias("topic_id", "prob"))
             .filter(F.col("prob") > floor))
 
 

@@ -240,7 +240,10 @@ def inverted_index(spark: SparkSession, d: str) -> DataFrame:
     blank-separated tokens. Positions are gathered per (document, word), then
     per document; a document is one row, so a group is bounded by its text."""
     t = spread(read(spark, d, "documents", "doc_id", "text"), "doc_id")
-    toks = t.select("doc_id", F.posexplode(F.split("text", " ")).alias("p", "w"))
+    # outer + filter: a plain posexplode gets an inferred size() filter pushed
+    # into the scan, splitting every text twice there
+    toks = (t.select("doc_id", F.posexplode_outer(F.split("text", " ")).alias("p", "w"))
+            .filter(F.col("p").isNotNull()))
     per_word = toks.groupBy("doc_id", "w").agg(F.array_sort(F.collect_list("p")).alias("ps"))
     return (per_word.groupBy("doc_id")
             .agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("abstract_inverted_index")))

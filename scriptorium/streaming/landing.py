@@ -10,6 +10,7 @@ neither drops nor duplicates records. The checkpoint lives under the shared
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import SparkSession
@@ -20,12 +21,16 @@ from scriptorium.session import checkpoint_dir
 from scriptorium.sources.ingest import clean_papers, works_from_raw
 
 
-def clean_stream(spark: SparkSession, landing_dir: str, out_dir: str, name: str = "clean-zone",
+def clean_stream(spark: SparkSession, landing_dir: str, out_dir: str, name: str | None = None,
                  available_now: bool = True) -> StreamingQuery:
     """Start the incremental clean job: landed JSON arrays of work items ->
     clean records (parquet). ``available_now`` processes what has landed and
-    stops; otherwise the query keeps running on new files."""
-    ckpt = os.path.join(checkpoint_dir(spark), f"stream-{name}")
+    stops; otherwise the query keeps running on new files.
+
+    The checkpoint is named after the sink (or ``name``), so restarting the
+    same job resumes it and two jobs never share one."""
+    key = name or hashlib.sha1(f"{landing_dir}|{out_dir}".encode()).hexdigest()[:16]
+    ckpt = os.path.join(checkpoint_dir(spark), f"stream-clean-{key}")
     raw = spark.readStream.schema(RAW_WORK).option("multiLine", True).json(landing_dir)
     clean = clean_papers(works_from_raw(raw))
     writer = (clean.writeStream.format("parquet").option("path", out_dir)

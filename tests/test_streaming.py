@@ -23,7 +23,7 @@ def test_clean_stream_incremental(spark):
          "abstract_inverted_index": {"world": [1], "hello": [0]}, "cited_by_count": 3},
         {"doi": None, "title": "dropped"},
     ])
-    q = clean_stream(spark, landing, out, name="t1")
+    q = clean_stream(spark, landing, out)
     q.awaitTermination(120)
     rows = spark.read.parquet(out).collect()
     assert len(rows) == 1
@@ -31,7 +31,7 @@ def test_clean_stream_incremental(spark):
     assert (r["doi"], r["title"], r["abstract"], r["authors_text"], r["citation_count"]) == (
         "10.1/x", "Deep nets.", "hello world", "Jos Li", 3)
     _land(landing, "b.json", [{"doi": "10.1/y", "title": "Second", "cited_by_count": None}])
-    q = clean_stream(spark, landing, out, name="t1")
+    q = clean_stream(spark, landing, out)
     q.awaitTermination(120)
     got = sorted((r["doi"], r["citation_count"]) for r in spark.read.parquet(out).collect())
     assert got == [("10.1/x", 3), ("10.1/y", 0)]
