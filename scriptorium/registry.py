@@ -1026,3 +1026,67 @@ def q_upsert(spark, d):
 def q_append_distinct(spark, d):
     base = B.paper_authors(spark, d).filter(F.col("paper_id") % 2 == 0)
     return U.append_distinct(base, B.authorships(spark, d).select("paper_id", "author_id"), ["paper_id", "author_id"])
+
+
+# ------------------------------------------------ roster head, union, enrich
+
+@register("head_by", with_views("""
+    select seq, name, faculty from roster order by seq limit 10""", "f_author", extra={"roster": _ROSTER_SQL}))
+def q_head_by(spark, d):
+    return I.head_by(B.roster(spark, d), 10).select("seq", "name", "faculty")
+
+
+@register("union_works", """
+    select l_suppkey as author, l_orderkey * 10 + l_linenumber as work_id from lineitem""")
+def q_union_works(spark, d):
+    w = _works(spark, d).select("author", "work_id")
+    return I.union_works(w.filter(F.col("author") % 2 == 0), w.filter(F.col("author") % 2 == 1))
+
+
+def _enrich_inputs(spark, d):
+    v = B.vectors(spark, d)
+    k = v.agg((F.max("label") + 1).alias("k")).scalar()
+    absv = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.abs(x))
+    # the first k components, projected before the lambdas (no subquery may
+    # sit inside a higher-order function)
+    sliced = v.select("vec_id", "topic_id", F.slice(absv, F.lit(1), k).alias("_e"))
+    assign = sliced.select(F.col("vec_id").alias("seq"), F.col("topic_id").alias("cluster_id"),
+                           T.normalise("_e").alias("topic_distribution"))
+    kw = _keywords(spark, d)
+    names = (kw.filter(F.col("topic_id") % 2 == 0)
+             .select("topic_id", F.concat(F.lit("Named topic "), F.col("topic_id").cast("string")).alias("name")))
+    return assign, T.topic_labels(kw, names)
+
+
+@register("enrich", with_views("""
+    select p.seq, a.cluster_id,
+           case when a.cluster_id = -1 then 'Outlier / Noise' else 'Topic ' || a.cluster_id || ': ' || nm.m[a.cluster_id] end
+               as cluster_label,
+           case when a.cluster_id = -1 then ['Outlier / Noise']
+                else list_concat(['Topic ' || a.cluster_id || ': ' || nm.m[a.cluster_id]],
+                     list_transform(
+                        list_filter(list_transform(a.dist, lambda p, i: struct_pack(i := i - 1, p := p)),
+                                    lambda x: x.i <> a.cluster_id and x.p > 0.05 and x.p >= list_max(a.dist) * 0.3),
+                        lambda x: 'Topic ' || x.i || ': ' || nm.m[cast(x.i as int)])) end as predicted_multi_labels,
+           case when a.cluster_id = -1 then cast([] as varchar[]) else coalesce(list_slice(l.keywords, 1, 15), cast([] as varchar[])) end
+               as topic_keywords,
+           list_transform(a.dist, lambda x: round(x, 6)) as topic_distribution
+    from f_doc p
+    join (select vec_id as seq, topic_id as cluster_id,
+                 list_transform(e, lambda x: x / case when s = 0 then 1 else s end) as dist
+          from (select vec_id, topic_id, e, list_sum(e) as s
+                from (select vec_id, topic_id,
+                             list_slice(list_transform(cast(embedding as double[]), lambda x: abs(x)), 1,
+                                        (select max(label) + 1 from f_vec)) as e from f_vec) y) x) a using (seq)
+    left join lab l on l.topic_id = a.cluster_id,
+    (select map_from_entries(list(struct_pack(k := topic_id, v := name))) as m from lab) nm""",
+                               "f_vec", "f_doc", extra=dict(_TERMS_SQL, lab="""
+    select topic_id, coalesce(case when topic_id % 2 = 0 then 'Named topic ' || topic_id end,
+                              array_to_string(list_slice(keywords, 1, 5), ', ')) as name, keywords
+    from kw""")))
+def q_enrich(spark, d):
+    assign, labels = _enrich_inputs(spark, d)
+    papers = B.docs(spark, d).select("seq")
+    out = T.enrich(papers, assign, labels)
+    return out.select("seq", "cluster_id", "cluster_label", "predicted_multi_labels", "topic_keywords",
+                      F.transform("topic_distribution", lambda x: F.round(x, 6)).alias("topic_distribution"))
