@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as X
+from scriptorium.session import cut_lineage
 
 EXTERNAL_GROUP = "External Partner"
 EXTERNAL = "External"
@@ -100,8 +101,12 @@ def author_network(papers: DataFrame, bridge: DataFrame, authors: DataFrame, hom
     if topic_names:
         papers = scope_by_topics(papers, interaction, topic, topic_names)
     scope = newest(papers.select("paper_id", "year"), limit).select("paper_id")
-    sb = bridge.select("paper_id", "author_id").distinct().join(scope, "paper_id", "left_semi")
-    involved = authors_in(scope, sb, authors)
+    # The scoped bridge and its authors are bounded by ``limit`` and are used
+    # by every later step: materialise each once in the shared checkpoint
+    # folder (reliable, survives executor loss), so the large bridge and
+    # author tables are scanned once, not once per reference.
+    sb = cut_lineage(bridge.select("paper_id", "author_id").distinct().join(scope, "paper_id", "left_semi"))
+    involved = cut_lineage(authors_in(scope, sb, authors))
     is_home = involved.select("author_id", F.col("institution").eqNullSafe(home).alias("home"))
     pairs = author_pairs(sb)
     links_all = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))

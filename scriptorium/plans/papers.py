@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import text as X
 from scriptorium.operators.network import scope_by_topics
+from scriptorium.session import cut_lineage
 
 DETAIL_FLOOR = 0.01   # paper chart: keep probabilities above this
 CHART_FLOOR = 0.02    # dashboard chart: keep probabilities above this
@@ -132,6 +133,9 @@ def paper_cards(papers: DataFrame, bridge: DataFrame, authors: DataFrame, intera
     if text:
         p = search_papers(p, bridge, authors, text)
     cut, info = page(p, number, size)
+    # at most ``size`` rows, joined twice below: materialise once (checkpoint
+    # in the shared folder) instead of re-running the filters and top-k
+    cut = cut_lineage(cut)
     detailed = with_authors(cut, bridge, authors)
     topics = label_topics(interaction.join(cut.select("paper_id"), "paper_id", "left_semi"), topic)
     out = (detailed.join(topics, "paper_id", "left")
