@@ -86,3 +86,18 @@ def test_entry_runs(spark):
     import __spark_entry__ as E
     df = E.entry(spark)
     assert df.count() >= 0 and "id" in df.columns
+
+
+@pytest.mark.parametrize("name", ["dedupe_papers", "network_links", "topic_keywords", "author_profile"])
+def test_same_result_at_1_and_64_shuffle_partitions(spark, name):
+    import __spark_entry__ as E
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    out = []
+    try:
+        for n in ("1", "64"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            df = E.queries()[name](spark, SF)
+            out.append(sorted(repr(tuple(r)) for r in df.collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert out[0] == out[1]
