@@ -120,13 +120,16 @@ def faculty_topic_stat(results: DataFrame, authors: DataFrame) -> DataFrame:
     """M4: per (faculty, topic): papers and citations. A record counts once per
     distinct faculty among its authors; the outlier topic is included; a null
     citation count counts as 0. ``authors`` is M3's output."""
-    r = _defaults(results).filter(F.col("doi").isNotNull())
+    r = (_defaults(results).filter(F.col("doi").isNotNull())
+         .select("seq", "authors_struct", F.col("cluster_id").alias("topic_id"),
+                 F.coalesce("citation_count", F.lit(0)).alias("citations")))
     fac = authors.filter(F.coalesce(F.col("faculty"), F.lit("")) != "").select("author_key", "faculty")
-    per_record = (_authorships(r).join(fac, "author_key").select("seq", "faculty").distinct())
-    rec = r.select("seq", F.col("cluster_id").alias("topic_id"),
-                   F.coalesce("citation_count", F.lit(0)).alias("citations"))
-    return (per_record.join(rec, "seq")
-            .groupBy("faculty", "topic_id")
+    # each author row carries its record's topic and citations, so the records
+    # are read once (no join back to them)
+    listed = (r.select("seq", "topic_id", "citations", F.explode("authors_struct").alias("a"))
+              .select("seq", "topic_id", "citations", X.author_key("a.openalex_id", "a.name").alias("author_key")))
+    per_record = listed.join(fac, "author_key").select("seq", "topic_id", "citations", "faculty").distinct()
+    return (per_record.groupBy("faculty", "topic_id")
             .agg(F.count(F.lit(1)).alias("total_papers"), F.sum("citations").alias("total_citations")))
 
 
