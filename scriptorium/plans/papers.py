@@ -176,13 +176,31 @@ def chart_profile(chart: DataFrame, key: str, floor: float = CHART_FLOOR, n: int
             .withColumn("percent", F.round(F.col("probability") * 100).cast("int")))
 
 
-def home_first(paper_authors_rows: DataFrame, home: str) -> DataFrame:
+def home_first(paper_authors_rows: DataFrame, home: str, bucket: int = 1024) -> DataFrame:
     """Author list with home authors first, order kept inside each part.
     Input (paper_id, pos, author_id, name, institution); adds ``display_pos``
-    (ties of position broken by author id)."""
-    w = Window.partitionBy("paper_id").orderBy(F.col("institution").eqNullSafe(home).desc(), F.asc("pos"),
-                                               F.asc("author_id"))
-    return paper_authors_rows.withColumn("display_pos", F.row_number().over(w) - 1)
+    (ties of position broken by author id).
+
+    Skew-safe rank: rows are ranked inside (paper, part, pos // bucket) -- a
+    window bounded by the bucket -- and offset by the counts of the earlier
+    buckets of the same part (a prefix sum over one row per bucket) and, for
+    the external part, by the paper's number of home authors. A paper with a
+    huge author list is thus spread over many tasks."""
+    r = (paper_authors_rows
+         .withColumn("_ext", (~F.col("institution").eqNullSafe(home)).cast("int"))
+         .withColumn("_b", F.floor(F.col("pos") / bucket)))
+    in_bucket = Window.partitionBy("paper_id", "_ext", "_b").orderBy(F.asc("pos"), F.asc("author_id"))
+    counts = r.groupBy("paper_id", "_ext", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("paper_id", "_ext").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    homes = counts.filter(F.col("_ext") == 0).groupBy("paper_id").agg(F.sum("_n").alias("_homes"))
+    ranked = r.withColumn("_r", F.row_number().over(in_bucket) - 1)
+    return (ranked.join(offsets.select("paper_id", "_ext", "_b", "_off"), ["paper_id", "_ext", "_b"])
+            .join(homes, "paper_id", "left")
+            .withColumn("display_pos", (F.col("_r") + F.col("_off")
+                                        + F.when(F.col("_ext") == 1, F.coalesce("_homes", F.lit(0)))
+                                        .otherwise(F.lit(0))).cast("int"))
+            .drop("_ext", "_b", "_r", "_off", "_homes"))
 
 
 def paper_detail(papers: DataFrame, bridge: DataFrame, authors: DataFrame, interaction: DataFrame,

@@ -101,3 +101,20 @@ def test_same_result_at_1_and_64_shuffle_partitions(spark, name):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert out[0] == out[1]
+
+
+def test_home_first_buckets_match_plain_ranking(spark):
+    import random
+    rng = random.Random(3)
+    rows = []
+    for paper in range(5):
+        for i in range(rng.randint(1, 15)):
+            rows.append((paper, rng.randint(0, 9), 100 + i, f"n{i}", rng.choice(["Home", "External", None])))
+    df = spark.createDataFrame(rows, "paper_id long, pos int, author_id long, name string, institution string")
+    got = {(r["paper_id"], r["author_id"]): r["display_pos"] for r in P.home_first(df, "Home", bucket=2).collect()}
+    want = {}
+    for paper in range(5):
+        mine = sorted((r for r in rows if r[0] == paper), key=lambda r: (r[4] != "Home", r[1], r[2]))
+        for i, r in enumerate(mine):
+            want[(paper, r[2])] = i
+    assert got == want
