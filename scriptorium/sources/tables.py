@@ -31,8 +31,12 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     partitioning instead of shuffling again). A cluster-sized scan already has
     far more partitions than slots and is left untouched. Planning only: no job
     runs here."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= 2 * slots:
+    try:
+        slots = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 -- no RDD view (e.g. Spark Connect): leave as is
+        return df
+    if parts >= 2 * slots:
         return df
     n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), slots)
     return df.repartition(n, *keys) if keys else df.repartition(n)
