@@ -30,7 +30,9 @@ def read_papers(spark: SparkSession, path: str, schema: StructType) -> DataFrame
     files = raw.select("_file").distinct().withColumn(
         "_f", F.row_number().over(Window.orderBy("_file")).cast("long") - 1)
     recs = raw.select("_file", F.posexplode(F.from_json("value", ArrayType(schema))).alias("pos", "r"))
-    return (recs.join(F.broadcast(files), "_file")
+    # one row per file: small, but the file count has no fixed bound, so AQE
+    # (not a hint) decides whether to broadcast it
+    return (recs.join(files, "_file")
             .select((F.col("_f") * F.lit(1 << 32) + F.col("pos")).alias("seq"), "r.*"))
 
 
