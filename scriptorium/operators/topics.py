@@ -367,8 +367,11 @@ def soft_topics(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_
     idf = (terms.groupBy("term").agg(F.sum("n").alias("term_total"))
            .select("term", F.log(1 + avg / F.col("term_total")).alias("idf")))
     topics = scores.filter(F.col(topic_col) != X.OUTLIER_TOPIC_ID).select(topic_col, "term", "score")
-    dt = (explode_terms(with_terms(docs.select(id_col, text_col), text_col, stop), id_col)
-          .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("c")))
+    # read four times (length, weights, norms, dots); no exchange follows the
+    # text chain, so without persisting it the cleaning and tokenising of every
+    # document would re-run per reference
+    dt = _persisted(explode_terms(with_terms(docs.select(id_col, text_col), text_col, stop), id_col)
+                    .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("c")))
     dlen = dt.groupBy(id_col).agg(F.sum("c").alias("dl"))
     dvec = (dt.join(dlen, id_col).join(idf, "term")
             .select(id_col, "term", (F.col("c") / F.col("dl") * F.col("idf")).alias("w")))
