@@ -13,15 +13,11 @@ a cross join nor a shuffle of the large side.
 
 from __future__ import annotations
 
-import glob
-import os
-import zipfile
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as X
+from scriptorium.functions.stopwords import ENGLISH_STOP_WORDS
 
 # The academic stop words added to the English list, in the
 # order the original lists them (duplicates included there; a set here).
@@ -50,23 +46,9 @@ SOFT_MIN_SIMILARITY = 0.01
 TOKEN_PATTERN = r"\b\w\w+\b"
 
 
-@lru_cache(maxsize=1)
-def english_stop_words() -> tuple[str, ...]:
-    """Spark ML's English stop-word list, read from the mllib jar (the list
-    ``StopWordsRemover.loadDefaultStopWords('english')`` returns)."""
-    import pyspark
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    for jar in jars:
-        with zipfile.ZipFile(jar) as z:
-            data = z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8")
-            return tuple(w.strip() for w in data.splitlines() if w.strip())
-    from pyspark.ml.feature import StopWordsRemover
-    return tuple(StopWordsRemover.loadDefaultStopWords("english"))
-
-
 def stop_words() -> list[str]:
     """English stop words union the academic list, sorted, distinct."""
-    return sorted(set(english_stop_words()) | set(ACADEMIC_STOP_WORDS))
+    return sorted(set(ENGLISH_STOP_WORDS) | set(ACADEMIC_STOP_WORDS))
 
 
 # ---------------------------------------------------------------- documents

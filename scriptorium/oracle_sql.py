@@ -8,7 +8,8 @@ with their dependencies by ``with_views``.
 
 from __future__ import annotations
 
-from scriptorium.operators.topics import ACADEMIC_STOP_WORDS, english_stop_words
+from scriptorium.functions.stopwords import ENGLISH_STOP_WORDS
+from scriptorium.operators.topics import ACADEMIC_STOP_WORDS
 
 HOME = "Home University"
 
@@ -107,5 +108,5 @@ def clean_text_sql(c: str) -> str:
 
 
 def stop_words_sql() -> str:
-    words = sorted(set(english_stop_words()) | set(ACADEMIC_STOP_WORDS))
+    words = sorted(set(ENGLISH_STOP_WORDS) | set(ACADEMIC_STOP_WORDS))
     return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"

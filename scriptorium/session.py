@@ -8,8 +8,8 @@ shuffle sizing always win.
 from __future__ import annotations
 
 import os
-import tempfile
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings applied only where the session leaves them unset.
@@ -20,51 +20,53 @@ _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "scriptorium") -> SparkSession:
-    """Return the active session, or build a local one for tests and benches."""
+    """Return the active session, or build one. Settings that the launcher
+    (spark-submit, spark-defaults) already made are left as they are."""
     active = SparkSession.getActiveSession()
     if active is not None:
         return active
-    builder = SparkSession.builder.appName(app_name)
-    if master:
-        builder = builder.master(master)
-    for key, value in _DEFAULTS.items():
-        builder = builder.config(key, value)
+    wanted = dict(_DEFAULTS)
     if shuffle_partitions:
-        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    builder = builder.config("spark.driver.memory", os.environ.get("SCRIPTORIUM_DRIVER_MEMORY", "16g"))
+        wanted["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if master:
+        wanted["spark.master"] = master
+    SparkContext._ensure_initialized()  # the JVM knows --conf and spark-defaults
+    launched = SparkConf(loadDefaults=True)
+    builder = SparkSession.builder.appName(app_name)
+    for key, value in wanted.items():
+        if not launched.contains(key):
+            builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster.
-
-    Reads ``spark.checkpoint.dir`` from the session. Only when it is unset
-    (local tests) is a scratch folder created and registered.
-    """
+    """The shared checkpoint folder named by ``spark.checkpoint.dir`` (or set
+    on the context). A folder every executor can reach cannot be guessed, so
+    an unset one is an error; tests set their own in ``conftest.py``."""
+    current = spark.sparkContext.getCheckpointDir()
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        if spark.sparkContext.getCheckpointDir() is None:
+        if current is None:
             spark.sparkContext.setCheckpointDir(configured)
         return configured
-    current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    local = tempfile.mkdtemp(prefix="scriptorium-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder (reliable, survives
-    executor loss) and return a DataFrame reading from it."""
+    executor loss) and return a DataFrame reading from it. Set
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` to have Spark remove
+    the files when the DataFrame goes out of scope."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
