@@ -118,10 +118,10 @@ def shingle_set(data: bytes, k: int) -> np.ndarray:
     if len(w) == 0:
         return w
     if len(w) < k:
-        whole = np.uint64(len(w))
-        for x in w:
-            whole = mix64(np.array([whole * _ODD + x], np.uint64))[0]
-        return np.array([whole], np.uint64)
+        whole = np.full(1, np.uint64(len(w)))
+        for j in range(len(w)):
+            whole = mix64(whole * _ODD + w[j:j + 1])
+        return whole
     h = np.full(len(w) - k + 1, np.uint64(k))
     for j in range(k):
         h = mix64(h * _ODD + w[j:len(w) - k + 1 + j])

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from scriptorium.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from scriptorium.llm.minhash import OP9_SQL, op9_minhash
 
 QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_minhash": op9_minhash,
 }
 
 ORACLE_SQL = {
     "op6_exact_dedup": OP6_SQL,
+    "op9_minhash": OP9_SQL,
 }
