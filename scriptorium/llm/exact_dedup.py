@@ -16,13 +16,14 @@ an empty table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import lower_ascii, mix64, table
+from scriptorium.llm.common import mix64, table
 from scriptorium.session import cut_lineage
 
 SHARD_KEYS = 1 << 16      # digests a filter shard holds, about
@@ -96,18 +97,30 @@ def fuse_contains(keys: np.ndarray, seed: int, length: int, segments: int, cells
 
 # ----------------------------------------------------------- Spark operators
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (SHA-256 of the folded text, 32 bytes), key (its first 64 bits)."""
-    text = lower_ascii(F.coalesce(F.col("text"), F.lit("")))
-    digest = F.sha2(text.cast("binary"), 256)
-    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(digest).alias("digest"))
-            .withColumn("key", F.xxhash64("digest")))
+def _digest(with_body: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            bodies = [t.encode().lower() if isinstance(t, str) else b"" for t in pdf["text"]]  # bytes.lower: A-Z only
+            digests = [sha256(b).digest() for b in bodies]
+            out = pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "digest": digests,
+                                "key": np.array([int.from_bytes(d[:8], "little", signed=True) for d in digests], np.int64)})
+            if with_body:
+                out["body"] = bodies
+            yield out
+    return run
 
 
-def buckets(rows: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame, with_body: bool = False) -> DataFrame:
+    """doc_id, digest (SHA-256 of the folded text, 32 bytes), key (its first 64
+    bits) and, if asked, body (the folded text's bytes)."""
+    schema = "doc_id long, digest binary, key long" + ", body binary" * with_body
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_digest(with_body), schema)
+
+
+def buckets(rows: DataFrame, *by: str) -> DataFrame:
     """Exact buckets: digest, key, keep_id (largest id), n rows. Partial
     aggregation makes a hot digest one row a task before the shuffle."""
-    return rows.groupBy("digest", "key").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("digest", "key", *by).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
 
 
 def filters(snapshot: DataFrame, shards: int) -> DataFrame:
@@ -152,45 +165,39 @@ def merge_batch(snapshot: DataFrame, incoming: DataFrame) -> DataFrame:
     return old.unionByName(incoming.select("digest", "keep_id", "n").join(known, "digest", "left_anti"))
 
 
-def unequal_rows(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Byte check: the rows of groups of two or more whose folded text is not that
-    of the row that stays (a digest collision). Texts travel only for such
-    groups, and a large group is compared in pieces of ``SALT_ROWS`` rows, each
-    with its own copy of the text that stays."""
+def unequal_texts(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Byte check: the digests of groups of two or more in which some folded text
+    is not that of the row that stays (a digest collision). A large group is
+    compared in pieces of ``SALT_ROWS`` rows, each with its own copy of the text
+    that stays."""
     many = groups.filter("n > 1").withColumn("pieces", F.ceil(F.col("n") / SALT_ROWS).cast("int"))
-    text = lower_ascii(F.coalesce(F.col("text"), F.lit(""))).cast("binary")
-    rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("body"))
-            .withColumn("digest", F.unhex(F.sha2("body", 256))))
-    members = cut_lineage(rows.join(many, "digest").withColumn(
-        "piece", F.pmod(F.xxhash64("doc_id"), F.col("pieces"))))
-    kept = (members.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).dropDuplicates(["digest"])
-            .select("digest", F.col("body").alias("stays"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece")))
-    return (members.join(kept, ["digest", "piece"]).filter(F.col("body") != F.col("stays"))
-            .select("doc_id", "digest", "body"))
+    members = (keyed(docs, with_body=True).join(many.select("digest", "keep_id", "pieces"), "digest")
+               .withColumn("piece", F.pmod(F.xxhash64("doc_id"), F.col("pieces"))))
+    kept = (members.filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+            .groupBy("digest", "pieces").agg(F.min("body").alias("stays"))
+            .withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces"))
+    return members.join(kept, ["digest", "piece"]).filter("body <> stays").select("digest").distinct()
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     The lower half of the id range is the immutable snapshot, the upper half the
-    incoming batch."""
-    rows = cut_lineage(keyed(docs))
-    span = rows.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
+    incoming batch; each is grouped on its own."""
+    rows = keyed(docs)
+    span = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
     middle = ((span["lo"] or 0) + (span["hi"] or 0)) // 2
-    old = F.coalesce(F.col("doc_id") <= middle, F.lit(True))
-    snapshot, incoming = cut_lineage(buckets(rows.filter(old))), cut_lineage(buckets(rows.filter(~old)))
-    groups = cut_lineage(merge_batch(snapshot, incoming))
-    out = rows.join(groups, "digest").select("doc_id", "digest", "keep_id", F.col("n").alias("group_size"),
-                                             F.lit(None).cast("binary").alias("body"))
-    odd = cut_lineage(unequal_rows(docs, groups))
-    if odd.take(1):  # texts that share a SHA-256: regroup all rows of such digests by their bytes
-        text = lower_ascii(F.coalesce(F.col("text"), F.lit(""))).cast("binary")
-        clash = odd.select("digest").distinct()
-        apart = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("body"))
-                 .withColumn("digest", F.unhex(F.sha2("body", 256))).join(clash, "digest", "left_semi"))
+    arrived = rows.withColumn("incoming", F.coalesce(F.col("doc_id") > middle, F.lit(False)))
+    both = cut_lineage(buckets(arrived, "incoming"))
+    groups = cut_lineage(merge_batch(both.filter("not incoming").drop("incoming"),
+                                     both.filter("incoming").drop("incoming")))
+    out = rows.join(groups, "digest").select("doc_id", "digest", "keep_id", F.col("n").alias("group_size"))
+    clash = cut_lineage(unequal_texts(docs, groups))
+    if clash.take(1):  # texts that share a SHA-256: regroup all rows of such digests by their bytes
+        apart = keyed(docs, with_body=True).join(clash, "digest", "left_semi")
         own = apart.groupBy("digest", "body").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         out = out.join(clash, "digest", "left_anti").unionByName(
-            apart.join(own, ["digest", "body"]).select("doc_id", "digest", "keep_id", "group_size", "body"))
+            apart.join(own, ["digest", "body"]).select("doc_id", "digest", "keep_id", "group_size"))
     return out.select("doc_id", "keep_id", "group_size",
                       F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"),
                       F.lower(F.hex("digest")).alias("text_sha256"))
