@@ -5,10 +5,12 @@ from __future__ import annotations
 from scriptorium.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from scriptorium.llm.langid import op5_language_id
 from scriptorium.llm.minhash import OP9_SQL, op9_minhash
+from scriptorium.llm.pieces import op7_pieces
 
 QUERIES = {
     "op5_language_id": op5_language_id,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_pieces": op7_pieces,
     "op9_minhash": op9_minhash,
 }
 
