@@ -5,9 +5,11 @@ from __future__ import annotations
 from scriptorium.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from scriptorium.llm.langid import op5_language_id
 from scriptorium.llm.minhash import OP9_SQL, op9_minhash
+from scriptorium.llm.mixing import OP1_SQL, op1_mixing
 from scriptorium.llm.pieces import op7_pieces
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op5_language_id": op5_language_id,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_pieces": op7_pieces,
@@ -15,6 +17,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_mixing": OP1_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op9_minhash": OP9_SQL,
 }
