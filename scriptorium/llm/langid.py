@@ -20,6 +20,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,7 @@ DOC_WINDOWS = 4
 WINDOW = 256
 DIM, FILTERS, WIDTHS = 8, 16, (3, 4, 5)
 EPOCHS, BATCH, RATE = 6, 64, 3e-3
+GATHER = 4096             # windows of several texts gathered for one pass
 CHUNK = 64                # windows pushed through the network at once
 UNKNOWN = "und"
 MIN_SCORE = 0.4           # the pipeline stage rejects texts below it
@@ -163,36 +166,41 @@ def fit(docs: DataFrame) -> ByteCNN | None:
     return train(x, picked["lang"].map({v: i for i, v in enumerate(languages)}).to_numpy(), languages)
 
 
+def shares(net: ByteCNN, texts: list[str | None], letters: list[bool]) -> np.ndarray:
+    """(len(texts), languages): length-weighted mean of the windows' softmax; zeros
+    for texts without letters."""
+    total = np.zeros((len(texts), len(net.languages)))
+    held, owner, weight, load = [], [], [], 0
+
+    def flush():
+        if held:
+            p = net.probabilities(np.concatenate(held)) * np.concatenate(weight)[:, None]
+            np.add.at(total, np.concatenate(owner), p)
+            held.clear(), owner.clear(), weight.clear()
+
+    for i, (text, ok) in enumerate(zip(texts, letters, strict=True)):
+        if not ok:
+            continue
+        w = windows(text.encode())
+        for at in range(0, len(w), GATHER):  # a very long text goes in pieces
+            part = w[at:at + GATHER]
+            held.append(part)
+            owner.append(np.full(len(part), i))
+            weight.append((part < 256).sum(axis=1))
+            load += len(part)
+            if load >= GATHER:
+                flush()
+                load = 0
+    flush()
+    return total / np.maximum(total.sum(axis=1, keepdims=True), 1e-12)
+
+
 def _predict(net: ByteCNN):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            texts, letters = pdf["text"].tolist(), pdf["letters"].tolist()
-            total = np.zeros((len(texts), len(net.languages)))
-            held, owner, weight, load = [], [], [], 0
-
-            def flush():
-                if held:
-                    p = net.probabilities(np.concatenate(held)) * np.concatenate(weight)[:, None]
-                    np.add.at(total, np.concatenate(owner), p)
-                    held.clear(), owner.clear(), weight.clear()
-
-            for i, (text, ok) in enumerate(zip(texts, letters, strict=True)):
-                if not ok:
-                    continue
-                w = windows(text.encode())
-                for at in range(0, len(w), 4096):  # a very long text goes in pieces
-                    part = w[at:at + 4096]
-                    held.append(part)
-                    owner.append(np.full(len(part), i))
-                    weight.append((part < 256).sum(axis=1))
-                    load += len(part)
-                    if load >= 4096:
-                        flush()
-                        load = 0
-            flush()
-            share = total / np.maximum(total.sum(axis=1, keepdims=True), 1e-12)
+            ok = pdf["letters"].to_numpy(bool)
+            share = shares(net, pdf["text"].tolist(), ok.tolist())
             best = share.argmax(axis=1)
-            ok = np.array(letters, bool)
             out = pdf[["doc_id"]].copy()
             out["lang_pred"] = np.where(ok, np.array(net.languages, object)[best], UNKNOWN)
             out["score"] = np.where(ok, share[np.arange(len(best)), best], 0.0)
@@ -200,6 +208,26 @@ def _predict(net: ByteCNN):
     return run
 
 
+def _keep(net: ByteCNN, min_score: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letter = regex.compile(r"\p{L}")
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            ok = [bool(t and letter.search(t)) for t in texts]
+            yield batch.filter(pa.array(shares(net, texts, ok).max(axis=1, initial=0) >= min_score))
+    return run
+
+
+def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows whose language is clear: a letter at all and a score of at least
+    ``min_score``. All columns pass through as they are. Without any labelled row
+    nothing can be judged, so only texts without letters go."""
+    net = fit(docs)
+    if net is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    return docs.mapInArrow(_keep(net, min_score), docs.schema)
+
+
 def identify(docs: DataFrame, net: ByteCNN | None, *keep: str) -> DataFrame:
     """The columns ``keep`` with lang_pred and score, for every row."""
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))

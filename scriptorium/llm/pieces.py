@@ -26,7 +26,9 @@ import re
 from collections.abc import Iterator
 from hashlib import sha256
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +36,7 @@ from scriptorium.llm.common import table
 
 SPACE = "▁"
 REMEMBERED = 300_000      # units a worker remembers
+ROWS = 1000               # rows of a result batch
 PAIRS = 1_000_000         # compatibility verdicts a worker remembers
 
 
@@ -229,51 +232,76 @@ def _utf8(data: bytes) -> str:
 _CODERS: dict[str, PieceCoder] = {}
 
 
-def _code(model_file: str, with_ids: bool):
+def _coder(model_file: str) -> PieceCoder:
+    if model_file not in _CODERS:  # one a worker process, not one a task
+        _CODERS[model_file] = PieceCoder(model_file)
+    return _CODERS[model_file]
+
+
+def _encode(model_file: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, ids_of, text_of = _coder(model_file), {}, {}
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                values, ends, decoded = [np.empty(0, np.int32)], [0], []
+                for text in batch.column("_body").to_pylist():
+                    units = coder.units(text or "")
+                    for u in set(units).difference(ids_of):
+                        ids = coder.encode_unit(u)
+                        ids_of[u], text_of[u] = np.array(ids, np.int32), coder.decode_inner(ids)
+                    found = [ids_of[u] for u in units]
+                    values += found
+                    ends.append(ends[-1] + sum(map(len, found)))
+                    back = "".join(map(text_of.__getitem__, units))
+                    decoded.append(back[1:] if coder.prefix and back else back)
+                    if len(ids_of) > REMEMBERED:
+                        ids_of.clear()
+                        text_of.clear()
+                kept = [batch.column(c) for c in batch.schema.names if c != "_body"]
+                names = [c for c in batch.schema.names if c != "_body"]
+                ends_ = np.array(ends, np.int32)
+                ids = pa.ListArray.from_arrays(ends_, pa.array(np.concatenate(values)))
+                yield pa.RecordBatch.from_arrays(
+                    [*kept, pa.array(np.diff(ends_).astype(np.int64)), ids, pa.array(decoded, pa.string())],
+                    names=[*names, "n_tokens", "ids", "decoded"])
+    return run
+
+
+def encode_texts(docs: DataFrame, model_file: str, *keep: str) -> DataFrame:
+    """The columns ``keep`` with n_tokens, ids (array<int>) and decoded."""
+    kinds = dict(docs.dtypes)
+    schema = "".join(f"`{c}` {kinds[c]}, " for c in keep) + "n_tokens long, ids array<int>, decoded string"
+    return docs.select(*keep, F.col("text").alias("_body")).mapInArrow(_encode(model_file), schema)
+
+
+def _digests(model_file: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = _CODERS.get(model_file)  # one a worker process, not one a task
-        if coder is None:
-            coder = _CODERS[model_file] = PieceCoder(model_file)
-            coder.ids_of, coder.text_of = {}, {}
-        ids_of, text_of = coder.ids_of, coder.text_of
+        coder, ids_of, text_of = _coder(model_file), {}, {}
         for pdf in batches:
-            n_tokens, joined, decoded = [], [], []
-            for text in pdf["_body"].tolist():
+            rows = []
+            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 units = coder.units(text) if isinstance(text, str) else []
                 for u in set(units).difference(ids_of):
                     ids = coder.encode_unit(u)
                     ids_of[u], text_of[u] = ",".join(map(str, ids)), coder.decode_inner(ids)
                 ids = ",".join(map(ids_of.__getitem__, units))
                 back = "".join(map(text_of.__getitem__, units))
-                n_tokens.append(ids.count(",") + 1 if ids else 0)
-                joined.append(ids)
-                decoded.append(back[1:] if coder.prefix and back else back)
+                rows.append((doc_id, ids.count(",") + 1 if ids else 0, sha256(ids.encode()).hexdigest(),
+                             sha256((back[1:] if coder.prefix and back else back).encode()).hexdigest()))
                 if len(ids_of) > REMEMBERED:
                     ids_of.clear()
                     text_of.clear()
-            out = pdf.drop(columns="_body")
-            out["n_tokens"] = n_tokens
-            if with_ids:
-                out["ids"] = [[int(i) for i in x.split(",")] if x else [] for x in joined]
-                out["decoded"] = decoded
-            else:
-                out["ids_sha256"] = [sha256(x.encode()).hexdigest() for x in joined]
-                out["decoded_sha256"] = [sha256(x.encode()).hexdigest() for x in decoded]
+            out = pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            out["doc_id"] = pdf["doc_id"].astype("Int64").array
             yield out
     return run
 
 
-def encode_texts(docs: DataFrame, model_file: str, *keep: str) -> DataFrame:
-    """The columns ``keep`` with n_tokens, ids (array<int>) and decoded."""
-    kinds = dict(docs.dtypes)
-    schema = "".join(f"`{c}` {kinds[c]}, " for c in keep) + "n_tokens long, ids array<int>, decoded string"
-    return docs.select(*keep, F.col("text").alias("_body")).mapInPandas(_code(model_file, True), schema)
-
-
 def digest_texts(docs: DataFrame, model_file: str) -> DataFrame:
     """doc_id, n_tokens and the SHA-256 of the ids and of the decoded text."""
-    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_body"))
-            .mapInPandas(_code(model_file, False),
+    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+            .mapInPandas(_digests(model_file),
                          "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"))
 
 

@@ -7,6 +7,7 @@ from scriptorium.llm.langid import op5_language_id
 from scriptorium.llm.minhash import OP9_SQL, op9_minhash
 from scriptorium.llm.mixing import OP1_SQL, op1_mixing
 from scriptorium.llm.pieces import op7_pieces
+from scriptorium.llm.quality import op10_quality
 
 QUERIES = {
     "op1_mixing": op1_mixing,
@@ -14,6 +15,7 @@ QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_pieces": op7_pieces,
     "op9_minhash": op9_minhash,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL = {
