@@ -8,9 +8,11 @@ from scriptorium.llm.minhash import OP9_SQL, op9_minhash
 from scriptorium.llm.mixing import OP1_SQL, op1_mixing
 from scriptorium.llm.pieces import op7_pieces
 from scriptorium.llm.quality import op10_quality
+from scriptorium.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op4_toxicity": op4_toxicity,
     "op5_language_id": op5_language_id,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_pieces": op7_pieces,
