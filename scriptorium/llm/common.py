@@ -24,6 +24,22 @@ def slots(df_or_spark) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Rows of a narrow id table up to which it is broadcast: about 16 MB sent, 64 MB as a hash table.
+BROADCAST_IDS = 1_000_000
+
+
+def small_side(ids: DataFrame) -> DataFrame:
+    """A materialised table of ids: broadcast when its counted size allows, else
+    joined as Spark chooses. Keeps texts from being shuffled to find a few rows."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not in the materialised ``ids``."""
+    gone = small_side(ids.select(F.col("doc_id").alias("_gone")))
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
 def lower_ascii(c: Column | str) -> Column:
     """Lower-case A-Z only."""
     return F.translate(F.col(c) if isinstance(c, str) else c, UPPER, LOWER)

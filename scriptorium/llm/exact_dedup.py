@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import mix64, table
+from scriptorium.llm.common import drop_ids, lower_ascii, mix64, small_side, table
 from scriptorium.session import cut_lineage
 
 SHARD_KEYS = 1 << 16      # digests a filter shard holds, about
@@ -170,8 +170,8 @@ def unequal_texts(docs: DataFrame, groups: DataFrame) -> DataFrame:
     is not that of the row that stays (a digest collision). A large group is
     compared in pieces of ``SALT_ROWS`` rows, each with its own copy of the text
     that stays."""
-    many = groups.filter("n > 1").withColumn("pieces", F.ceil(F.col("n") / SALT_ROWS).cast("int"))
-    members = (keyed(docs, with_body=True).join(many.select("digest", "keep_id", "pieces"), "digest")
+    many = cut_lineage(groups.filter("n > 1").select("digest", "keep_id", F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("pieces")))
+    members = (keyed(docs, with_body=True).join(small_side(many), "digest")
                .withColumn("piece", F.pmod(F.xxhash64("doc_id"), F.col("pieces"))))
     kept = (members.filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
             .groupBy("digest", "pieces").agg(F.min("body").alias("stays"))
@@ -203,6 +203,22 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
                       F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """One row of each group of equal texts: the one of largest id. A row repeated
+    under that very id is dropped too."""
+    made = exact_dedup(docs)
+    gone = cut_lineage(made.filter("not kept").select("doc_id").distinct())
+    repeated = cut_lineage(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"))
+    left = drop_ids(docs, gone)
+    if not repeated.take(1):
+        return left
+    same = F.col("doc_id").eqNullSafe(F.col("_again"))
+    again = left.join(repeated.select(F.col("doc_id").alias("_again")), same, "left_semi")
+    once = (again.withColumn("_body", lower_ascii(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "_body"])
+            .drop("_body"))
+    return left.join(repeated.select(F.col("doc_id").alias("_again")), same, "left_anti").unionByName(once)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
 
