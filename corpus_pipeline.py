@@ -1,6 +1,67 @@
-"""Corpus pipeline (stub until all stages exist)."""
-from scriptorium.llm.exact_dedup import exact_dedup
-STAGES = []
-ORACLE_SQL = None
-def run(spark, sf_dir):
-    return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+"""Corpus pipeline: language ID, exact dedup, MinHash near-dedup, source mixing, piece encoding.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept.
+All but the last return the columns of ``documents``:
+
+- language_id drops texts without a letter and those whose best language scores
+  below ``langid.MIN_SCORE``;
+- exact_dedup keeps, of texts equal up to A-Z case, the one of largest id;
+- near_dedup keeps, of documents linked by a Jaccard similarity of at least 0.8 on
+  five-word shingles, the one of smallest id;
+- mixing repeats rows of small sources up to ``mixing.MAX_REPETITION`` times (whole
+  epochs and a block-permuted partial one); it drops none;
+- pieces encodes every text and decodes the ids again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scriptorium.llm.common import table
+from scriptorium.llm.exact_dedup import drop_copies
+from scriptorium.llm.langid import keep_identified
+from scriptorium.llm.minhash import drop_near_copies
+from scriptorium.llm.mixing import mix
+from scriptorium.llm.pieces import encode_texts, vocabulary
+from scriptorium.session import checkpoint_dir
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_identified(docs)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_copies(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_near_copies(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mix(docs).select(*docs.columns)
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, n_tokens, ids, and whether decoding gave the text back."""
+    spaced = F.translate(F.coalesce("text", F.lit("")), "\u2581", " ")
+    made = encode_texts(docs, vocabulary(), "doc_id", "source", "text")
+    return made.select("doc_id", "source", "n_tokens", "ids", (F.col("decoded") == spaced).alias("round_trip"))
+
+
+STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup),
+          ("mixing", mixing), ("pieces", pieces)]
+
+ORACLE_SQL = None  # a trained network and a vocabulary file: not SQL; tests hold it against a brute-force version
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each one's rows are written as Parquet in the
+    shared checkpoint folder and read again, so a lost executor costs one stage."""
+    import uuid
+    docs, folder = table(spark, sf_dir, "documents"), f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import mix64, shingle_set, table
+from scriptorium.llm.common import drop_ids, mix64, shingle_set, small_side, table
 from scriptorium.llm.components import components
 from scriptorium.session import cut_lineage
 
@@ -203,7 +203,8 @@ def near_components(docs: DataFrame, words: int = 4, percent: int = SIMILARITY)
     # The score orders classes by the tables they share; it also names the class.
     score = F.shiftleft(F.count(F.lit(1)), 40) + F.xxhash64("node").bitwiseAND(F.lit((1 << 40) - 1))
     scores = cut_lineage(rows.groupBy("node").agg(score.alias("score")))
-    sets = cut_lineage(docs.join(scores.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    wanted = small_side(scores.select(F.col("node").alias("doc_id")))
+    sets = cut_lineage(docs.join(wanted, "doc_id", "left_semi")
                        .filter("text is not null").mapInPandas(_sets(words), "node long, shingles binary"))
     scored = cut_lineage(rows.join(scores, "node"))
     best = (scored.join(cut_lineage(scored.groupBy("key").agg(F.max("score").alias("top"))), "key")
@@ -249,6 +250,12 @@ def near_components(docs: DataFrame, words: int = 4, percent: int = SIMILARITY)
     return out.unionByName(bare).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = SIMILARITY) -> DataFrame:
+    """One document of each group of near copies: the one of smallest id."""
+    gone = cut_lineage(near_components(docs, words, percent).filter("not kept").select("doc_id").distinct())
+    return drop_ids(docs, gone)
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents", "doc_id", "text"))
 
