@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from scriptorium.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from scriptorium.llm.histogram_sort import op3_sharding
 from scriptorium.llm.langid import op5_language_id
 from scriptorium.llm.minhash import OP9_SQL, op9_minhash
 from scriptorium.llm.mixing import OP1_SQL, op1_mixing
@@ -12,6 +13,7 @@ from scriptorium.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op3_sharding": op3_sharding,
     "op4_toxicity": op4_toxicity,
     "op5_language_id": op5_language_id,
     "op6_exact_dedup": op6_exact_dedup,
