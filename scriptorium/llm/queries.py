@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from scriptorium.llm.embedding_dedup import OP2_SQL, op2_embedding_dedup
 from scriptorium.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from scriptorium.llm.histogram_sort import op3_sharding
 from scriptorium.llm.langid import op5_language_id
@@ -13,6 +14,7 @@ from scriptorium.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_sharding": op3_sharding,
     "op4_toxicity": op4_toxicity,
     "op5_language_id": op5_language_id,
@@ -24,6 +26,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_mixing": OP1_SQL,
+    "op2_embedding_dedup": OP2_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op9_minhash": OP9_SQL,
 }
