@@ -11,6 +11,7 @@ from scriptorium.llm.mixing import OP1_SQL, op1_mixing
 from scriptorium.llm.pieces import op7_pieces
 from scriptorium.llm.quality import op10_quality
 from scriptorium.llm.toxicity import op4_toxicity
+from scriptorium.llm.transcripts import op8_chat_formatting
 
 QUERIES = {
     "op1_mixing": op1_mixing,
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_pieces": op7_pieces,
+    "op8_chat_formatting": op8_chat_formatting,
     "op9_minhash": op9_minhash,
     "op10_quality": op10_quality,
 }
