@@ -1,11 +1,12 @@
 """Co-authorship network (G1-G3) with its scope and counts (L1, F5, J10-J12,
 A3-A5, X9).
 
-Pairs are formed on the *distinct* paper-author bridge by a self equi-join on
-the paper with ``a < b``; the per-pair weight is a partial aggregate. A paper
-with n authors yields n(n-1)/2 pairs; that output is the edge table itself, so
-it is not capped. A hot paper is one join key on both sides; AQE's skew-join
-handling splits such partitions at run time.
+Pairs are formed on the *distinct* paper-author bridge by a self equi-join; the
+per-pair weight is a partial aggregate. A paper with n authors yields n(n-1)/2
+pairs; that output is the edge table itself, so it is not capped. A paper's
+authors are dealt into hash blocks of about ``PAIR_BLOCK`` and the join key is
+(paper, block, block), so no task makes more than about ``PAIR_BLOCK`` squared
+pairs of one key, however long an author list is.
 """
 
 from __future__ import annotations
@@ -18,14 +19,23 @@ from scriptorium.session import cut_lineage
 
 EXTERNAL_GROUP = "External Partner"
 EXTERNAL = "External"
+PAIR_BLOCK = 512          # authors of a paper joined with each other under one key, about
 
 
 def author_pairs(bridge: DataFrame, paper_col: str = "paper_id", author_col: str = "author_id") -> DataFrame:
-    """Unordered author pairs (a < b) per paper of a distinct bridge."""
-    left = bridge.select(F.col(paper_col).alias("_p"), F.col(author_col).alias("a"))
-    right = bridge.select(F.col(paper_col).alias("_p2"), F.col(author_col).alias("b"))
-    return (left.join(right, (left["_p"] == right["_p2"]) & (left["a"] < right["b"]))
-            .select(F.col("_p").alias(paper_col), "a", "b"))
+    """Unordered author pairs (a < b) per paper of a distinct bridge.
+
+    Every unordered pair of a paper's blocks (i <= j) is one join key: block i on
+    the left, block j on the right."""
+    rows = bridge.select(F.col(paper_col).alias("_p"), F.col(author_col).alias("_a"))
+    sizes = rows.groupBy("_p").agg(F.ceil(F.count(F.lit(1)) / PAIR_BLOCK).cast("int").alias("_n")).filter("_n > 0")
+    dealt = rows.join(sizes, "_p").withColumn("_b", F.pmod(F.xxhash64("_a"), F.col("_n")).cast("int"))
+    left = dealt.select(F.col("_p"), F.col("_a").alias("x"), F.col("_b").alias("_i"),
+                        F.explode(F.sequence(F.col("_b"), F.col("_n") - 1)).alias("_j"))
+    right = dealt.select(F.col("_p"), F.col("_a").alias("y"), F.explode(F.sequence(F.lit(0), F.col("_b"))).alias("_i"),
+                         F.col("_b").alias("_j"))
+    return (left.join(right, ["_p", "_i", "_j"]).filter((F.col("_i") < F.col("_j")) | (F.col("x") < F.col("y")))
+            .select(F.col("_p").alias(paper_col), F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
 
 
 def coauthor_edges(bridge: DataFrame, paper_col: str = "paper_id", author_col: str = "author_id") -> DataFrame:
@@ -47,8 +57,8 @@ def scope_by_topics(papers: DataFrame, interaction: DataFrame, topic: DataFrame,
     if not names:
         return papers
     up = [n.upper() for n in names]
-    info = (interaction.join(F.broadcast(topic.select(F.col("topic_id").alias("primary_topic_id"),
-                                                      F.col("name").alias("_primary_name"))),
+    info = (interaction.join(topic.select(F.col("topic_id").alias("primary_topic_id"),
+                                                      F.col("name").alias("_primary_name")),
                              "primary_topic_id", "left")
             .select("paper_id", "_primary_name", "predicted_multi_labels"))
     name_hit = F.col("_primary_name").isin(names)
@@ -59,9 +69,12 @@ def scope_by_topics(papers: DataFrame, interaction: DataFrame, topic: DataFrame,
     return papers.join(hits, "paper_id", "left_semi")
 
 
-def newest(papers: DataFrame, limit: int = 200) -> DataFrame:
+def newest(papers: DataFrame, limit: int | None = 200) -> DataFrame:
     """L1: the ``limit`` newest papers, year descending with nulls first (as a
-    PostgreSQL descending sort), ties by id. Plans as TakeOrderedAndProject."""
+    PostgreSQL descending sort), ties by id. Plans as TakeOrderedAndProject. None:
+    all papers, unordered."""
+    if limit is None:
+        return papers
     return papers.orderBy(F.desc_nulls_first("year"), F.asc("paper_id")).limit(limit)
 
 
@@ -69,7 +82,8 @@ def authors_in(scope: DataFrame, bridge: DataFrame, authors: DataFrame) -> DataF
     """J10 + A3: authors having a paper in the scope, with
     ``relevant_paper_count`` = their distinct papers in the scope."""
     sb = bridge.join(scope.select("paper_id"), "paper_id", "left_semi")
-    counts = sb.groupBy("author_id").agg(F.count_distinct("paper_id").alias("relevant_paper_count"))
+    counts = (sb.select("author_id", "paper_id").distinct()
+              .groupBy("author_id").agg(F.count(F.lit(1)).alias("relevant_paper_count")))
     return authors.join(counts, "author_id")
 
 
@@ -86,12 +100,13 @@ def home_collaborators(pairs: DataFrame, is_home: DataFrame) -> DataFrame:
 
 
 def author_network(papers: DataFrame, bridge: DataFrame, authors: DataFrame, home: str,
-                   limit: int = 200, topic_names: list[str] | None = None,
+                   limit: int | None = 200, topic_names: list[str] | None = None,
                    interaction: DataFrame | None = None, topic: DataFrame | None = None,
                    min_home_collaborators: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Scoped author network -> (nodes, links, totals).
 
-    Scope = the ``limit`` newest papers (optionally in the topic scope); it is
+    Scope = the ``limit`` newest papers (optionally in the topic scope), or with
+    None all of them; it is
     deterministic (id tie-break), so every use sees the same papers. Nodes: all
     home authors of the scope, plus external authors with at least
     ``min_home_collaborators`` distinct home co-authors in the scope. Links:
@@ -101,11 +116,12 @@ def author_network(papers: DataFrame, bridge: DataFrame, authors: DataFrame, hom
     if topic_names:
         papers = scope_by_topics(papers, interaction, topic, topic_names)
     scope = newest(papers.select("paper_id", "year"), limit).select("paper_id")
-    # The scoped bridge and its authors are bounded by ``limit`` and are used
-    # by every later step: materialise each once in the shared checkpoint
-    # folder (reliable, survives executor loss), so the large bridge and
-    # author tables are scanned once, not once per reference.
-    sb = cut_lineage(bridge.select("paper_id", "author_id").distinct().join(scope, "paper_id", "left_semi"))
+    # The scoped bridge and its authors are used by every later step:
+    # materialise each once in the shared checkpoint folder (reliable, survives
+    # executor loss), so the large bridge and author tables are scanned once,
+    # not once per reference.
+    whole = bridge.select("paper_id", "author_id").distinct()
+    sb = cut_lineage(whole if limit is None and not topic_names else whole.join(scope, "paper_id", "left_semi"))
     involved = cut_lineage(authors_in(scope, sb, authors))
     is_home = involved.select("author_id", F.col("institution").eqNullSafe(home).alias("home"))
     pairs = author_pairs(sb)

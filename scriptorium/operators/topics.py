@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import text as X
 from scriptorium.functions.stopwords import ENGLISH_STOP_WORDS
+from scriptorium.session import cut_lineage, shuffle_slots
 
 # The academic stop words added to the English list, in the
 # order the original lists them (duplicates included there; a set here).
@@ -65,27 +66,21 @@ def tokens(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(TOKEN_PATTERN), 0)
 
 
-def keep_tokens(text: Column | str, stop: list[str] | None = None) -> Column:
-    """Tokens that are not stop words, not number-like, longer than 2.
+def keep_tokens(docs: DataFrame, text_col: str = "text", stop: list[str] | None = None,
+                out_col: str = "tokens") -> DataFrame:
+    """Adds ``out_col`` = tokens that are not stop words (a JVM hash-set lookup
+    by Spark ML's ``StopWordsRemover``), not number-like, longer than 2.
     (The lemmatiser is not built; see README.)"""
-    stop_arr = F.array(*[F.lit(w) for w in (stop if stop is not None else stop_words())])
-    return F.filter(tokens(text), lambda t: ~F.array_contains(stop_arr, t)
-                    & ~t.rlike(r"^[0-9.,]+$") & (F.length(t) > 2))
-
-
-def term_list(text: Column | str, stop: list[str] | None = None) -> Column:
-    """T1 row part: unigrams and bigrams after stop-word removal, as an array.
-    Bigrams join neighbours of the filtered token list, as a count vectorizer
-    does when stop words are removed before n-grams are formed."""
-    stop_arr = F.array(*[F.lit(w) for w in (stop if stop is not None else stop_words())])
-    kept = F.filter(tokens(text), lambda t: ~F.array_contains(stop_arr, t))
-    # Pair each token with the next one (the array shifted by one; zip_with
-    # pads with null). Linear: the token array is an argument, not evaluated
-    # inside the lambda.
-    nxt = F.slice(kept, 2, F.greatest(F.size(kept), F.lit(1)))
-    bigrams = F.filter(F.zip_with(kept, nxt, lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b))),
-                       lambda b: b.isNotNull())
-    return F.concat(kept, bigrams)
+    kept = _remove_stop_words(docs.withColumn("_tok", tokens(text_col)), stop)
+    return (kept.withColumn(out_col, F.filter("_kept", lambda t: ~t.rlike(r"^[0-9.,]+$") & (F.length(t) > 2)))
+            .drop("_tok", "_kept"))
+
+
+def _remove_stop_words(docs: DataFrame, stop: list[str] | None) -> DataFrame:
+    from pyspark.ml.feature import StopWordsRemover
+    remover = StopWordsRemover(inputCol="_tok", outputCol="_kept", caseSensitive=True,
+                               stopWords=stop if stop is not None else stop_words())
+    return remover.transform(docs)
 
 
 def with_terms(docs: DataFrame, text_col: str = "text", stop: list[str] | None = None,
@@ -95,10 +90,7 @@ def with_terms(docs: DataFrame, text_col: str = "text", stop: list[str] | None =
     ``StopWordsRemover`` (a JVM hash-set lookup per token); bigrams pair
     neighbours of the kept tokens, as a count vectorizer does when stop words
     are removed before n-grams are formed."""
-    from pyspark.ml.feature import StopWordsRemover
-    remover = StopWordsRemover(inputCol="_tok", outputCol="_kept", caseSensitive=True,
-                               stopWords=stop if stop is not None else stop_words())
-    kept = remover.transform(docs.withColumn("_tok", tokens(text_col)))
+    kept = _remove_stop_words(docs.withColumn("_tok", tokens(text_col)), stop)
     k = F.col("_kept")
     nxt = F.slice(k, 2, F.greatest(F.size(k), F.lit(1)))
     bigrams = F.filter(F.zip_with(k, nxt, lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b))),
@@ -128,38 +120,42 @@ def explode_terms(df: DataFrame, *keep: str) -> DataFrame:
             .filter(F.col("term").isNotNull()))
 
 
-def ctfidf(terms: DataFrame, topic_col: str = "topic_id") -> DataFrame:
-    """T2 scores: ``tf(t,c) / |c| * ln(1 + A / f(t))`` with |c| the term total
-    of class c, A the integer mean of |c| over classes and f(t) the total count
-    of term t over all classes (class-based TF-IDF, Grootendorst 2022).
-
-    Class totals (one row per topic) and term totals are aggregates joined
-    back; A is a scalar subquery. ``terms`` is read three times, so it is
-    persisted once (the (topic, term) aggregate, far smaller than the texts;
-    lost blocks are recomputed from lineage)."""
-    terms = _persisted(terms)
+def class_weights(terms: DataFrame, topic_col: str = "topic_id") -> tuple[DataFrame, DataFrame]:
+    """T2 parts: (scores, idf). Scores are ``tf(t,c) / |c| * ln(1 + A / f(t))`` with
+    |c| the term total of class c, A the integer mean of |c| over classes and f(t)
+    the total count of term t over all classes (class-based TF-IDF, Grootendorst
+    2022); idf(term) is the logarithm alone.
+
+    Class totals and term totals are aggregates joined back; A is a scalar
+    subquery. ``terms`` is read several times, so it is materialised once in the
+    shared checkpoint folder (the (topic, term) aggregate, far smaller than the
+    texts)."""
+    terms = cut_lineage(terms)
     per_class = terms.groupBy(topic_col).agg(F.sum("n").alias("class_total"))
     avg = per_class.agg(F.floor(F.avg("class_total")).cast("double").alias("A")).scalar()
-    per_term = terms.groupBy("term").agg(F.sum("n").alias("term_total"))
-    return (terms.join(F.broadcast(per_class), topic_col).join(per_term, "term")
-            .select(topic_col, "term", "n", "class_total",
-                    (F.col("n") / F.col("class_total") * F.log(1 + avg / F.col("term_total"))).alias("score")))
+    idf = (terms.groupBy("term").agg(F.sum("n").alias("term_total"))
+           .select("term", "term_total", F.log(1 + avg / F.col("term_total")).alias("idf")))
+    scores = (terms.join(per_class, topic_col).join(idf, "term")
+              .select(topic_col, "term", "n", "class_total",
+                      (F.col("n") / F.col("class_total") * F.col("idf")).alias("score")))
+    return scores, idf.select("term", "idf")
 
 
-def _persisted(df: DataFrame) -> DataFrame:
-    from pyspark import StorageLevel
-    return df if df.storageLevel.useMemory or df.storageLevel.useDisk else df.persist(StorageLevel.MEMORY_AND_DISK)
+def ctfidf(terms: DataFrame, topic_col: str = "topic_id") -> DataFrame:
+    """T2 scores per (topic, term); see ``class_weights``."""
+    return class_weights(terms, topic_col)[0]
 
 
 def top_terms(scores: DataFrame, group_col: str, n: int = TOP_N_WORDS, term_col: str = "term",
-              score_col: str = "score", salts: int = 16) -> DataFrame:
+              score_col: str = "score", salts: int | None = None) -> DataFrame:
     """The ``n`` best terms per group (score desc, term asc) as an ordered
     array ``keywords``.
 
     Two-stage exact top-n: rank inside (group, hash(term) % salts) first, keep
     n per bucket, then rank the at most ``salts * n`` survivors per group. A
-    group holding a third of all terms is thus ranked by ``salts`` tasks, not
-    one."""
+    group holding a third of all terms is thus ranked by ``salts`` tasks (the
+    shuffle partition count unless given), not one."""
+    salts = salts or shuffle_slots(scores)
     order = [F.desc(score_col), F.asc(term_col)]
     salted = scores.withColumn("_salt", F.pmod(F.xxhash64(term_col), F.lit(salts)))
     stage1 = (salted.withColumn("_r", F.row_number().over(Window.partitionBy(group_col, "_salt").orderBy(*order)))
@@ -195,7 +191,9 @@ def normalise(dist: Column | str) -> Column:
     d = F.col(dist) if isinstance(dist, str) else dist
     s = F.aggregate(d, F.lit(0.0).cast("double"), lambda acc, x: acc + x)
     s1 = F.when(s == 0, F.lit(1.0)).otherwise(s)
-    return F.transform(d, lambda x: x / s1)
+    # The sum is an argument of the walk, evaluated once; inside the lambda it
+    # would be evaluated per element.
+    return F.zip_with(d, F.array_repeat(s1, F.size(d)), lambda x, total: x / total)
 
 
 def names_map(topic_names: DataFrame, id_col: str = "topic_id", name_col: str = "name") -> Column:
@@ -216,9 +214,11 @@ def multi_labels(df: DataFrame, topic_names: DataFrame, id_col: str = "cluster_i
     tid = F.col(id_col)
     dist = F.col(dist_col)
     own = X.cluster_label(tid, F.element_at(names, tid))
-    mx = F.array_max(dist)
-    alts = F.filter(F.transform(dist, lambda p, i: F.struct(i.alias("i"), p.alias("p"))),
-                    lambda x: (x["i"] != tid) & (x["p"] > abs_floor) & (x["p"] >= mx * rel_floor))
+    # the row's own threshold travels with each element (evaluated once a row)
+    floor = F.array_repeat(F.array_max(dist) * rel_floor, F.size(dist))
+    cells = F.zip_with(F.transform(dist, lambda p, i: F.struct(i.alias("i"), p.alias("p"))), floor,
+                       lambda x, least: F.struct(x["i"].alias("i"), x["p"].alias("p"), least.alias("least")))
+    alts = F.filter(cells, lambda x: (x["i"] != tid) & (x["p"] > abs_floor) & (x["p"] >= x["least"]))
     alt_labels = F.transform(alts, lambda x: X.cluster_label(x["i"], F.element_at(names, x["i"])))
     plain = (tid == X.OUTLIER_TOPIC_ID) | dist.isNull() | (F.size(dist) == 0)
     return (df.withColumn("predicted_multi_labels",
@@ -232,7 +232,7 @@ def topic_labels(keywords: DataFrame, topic_names: DataFrame | None = None,
     ', '; adds ``cluster_label`` (X6)."""
     kw = keywords
     if topic_names is not None:
-        kw = kw.join(F.broadcast(topic_names.select(topic_col, F.col("name").alias("_given"))), topic_col, "left")
+        kw = kw.join(topic_names.select(topic_col, F.col("name").alias("_given")), topic_col, "left")
     else:
         kw = kw.withColumn("_given", F.lit(None).cast("string"))
     name = F.coalesce("_given", F.array_join(F.slice("keywords", 1, NAME_WORDS), ", "))
@@ -249,7 +249,7 @@ def enrich(papers: DataFrame, assign: DataFrame, labels: DataFrame, key: str = "
     keywords, cluster_label)`` from J13 (bounded: one row per topic)."""
     lab = labels.select(F.col("topic_id").alias("cluster_id"), F.col("keywords").alias("_kw"))
     out = (papers.join(assign, key)
-           .join(F.broadcast(lab), "cluster_id", "left")
+           .join(lab, "cluster_id", "left")
            .withColumn("topic_keywords", F.when(F.col("cluster_id") == X.OUTLIER_TOPIC_ID,
                                                 F.array().cast("array<string>"))
                        .otherwise(F.coalesce(F.slice("_kw", 1, TOP_N_WORDS), F.array().cast("array<string>"))))
@@ -262,7 +262,8 @@ def enrich(papers: DataFrame, assign: DataFrame, labels: DataFrame, key: str = "
 # --------------------------------------------------------------- vectors
 
 def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0).cast("double"), lambda s, v: s + v)
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")),
+                       F.lit(0.0).cast("double"), lambda s, v: s + v)
 
 
 def _norm(a: Column) -> Column:
@@ -283,6 +284,30 @@ def topic_centroids(vecs: DataFrame, topic_col: str = "topic_id", vec_col: str =
             .select(topic_col, F.col("_c.m").alias("centroid")))
 
 
+def _unit_centroids(cents: DataFrame, topic_col: str) -> Column:
+    """All centroids, scaled to length 1, as one scalar value: array of (t, c) by
+    topic id. One row a topic times the vector's length."""
+    n = _norm(F.col("centroid"))
+    unit = F.zip_with("centroid", F.array_repeat(n, F.size("centroid")), lambda x, length: x / length)
+    return cents.agg(F.array_sort(F.collect_list(F.struct(F.col(topic_col).alias("t"), unit.alias("c"))))).scalar()
+
+
+def centroid_distribution(vecs: DataFrame, id_col: str = "vec_id", topic_col: str = "topic_id",
+                          vec_col: str = "embedding", out_col: str = "topic_distribution") -> DataFrame:
+    """(id, topic, distribution): the cosine of each vector with every topic's mean
+    vector, negative ones as 0, normalised to sum 1 (A8); entry t is topic t, 0 for
+    an id without a centroid. Reads whole vectors."""
+    packed = _unit_centroids(topic_centroids(vecs, topic_col, vec_col), topic_col)
+    rows = vecs.select(id_col, topic_col, vec_col).withColumn("_cents", packed)
+    near = F.transform("_cents", lambda c: F.struct(c["t"].alias("t"), F.greatest(
+        _dot(F.col(vec_col), c["c"]), F.lit(0.0)).alias("p")))
+    rows = rows.withColumn("_near", F.map_from_entries(near))
+    last = F.coalesce(F.array_max(F.map_keys("_near")), F.lit(-1))
+    dense = F.when(last >= 0, F.transform(F.sequence(F.lit(0), last),
+                                          lambda t: F.coalesce(F.try_element_at(F.col("_near"), t), F.lit(0.0))))
+    return rows.select(id_col, topic_col, normalise(F.coalesce(dense, F.array().cast("array<double>"))).alias(out_col))
+
+
 def reassign_outliers(vecs: DataFrame, threshold: float = OUTLIER_THRESHOLD, id_col: str = "vec_id",
                       topic_col: str = "topic_id", vec_col: str = "embedding") -> DataFrame:
     """T4: an outlier (-1) moves to the topic whose mean vector has the highest
@@ -292,18 +317,17 @@ def reassign_outliers(vecs: DataFrame, threshold: float = OUTLIER_THRESHOLD, id_
     Centroids (one per topic) travel as a scalar subquery; each outlier row
     scores all of them row-locally and keeps the best (ties: lower topic id)."""
     cents = topic_centroids(vecs, topic_col, vec_col)
-    packed = cents.agg(F.collect_list(F.struct(F.col(topic_col).alias("t"),
-                                               F.col("centroid").alias("c"),
-                                               _norm(F.col("centroid")).alias("cn")))).scalar()
-    v = F.col(vec_col).cast("array<double>")
-    vn = _norm(v)
+    packed = _unit_centroids(cents, topic_col)
     vecs = vecs.withColumn("_cents", packed)   # no subquery inside the lambda
-    scored = F.transform(F.col("_cents"), lambda c: F.struct((_dot(v, c["c"]) / (vn * c["cn"])).alias("s"),
-                                                    (-c["t"]).alias("nt")))
+    # A row's norm doesn't change which centroid is nearest: it divides the best
+    # score once, outside the walk over the centroids.
+    scored = F.transform(F.col("_cents"), lambda c: F.struct(_dot(F.col(vec_col), c["c"]).alias("s"),
+                                                             (-c["t"]).alias("nt")))
     best = F.array_max(scored)
     is_out = F.col(topic_col) == X.OUTLIER_TOPIC_ID
-    sim = F.when(is_out, best["s"])
-    moved = is_out & (best["s"] >= threshold)
+    cosine = best["s"] / _norm(F.col(vec_col))
+    sim = F.when(is_out, cosine)
+    moved = is_out & (cosine >= threshold)
     return vecs.select(id_col, topic_col,
                        F.when(moved, -best["nt"]).otherwise(F.col(topic_col)).alias("new_topic_id"),
                        F.round(sim, 6).alias("best_similarity"))
@@ -342,27 +366,29 @@ def soft_topics(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_
     term and each term has at most one row per topic, so the fan-out of a
     document term is bounded by the topic count; the per-document window
     holds at most one row per topic."""
-    terms = _persisted(terms)
-    scores = ctfidf(terms, topic_col)
-    per_class = terms.groupBy(topic_col).agg(F.sum("n").alias("class_total"))
-    avg = per_class.agg(F.floor(F.avg("class_total")).cast("double").alias("A")).scalar()
-    idf = (terms.groupBy("term").agg(F.sum("n").alias("term_total"))
-           .select("term", F.log(1 + avg / F.col("term_total")).alias("idf")))
+    scores, idf = class_weights(terms, topic_col)
     topics = scores.filter(F.col(topic_col) != X.OUTLIER_TOPIC_ID).select(topic_col, "term", "score")
-    # read four times (length, weights, norms, dots); no exchange follows the
-    # text chain, so without persisting it the cleaning and tokenising of every
-    # document would re-run per reference
-    dt = _persisted(explode_terms(with_terms(docs.select(id_col, text_col), text_col, stop), id_col)
-                    .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("c")))
-    dlen = dt.groupBy(id_col).agg(F.sum("c").alias("dl"))
-    dvec = (dt.join(dlen, id_col).join(idf, "term")
-            .select(id_col, "term", (F.col("c") / F.col("dl") * F.col("idf")).alias("w")))
-    dnorm = dvec.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
-    tnorm = topics.groupBy(topic_col).agg(F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("tn"))
-    dots = (dvec.join(topics, "term")
-            .groupBy(id_col, topic_col).agg(F.sum(F.col("w") * F.col("score")).alias("dot")))
-    sims = (dots.join(dnorm, id_col).join(F.broadcast(tnorm), topic_col)
-            .select(id_col, topic_col, (F.col("dot") / (F.col("dn") * F.col("tn"))).alias("sim"))
+    norms = topics.groupBy(topic_col).agg(F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("tn"))
+    # One row a term: its idf and its score in every topic that has it, already
+    # divided by the topic's norm (at most one entry a topic).
+    per_term = (topics.join(norms, topic_col).groupBy("term")
+                .agg(F.collect_list(F.struct(F.col(topic_col).alias("t"), (F.col("score") / F.col("tn")).alias("s"))).alias("in_topics")))
+    lookup = idf.join(per_term, "term", "left")
+    dt = (explode_terms(with_terms(docs.select(id_col, text_col), text_col, stop), id_col)
+          .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("c")))
+    # A document's length scales its vector only, so the cosine needs no length.
+    # The entry without a topic sums the squared norm beside the dot products.
+    w = F.col("c") * F.col("idf")
+    own = F.array(F.struct(F.lit(None).cast("int").alias("t"), w.alias("s")))
+    hits = (dt.join(lookup, "term")
+            .select(id_col, w.alias("w"), F.explode(F.concat(own, F.coalesce(
+                "in_topics", F.array().cast("array<struct<t:int,s:double>>")))).alias("e"))
+            .groupBy(id_col, F.col("e.t").alias("t")).agg(F.sum(F.col("w") * F.col("e.s")).alias("v")))
+    per_doc = (hits.groupBy(id_col)
+               .agg(F.sqrt(F.sum(F.when(F.col("t").isNull(), F.col("v")))).alias("dn"),
+                    F.collect_list(F.when(F.col("t").isNotNull(), F.struct("t", "v"))).alias("dots")))
+    sims = (per_doc.select(id_col, F.explode("dots").alias("d"), "dn")
+            .select(id_col, F.col("d.t").alias(topic_col), (F.col("d.v") / F.col("dn")).alias("sim"))
             .filter(F.col("sim") >= min_similarity))
     total = F.sum("sim").over(Window.partitionBy(id_col))
     return sims.select(id_col, topic_col, F.round(F.col("sim") / total, 6).alias("prob"))

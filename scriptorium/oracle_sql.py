@@ -38,7 +38,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
               from lineitem join part on l_partkey = p_partkey group by 1, 2) s"""),
     "f_pt": (("f_share",), """
         select r.paper_id, case when r.share < 0.3 then -1 else r.topic_id end as topic_id, r.share,
-               list_transform(range(25), lambda i: coalesce(m.m[cast(i as int)], 0.0::double))
+               list_transform(range((select max(cast(substr(p_brand, 7) as int)) from part)), lambda i: coalesce(m.m[cast(i as int)], 0.0::double))
                    as topic_distribution
         from (select *, row_number() over (partition by paper_id order by share desc, topic_id) as rn
               from f_share) r

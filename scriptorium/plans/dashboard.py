@@ -70,7 +70,7 @@ def all_topics(topic: DataFrame) -> DataFrame:
 
 def trend_rows(yearly_stat: DataFrame, topic: DataFrame) -> DataFrame:
     """Yearly stat rows with the topic name (topic is a bounded dimension)."""
-    return (yearly_stat.join(F.broadcast(topic.select("topic_id", "name")), "topic_id")
+    return (yearly_stat.join(topic.select("topic_id", "name"), "topic_id")
             .select(year_text("year").alias("year"), F.col("year").alias("year_num"),
                     "topic_id", "name", "total_papers"))
 
@@ -103,7 +103,8 @@ def domain_trends(yearly_stat: DataFrame, topic: DataFrame, names: list[str] | N
 
 def series_keywords(names: DataFrame, topic: DataFrame, name_col: str = "name") -> DataFrame:
     """Each series name with its topic keywords, matched on the trimmed name;
-    an unknown name gets an empty list."""
-    t = topic.select(F.trim("name").alias("_key"), "keywords").dropDuplicates(["_key"])
-    return (names.join(F.broadcast(t), F.trim(F.col(name_col)) == F.col("_key"), "left")
+    an unknown name gets an empty list. Of same-named topics the highest id
+    stands."""
+    t = topic.groupBy(F.trim("name").alias("_key")).agg(F.max_by("keywords", "topic_id").alias("keywords"))
+    return (names.join(t, F.trim(F.col(name_col)) == F.col("_key"), "left")
             .select(*names.columns, F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords")))

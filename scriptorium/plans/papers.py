@@ -25,6 +25,8 @@ from scriptorium.session import cut_lineage
 DETAIL_FLOOR = 0.01   # paper chart: keep probabilities above this
 CHART_FLOOR = 0.02    # dashboard chart: keep probabilities above this
 TOP_TOPICS = 6
+SEEK_ROWS = 4096      # rows a page may skip by a top-k
+SEEK_BINS = 4096      # bins of one counting pass towards a deeper page
 
 
 def papers_of(papers: DataFrame, bridge: DataFrame, author_id) -> DataFrame:
@@ -70,7 +72,7 @@ def clamp_page(number, total_items: int, size: int) -> PageInfo:
     pages = max(1, math.ceil(total_items / size))
     try:
         p = int(number)
-    except (TypeError, ValueError):
+    except (TypeError, ValueError, OverflowError):
         p = 1
     if p < 1 or p > pages:
         p = pages
@@ -78,12 +80,47 @@ def clamp_page(number, total_items: int, size: int) -> PageInfo:
 
 
 def page(df: DataFrame, number, size: int) -> tuple[DataFrame, PageInfo]:
-    """L4 on an ordered-by-L3 DataFrame: one count action, then
-    ``offset().limit()`` (TakeOrderedAndProject keeps only offset + size rows
-    per partition)."""
+    """L4 in L3 order: one count action, then the page. However deep it lies, the
+    rows before it are counted, not gathered: see ``seek``."""
     info = clamp_page(number, df.count(), size)
-    ordered = card_order(df)
-    return ordered.offset((info.current_page - 1) * size).limit(size), info
+    rest, skip = seek(df, (info.current_page - 1) * size)
+    return card_order(rest).offset(skip).limit(size), info
+
+
+def _card_keys() -> list[Column]:
+    """L3 as ascending whole numbers: nulls (first in descending order) are the largest."""
+    null_first = F.lit((1 << 31) - 1)
+    return [-F.coalesce(F.col("year"), null_first).cast("long"),
+            -F.coalesce(F.col("citation_count"), null_first).cast("long"), F.col("paper_id").cast("long")]
+
+
+def seek(df: DataFrame, offset: int) -> tuple[DataFrame, int]:
+    """(rows, skip): the rows from some point of the L3 order on, and how many of
+    them still precede position ``offset``, at most ``SEEK_ROWS``.
+
+    The point is found by counts: the range of the first key is cut into ``SEEK_BINS``
+    equal bins, the bin that holds the position is cut again until it is one value,
+    then the next key takes over inside it. Each pass is one grouped count of at
+    most ``SEEK_BINS`` rows, so no pass sorts or gathers rows."""
+    keys, cell, skip = _card_keys(), F.lit(True), offset
+    before = F.lit(False)  # rows that surely precede the position
+    for key in keys:
+        while skip > SEEK_ROWS:
+            inside = df.filter(cell & ~before)
+            ends = inside.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
+            if ends["lo"] is None or ends["lo"] == ends["hi"]:
+                break
+            width = -(-(ends["hi"] - ends["lo"] + 1) // SEEK_BINS)
+            bin_no = F.floor((key - F.lit(ends["lo"])) / F.lit(width))
+            counts = sorted((r["b"], r["n"]) for r in inside.groupBy(bin_no.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())
+            for b, n in counts:
+                if skip < n:
+                    break
+                skip -= n
+            start = ends["lo"] + b * width
+            before = before | (cell & (key < F.lit(start)))
+            cell = cell & (key >= F.lit(start)) & (key < F.lit(start + width))
+    return df.filter(~before), skip
 
 
 def page_info_frame(spark, info: PageInfo) -> DataFrame:
@@ -101,7 +138,7 @@ def label_topics(interaction: DataFrame, topic: DataFrame) -> DataFrame:
           .filter(F.col("i").isNotNull())
           .withColumn("topic_id", X.label_topic_id("label"))
           .filter(F.col("topic_id").isNotNull())
-          .join(F.broadcast(t), "topic_id"))
+          .join(t, "topic_id"))
     return (ex.groupBy("paper_id")
             .agg(F.sort_array(F.collect_list(F.struct("i", "topic_id", "name"))).alias("_t"))
             .select("paper_id", F.col("_t.topic_id").alias("topic_ids"), F.col("_t.name").alias("topic_names")))
@@ -152,7 +189,7 @@ def top_topics(dist_rows: DataFrame, topic: DataFrame, key: str, n: int = TOP_TO
     A group has at most one row per topic, so the window is bounded."""
     w = Window.partitionBy(key).orderBy(F.desc("prob"), F.asc("topic_id"))
     ranked = dist_rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
-    return ranked.join(F.broadcast(topic.select("topic_id", F.col("name").alias("subject"))), "topic_id")
+    return ranked.join(topic.select("topic_id", F.col("name").alias("subject")), "topic_id")
 
 
 def distribution_rows(interaction: DataFrame, floor: float = DETAIL_FLOOR) -> DataFrame:

@@ -43,7 +43,7 @@ def author_profile(bridge: DataFrame, interaction: DataFrame, topic: DataFrame,
     s = author_profile_sums(bridge, interaction)
     w = Window.partitionBy("author_id").orderBy(F.desc("total"), F.asc("topic_id"))
     top = s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
-    return (top.join(F.broadcast(topic.select("topic_id", F.col("name").alias("subject"))), "topic_id")
+    return (top.join(topic.select("topic_id", F.col("name").alias("subject")), "topic_id")
             .filter(F.col("total") > 0)
             .select("author_id", "rank", "topic_id", "subject", X.round4("prob").alias("probability")))
 

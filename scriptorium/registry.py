@@ -59,7 +59,7 @@ def q_works_per_author(spark, d):
            (select count(*) from f_topic where topic_id <> -1) as total_clusters""",
                                           "f_paper", "f_author", "f_topic"))
 def q_dashboard_summary(spark, d):
-    return D.dashboard_summary(B.papers(spark, d), B.authors(spark, d), B.topics(spark, d), HOME)
+    return D.dashboard_summary(B.papers(spark, d), B.authors(spark, d), B.topic_names(spark, d), HOME)
 
 
 @register("all_topics", with_views("""
@@ -97,7 +97,8 @@ def q_yearly_topic_stat(spark, d):
 
 
 def _trend_names() -> list[str]:
-    return [f"Brand#{i}" for i in range(1, B.N_TOPICS + 1)] + ["Outlier / Noise"]
+    # the test tables' 25 brands: DuckDB needs the pivot's columns spelled out
+    return [f"Brand#{i}" for i in range(1, 26)] + ["Outlier / Noise"]
 
 
 def _domain_trends_sql() -> str:
@@ -112,7 +113,14 @@ def _domain_trends_sql() -> str:
 
 @register("domain_trends", _domain_trends_sql())
 def q_domain_trends(spark, d):
-    return D.domain_trends(_yearly(spark, d), B.topics(spark, d), names=_trend_names())
+    return D.domain_trends(_yearly(spark, d), B.topic_names(spark, d))
+
+
+@register("domain_trends_long", with_views(f"""
+    select cast(y.year as varchar) as year, y.year as year_num, t.name, max(y.total_papers) as total_papers
+    from ({_YEARLY_SQL}) y join f_topic t using (topic_id) group by 2, 3""", "f_paper", "f_pt", "f_topic"))
+def q_domain_trends_long(spark, d):
+    return D.domain_trends_long(_yearly(spark, d), B.topic_names(spark, d))
 
 
 @register("series_keywords", with_views("""
@@ -222,7 +230,7 @@ def q_interactions(spark, d):
 
 @register("faculty_topic_stat", _results_sql(f"""
     select f.faculty, coalesce(r.cluster_id, -1) as topic_id, count(*) as total_papers,
-           sum(coalesce(r.citation_count, 0)) as total_citations
+           cast(sum(coalesce(r.citation_count, 0)) as bigint) as total_citations
     from (select distinct x.seq, a.faculty
           from ({_AUTHORSHIP_SQL}) x join ({_AUTHOR_DIM_SQL}) a using (author_key)
           where coalesce(a.faculty, '') <> '' and x.doi is not null) f
@@ -293,10 +301,33 @@ _F5_FILTER = """where paper_id in (
 _NET_VIEWS = ("f_paper", "f_paper_author", "f_author", "f_interaction", "f_topic")
 
 
-def _network(spark, d, topics=None):
+def _network(spark, d, topics=None, limit=200):
     return G.author_network(B.papers(spark, d), B.paper_authors(spark, d), B.authors(spark, d), HOME,
-                            limit=200, topic_names=topics, interaction=B.interactions(spark, d),
-                            topic=B.topics(spark, d))
+                            limit=limit, topic_names=topics, interaction=B.interactions(spark, d),
+                            topic=B.topic_names(spark, d))
+
+
+def _net_all_sql() -> dict[str, str]:
+    return _net_sql() | {"scope": "select paper_id from f_paper"}
+
+
+@register("network_nodes_all", with_views("""
+    select cast(author_id as varchar) as id, name, val, grp as "group", institution, faculty from nodes""",
+                                          *_NET_VIEWS, extra=_net_all_sql()))
+def q_network_nodes_all(spark, d):
+    return _network(spark, d, limit=None)[0]
+
+
+@register("network_links_all", with_views("select * from links", *_NET_VIEWS, extra=_net_all_sql()))
+def q_network_links_all(spark, d):
+    return _network(spark, d, limit=None)[1]
+
+
+@register("network_totals_all", with_views("""
+    select count(*) as total_external_found, count(*) filter (where n >= 2) as qualified_external_count
+    from ext""", *_NET_VIEWS, extra=_net_all_sql()))
+def q_network_totals_all(spark, d):
+    return _network(spark, d, limit=None)[2]
 
 
 @register("network_nodes", with_views("""
@@ -345,7 +376,7 @@ def q_edge_class(spark, d):
 @register("scope_by_topics", with_views(f"""
     select paper_id, title from f_paper p {_F5_FILTER}""", *_NET_VIEWS))
 def q_scope_by_topics(spark, d):
-    return G.scope_by_topics(B.papers(spark, d), B.interactions(spark, d), B.topics(spark, d),
+    return G.scope_by_topics(B.papers(spark, d), B.interactions(spark, d), B.topic_names(spark, d),
                              NET_TOPICS).select("paper_id", "title")
 
 
@@ -476,7 +507,7 @@ def q_papers_of_author(spark, d):
 @register("paper_detail_topics", with_views("select paper_id, ids as topic_ids, nm as topic_names from lt",
                                             *_NET_VIEWS, extra={"lt": _LABEL_TOPICS_SQL}))
 def q_paper_detail_topics(spark, d):
-    return P.label_topics(B.interactions(spark, d), B.topics(spark, d))
+    return P.label_topics(B.interactions(spark, d), B.topic_names(spark, d))
 
 
 _DETAIL_CHART_SQL = """
@@ -492,7 +523,7 @@ _DETAIL_CHART_SQL = """
 
 @register("paper_detail_chart", with_views(_DETAIL_CHART_SQL, *_NET_VIEWS))
 def q_paper_detail_chart(spark, d):
-    return P.detail_chart(B.interactions(spark, d), B.topics(spark, d))
+    return P.detail_chart(B.interactions(spark, d), B.topic_names(spark, d))
 
 
 @register("chart_profile", with_views("""
@@ -501,7 +532,7 @@ def q_paper_detail_chart(spark, d):
           from dc where probability > 0.02) x
     where chart_rank <= 6""", *_NET_VIEWS, extra={"dc": _DETAIL_CHART_SQL}))
 def q_chart_profile(spark, d):
-    return P.chart_profile(P.detail_chart(B.interactions(spark, d), B.topics(spark, d)), "paper_id")
+    return P.chart_profile(P.detail_chart(B.interactions(spark, d), B.topic_names(spark, d)), "paper_id")
 
 
 @register("home_first", with_views("""
@@ -531,7 +562,7 @@ def q_paper_detail(spark, d):
 # ---------------------------------------------------------------- profiles
 
 @register("author_totals", with_views("""
-    select a.author_id, coalesce(c.n, 0) as total_papers, coalesce(c.s, 0) as total_citations
+    select a.author_id, coalesce(c.n, 0) as total_papers, cast(coalesce(c.s, 0) as bigint) as total_citations
     from f_author a left join (select author_id, count(*) as n, sum(coalesce(citation_count, 0)) as s
                                from f_paper_author join f_paper using (paper_id) group by 1) c using (author_id)""",
                                       "f_author", "f_paper_author", "f_paper"))
@@ -553,7 +584,7 @@ def q_author_totals(spark, d):
     join f_topic t on t.topic_id = r.topic_id
     where r.rank <= 6 and r.total > 0""", *_NET_VIEWS))
 def q_author_profile(spark, d):
-    return R.author_profile(B.paper_authors(spark, d), B.interactions(spark, d), B.topics(spark, d))
+    return R.author_profile(B.paper_authors(spark, d), B.interactions(spark, d), B.topic_names(spark, d))
 
 
 # ------------------------------------------------------- text and ingest
@@ -564,18 +595,18 @@ from scriptorium.operators import topics as T  # noqa: E402
 from scriptorium.operators import upsert as U  # noqa: E402
 from scriptorium.oracle_sql import clean_text_sql, stop_words_sql  # noqa: E402
 from scriptorium.sources import ingest as I  # noqa: E402
-from scriptorium.sources.tables import read, spread  # noqa: E402
+from scriptorium.sources.tables import by_key, read  # noqa: E402
 
 
 @register("clean_text_pages", f"select page_id, {clean_text_sql('html')} as clean from pages")
 def q_clean_text_pages(spark, d):
-    return spread(read(spark, d, "pages", "page_id", "html"), "page_id").select(
+    return read(spark, d, "pages", "page_id", "html").select(
         "page_id", X.clean_text("html").alias("clean"))
 
 
 @register("clean_text_documents", f"select doc_id, {clean_text_sql('text')} as clean from documents")
 def q_clean_text_documents(spark, d):
-    return spread(read(spark, d, "documents", "doc_id", "text"), "doc_id").select(
+    return read(spark, d, "documents", "doc_id", "text").select(
         "doc_id", X.clean_text("text").alias("clean"))
 
 
@@ -681,9 +712,9 @@ def _cap_sql(n: int) -> str:
     where rank <= {n}"""
 
 
-@register("cap_per_author", _cap_sql(I.FETCH_CAP))
+@register("cap_per_author", _cap_sql(10))
 def q_cap_per_author(spark, d):
-    return I.cap_per_author(_works(spark, d)).select("author", "work_id", "rank")
+    return I.cap_per_author(_works(spark, d), n=10).select("author", "work_id", "rank")
 
 
 @register("cap_per_author_100", _cap_sql(100))
@@ -787,8 +818,8 @@ def q_dedupe_metrics(spark, d):
 _RE_TOKEN = r"\b\w\w+\b"
 
 _TERMS_SQL = {
-    "td": f"""select v.topic_id, d.doc_id, {clean_text_sql('d.text')} as clean
-              from documents d join f_vec v on d.doc_id = v.vec_id""",
+    "td": f"""select coalesce(v.topic_id, -1) as topic_id, d.doc_id, {clean_text_sql('d.text')} as clean
+              from documents d left join f_vec v on d.doc_id = v.vec_id""",
     "kept": f"""select topic_id, doc_id,
                        list_filter(regexp_extract_all(lower(clean), '{_RE_TOKEN}'),
                                    lambda t: not list_contains({stop_words_sql()}, t)) as k from td""",
@@ -809,10 +840,11 @@ _TERMS_SQL = {
 
 
 def _topic_text_docs(spark, d):
-    # join first, then clean: only documents with a vector are cleaned
+    # every document has a topic: that of its vector, else the outlier
     v = B.vectors(spark, d).select(F.col("vec_id").alias("doc_id"), "topic_id")
-    docs = spread(read(spark, d, "documents", "doc_id", "text"), "doc_id").join(v, "doc_id")
-    return docs.select("doc_id", "topic_id", X.clean_text("text").alias("text"))
+    docs = read(spark, d, "documents", "doc_id", "text").join(v, "doc_id", "left")
+    return docs.select("doc_id", F.coalesce("topic_id", F.lit(X.OUTLIER_TOPIC_ID)).alias("topic_id"),
+                       X.clean_text("text").alias("text"))
 
 
 def _terms(spark, d):
@@ -920,7 +952,7 @@ _SOFT_SQL.update({
     select doc_id, topic_id, round(sim / sum(sim) over (partition by doc_id), 6) as prob from sims""",
                                     "f_vec", extra=_SOFT_SQL))
 def q_soft_topics(spark, d):
-    docs = spread(read(spark, d, "documents", "doc_id", "text"), "doc_id").select(
+    docs = by_key(read(spark, d, "documents", "doc_id", "text"), "doc_id").select(
         "doc_id", X.clean_text("text").alias("text"))
     return T.soft_topics(docs, _terms(spark, d))
 
@@ -970,8 +1002,8 @@ def q_topic_docs(spark, d):
                                          and not regexp_full_match(t, '[0-9.,]+') and length(t) > 2) as tokens
     from documents""")
 def q_keep_tokens(spark, d):
-    docs = spread(read(spark, d, "documents", "doc_id", "text"), "doc_id")
-    return docs.select("doc_id", T.keep_tokens(X.clean_text("text")).alias("tokens"))
+    docs = read(spark, d, "documents", "doc_id", "text").select("doc_id", X.clean_text("text").alias("text"))
+    return T.keep_tokens(docs).select("doc_id", "tokens")
 
 
 @register("assign_topics")
@@ -1044,14 +1076,12 @@ def q_union_works(spark, d):
 
 
 def _enrich_inputs(spark, d):
-    v = B.vectors(spark, d)
-    k = v.agg((F.max("label") + 1).alias("k")).scalar()
-    absv = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.abs(x))
-    # the first k components, projected before the lambdas (no subquery may
-    # sit inside a higher-order function)
-    sliced = v.select("vec_id", "topic_id", F.slice(absv, F.lit(1), k).alias("_e"))
-    assign = sliced.select(F.col("vec_id").alias("seq"), F.col("topic_id").alias("cluster_id"),
-                           T.normalise("_e").alias("topic_distribution"))
+    """Every document's topic (the outlier without a vector), its cosine
+    distribution over all topics, and the topic labels."""
+    by_doc = T.centroid_distribution(B.vectors(spark, d)).select(F.col("vec_id").alias("seq"), "topic_id", "topic_distribution")
+    assign = (read(spark, d, "documents", "doc_id").withColumnRenamed("doc_id", "seq").join(by_doc, "seq", "left")
+              .select("seq", F.coalesce("topic_id", F.lit(X.OUTLIER_TOPIC_ID)).alias("cluster_id"),
+                      F.coalesce("topic_distribution", F.array().cast("array<double>")).alias("topic_distribution")))
     kw = _keywords(spark, d)
     names = (kw.filter(F.col("topic_id") % 2 == 0)
              .select("topic_id", F.concat(F.lit("Named topic "), F.col("topic_id").cast("string")).alias("name")))
@@ -1072,15 +1102,21 @@ def _enrich_inputs(spark, d):
                as topic_keywords,
            list_transform(a.dist, lambda x: round(x, 6)) as topic_distribution
     from f_doc p
-    join (select vec_id as seq, topic_id as cluster_id,
-                 list_transform(e, lambda x: x / case when s = 0 then 1 else s end) as dist
-          from (select vec_id, topic_id, e, list_sum(e) as s
-                from (select vec_id, topic_id,
-                             list_slice(list_transform(cast(embedding as double[]), lambda x: abs(x)), 1,
-                                        (select max(label) + 1 from f_vec)) as e from f_vec) y) x) a using (seq)
+    join (select d.seq, coalesce(v.topic_id, -1) as cluster_id, coalesce(x.dist, cast([] as double[])) as dist
+          from f_doc d left join f_vec v on v.vec_id = d.seq
+          left join (select vec_id, list_transform(e, lambda x: x / case when list_sum(e) = 0 then 1 else list_sum(e) end) as dist
+                     from (select vec_id, list(greatest(coalesce(s, 0), 0) order by t) as e
+                           from (select v.vec_id, t.t, c.s from f_vec v
+                                 cross join (select unnest(range((select max(topic_id) + 1 from cn))) as t) t
+                                 left join vc c on c.vec_id = v.vec_id and c.topic_id = t.t) y
+                           group by 1) z) x on x.vec_id = d.seq) a using (seq)
     left join lab l on l.topic_id = a.cluster_id,
     (select map_from_entries(list(struct_pack(k := topic_id, v := name))) as m from lab) nm""",
-                               "f_vec", "f_doc", extra=dict(_TERMS_SQL, lab="""
+                               "f_vec", "f_doc", extra=dict(_TERMS_SQL, cent=_REASSIGN_SQL["cent"], cn=_REASSIGN_SQL["cn"],
+                                                            vc="""
+    select o.vec_id, c.topic_id, sum(o.x * c.m) / any_value(cn.cn) as s
+    from (select vec_id, unnest(cast(embedding as double[])) as x, generate_subscripts(embedding, 1) as pos from f_vec) o
+    join cent c using (pos) join cn on cn.topic_id = c.topic_id group by 1, 2""", lab="""
     select topic_id, coalesce(case when topic_id % 2 = 0 then 'Named topic ' || topic_id end,
                               array_to_string(list_slice(keywords, 1, 5), ', ')) as name, keywords
     from kw""")))

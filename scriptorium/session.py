@@ -63,6 +63,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
+def shuffle_slots(df: DataFrame) -> int:
+    """The session's shuffle partition count: how far a hot group is spread."""
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder (reliable, survives
     executor loss) and return a DataFrame reading from it. Set

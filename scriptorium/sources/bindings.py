@@ -5,10 +5,10 @@ for papers, line items for authorships, part brands for topics, documents for
 raw paper text and embeddings for document vectors. Every binding is a plain
 DataFrame plan over the parquet files, so its work grows with the data.
 
-Broadcast policy: only ``nation`` (25 rows by construction) and the topic
-dimension (one row per topic, bounded by the model's topic count) carry an
-explicit ``broadcast``. Everything else is left to AQE, which broadcasts a
-side only after measuring it against ``spark.sql.autoBroadcastJoinThreshold``.
+Broadcast policy: only ``nation`` (25 rows by construction) carries an explicit
+``broadcast``. Everything else, the topic dimension included, is left to AQE, which
+broadcasts a side only after measuring it against
+``spark.sql.autoBroadcastJoinThreshold``.
 """
 
 from __future__ import annotations
@@ -17,13 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as X
-from scriptorium.sources.tables import read, spread
+from scriptorium.sources.tables import by_key, read
 
 # Fixed values of the bindings.
 HOME_INSTITUTION = "Home University"
 EXTERNAL_INSTITUTION = "External"
 HOME_REGION = 1
-N_TOPICS = 25            # part brands Brand#1 .. Brand#25 -> topics 0 .. 24
 OUTLIER_SHARE = 0.3      # a paper whose best share is below this is an outlier
 TOP_TERMS = 15
 
@@ -72,18 +71,23 @@ def paper_authors(spark: SparkSession, d: str) -> DataFrame:
 def topic_shares(spark: SparkSession, d: str) -> DataFrame:
     """(paper, topic, share): quantity share of each brand in an order.
 
-    A paper has at most N_TOPICS rows, so the per-paper window is bounded
+    A paper has at most one row a topic, so the per-paper window is bounded
     whatever the skew of the line items."""
     li = read(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_quantity")
     p = read(spark, d, "part", "p_partkey", "p_brand")
     q = (li.join(p, li.l_partkey == p.p_partkey)
          .groupBy(F.col("l_orderkey").alias("paper_id"),
-                  (F.substring("p_brand", 7, 10).cast("int") - 1).alias("topic_id"))
+                  _topic_of("p_brand").alias("topic_id"))
          .agg(F.sum("l_quantity").alias("q")))
     total = F.sum("q").over(_by_paper())
     return q.select("paper_id", "topic_id", (F.col("q") / total).alias("share"))
 
 
+def _topic_of(brand: str):
+    """Topic id of a part brand: Brand#1 is topic 0."""
+    return F.substring(brand, 7, 10).cast("int") - 1
+
+
 def _by_paper():
     from pyspark.sql import Window
     return Window.partitionBy("paper_id")
@@ -92,7 +96,7 @@ def _by_paper():
 def paper_topics(spark: SparkSession, d: str) -> DataFrame:
     """One row per paper with shares: primary topic (outlier -1 when the best
     share is below OUTLIER_SHARE; ties to the lower topic id), its share, and the
-    dense ``topic_distribution`` over N_TOPICS slots.
+    dense ``topic_distribution``, one slot a topic id up to the largest there is.
 
     One aggregation per paper: the best (share, -topic) struct and the sparse
     shares collected into a map, expanded row-locally to the dense array."""
@@ -102,15 +106,23 @@ def paper_topics(spark: SparkSession, d: str) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct("topic_id", "share"))).alias("m"),
     )
     best_topic = -F.col("best.neg_topic")
-    return g.select(
+    last = read(spark, d, "part", "p_brand").agg(F.max(_topic_of("p_brand"))).scalar()
+    return g.withColumn("_last", last).select(
         "paper_id",
         F.when(F.col("best.share") < OUTLIER_SHARE, F.lit(-1)).otherwise(best_topic).alias("topic_id"),
         F.col("best.share").alias("share"),
-        F.transform(F.sequence(F.lit(0), F.lit(N_TOPICS - 1)),
+        F.transform(F.sequence(F.lit(0), F.col("_last")),
                     lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0.0))).alias("topic_distribution"),
     )
 
 
+def topic_names(spark: SparkSession, d: str) -> DataFrame:
+    """topic_id and name of every topic, the outlier included; no keywords are ranked."""
+    names = read(spark, d, "part", "p_brand").distinct().select(_topic_of("p_brand").alias("topic_id"),
+                                                                F.col("p_brand").alias("name"))
+    return names.unionByName(spark.range(1).select(F.lit(-1).alias("topic_id"), F.lit(X.OUTLIER_LABEL).alias("name")))
+
+
 def topics(spark: SparkSession, d: str) -> DataFrame:
     """Topic dimension: topic_id, name (``Brand#{t+1}``), keywords (the 15 most
     frequent words of the brand's part names, ties by word); plus the outlier
@@ -120,7 +132,7 @@ def topics(spark: SparkSession, d: str) -> DataFrame:
     words = (p.select("p_brand", F.explode(F.split("p_name", " ")).alias("term"))
              .groupBy("p_brand", "term").agg(F.count(F.lit(1)).cast("double").alias("score")))
     kw = top_terms(words, "p_brand", n=TOP_TERMS)
-    dim = kw.select((F.substring("p_brand", 7, 10).cast("int") - 1).alias("topic_id"),
+    dim = kw.select(_topic_of("p_brand").alias("topic_id"),
                     F.col("p_brand").alias("name"), "keywords")
     outlier = spark.range(1).select(F.lit(-1).alias("topic_id"), F.lit(X.OUTLIER_LABEL).alias("name"),
                                     F.array().cast("array<string>").alias("keywords"))
@@ -132,8 +144,7 @@ def interactions(spark: SparkSession, d: str) -> DataFrame:
     (T6 with the topic names of ``topics``)."""
     from scriptorium.operators.topics import multi_labels
     pt = paper_topics(spark, d)
-    names = topics(spark, d).select("topic_id", "name")
-    labelled = multi_labels(pt, names, id_col="topic_id", dist_col="topic_distribution")
+    labelled = multi_labels(pt, topic_names(spark, d), id_col="topic_id", dist_col="topic_distribution")
     return labelled.select("paper_id", F.col("topic_id").alias("primary_topic_id"),
                            "topic_distribution", "predicted_multi_labels")
 
@@ -141,7 +152,7 @@ def interactions(spark: SparkSession, d: str) -> DataFrame:
 def docs(spark: SparkSession, d: str) -> DataFrame:
     """Clean-zone paper records from documents: every third has no DOI, every
     fourth an empty abstract; title = first line."""
-    t = spread(read(spark, d, "documents", "doc_id", "text", "source", "lang"), "doc_id")
+    t = read(spark, d, "documents", "doc_id", "text", "source", "lang")
     k = F.col("doc_id")
     return t.select(
         k.alias("seq"),
@@ -193,7 +204,7 @@ def results(spark: SparkSession, d: str) -> DataFrame:
     p = papers(spark, d)
     return (p.join(auth, "paper_id", "left")
             .join(inter, "paper_id", "left")
-            .join(F.broadcast(names), inter.primary_topic_id == names.topic_id, "left")
+            .join(names, inter.primary_topic_id == names.topic_id, "left")
             .select(F.col("paper_id").alias("seq"), "doi", "title", F.lit("").alias("abstract"),
                     F.coalesce("authors_struct", F.array().cast("array<struct<name:string,openalex_id:string>>"))
                      .alias("authors_struct"),
@@ -239,7 +250,7 @@ def inverted_index(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, abstract_inverted_index): word -> positions of the document's
     blank-separated tokens. Positions are gathered per (document, word), then
     per document; a document is one row, so a group is bounded by its text."""
-    t = spread(read(spark, d, "documents", "doc_id", "text"), "doc_id")
+    t = by_key(read(spark, d, "documents", "doc_id", "text"), "doc_id")
     # outer + filter: a plain posexplode gets an inferred size() filter pushed
     # into the scan, splitting every text twice there
     toks = (t.select("doc_id", F.posexplode_outer(F.split("text", " ")).alias("p", "w"))
@@ -253,7 +264,7 @@ def raw_works(spark: SparkSession, d: str) -> DataFrame:
     """Landed work items (the works API shape) from documents: a DOI URL for
     two thirds, title = first line, authorships from line items, year, venue,
     inverted-index abstract (null for every fourth), citations."""
-    t = spread(read(spark, d, "documents", "doc_id", "text", "source", "n_chars"), "doc_id")
+    t = read(spark, d, "documents", "doc_id", "text", "source", "n_chars")
     k = F.col("doc_id")
     a = _doc_authors(spark, d, raw=True)
     idx = inverted_index(spark, d)

@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as X
+from scriptorium.session import shuffle_slots
 
 # Fixed values of the ingest rules.
 NO_TITLE = "(No Title)"
-FETCH_CAP = 10000        # works kept per author, newest first
 
 
 def _truthy(c: Column) -> Column:
@@ -71,11 +71,12 @@ def clean_papers(raw: DataFrame) -> DataFrame:
     )
 
 
-def top_n_per_group(df: DataFrame, group: str, order: list[Column], n: int, salts: int = 16,
+def top_n_per_group(df: DataFrame, group: str, order: list[Column], n: int, salts: int | None = None,
                     salt_col: str | None = None) -> DataFrame:
     """Exact top ``n`` rows per group by ``order``, skew-safe: rank inside
     (group, salt) buckets first, keep ``n`` per bucket, then rank the
     survivors per group. Adds ``rank`` (1-based)."""
+    salts = salts or shuffle_slots(df)
     salt_src = F.col(salt_col) if salt_col else F.xxhash64(*[F.col(c) for c in df.columns])
     s = df.withColumn("_salt", F.pmod(F.xxhash64(salt_src), F.lit(salts)))
     s1 = (s.withColumn("_r", F.row_number().over(Window.partitionBy(group, "_salt").orderBy(*order)))
@@ -84,7 +85,7 @@ def top_n_per_group(df: DataFrame, group: str, order: list[Column], n: int, salt
             .filter(F.col("rank") <= n).drop("_salt", "_r"))
 
 
-def cap_per_author(works: DataFrame, n: int = FETCH_CAP, author: str = "author", date: str = "publication_date",
+def cap_per_author(works: DataFrame, n: int, author: str = "author", date: str = "publication_date",
                    work_id: str = "work_id") -> DataFrame:
     """Per author, the newest ``n`` works (date desc, id for ties), applied
     before the DOI filter, as the fetch cap does."""

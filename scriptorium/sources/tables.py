@@ -21,22 +21,9 @@ def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
     return df.select(*columns) if columns else df
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give CPU-heavy per-row work (regex cleaning, tokenising) enough tasks.
-
-    A scan yields at most one task per parquet row group; a table stored as
-    a few large row groups would run all its text work in a few tasks. When the
-    scan has fewer partitions than twice the task slots, hash-repartition it
-    (on ``keys`` when given, so later aggregations on those keys reuse the
-    partitioning instead of shuffling again). A cluster-sized scan already has
-    far more partitions than slots and is left untouched. Planning only: no job
-    runs here."""
-    try:
-        slots = df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 -- no RDD view (e.g. Spark Connect): leave as is
-        return df
-    if parts >= 2 * slots:
-        return df
-    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), slots)
-    return df.repartition(n, *keys) if keys else df.repartition(n)
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition a text scan by its id before CPU-heavy row work that a
+    grouping on the same key follows: the grouping reuses the partitioning, so the
+    exchange is the one it would need anyway, and the row work gets as many tasks
+    as the shuffle has partitions however few row groups the files have."""
+    return df.repartition(*keys)
