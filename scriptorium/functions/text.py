@@ -137,3 +137,11 @@ def split_names(text: Column | str) -> Column:
 def strip_doi_prefix(doi: Column | str) -> Column:
     """Drop the resolver prefix of a DOI URL."""
     return F.replace(_c(doi), F.lit("https://doi.org/"), F.lit(""))
+
+
+def place(seq: Column | str, pos: Column | str) -> Column:
+    """One sortable number for (seq, pos): exact for any long seq and any array
+    position (a decimal of 19 + 10 digits), and cheap to take the minimum of."""
+    a = F.col(seq) if isinstance(seq, str) else seq
+    b = F.col(pos) if isinstance(pos, str) else pos
+    return (a.cast("decimal(19,0)") * F.lit(10_000_000_000).cast("decimal(11,0)") + b.cast("decimal(10,0)")).cast("decimal(38,0)")

@@ -23,22 +23,30 @@ from pyspark.sql import functions as F
 from scriptorium.functions import text as X
 
 
-def dedupe_group(records: DataFrame, seq: str = "seq") -> DataFrame:
-    """Adds ``group_kind`` ('doi' | 'title') and ``group_key``; rows that
-    the original drops get nulls."""
-    r = (records.withColumn("_doi", F.nullif(F.col("doi"), F.lit("")))
-         .withColumn("_tkey", F.nullif(F.lower(F.coalesce("title", F.lit(""))), F.lit(""))))
+def group_keys(records: DataFrame, seq: str = "seq") -> DataFrame:
+    """W1, narrow: (seq, group_kind, group_key) per record; only ids, DOIs and titles
+    are shuffled. Rows without a join key get one of their own (their seq), so
+    missing DOIs and titles don't meet in one partition."""
+    r = records.select(F.col(seq).alias("seq"), F.nullif(F.col("doi"), F.lit("")).alias("_doi"),
+                       F.nullif(F.lower(F.coalesce("title", F.lit(""))), F.lit("")).alias("_tkey"))
+    alone = F.concat(F.lit("\0"), F.col("seq").cast("string"))
     t0 = (r.filter(F.col("_doi").isNull() & F.col("_tkey").isNotNull())
-          .groupBy("_tkey").agg(F.min(seq).alias("_t0")))
-    r = r.join(t0, "_tkey", "left").withColumn("_absorb", F.coalesce(F.col("_t0") < F.col(seq), F.lit(False)))
+          .groupBy(F.col("_tkey").alias("_tj")).agg(F.min("seq").alias("_t0")))
+    r = (r.withColumn("_tj", F.coalesce("_tkey", alone)).join(t0, "_tj", "left")
+         .withColumn("_absorb", F.coalesce(F.col("_t0") < F.col("seq"), F.lit(False))))
     d0 = (r.filter(F.col("_doi").isNotNull() & ~F.col("_absorb"))
-          .groupBy("_doi").agg(F.min(seq).alias("_d0")))
-    r = r.join(d0, "_doi", "left")
-    by_doi = F.col("_doi").isNotNull() & F.col("_d0").isNotNull() & (F.col(seq) >= F.col("_d0"))
+          .groupBy(F.col("_doi").alias("_dj")).agg(F.min("seq").alias("_d0")))
+    r = r.withColumn("_dj", F.coalesce("_doi", alone)).join(d0, "_dj", "left")
+    by_doi = F.col("_doi").isNotNull() & F.col("_d0").isNotNull() & (F.col("seq") >= F.col("_d0"))
     kind = F.when(by_doi, F.lit("doi")).when(F.col("_tkey").isNotNull(), F.lit("title"))
     key = F.when(by_doi, F.col("_doi")).when(F.col("_tkey").isNotNull(), F.col("_tkey"))
-    return (r.withColumn("group_kind", kind).withColumn("group_key", key)
-            .drop("_doi", "_tkey", "_t0", "_absorb", "_d0"))
+    return r.select(F.col("seq").alias(seq), kind.alias("group_kind"), key.alias("group_key"))
+
+
+def dedupe_group(records: DataFrame, seq: str = "seq") -> DataFrame:
+    """Adds ``group_kind`` ('doi' | 'title') and ``group_key``; rows that
+    the original drops get nulls."""
+    return records.join(group_keys(records, seq), seq)
 
 
 def _author_rows(grouped: DataFrame, seq: str) -> DataFrame:
@@ -55,44 +63,45 @@ def merge_authors_long(grouped: DataFrame, seq: str = "seq") -> DataFrame:
     openalex_id); (first_seq, first_pos) is the list order.
 
     Never gathers a group into one task: the first occurrence per (group,
-    author key) is a partial ``min_by`` and the order is carried as a column,
-    not computed by a window over the group."""
+    author key) is a partial minimum of one number (seq, pos), and the order is
+    carried as a column, not computed by a window over the group."""
     sizes = grouped.groupBy("group_kind", "group_key").agg(F.count(F.lit(1)).alias("_n"))
     multi = grouped.join(sizes.filter(F.col("_n") > 1), ["group_kind", "group_key"], "left_semi")
-    firsts = (_author_rows(multi, seq)
-              .groupBy("group_kind", "group_key", "author_key")
-              .agg(F.min_by(F.struct("name", "openalex_id"), F.struct(seq, "pos")).alias("a"),
-                   F.min(F.struct(seq, "pos")).alias("o")))
-    return firsts.select("group_kind", "group_key", F.col(f"o.{seq}").alias("first_seq"),
-                         F.col("o.pos").alias("first_pos"),
-                         F.col("a.name").alias("name"), F.col("a.openalex_id").alias("openalex_id"))
-
-
-def dedupe_papers(records: DataFrame, seq: str = "seq", with_authors: bool = True) -> DataFrame:
-    """D1 + W4 + D2 + U1: one survivor per group: the first record's fields,
-    abstract = the first non-empty abstract in arrival order (else the first
-    record's), authors merged (D2) when the group has more than one record,
-    ``authors_text`` rebuilt (X4). Adds ``group_kind``, ``group_key``,
-    ``group_size``. Survivor order (U1): DOI groups, then title groups, each by
-    first arrival."""
-    g = dedupe_group(records, seq).filter(F.col("group_kind").isNotNull())
-    keep = [c for c in records.columns if c not in ("abstract",)]
-    agg = (g.groupBy("group_kind", "group_key")
-           .agg(F.min_by(F.struct(*[F.col(c) for c in keep]), F.col(seq)).alias("_first"),
-                F.min_by("abstract", F.when(F.coalesce("abstract", F.lit("")) != "", F.col(seq))).alias("_abs"),
-                F.min_by("abstract", F.col(seq)).alias("_abs0"),
-                F.count(F.lit(1)).alias("group_size")))
-    out = agg.select("group_kind", "group_key", "group_size", "_first.*",
-                     F.coalesce("_abs", "_abs0").alias("abstract"))
+    rows = _author_rows(multi, seq).withColumn("_at", X.place(seq, "pos"))
+    firsts = (rows.groupBy("group_kind", "group_key", "author_key").agg(F.min("_at").alias("_at"))
+              .select("_at"))
+    return (rows.join(firsts, "_at")
+            .select("group_kind", "group_key", F.col(seq).alias("first_seq"), F.col("pos").alias("first_pos"),
+                    "name", "openalex_id"))
+
+
+def dedupe_papers(records: DataFrame, seq: str = "seq", with_authors: bool = False) -> DataFrame:
+    """D1 + W4 + U1: one survivor per group: the first record's fields, abstract =
+    the first non-empty abstract in arrival order (else the first record's). Adds
+    ``group_kind``, ``group_key``, ``group_size``. Survivor order (U1): see
+    ``survivor_order``. ``with_authors`` also merges authors (D2) of groups of more
+    than one record into arrays and rebuilds ``authors_text`` (X4); the long form,
+    ``merge_authors_long``, gathers nothing and is the one for large groups.
+
+    Groups are reduced to record ids (hash aggregates on ``seq``); full records and
+    abstracts are joined once, by ``seq``."""
+    filled = records.select(seq, (F.coalesce("abstract", F.lit("")) != "").alias("_has"))
+    picks = (group_keys(records, seq).filter(F.col("group_kind").isNotNull()).join(filled, seq)
+             .groupBy("group_kind", "group_key")
+             .agg(F.min(seq).alias(seq), F.min(F.when(F.col("_has"), F.col(seq))).alias("_abs_seq"),
+                  F.count(F.lit(1)).alias("group_size")))
+    abstracts = records.select(F.col(seq).alias("_abs_seq"), F.col("abstract").alias("_abs"))
+    # a group without a non-empty abstract keeps its first record's
+    picks = picks.withColumn("_abs_seq", F.coalesce("_abs_seq", F.col(seq)))
+    out = (picks.join(records.drop("abstract"), seq).join(abstracts, "_abs_seq")
+           .withColumnRenamed("_abs", "abstract").drop("_abs_seq"))
     if with_authors and "authors_struct" in records.columns:
-        merged = merge_authors_long(g, seq)
-        packed = (merged.groupBy("group_kind", "group_key")
+        g = records.select(seq, "authors_struct").join(group_keys(records, seq), seq).filter(F.col("group_kind").isNotNull())
+        packed = (merge_authors_long(g, seq).groupBy("group_kind", "group_key")
                   .agg(F.sort_array(F.collect_list(F.struct("first_seq", "first_pos", "name", "openalex_id"))).alias("_m")))
+        merged = F.transform("_m", lambda x: F.struct(x["name"].alias("name"), x["openalex_id"].alias("openalex_id")))
         out = (out.join(packed, ["group_kind", "group_key"], "left")
-               .withColumn("authors_struct", F.when(F.col("_m").isNotNull(),
-                                                    F.transform("_m", lambda x: F.struct(x["name"].alias("name"),
-                                                                                         x["openalex_id"].alias("openalex_id"))))
-                           .otherwise(F.col("authors_struct")))
+               .withColumn("authors_struct", F.coalesce(merged, F.col("authors_struct")))
                .withColumn("authors_text", F.when(F.col("_m").isNotNull(), X.authors_text("authors_struct"))
                            .otherwise(F.col("authors_text") if "authors_text" in records.columns
                                       else X.authors_text("authors_struct")))
@@ -108,7 +117,7 @@ def survivor_order(survivors: DataFrame, seq: str = "seq") -> DataFrame:
 def dedupe_metrics(records: DataFrame, seq: str = "seq") -> DataFrame:
     """A10: input records, merged records (hit an existing group) and final
     survivors; dropped records (no DOI, empty title) are neither."""
-    g = dedupe_group(records, seq)
+    g = group_keys(records, seq)
     per = (g.filter(F.col("group_kind").isNotNull())
            .groupBy("group_kind", "group_key").agg(F.count(F.lit(1)).alias("n")))
     total = records.agg(F.count(F.lit(1)).alias("original_papers"))

@@ -7,14 +7,15 @@ topic_keywords, topic_distribution)``; ``seq`` is the record's position in
 the input (arrival order). Natural keys replace database sequences: papers by
 ``doi``, authors by X5 ``author_key``, topics by ``topic_id``.
 
-"First wins" / "last wins" per key are ``min_by`` / ``max_by`` aggregates
-rather than ranking windows: they aggregate partially before the shuffle, so a
-key holding a third of all rows never gathers in one task.
+"First wins" / "last wins" per key reduce each key to the number of its first or
+last record (a hash aggregate that works partially before the shuffle, so a key
+holding a third of all rows never gathers in one task); the record's values are
+joined back by that number. No text passes through an aggregate.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as X
@@ -22,20 +23,26 @@ from scriptorium.functions import text as X
 EXTERNAL = "External"
 
 
-def _struct(*cols: str) -> Column:
-    return F.struct(*[F.col(c) for c in cols])
+def _picked(df: DataFrame, keys: list[str], order: list[str], cols: list[str], best) -> DataFrame:
+    """Per key, the values of the row with the best ``order`` (one or two whole
+    numbers that are unique within a key)."""
+    at = F.col(order[0]) if len(order) == 1 else X.place(*order)
+    rows = df.select(*keys, at.alias("_at"), *cols)
+    picks = rows.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(best("_at").alias("_best"))
+    same = F.col("_at") == F.col("_best")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return rows.join(picks, same).select(*keys, *cols)
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str], cols: list[str]) -> DataFrame:
     """Per key, the values of the row with the smallest ``order``."""
-    return (df.groupBy(*keys).agg(F.min_by(_struct(*cols), _struct(*order)).alias("_v"))
-            .select(*keys, *[F.col(f"_v.{c}").alias(c) for c in cols]))
+    return _picked(df, keys, order, cols, F.min)
 
 
 def last_per_key(df: DataFrame, keys: list[str], order: list[str], cols: list[str]) -> DataFrame:
     """Per key, the values of the row with the largest ``order``."""
-    return (df.groupBy(*keys).agg(F.max_by(_struct(*cols), _struct(*order)).alias("_v"))
-            .select(*keys, *[F.col(f"_v.{c}").alias(c) for c in cols]))
+    return _picked(df, keys, order, cols, F.max)
 
 
 def _defaults(results: DataFrame) -> DataFrame:
@@ -104,16 +111,25 @@ def paper_authors(results: DataFrame) -> DataFrame:
             .select("doi", "author_key").distinct())
 
 
-def interactions(results: DataFrame) -> DataFrame:
-    """M7: one interaction per paper (DOI), the last record wins: primary topic
-    (J4: the cluster id; the topic dimension has every id), distribution and
-    multi-labels."""
+def loaded(rows: DataFrame, papers: DataFrame) -> DataFrame:
+    """Only rows of papers that were loaded, matched by DOI."""
+    return rows.join(papers.select("doi"), "doi", "left_semi")
+
+
+def interactions(results: DataFrame, topics: DataFrame | None = None) -> DataFrame:
+    """M7: one interaction per paper (DOI), the last record wins: primary topic,
+    distribution and multi-labels. With ``topics`` (topic_id), the primary topic is
+    looked up there (J4): an id the topic table lacks becomes null."""
     r = (_defaults(results).filter(F.col("doi").isNotNull())
          .withColumn("topic_distribution", F.coalesce("topic_distribution", F.array().cast("array<double>")))
          .withColumn("predicted_multi_labels",
                      F.coalesce("predicted_multi_labels", F.array().cast("array<string>"))))
-    return (last_per_key(r, ["doi"], ["seq"], ["cluster_id", "topic_distribution", "predicted_multi_labels"])
-            .withColumnRenamed("cluster_id", "primary_topic_id"))
+    last = last_per_key(r, ["doi"], ["seq"], ["cluster_id", "topic_distribution", "predicted_multi_labels"])
+    if topics is not None:
+        known = topics.select(F.col("topic_id").alias("cluster_id"), F.lit(True).alias("_known"))
+        last = (last.join(known, "cluster_id", "left")
+                .withColumn("cluster_id", F.when(F.col("_known"), F.col("cluster_id"))).drop("_known"))
+    return last.withColumnRenamed("cluster_id", "primary_topic_id")
 
 
 def faculty_topic_stat(results: DataFrame, authors: DataFrame) -> DataFrame:
@@ -140,11 +156,6 @@ def yearly_topic_stat(results: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("total_papers")))
 
 
-def stamp(df: DataFrame) -> DataFrame:
-    """Add the load timestamp."""
-    return df.withColumn("last_updated", F.current_timestamp())
-
-
 def coauthor_edges_from_results(results: DataFrame) -> DataFrame:
     """G1 over the load input: distinct (paper, author) pairs, then unordered
     author pairs per paper weighted by shared papers."""

@@ -756,7 +756,7 @@ def _clean_docs(spark, d):
 @register("dedupe_group", with_views("""
     select seq, group_kind, group_key from g""", "f_doc", extra={"g": _GROUPS_SQL}))
 def q_dedupe_group(spark, d):
-    return DD.dedupe_group(_clean_docs(spark, d)).select("seq", "group_kind", "group_key")
+    return DD.group_keys(_clean_docs(spark, d))
 
 
 @register("dedupe_papers", with_views("""
@@ -801,7 +801,8 @@ def q_merge_authors(spark, d):
                                             "f_doc", extra={"g": _GROUPS_SQL, "disp": _DISPLAY_SQL,
                                                             "ca": _CLEAN_AUTHORS_SQL, "m": _MERGE_SQL}))
 def q_dedupe_authors_text(spark, d):
-    return DD.dedupe_papers(_clean_docs(spark, d)).select("group_kind", "group_key", "authors_text")
+    out = DD.dedupe_papers(_clean_docs(spark, d), with_authors=True)
+    return out.select("group_kind", "group_key", "authors_text")
 
 
 @register("dedupe_metrics", with_views("""

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
@@ -20,20 +20,13 @@ from pyspark.sql.types import ArrayType, StructType
 def read_papers(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Read JSON array files of paper records with an explicit schema.
 
-    Each file is one JSON array, so it is read whole (one task per file, as
-    with ``multiLine``) and exploded with its position: ``seq`` is the record's
-    arrival order (file name, then position), never a generated id. Land once
-    and continue from parquet (``write_zone``)."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_file"), "value")
-    # File order: a window over the distinct file names only (one row per
-    # file, a bounded table), joined back; records are never windowed.
-    files = raw.select("_file").distinct().withColumn(
-        "_f", F.row_number().over(Window.orderBy("_file")).cast("long") - 1)
-    recs = raw.select("_file", F.posexplode(F.from_json("value", ArrayType(schema))).alias("pos", "r"))
-    # one row per file: small, but the file count has no fixed bound, so AQE
-    # (not a hint) decides whether to broadcast it
-    return (recs.join(files, "_file")
-            .select((F.col("_f") * F.lit(1 << 32) + F.col("pos")).alias("seq"), "r.*"))
+    Each file is one JSON array, read whole (one task per file, as with
+    ``multiLine``) and exploded with its position. Arrival order is (file, pos):
+    both columns are kept, so no window runs over files or records. Land once and
+    continue from parquet (``write_zone``)."""
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    return raw.select("file", F.posexplode(F.from_json("value", ArrayType(schema))).alias("pos", "r")).select(
+        "file", F.col("pos").cast("long").alias("pos"), "r.*")
 
 
 def zone_path(root: str, zone: str) -> str:
@@ -49,21 +42,49 @@ def write_zone(df: DataFrame, root: str, zone: str, date: str) -> str:
     return path
 
 
+def snapshots(spark: SparkSession, root: str, zone: str) -> list[str]:
+    """The dates of a zone's snapshots, ascending, from the folder listing alone."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(zone_path(root, zone))
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(folder) if s.isDirectory()]
+    return sorted(n[3:] for n in names if n.startswith("dt="))
+
+
 def read_zone(spark: SparkSession, root: str, zone: str, date: str | None = None) -> DataFrame:
-    """The snapshot of ``date``, or the latest one. The latest date is a
-    scalar subquery over the partition column, and the equality on ``dt``
-    prunes partitions."""
-    df = spark.read.parquet(zone_path(root, zone))
-    if date is not None:
-        return df.filter(F.col("dt") == F.lit(date)).drop("dt")
-    latest = df.agg(F.max("dt")).scalar()
-    return df.filter(F.col("dt") == latest).drop("dt")
+    """The snapshot of ``date``, or the latest one; a date that was never
+    written falls back to the latest. The dates come from the folder listing, so
+    only one partition's files are ever opened."""
+    dates = snapshots(spark, root, zone)
+    if not dates:
+        raise FileNotFoundError(f"no snapshot of zone {zone} under {root}")
+    chosen = date if date in dates else dates[-1]
+    return spark.read.parquet(f"{zone_path(root, zone)}/dt={chosen}")
 
 
 def write_mart(df: DataFrame, path: str) -> str:
-    """Full refresh of a mart table (overwrite). For JDBC sinks use
-    ``df.write.jdbc(..., mode="overwrite")`` with ``truncate=true``."""
-    df.write.mode("overwrite").parquet(path)
+    """Full refresh of a mart table: the rows are staged beside the table and
+    swapped in by renames once the write has succeeded, so a failed write leaves the
+    old table as it was. For JDBC sinks use ``df.write.jdbc(..., mode="overwrite")``
+    with ``truncate=true``."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = lambda suffix: jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + suffix)
+    table, staged, old = at(""), at("__staged"), at("__old")
+    fs = table.getFileSystem(conf)
+    df.write.mode("overwrite").parquet(staged.toString())
+    if fs.exists(old):
+        fs.delete(old, True)
+    if fs.exists(table):
+        fs.rename(table, old)
+    if not fs.rename(staged, table):
+        if fs.exists(old):
+            fs.rename(old, table)
+        raise OSError(f"could not swap {staged.toString()} in")
+    if fs.exists(old):
+        fs.delete(old, True)
     return path
 
 

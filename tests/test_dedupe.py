@@ -25,7 +25,7 @@ def test_abstract_backfill_and_author_merge(spark):
             (1, "d", "T", "x", [("ANN", "A1"), ("ann", None), ("Bob", "A2")]),
             (2, "d", "T", "y", [])]
     df = spark.createDataFrame(rows, SCHEMA)
-    out = DD.dedupe_papers(df).first()
+    out = DD.dedupe_papers(df, with_authors=True).first()
     assert out["abstract"] == "x"
     assert [(a["name"], a["openalex_id"]) for a in out["authors_struct"]] == [("Ann", None), ("Bo", "A2"), ("ANN", "A1")]
     assert out["authors_text"] == "Ann, Bo, ANN"
@@ -72,3 +72,26 @@ def test_dedupe_matches_sequential_model(spark):
         keyed = [(s, (f"{s // 100}{d}" if d else d), (f"{s // 100}{t}" if t else t)) for s, d, t in batch]
         want = _sequential(keyed)
         assert [got[s] for s, _, _ in keyed] == [(k, (v.lower() if k == "title" else v) if v else v) for k, v in want]
+
+
+def test_survivors_in_order(spark):
+    """DOI groups first, then title groups, each by first arrival."""
+    rows = [(0, None, "B", "", []), (1, "d2", "C", "", []), (2, None, "A", "", []), (3, "d1", "D", "", []), (4, "d2", "E", "", [])]
+    out = DD.survivor_order(DD.dedupe_papers(spark.createDataFrame(rows, SCHEMA))).collect()
+    assert [(r["group_kind"], r["seq"]) for r in out] == [("doi", 1), ("doi", 3), ("title", 0), ("title", 2)]
+
+
+def test_loaded_rows_and_topic_lookup(spark):
+    """J2 keeps rows of loaded papers; J4 nulls a topic the table lacks; M2's rejects."""
+    from scriptorium.operators import marts as M
+    papers = spark.createDataFrame([("d1",)], "doi string")
+    rows = spark.createDataFrame([("d1", "k"), ("d9", "k"), (None, "k")], "doi string, author_key string")
+    assert [r["doi"] for r in M.loaded(rows, papers).collect()] == ["d1"]
+    results = spark.createDataFrame(
+        [(0, "d1", 3, [], [0.5]), (1, "d2", 9, [], [0.5]), (2, None, 3, [], [])],
+        "seq long, doi string, cluster_id int, predicted_multi_labels array<string>, topic_distribution array<double>"
+    ).selectExpr("*", "cast(null as string) as cluster_label")
+    topics = spark.createDataFrame([(3,)], "topic_id int")
+    got = {r["doi"]: r["primary_topic_id"] for r in M.interactions(results, topics).collect()}
+    assert got == {"d1": 3, "d2": None}
+    assert [r["seq"] for r in M.rejected_papers(results).collect()] == [2]
