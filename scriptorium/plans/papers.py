@@ -132,16 +132,20 @@ def page_info_frame(spark, info: PageInfo) -> DataFrame:
 def label_topics(interaction: DataFrame, topic: DataFrame) -> DataFrame:
     """Per paper, the topics named by its multi-labels, in label order:
     X8 parses the id, unknown ids and unparsable labels are skipped.
-    Returns (paper_id, topic_ids, topic_names)."""
-    t = topic.select("topic_id", "name")
+    Returns (paper_id, topic_ids, topic_names) and, when ``topic`` has keywords,
+    topic_keywords (each topic's keywords joined by ', ')."""
+    with_keywords = "keywords" in topic.columns
+    t = topic.select("topic_id", "name", *([F.array_join("keywords", ", ").alias("kw")] if with_keywords else []))
+    parts = ["i", "topic_id", "name"] + ["kw"] * with_keywords
     ex = (interaction.select("paper_id", F.posexplode_outer("predicted_multi_labels").alias("i", "label"))
           .filter(F.col("i").isNotNull())
           .withColumn("topic_id", X.label_topic_id("label"))
           .filter(F.col("topic_id").isNotNull())
           .join(t, "topic_id"))
     return (ex.groupBy("paper_id")
-            .agg(F.sort_array(F.collect_list(F.struct("i", "topic_id", "name"))).alias("_t"))
-            .select("paper_id", F.col("_t.topic_id").alias("topic_ids"), F.col("_t.name").alias("topic_names")))
+            .agg(F.sort_array(F.collect_list(F.struct(*parts))).alias("_t"))
+            .select("paper_id", F.col("_t.topic_id").alias("topic_ids"), F.col("_t.name").alias("topic_names"),
+                    *([F.col("_t.kw").alias("topic_keywords")] if with_keywords else [])))
 
 
 def with_authors(papers: DataFrame, bridge: DataFrame, authors: DataFrame) -> DataFrame:
@@ -179,6 +183,7 @@ def paper_cards(papers: DataFrame, bridge: DataFrame, authors: DataFrame, intera
            .select(F.col("paper_id").alias("id"), "title", "year",
                    F.coalesce("topic_ids", F.array().cast("array<int>")).alias("topic_ids"),
                    F.coalesce("topic_names", F.array().cast("array<string>")).alias("topic_names"),
+                   F.coalesce("topic_keywords", F.array().cast("array<string>")).alias("topic_keywords"),
                    "authors", "citation_count", "doi"))
     return out, info
 
@@ -248,3 +253,28 @@ def paper_detail(papers: DataFrame, bridge: DataFrame, authors: DataFrame, inter
     d = with_authors(p, bridge, authors)
     t = label_topics(interaction.join(p.select("paper_id"), "paper_id", "left_semi"), topic)
     return d.join(t, "paper_id", "left")
+
+
+def chart_arrays(chart: DataFrame, key: str) -> DataFrame:
+    """A chart's rows as two arrays per key, best first: at most ``TOP_TOPICS`` each."""
+    return (chart.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("rank", "subject", "probability"))).alias("_c"))
+            .select(key, F.col("_c.subject").alias("chart_subjects"), F.col("_c.probability").alias("chart_probabilities")))
+
+
+def paper_record(papers: DataFrame, bridge: DataFrame, authors: DataFrame, interaction: DataFrame,
+                 topic: DataFrame, paper_id=None) -> DataFrame:
+    """Q2, the full record: the paper's own fields, its authors with id and
+    institution, its label topics with keywords, and its chart. All papers, or one
+    id (an empty result means not found)."""
+    p = papers if paper_id is None else papers.filter(F.col("paper_id") == F.lit(paper_id))
+    ids = p.select("paper_id")
+    mine = interaction if paper_id is None else interaction.join(ids, "paper_id", "left_semi")
+    empty, none = F.array().cast("array<string>"), F.array().cast("array<double>")
+    out = (with_authors(p, bridge, authors).join(label_topics(mine, topic), "paper_id", "left")
+           .join(chart_arrays(detail_chart(mine, topic), "paper_id"), "paper_id", "left"))
+    return out.select("paper_id", "doi", "title", "abstract", "year", "venue", "url", "citation_count", "author_ids", "authors",
+                      "author_institutions", F.coalesce("topic_ids", F.array().cast("array<int>")).alias("topic_ids"),
+                      F.coalesce("topic_names", empty).alias("topic_names"),
+                      F.coalesce("topic_keywords", empty).alias("topic_keywords"),
+                      F.coalesce("chart_subjects", empty).alias("chart_subjects"),
+                      F.coalesce("chart_probabilities", none).alias("chart_probabilities"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as X
+from scriptorium.plans.papers import chart_arrays
 
 TOP_TOPICS = 6
 
@@ -48,7 +49,15 @@ def author_profile(bridge: DataFrame, interaction: DataFrame, topic: DataFrame,
             .select("author_id", "rank", "topic_id", "subject", X.round4("prob").alias("probability")))
 
 
-def author_detail(authors: DataFrame, bridge: DataFrame, papers: DataFrame, author_id=None) -> DataFrame:
-    """Q3 / F8: author fields with totals; one id is a filter (empty = not found)."""
-    a = authors if author_id is None else authors.filter(F.col("author_id") == F.lit(author_id))
-    return a.join(author_totals(a, bridge, papers), "author_id")
+def author_record(authors: DataFrame, bridge: DataFrame, papers: DataFrame, interaction: DataFrame, topic: DataFrame,
+                  author_id=None) -> DataFrame:
+    """Q3 / F8, the full record: id, external id, name, institution, faculty, totals
+    and chart; one id is a filter (empty = not found)."""
+    a, own = authors, bridge
+    if author_id is not None:
+        a, own = (x.filter(F.col("author_id") == F.lit(author_id)) for x in (authors, bridge))
+    chart = chart_arrays(author_profile(own, interaction, topic), "author_id")
+    return (a.join(author_totals(a, own, papers), "author_id").join(chart, "author_id", "left")
+            .select("author_id", "openalex_id", "name", "institution", "faculty", "total_papers", "total_citations",
+                    F.coalesce("chart_subjects", F.array().cast("array<string>")).alias("chart_subjects"),
+                    F.coalesce("chart_probabilities", F.array().cast("array<double>")).alias("chart_probabilities")))

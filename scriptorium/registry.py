@@ -400,7 +400,8 @@ def q_home_collaborators(spark, d):
 # ------------------------------------------------------------------ papers
 
 _LABEL_TOPICS_SQL = """
-    select paper_id, list(t.topic_id order by i) as ids, list(t.name order by i) as nm
+    select paper_id, list(t.topic_id order by i) as ids, list(t.name order by i) as nm,
+           list(array_to_string(t.keywords, ', ') order by i) as kw
     from (select paper_id, generate_subscripts(predicted_multi_labels, 1) as i,
                  unnest(predicted_multi_labels) as label from f_interaction) x
     join f_topic t on t.topic_id = try_cast(trim(replace(split_part(label, ':', 1), 'Topic ', '')) as int)
@@ -414,7 +415,8 @@ _AUTHORS_OF_SQL = """
 def _cards_sql(where: str, page_no: int, size: int = 12) -> str:
     return with_views(f"""
     select p.paper_id as id, p.title, p.year, coalesce(lt.ids, []) as topic_ids,
-           coalesce(lt.nm, []) as topic_names, coalesce(au.names, []) as authors, p.citation_count, p.doi
+           coalesce(lt.nm, []) as topic_names, coalesce(lt.kw, []) as topic_keywords,
+           coalesce(au.names, []) as authors, p.citation_count, p.doi
     from (select * from f_paper p {where}
           order by year desc nulls first, citation_count desc nulls first, paper_id
           limit {size} offset {(page_no - 1) * size}) p
@@ -457,7 +459,8 @@ def _filtered_pages_sql() -> str:
 
 @register("paper_cards_filtered", with_views(f"""
     select p.paper_id as id, p.title, p.year, coalesce(lt.ids, []) as topic_ids,
-           coalesce(lt.nm, []) as topic_names, coalesce(au.names, []) as authors, p.citation_count, p.doi
+           coalesce(lt.nm, []) as topic_names, coalesce(lt.kw, []) as topic_keywords,
+           coalesce(au.names, []) as authors, p.citation_count, p.doi
     from (select *, row_number() over (order by year desc nulls first, citation_count desc nulls first, paper_id)
                     as rn
           from f_paper p {_FILTERED_WHERE}) p
@@ -559,6 +562,50 @@ def q_paper_detail(spark, d):
     return out.select("paper_id", "doi", "title", "year", "citation_count", "authors", "topic_ids", "topic_names")
 
 
+_AUTHOR_ROWS_SQL = """
+    select pa.paper_id, list(a.author_id order by a.author_id) as ids, list(a.name order by a.author_id) as names,
+           list(a.institution order by a.author_id) as inst
+    from f_paper_author pa join f_author a using (author_id) group by 1"""
+_PAPER_RECORD_SQL = """
+    select p.paper_id, p.doi, p.title, 'About ' || p.title as abstract, p.year, split_part(p.title, ' order ', 1) as venue,
+           '' as url, p.citation_count, coalesce(au.ids, []) as author_ids, coalesce(au.names, []) as authors,
+           coalesce(au.inst, []) as author_institutions, coalesce(lt.ids, []) as topic_ids,
+           coalesce(lt.nm, []) as topic_names, coalesce(lt.kw, []) as topic_keywords,
+           coalesce(ch.s, []) as chart_subjects, coalesce(ch.p, []) as chart_probabilities
+    from f_paper p left join au using (paper_id) left join lt using (paper_id)
+    left join (select paper_id, list(subject order by rank) as s, list(probability order by rank) as p
+               from dc group by 1) ch using (paper_id)"""
+_RECORD_EXTRA = {"au": _AUTHOR_ROWS_SQL, "lt": _LABEL_TOPICS_SQL, "dc": _DETAIL_CHART_SQL}
+
+
+def _paper_record(spark, d, paper_id=None):
+    own = B.papers(spark, d).withColumns({"abstract": F.concat(F.lit("About "), "title"),
+                                          "venue": F.split_part("title", F.lit(" order "), F.lit(1)), "url": F.lit("")})
+    return P.paper_record(own, B.paper_authors(spark, d), B.authors(spark, d), B.interactions(spark, d),
+                          B.topics(spark, d), paper_id)
+
+
+@register("paper_detail_full", with_views(_PAPER_RECORD_SQL, *_NET_VIEWS, extra=_RECORD_EXTRA))
+def q_paper_detail_full(spark, d):
+    return _paper_record(spark, d)
+
+
+@register("paper_detail_one", with_views(_PAPER_RECORD_SQL + " where p.paper_id = 7", *_NET_VIEWS, extra=_RECORD_EXTRA))
+def q_paper_detail_one(spark, d):
+    return _paper_record(spark, d, 7)
+
+
+@register("paper_cards_last", with_views("""
+    select p.paper_id as id, p.title, p.year, coalesce(lt.ids, []) as topic_ids, coalesce(lt.nm, []) as topic_names,
+           coalesce(lt.kw, []) as topic_keywords, coalesce(au.names, []) as authors, p.citation_count, p.doi
+    from (select *, row_number() over (order by year desc nulls first, citation_count desc nulls first, paper_id) as rn
+          from f_paper) p left join au using (paper_id) left join lt using (paper_id)
+    where rn > ((select count(*) from f_paper) - 1) // 12 * 12""",
+                                         *_NET_VIEWS, extra={"au": _AUTHORS_OF_SQL, "lt": _LABEL_TOPICS_SQL}))
+def q_paper_cards_last(spark, d):
+    return _cards(spark, d, number=999999, size=12)[0]
+
+
 # ---------------------------------------------------------------- profiles
 
 @register("author_totals", with_views("""
@@ -570,7 +617,7 @@ def q_author_totals(spark, d):
     return R.author_totals(B.authors(spark, d), B.paper_authors(spark, d), B.papers(spark, d))
 
 
-@register("author_profile", with_views("""
+_AUTHOR_PROFILE_SQL = """
     select r.author_id, r.rank, r.topic_id, t.name as subject, round(r.total / n.n, 4) as probability
     from (select *, row_number() over (partition by author_id order by total desc, topic_id) as rank
           from (select author_id, idx - 1 as topic_id, sum(p) as total
@@ -582,11 +629,29 @@ def q_author_totals(spark, d):
     join (select pa.author_id, count(*) as n from f_paper_author pa join f_interaction i using (paper_id)
           where len(i.topic_distribution) > 0 group by 1) n using (author_id)
     join f_topic t on t.topic_id = r.topic_id
-    where r.rank <= 6 and r.total > 0""", *_NET_VIEWS))
+    where r.rank <= 6 and r.total > 0"""
+
+
+@register("author_profile", with_views(_AUTHOR_PROFILE_SQL, *_NET_VIEWS))
 def q_author_profile(spark, d):
     return R.author_profile(B.paper_authors(spark, d), B.interactions(spark, d), B.topic_names(spark, d))
 
 
+@register("author_detail", with_views("""
+    select a.author_id, case when a.author_id % 7 = 0 then null else 'A' || a.author_id end as openalex_id, a.name,
+           a.institution, a.faculty, coalesce(c.n, 0) as total_papers, cast(coalesce(c.s, 0) as bigint) as total_citations,
+           coalesce(ch.s, []) as chart_subjects, coalesce(ch.p, []) as chart_probabilities
+    from f_author a
+    left join (select author_id, count(*) as n, sum(coalesce(citation_count, 0)) as s
+               from f_paper_author join f_paper using (paper_id) group by 1) c using (author_id)
+    left join (select author_id, list(subject order by rank) as s, list(probability order by rank) as p
+               from ap group by 1) ch using (author_id)""", *_NET_VIEWS, extra={"ap": _AUTHOR_PROFILE_SQL}))
+def q_author_detail(spark, d):
+    a = B.authors(spark, d).withColumn("openalex_id", F.when(F.col("author_id") % 7 != 0, F.concat(
+        F.lit("A"), F.col("author_id").cast("string"))))
+    return R.author_record(a, B.paper_authors(spark, d), B.papers(spark, d), B.interactions(spark, d), B.topic_names(spark, d))
+
+
 # ------------------------------------------------------- text and ingest
 
 from scriptorium.functions import text as X  # noqa: E402
@@ -1127,3 +1192,95 @@ def q_enrich(spark, d):
     out = T.enrich(papers, assign, labels)
     return out.select("seq", "cluster_id", "cluster_label", "predicted_multi_labels", "topic_keywords",
                       F.transform("topic_distribution", lambda x: F.round(x, 6)).alias("topic_distribution"))
+
+
+# ------------------------------------------------------- the composed batch run
+
+from scriptorium.plans import batch as BATCH  # noqa: E402
+
+_BATCH_SQL = {
+    "disp": _DISPLAY_SQL, "ca": _CLEAN_AUTHORS_SQL,
+    "bc": f"""select doc_id as seq, md5(text) as doi,
+                     {clean_text_sql("case when doc_id % 17 = 0 then '(No Title)' else split_part(text, chr(10), 1) end")}
+                         as title,
+                     case when doc_id % 4 = 0 then '' else {clean_text_sql('text')} end as abstract,
+                     cast(2000 + doc_id % 25 as int) as year, source as venue, cast(n_chars % 100 as int) as citation_count
+              from documents where doc_id % 3 <> 0""",
+    "bg": """select doi, min(seq) as seq, count(*) as n,
+                    coalesce(arg_min(abstract, seq) filter (where abstract <> ''), '') as abstract from bc group by 1""",
+    "bp": r"""select * from (
+                select g.seq, g.doi, c.title, g.abstract, c.year, c.venue, c.citation_count, g.n,
+                       regexp_replace(c.title || '. ' || g.abstract, '^[\s\x0B\x1C-\x1F\x85\pZ]+|[\s\x0B\x1C-\x1F\x85\pZ]+$',
+                                      '', 'g') as doc
+                from bg g join bc c using (seq)) x where length(doc) >= 10""",
+    "bas": """select g.seq, a.name, a.openalex_id, a.pos as o, coalesce(nullif(a.openalex_id, ''), lower(a.name)) as author_key
+              from bp g join ca a on a.doc_id = g.seq where g.n = 1
+              union all
+              select g.seq, arg_min(a.name, c.seq * 100000 + a.pos), arg_min(struct_pack(v := a.openalex_id), c.seq * 100000 + a.pos).v,
+                     min(c.seq * 100000 + a.pos), coalesce(nullif(a.openalex_id, ''), lower(a.name))
+              from bp g join bc c using (doi) join ca a on a.doc_id = c.seq where g.n > 1
+              group by g.seq, coalesce(nullif(a.openalex_id, ''), lower(a.name))""",
+    **_REASSIGN_SQL,
+    "ba": """select p.seq, p.doi, p.doc,
+                    coalesce(case when v.topic_id = -1 and b.s >= 0.5 then b.best_topic else v.topic_id end, -1) as topic_id
+             from bp p left join f_vec v on v.vec_id = p.seq left join best b on b.vec_id = p.seq""",
+    "kept": f"""select topic_id, seq, list_filter(regexp_extract_all(lower(doc), '{_RE_TOKEN}'),
+                                                   lambda t: not list_contains({stop_words_sql()}, t)) as k from ba""",
+    **{k: v for k, v in _TERMS_SQL.items() if k in ("terms", "pc", "aa", "pt", "sc")},
+    "ids": "select distinct topic_id from ba where topic_id <> -1",
+    "kw": _TERMS_SQL["kw"],
+}
+
+
+def _batch_sql(body: str) -> str:
+    return with_views(body, "f_vec", "f_author", extra=_BATCH_SQL)
+
+
+def _batch(spark, d):
+    return BATCH.marts(BATCH.results(B.raw_works(spark, d), B.vectors(spark, d)), B.roster(spark, d), HOME)
+
+
+@register("batch_paper_dim", _batch_sql("""
+    select doi, title, year, abstract, citation_count, venue, '' as url from bp"""))
+def q_batch_paper_dim(spark, d):
+    return _batch(spark, d).papers
+
+
+@register("batch_topic_dim", _batch_sql("""
+    select t.topic_id, case when t.topic_id = -1 then 'Outlier / Noise'
+                            else array_to_string(list_slice(k.keywords, 1, 5), ', ') end as name,
+           coalesce(k.keywords, cast([] as varchar[])) as keywords
+    from (select distinct topic_id from ba) t left join kw k using (topic_id)"""))
+def q_batch_topic_dim(spark, d):
+    return _batch(spark, d).topics
+
+
+@register("batch_yearly_topic_stat", _batch_sql("""
+    select p.year, a.topic_id, count(*) as total_papers from bp p join ba a using (seq) group by 1, 2"""))
+def q_batch_yearly_topic_stat(spark, d):
+    return _batch(spark, d).yearly_topic_stat
+
+
+@register("batch_author_dim", _batch_sql(f"""
+    select x.author_key, x.openalex_id, x.name, f.faculty,
+           case when coalesce(f.faculty, '') <> '' then 'Home University' else 'External' end as institution,
+           cast(null as varchar) as email
+    from (select author_key, arg_min(name, seq * 1e9 + o) as name,
+                 arg_min(struct_pack(v := openalex_id), seq * 1e9 + o).v as openalex_id from bas group by 1) x
+    left join (select lower(name) as name_key, arg_max(faculty, seq) as faculty from ({_ROSTER_SQL}) r group by 1) f
+           on lower(x.name) = f.name_key"""))
+def q_batch_author_dim(spark, d):
+    return _batch(spark, d).authors
+
+
+@register("batch_coauthor_edges", _batch_sql("""
+    select a.author_key as author_a, b.author_key as author_b, count(*) as weight
+    from (select distinct seq, author_key from bas) a
+    join (select distinct seq, author_key from bas) b on a.seq = b.seq and a.author_key < b.author_key group by 1, 2"""))
+def q_batch_coauthor_edges(spark, d):
+    return _batch(spark, d).coauthor_edges
+
+
+@register("batch_interactions", _batch_sql("select doi, topic_id as primary_topic_id from ba"))
+def q_batch_interactions(spark, d):
+    return _batch(spark, d).interactions.select("doi", "primary_topic_id")
