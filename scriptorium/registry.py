@@ -514,7 +514,8 @@ def q_paper_detail_topics(spark, d):
 
 
 _DETAIL_CHART_SQL = """
-    select paper_id, rank, topic_id, t.name as subject, round(prob, 4) as probability
+    select paper_id, cast(rank as int) as rank, cast(topic_id as int) as topic_id, t.name as subject,
+           round(prob, 4) as probability
     from (select paper_id, topic_id, prob,
                  row_number() over (partition by paper_id order by prob desc, topic_id) as rank
           from (select paper_id, generate_subscripts(topic_distribution, 1) - 1 as topic_id,
@@ -530,7 +531,7 @@ def q_paper_detail_chart(spark, d):
 
 
 @register("chart_profile", with_views("""
-    select paper_id, rank, topic_id, subject, probability, chart_rank, cast(round(probability * 100) as int) as percent
+    select paper_id, rank, topic_id, subject, probability, cast(chart_rank as int) as chart_rank, cast(round(probability * 100) as int) as percent
     from (select *, row_number() over (partition by paper_id order by probability desc, rank) as chart_rank
           from dc where probability > 0.02) x
     where chart_rank <= 6""", *_NET_VIEWS, extra={"dc": _DETAIL_CHART_SQL}))
@@ -540,10 +541,9 @@ def q_chart_profile(spark, d):
 
 @register("home_first", with_views("""
     select paper_id, pos, author_id, name, institution,
-           row_number() over (partition by paper_id
-                              order by (institution is not distinct from 'Home University') desc, pos,
-                                       author_id) - 1
-               as display_pos
+           cast(row_number() over (partition by paper_id
+                                   order by (institution is not distinct from 'Home University') desc, pos,
+                                            author_id) - 1 as int) as display_pos
     from f_authorship join f_author using (author_id)""", "f_authorship", "f_author"))
 def q_home_first(spark, d):
     rows = B.authorships(spark, d).join(B.authors(spark, d), "author_id").select("paper_id", "pos", "author_id",
@@ -618,7 +618,7 @@ def q_author_totals(spark, d):
 
 
 _AUTHOR_PROFILE_SQL = """
-    select r.author_id, r.rank, r.topic_id, t.name as subject, round(r.total / n.n, 4) as probability
+    select r.author_id, cast(r.rank as int) as rank, cast(r.topic_id as int) as topic_id, t.name as subject, round(r.total / n.n, 4) as probability
     from (select *, row_number() over (partition by author_id order by total desc, topic_id) as rank
           from (select author_id, idx - 1 as topic_id, sum(p) as total
                 from (select pa.author_id, unnest(i.topic_distribution) as p,
@@ -716,7 +716,7 @@ def q_clean_papers(spark, d):
 
 
 @register("flatten_authors", with_views(f"""
-    select doc_id, generate_subscripts(names, 1) - 1 as pos, unnest(names) as name, unnest(ids) as openalex_id
+    select doc_id, cast(generate_subscripts(names, 1) - 1 as int) as pos, unnest(names) as name, unnest(ids) as openalex_id
     from (select doc_id, list({clean_text_sql('disp')} order by lpos, oid nulls first, disp) as names,
                  list(oid order by lpos, oid nulls first, disp) as ids
           from disp where disp <> '' and doc_id in (select doc_id from documents) group by 1) x""",
@@ -769,7 +769,7 @@ def _works(spark, d):
 
 def _cap_sql(n: int) -> str:
     return f"""
-    select author, work_id, rank from (
+    select author, work_id, cast(rank as int) as rank from (
         select l_suppkey as author, l_orderkey * 10 + l_linenumber as work_id,
                row_number() over (partition by l_suppkey order by l_shipdate desc nulls last,
                                   l_orderkey * 10 + l_linenumber) as rank
@@ -1029,7 +1029,7 @@ def q_multi_labels(spark, d):
 
 
 @register("label_parts", with_views("""
-    select paper_id, i, label,
+    select paper_id, cast(i as int) as i, label,
            case when strpos(label, ': ') > 0 then substr(label, strpos(label, ': ') + 2) else label end as name,
            try_cast(trim(replace(split_part(label, ':', 1), 'Topic ', '')) as int) as topic_id
     from (select paper_id, generate_subscripts(predicted_multi_labels, 1) - 1 as i,
