@@ -5,9 +5,12 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.session import cut_lineage
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -24,6 +27,35 @@ def slots(df_or_spark) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Rows of an Arrow batch of texts. Spark's default of 10,000 is made for narrow rows.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def texts(df: DataFrame) -> DataFrame:
+    """``df``, to be sent to Python in batches of ``BATCH_ROWS`` unless the session
+    says otherwise: texts are long, and a batch is held several times over."""
+    if df.sparkSession.conf.get(_BATCH) == "10000":
+        df.sparkSession.conf.set(_BATCH, str(BATCH_ROWS))
+    return df
+
+
+def tidy(run):
+    """A batch function that hands Arrow's unused buffers back when its task ends: a
+    worker process lives on for the next task."""
+    def until_the_end(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+    return until_the_end
+
+
+def keep_narrow(df: DataFrame) -> DataFrame:
+    """Checkpoint a table of ids and numbers. It is far smaller than the texts it
+    stands for, so it is written in an eighth of the shuffle's partitions: fewer
+    files to create and to list."""
+    return cut_lineage(df.coalesce(max(1, slots(df) // 8)))
+
+
 #: Rows of a narrow id table up to which it is broadcast: about 16 MB sent, 64 MB as a hash table.
 BROADCAST_IDS = 1_000_000
 

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.session import cut_lineage
+from scriptorium.llm.common import keep_narrow
 
 
 def roots(pairs) -> dict:
@@ -47,10 +47,10 @@ def components(links: DataFrame) -> DataFrame:
     per linked node: node, component (the smallest node reachable). An empty
     table of links gives an empty table."""
     forest = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b")
-    forest = cut_lineage(forest.mapInPandas(_contract, "a long, b long").distinct())
+    forest = keep_narrow(forest.mapInPandas(_contract, "a long, b long").distinct())
     both = forest.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(
         forest.select(F.col("b").alias("node"), F.col("a").alias("other")))
-    labels = cut_lineage(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("component")))
+    labels = keep_narrow(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("component")))
     while True:
         heard = (both.join(labels.withColumnRenamed("node", "other"), "other")
                  .groupBy("node").agg(F.min("component").alias("heard")))
@@ -58,7 +58,7 @@ def components(links: DataFrame) -> DataFrame:
                                                  F.col("component").alias("old"))
         # Pointer jumping: a label is itself a node; take that node's label.
         jump = told.join(labels.select(F.col("node").alias("label"), F.col("component").alias("far")), "label", "left")
-        step = cut_lineage(jump.select("node", F.least("label", F.coalesce("far", "label")).alias("component"),
+        step = keep_narrow(jump.select("node", F.least("label", F.coalesce("far", "label")).alias("component"),
                                        (F.col("old") != F.least("label", F.coalesce("far", "label"))).alias("moved")))
         labels = step.select("node", "component")
         if not step.filter("moved").take(1):

@@ -13,8 +13,9 @@ paired up. Candidates are confirmed on full shingle sets (64-bit fingerprints):
 
 1. every class against the most central class it meets in any table, and
    the components of what is confirmed;
-2. what still meets across components: a class against all of a large component
-   in blocks, or pair by pair where components are small.
+2. what still meets across components: where a large component stands in a table,
+   the other classes there against all of it and each other, in blocks; where all
+   are small, pair by pair.
 
 So no table's members are expanded into all pairs, and every candidate pair is
 either confirmed, refuted, or inside one component already.
@@ -34,8 +35,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import drop_ids, mix64, shingle_set, small_side, table
-from scriptorium.llm.components import components
+from scriptorium.llm.common import drop_ids, keep_narrow, mix64, shingle_set, small_side, table, texts, tidy
+from scriptorium.llm.components import components, roots
 from scriptorium.session import cut_lineage
 
 SIDE, DEPTH = 20, 4
@@ -89,7 +90,7 @@ def _sign(words: int):
                     ids, sets, load = [], [], 0
             if ids:
                 yield flush(ids, sets)
-    return run
+    return tidy(run)
 
 
 def _sets(words: int):
@@ -97,7 +98,7 @@ def _sets(words: int):
         for pdf in batches:
             yield pd.DataFrame({"node": pdf["doc_id"],
                                 "shingles": [shingle_set(t.encode(), words).tobytes() for t in pdf["text"]]})
-    return run
+    return tidy(run)
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -114,7 +115,7 @@ def _confirm(percent: int):
             ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)
                   for x, y in zip(pdf["left"], pdf["right"], strict=True)]
             yield pdf.loc[ok, ["a", "b"]]
-    return run
+    return tidy(run)
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -128,10 +129,10 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _against_block(percent: int):
     def run(members: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        links: list[tuple[int, int]] = []
         if len(members) and len(others):
             sets = [np.frombuffer(x, np.uint64) for x in members["shingles"]]
-            sizes = np.array([len(s) for s in sets])
+            sizes, nodes, inside = np.array([len(s) for s in sets]), members["node"].to_numpy(), members["inside"].to_numpy(bool)
             flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
             order = np.argsort(flat, kind="stable")
             flat, owner = flat[order], owner[order]
@@ -141,27 +142,32 @@ def _against_block(percent: int):
                 n = hi - lo
                 at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
                 both = np.bincount(owner[at], minlength=len(sets))
-                hit = np.flatnonzero(100 * both >= percent * (len(s) + sizes - both))
-                if len(hit):  # one link joins it to the whole component
-                    out.append((node, int(members["node"].iloc[hit[0]])))
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+                hit = (100 * both >= percent * (len(s) + sizes - both)) & (nodes != node)
+                links += [(node, int(m)) for m in nodes[hit & inside][:1]]  # one joins it to the whole component
+                links += [(node, int(m)) for m in nodes[hit & ~inside]]
+        forest = [(r, n) for n, r in roots(links).items() if r != n]
+        return pd.DataFrame(forest, columns=["a", "b"]).astype("int64")
     return run
 
 
 def against_components(tasks: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``tasks`` (node, component): a link between the node and some member of the
-    component, found by comparing it with every member. Members come in blocks of
-    ``BLOCK``, and so do the nodes that meet one component."""
-    n_members = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    """``tasks`` (node, component): links that join the node to the component, or to
+    another node with a task for it, found by comparing it with every one of them.
+    They come in blocks of ``BLOCK``, and so do the nodes; a pair of blocks gives a
+    spanning forest of its links."""
+    whole = members.join(tasks.select("component").distinct(), "component", "left_semi").select(
+        "component", "node", F.lit(True).alias("inside")).unionByName(
+        tasks.select("component", "node", F.lit(False).alias("inside")))
+    n_members = whole.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     n_tasks = tasks.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-    shape = cut_lineage(n_members.join(n_tasks, "component"))
+    shape = keep_narrow(n_members.join(n_tasks, "component"))
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    left = (members.join(shape, "component").join(sets, "node")
+    left = (whole.join(shape, "component").join(sets, "node")
             .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("part", upto("parts")))
     right = (tasks.join(shape, "component").join(sets, "node")
              .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("block", upto("blocks")))
     left = left.select("component", F.col("block").cast("int").alias("block"), F.col("part").cast("int").alias("part"),
-                       "node", "shingles")
+                       "node", "inside", "shingles")
     right = right.select(F.col("component").alias("of"), F.col("block").cast("int").alias("to_block"),
                          F.col("part").cast("int").alias("in_part"), F.col("node").alias("other"),
                          F.col("shingles").alias("theirs"))
@@ -191,23 +197,23 @@ def table_rows(classes: DataFrame) -> DataFrame:
 
 def near_components(docs: DataFrame, words: int = 4, percent: int = SIMILARITY) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    docs = texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     sig = cut_lineage(docs.mapInPandas(_sign(words),
                                        "doc_id long, n_shingles long, set_id binary, halves array<long>"))
     named = sig.filter("n_shingles > 0 and doc_id is not null")
-    reps = cut_lineage(named.groupBy("set_id").agg(F.min("doc_id").alias("node")))
+    reps = keep_narrow(named.groupBy("set_id").agg(F.min("doc_id").alias("node")))
     classes = named.join(reps.withColumnRenamed("node", "doc_id"), ["doc_id", "set_id"], "left_semi").select(
         F.col("doc_id").alias("node"), "halves")
     rows = table_rows(classes)
 
     # The score orders classes by the tables they share; it also names the class.
     score = F.shiftleft(F.count(F.lit(1)), 40) + F.xxhash64("node").bitwiseAND(F.lit((1 << 40) - 1))
-    scores = cut_lineage(rows.groupBy("node").agg(score.alias("score")))
+    scores = keep_narrow(rows.groupBy("node").agg(score.alias("score")))
     wanted = small_side(scores.select(F.col("node").alias("doc_id")))
     sets = cut_lineage(docs.join(wanted, "doc_id", "left_semi")
                        .filter("text is not null").mapInPandas(_sets(words), "node long, shingles binary"))
     scored = cut_lineage(rows.join(scores, "node"))
-    best = (scored.join(cut_lineage(scored.groupBy("key").agg(F.max("score").alias("top"))), "key")
+    best = (scored.join(keep_narrow(scored.groupBy("key").agg(F.max("score").alias("top"))), "key")
             .groupBy("node", "score").agg(F.max("top").alias("top")).filter("top > score"))
     first = best.select(F.col("node").alias("b"), "top").join(
         scores.select(F.col("node").alias("a"), F.col("score").alias("top")), "top").select("a", "b")
@@ -215,24 +221,24 @@ def near_components(docs: DataFrame, words: int = 4, percent: int = SIMILARITY)
     joined = components(links)
 
     # What meets across components.
-    member = cut_lineage(scores.select("node").join(joined, "node", "left")
+    member = keep_narrow(scores.select("node").join(joined, "node", "left")
                          .select("node", F.coalesce("component", "node").alias("component")))
     size = member.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    member = cut_lineage(member.join(size, "component"))
+    member = keep_narrow(member.join(size, "component"))
     seen = cut_lineage(rows.join(member, "node"))
     weight = F.shiftleft(F.col("size"), 32) + F.xxhash64("component").bitwiseAND(F.lit((1 << 32) - 1))
-    mixed = cut_lineage(seen.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
+    mixed = keep_narrow(seen.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
                                                 F.max(weight).alias("heavy")).filter("lo < hi").select("key", "heavy"))
     seen = cut_lineage(seen.join(mixed, "key").withColumn("in_heavy", weight == F.col("heavy")))
     large = (F.shiftright(F.col("heavy"), 32) > SMALL)
-    heavy = cut_lineage(member.select("component", weight.alias("heavy")).distinct())
-    tasks = cut_lineage(seen.filter(~F.col("in_heavy") & large).select("node", "heavy").distinct()
+    heavy = keep_narrow(member.select("component", weight.alias("heavy")).distinct())
+    tasks = keep_narrow(seen.filter(~F.col("in_heavy") & large).select("node", "heavy").distinct()
                         .join(heavy, "heavy").select("node", "component"))
     more = against_components(tasks, member.select("node", "component"), sets, percent)
 
-    # Pairs of the rest, each made in the first table the two share only.
+    # Where no large component stands in a table: pairs, each in the first table the two share only.
     lists = classes.select("node", F.transform("halves", lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("hashes"))
-    rest = seen.filter(~F.col("in_heavy") | ~large).select("key", "node", "component", "g", "h").join(lists, "node")
+    rest = seen.filter(~large).select("key", "node", "component", "g", "h").join(lists, "node")
     rest = cut_lineage(rest.select("key", "node", "component", F.expr("slice(hashes, 1, g)").alias("gs"),
                                    F.expr(f"slice(hashes, {SIDE} + 1, h)").alias("hs")))
     x, y = rest.alias("x"), rest.alias("y")
@@ -252,7 +258,7 @@ def near_components(docs: DataFrame, words: int = 4, percent: int = SIMILARITY)
 
 def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = SIMILARITY) -> DataFrame:
     """One document of each group of near copies: the one of smallest id."""
-    gone = cut_lineage(near_components(docs, words, percent).filter("not kept").select("doc_id").distinct())
+    gone = keep_narrow(near_components(docs, words, percent).filter("not kept").select("doc_id").distinct())
     return drop_ids(docs, gone)
 
 
