@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import mix64, table
+from scriptorium.llm.common import keep_narrow, mix64, table
 from scriptorium.llm.components import components, roots
 from scriptorium.session import cut_lineage
 
@@ -146,7 +146,7 @@ def near_components(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
             .withColumn("sound", F.coalesce(sound, F.lit(False))))
     # 128 bits name a (label, vector)
     rows = rows.withColumns({"h1": F.xxhash64("label", "embedding"), "h2": F.xxhash64(F.lit(1), "embedding", "label")})
-    classes = cut_lineage(rows.filter("sound").groupBy("h1", "h2", "label").agg(
+    classes = keep_narrow(rows.filter("sound").groupBy("h1", "h2", "label").agg(
         F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("many")))
     largest = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     depth, tables = shape(largest, cosine)
@@ -154,7 +154,7 @@ def near_components(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
              .dropDuplicates(["h1", "h2", "vec_id"]).select(F.col("vec_id").alias("node"), "many", "label", "embedding"))
     hashed = cut_lineage(named.mapInPandas(_keys(depth, tables), "node long, many long, embedding array<double>, keys array<long>"))
     entries = hashed.select("node", F.posexplode("keys").alias("t", "key"))
-    shared = cut_lineage(entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"),
+    shared = keep_narrow(entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"),
                                                     F.count(F.lit(1)).alias("size")).filter("lo < hi").select("key", "size"))
     met = entries.join(shared, "key").withColumn("chunks", F.ceil(F.col("size") / BLOCK).cast("int"))
     met = met.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
@@ -169,7 +169,7 @@ def near_components(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         _compare_units(cosine), "node long, n long, root long"))
     counts = done.filter("root is null").groupBy("node").agg(F.sum("n").alias("n"))
     joined = components(done.filter("root is not null").select(F.col("root").alias("a"), F.col("node").alias("b")))
-    known = cut_lineage(classes.join(counts, "node", "left").join(joined, "node", "left").select(
+    known = keep_narrow(classes.join(counts, "node", "left").join(joined, "node", "left").select(
         "h1", "h2", "label", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links"),
         F.coalesce("component", "node").alias("component_id")))
     out = rows.filter("sound").join(known, ["h1", "h2", "label"]).select("vec_id", "n_links", "component_id")

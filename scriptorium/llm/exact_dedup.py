@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import drop_ids, lower_ascii, mix64, small_side, table
+from scriptorium.llm.common import drop_ids, keep_narrow, lower_ascii, mix64, small_side, table, texts, tidy
 from scriptorium.session import cut_lineage
 
 SHARD_KEYS = 1 << 16      # digests a filter shard holds, about
@@ -107,14 +107,14 @@ def _digest(with_body: bool):
             if with_body:
                 out["body"] = bodies
             yield out
-    return run
+    return tidy(run)
 
 
 def keyed(docs: DataFrame, with_body: bool = False) -> DataFrame:
     """doc_id, digest (SHA-256 of the folded text, 32 bytes), key (its first 64
     bits) and, if asked, body (the folded text's bytes)."""
     schema = "doc_id long, digest binary, key long" + ", body binary" * with_body
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_digest(with_body), schema)
+    return texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_digest(with_body), schema)
 
 
 def buckets(rows: DataFrame, *by: str) -> DataFrame:
@@ -156,7 +156,7 @@ def merge_batch(snapshot: DataFrame, incoming: DataFrame) -> DataFrame:
     Incoming buckets that the filters reject are new as they are; positives meet
     the exact buckets."""
     shards = max(1, -(-snapshot.count() // SHARD_KEYS))
-    hits = cut_lineage(screen(incoming, filters(snapshot, shards), shards))
+    hits = keep_narrow(screen(incoming, filters(snapshot, shards), shards))
     met = snapshot.join(hits.select("digest", F.col("keep_id").alias("new_id"), F.col("n").alias("more")),
                         "digest", "left")
     old = met.select("digest", F.greatest("keep_id", "new_id").alias("keep_id"),
@@ -170,7 +170,7 @@ def unequal_texts(docs: DataFrame, groups: DataFrame) -> DataFrame:
     is not that of the row that stays (a digest collision). A large group is
     compared in pieces of ``SALT_ROWS`` rows, each with its own copy of the text
     that stays."""
-    many = cut_lineage(groups.filter("n > 1").select("digest", "keep_id", F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("pieces")))
+    many = keep_narrow(groups.filter("n > 1").select("digest", "keep_id", F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("pieces")))
     members = (keyed(docs, with_body=True).join(small_side(many), "digest")
                .withColumn("piece", F.pmod(F.xxhash64("doc_id"), F.col("pieces"))))
     kept = (members.filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
@@ -188,8 +188,8 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     span = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
     middle = ((span["lo"] or 0) + (span["hi"] or 0)) // 2
     arrived = rows.withColumn("incoming", F.coalesce(F.col("doc_id") > middle, F.lit(False)))
-    both = cut_lineage(buckets(arrived, "incoming"))
-    groups = cut_lineage(merge_batch(both.filter("not incoming").drop("incoming"),
+    both = keep_narrow(buckets(arrived, "incoming"))
+    groups = keep_narrow(merge_batch(both.filter("not incoming").drop("incoming"),
                                      both.filter("incoming").drop("incoming")))
     out = rows.join(groups, "digest").select("doc_id", "digest", "keep_id", F.col("n").alias("group_size"))
     clash = cut_lineage(unequal_texts(docs, groups))
@@ -207,8 +207,8 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     """One row of each group of equal texts: the one of largest id. A row repeated
     under that very id is dropped too."""
     made = exact_dedup(docs)
-    gone = cut_lineage(made.filter("not kept").select("doc_id").distinct())
-    repeated = cut_lineage(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"))
+    gone = keep_narrow(made.filter("not kept").select("doc_id").distinct())
+    repeated = keep_narrow(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"))
     left = drop_ids(docs, gone)
     if not repeated.take(1):
         return left

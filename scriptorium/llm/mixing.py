@@ -29,7 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import table
+from scriptorium.llm.common import keep_narrow, table
 from scriptorium.session import cut_lineage
 
 BLOCKS = 1024             # blocks of a source, and sub-blocks of a block
@@ -132,8 +132,8 @@ def plan(docs: DataFrame, budget: int | None = None, max_repetition: float | Non
     """One row a source: _source, tokens, weight, budget (tokens), epochs (whole
     ones), rest (tokens of the partial epoch) and the cut keys cb, cs, cd."""
     rows = cut_lineage(placed(docs).select("_source", "_doc", "_block", "_sub", n_tokens("text").alias("n")))
-    blocks = cut_lineage(rows.groupBy("_source", "_block").agg(F.sum("n").alias("n")))
-    sources = cut_lineage(blocks.groupBy("_source").agg(F.sum("n").alias("tokens")))
+    blocks = keep_narrow(rows.groupBy("_source", "_block").agg(F.sum("n").alias("n")))
+    sources = keep_narrow(blocks.groupBy("_source").agg(F.sum("n").alias("tokens")))
     full = sources.filter("tokens > 0")
     a = exponent(full, budget, max_repetition, target_entropy)
     top = full.agg(F.max("tokens").alias("most")).first()["most"] or 1
@@ -147,7 +147,7 @@ def plan(docs: DataFrame, budget: int | None = None, max_repetition: float | Non
         made = made.withColumn("budget", F.greatest("budget", "tokens"))
     made = made.withColumn("epochs", F.when(F.col("tokens") > 0, F.expr("budget div tokens"))
                            .otherwise(F.lit(1)).cast("int"))
-    made = cut_lineage(made.withColumn("rest", F.col("budget") - F.when(F.col("tokens") > 0, F.col("epochs") * F.col("tokens"))
+    made = keep_narrow(made.withColumn("rest", F.col("budget") - F.when(F.col("tokens") > 0, F.col("epochs") * F.col("tokens"))
                                        .otherwise(F.col("budget"))))
     # Cut keys, level by level: what precedes the cut in full is summed, what holds it is opened.
     at = made.filter("rest > 0").select("_source", "epochs", "rest")
@@ -157,7 +157,7 @@ def plan(docs: DataFrame, budget: int | None = None, max_repetition: float | Non
     inside = (_open(_open(rows, at, "bk", "cb"), None, "sk", "cs")
               .groupBy("_source", "_doc", "epochs", "rest", "cb", "cs").agg(F.sum("n").alias("n")))
     at = _cut(inside, "dk", "cd", "cb", "cs")
-    return cut_lineage(made.join(at.select("_source", "cb", "cs", "cd"), "_source", "left"))
+    return keep_narrow(made.join(at.select("_source", "cb", "cs", "cd"), "_source", "left"))
 
 
 def _small(sources: DataFrame) -> DataFrame:
@@ -173,7 +173,7 @@ def _cut(parts: DataFrame, key: str, cut: str, *keep: str) -> DataFrame:
     missing |= {"_doc": F.lit("")} if "_doc" not in parts.columns else {}
     run = (parts.withColumns(missing).withColumn(key, keys(F.col("epochs"))[key])
            .withColumn("upto", F.sum("n").over(order)).filter("upto >= rest and upto - n < rest and n > 0"))
-    return cut_lineage(run.select("_source", "epochs", (F.col("rest") - F.col("upto") + F.col("n")).alias("rest"),
+    return keep_narrow(run.select("_source", "epochs", (F.col("rest") - F.col("upto") + F.col("n")).alias("rest"),
                                   F.col(key).alias(cut), *keep))
 
 
@@ -186,19 +186,21 @@ def realise(docs: DataFrame, plan_rows: DataFrame) -> DataFrame:
     """The rows of ``docs`` as often as the plan says, with mix_epoch (from 0),
     mix_block, mix_key (the order inside the epoch: rows of all sources sorted by
     it are the epoch's block permutation), mix_weight and mix_budget."""
-    taken = _small(plan_rows.select("_source", "weight", "budget", "epochs", "cb", "cs", "cd"))
+    own = ("weight", "budget", "epochs", "cb", "cs", "cd")
+    taken = _small(plan_rows.select("_source", *[F.col(c).alias(f"_mix_{c}") for c in own]))
     row = placed(docs).join(taken, "_source")
-    k = keys(F.col("epochs"))
-    last = ((k["bk"] < F.col("cb")) | ((k["bk"] == F.col("cb")) & ((k["sk"] < F.col("cs")) | (
-        (k["sk"] == F.col("cs")) & (k["dk"] <= F.col("cd"))))))
-    times = F.col("epochs") + F.coalesce(last, F.lit(False)).cast("int")
+    cb, cs, cd = (F.col(f"_mix_{c}") for c in ("cb", "cs", "cd"))
+    k = keys(F.col("_mix_epochs"))
+    last = ((k["bk"] < cb) | ((k["bk"] == cb) & ((k["sk"] < cs) | ((k["sk"] == cs) & (k["dk"] <= cd)))))
+    times = F.col("_mix_epochs") + F.coalesce(last, F.lit(False)).cast("int")
     row = (row.withColumn("_n", times).filter("_n > 0")
            .withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))))
     k = keys(F.col("mix_epoch"))
     key = F.concat(F.substring(k["bk"], 1, 12), F.substring(k["sk"], 1, 8), F.substring(k["dk"], 1, 12))
-    row = row.withColumns({"mix_key": key, "mix_block": F.col("_block"), "mix_weight": F.col("weight"),
-                           "mix_budget": F.col("budget")})
-    return row.select(*docs.columns, "mix_epoch", "mix_block", "mix_key", "mix_weight", "mix_budget")
+    row = row.withColumns({"mix_key": key, "mix_block": F.col("_block"), "mix_weight": F.col("_mix_weight"),
+                           "mix_budget": F.col("_mix_budget")})
+    added = ["mix_epoch", "mix_block", "mix_key", "mix_weight", "mix_budget"]
+    return row.select(*[c for c in docs.columns if c not in added], *added)
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
