@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import fold, table
+from scriptorium.llm.common import fold, table, texts, tidy
 
 FOLDS, HELD_OUT = 4, 2
 TRAIN_DOCS = 3000         # bound on labelled documents the network is fitted on
@@ -33,6 +33,7 @@ DOC_WINDOWS = 4
 WINDOW = 256
 DIM, FILTERS, WIDTHS = 8, 16, (3, 4, 5)
 EPOCHS, BATCH, RATE = 6, 64, 3e-3
+LEAST_STEPS = 1000        # a small sample is gone through more often
 GATHER = 4096             # windows of several texts gathered for one pass
 CHUNK = 64                # windows pushed through the network at once
 UNKNOWN = "und"
@@ -90,8 +91,8 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], seed: int = 7) ->
     net, r = ByteCNN.fresh(languages, seed), np.random.default_rng(seed)
     params = [net.embed, *net.kernels, *net.biases, net.out, net.out_bias]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    step, n_w = 0, len(WIDTHS)
-    for _ in range(EPOCHS):
+    step = 0
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS * BATCH // max(1, len(x))))):
         order = r.permutation(len(x))
         for at in range(0, len(x), BATCH):
             rows = order[at:at + BATCH]
@@ -127,7 +128,6 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], seed: int = 7) ->
                 m += 0.1 * (g - m)
                 s += 0.001 * (g * g - s)
                 v -= RATE * (m / (1 - 0.9 ** step)) / (np.sqrt(s / (1 - 0.999 ** step)) + 1e-8)
-    assert n_w == len(net.kernels)
     return net
 
 
@@ -153,6 +153,7 @@ def _sample_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def fit(docs: DataFrame) -> ByteCNN | None:
     """Train on the ``TRAIN_DOCS`` training rows of smallest id hash (a top-k, so
     the driver sees a bounded number of windows). None without labelled rows."""
+    docs = texts(docs)
     rows = (docs.filter((fold("doc_id", FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
             .select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS))
     ids = sorted({r["doc_id"] for r in rows.collect()})
@@ -205,7 +206,7 @@ def _predict(net: ByteCNN):
             out["lang_pred"] = np.where(ok, np.array(net.languages, object)[best], UNKNOWN)
             out["score"] = np.where(ok, share[np.arange(len(best)), best], 0.0)
             yield out
-    return run
+    return tidy(run)
 
 
 def _keep(net: ByteCNN, min_score: float):
@@ -215,7 +216,7 @@ def _keep(net: ByteCNN, min_score: float):
             texts = batch.column("text").to_pylist()
             ok = [bool(t and letter.search(t)) for t in texts]
             yield batch.filter(pa.array(shares(net, texts, ok).max(axis=1, initial=0) >= min_score))
-    return run
+    return tidy(run)
 
 
 def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import fold, table
+from scriptorium.llm.common import fold, table, texts, tidy
 from scriptorium.llm.logistic import fit_logistic, sigmoid
 
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.7
@@ -99,7 +99,7 @@ def _measure(model: CompressionModel, extra: list[str]):
             else:
                 out["score"] = model.scores(f)
             yield out
-    return run
+    return tidy(run)
 
 
 def sample(docs: DataFrame, labels: DataFrame, folds: int, held_out: int, per_label: int) -> DataFrame:
@@ -125,7 +125,7 @@ def _dictionary(pieces: list[bytes]) -> tuple[bytes, bool]:
 
 def fit(docs: DataFrame, labels: DataFrame) -> CompressionModel | float:
     """A fitted model, or the constant score where labels of one kind are missing."""
-    rows = sample(docs, labels, FOLDS, HELD_OUT, DICT_DOCS + CURVE_DOCS)
+    rows = sample(texts(docs), labels, FOLDS, HELD_OUT, DICT_DOCS + CURVE_DOCS)
     share = DICT_DOCS / (DICT_DOCS + CURVE_DOCS)
     for_dict = F.pmod(F.xxhash64(F.lit("dictionary"), "doc_id"), F.lit(1000)) < int(1000 * share)
     pieces = rows.filter(for_dict).select("text", "label").mapInPandas(_pieces, "piece binary, label int").toPandas()
@@ -161,7 +161,7 @@ def score(docs: DataFrame, model: CompressionModel | float) -> DataFrame:
     if isinstance(model, float):
         return docs.select("doc_id", F.lit(model).alias("score"))
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInPandas(_measure(model, ["doc_id"]), f"doc_id {kind}, score double")
+    return texts(docs).select("doc_id", "text").mapInPandas(_measure(model, ["doc_id"]), f"doc_id {kind}, score double")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

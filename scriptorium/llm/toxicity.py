@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import fold, table
+from scriptorium.llm.common import fold, table, texts, tidy
 from scriptorium.llm.logistic import fit_logistic, sigmoid
 from scriptorium.session import cut_lineage
 
@@ -271,11 +271,11 @@ def _events(model: ToxicityModel, keep: list[str], scored: bool):
                 for i, name in enumerate(EVENTS):
                     out[name] = events[:, i]
             yield out
-    return run
+    return tidy(run)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
-    sample = cut_lineage(labelled(docs, labels))
+    sample = cut_lineage(labelled(texts(docs), labels))
     model = ToxicityModel(*entries(sample.filter("part = 0")))
     seen = (sample.filter("part = 1").select("text", "label")
             .mapInPandas(_events(model, ["label"], False), "label int, " + ", ".join(f"{e} double" for e in EVENTS))
@@ -290,7 +290,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """doc_id and score of every row."""
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInPandas(_events(model, ["doc_id"], True), f"doc_id {kind}, score double")
+    return texts(docs).select("doc_id", "text").mapInPandas(_events(model, ["doc_id"], True), f"doc_id {kind}, score double")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
