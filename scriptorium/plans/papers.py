@@ -13,6 +13,7 @@ Filters run first, the page is cut next, and only then are the page's rows
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -163,9 +164,11 @@ def with_authors(papers: DataFrame, bridge: DataFrame, authors: DataFrame) -> Da
 
 def paper_cards(papers: DataFrame, bridge: DataFrame, authors: DataFrame, interaction: DataFrame,
                 topic: DataFrame, number=1, size: int = 12, topic_names: list[str] | None = None,
-                text: str | None = None, author_id=None) -> tuple[DataFrame, PageInfo]:
+                text: str | None = None, author_id=None,
+                interaction_of: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, PageInfo]:
     """Q1: filter (F7, F5, F6), order (L3), page (L4), then attach authors
-    and label topics (J8, J5: papers without interaction get none)."""
+    and label topics (J8, J5: papers without interaction get none). Where
+    interactions are derived, ``interaction_of`` derives those of the page only."""
     p = papers
     if author_id is not None:
         p = papers_of(p, bridge, author_id)
@@ -178,7 +181,9 @@ def paper_cards(papers: DataFrame, bridge: DataFrame, authors: DataFrame, intera
     # in the shared folder) instead of re-running the filters and top-k
     cut = cut_lineage(cut)
     detailed = with_authors(cut, bridge, authors)
-    topics = label_topics(interaction.join(cut.select("paper_id"), "paper_id", "left_semi"), topic)
+    mine = (interaction_of(cut.select("paper_id")) if interaction_of
+            else interaction.join(cut.select("paper_id"), "paper_id", "left_semi"))
+    topics = label_topics(mine, topic)
     out = (detailed.join(topics, "paper_id", "left")
            .select(F.col("paper_id").alias("id"), "title", "year",
                    F.coalesce("topic_ids", F.array().cast("array<int>")).alias("topic_ids"),

@@ -16,6 +16,7 @@ from scriptorium.oracle_sql import HOME, with_views
 from scriptorium.operators import marts as M
 from scriptorium.operators import network as G
 from scriptorium.plans import dashboard as D
+from scriptorium.session import cut_lineage
 from scriptorium.sources import bindings as B
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -237,7 +238,8 @@ def q_interactions(spark, d):
     join results r using (seq)
     group by 1, 2"""))
 def q_faculty_topic_stat(spark, d):
-    r = _results(spark, d)
+    # read by the author table and by the fact: made once
+    r = cut_lineage(_results(spark, d).select("seq", "doi", "authors_struct", "cluster_id", "cluster_label", "citation_count"))
     return M.faculty_topic_stat(r, M.author_dim(r, B.roster(spark, d), HOME))
 
 
@@ -426,7 +428,8 @@ def _cards_sql(where: str, page_no: int, size: int = 12) -> str:
 
 def _cards(spark, d, **kw):
     return P.paper_cards(B.papers(spark, d), B.paper_authors(spark, d), B.authors(spark, d),
-                         B.interactions(spark, d), B.topics(spark, d), **kw)
+                         B.interactions(spark, d), B.topics(spark, d),
+                         interaction_of=lambda ids: B.interactions(spark, d, ids), **kw)
 
 
 _SEARCH_TEXT = "urgent order 12"

@@ -68,12 +68,15 @@ def paper_authors(spark: SparkSession, d: str) -> DataFrame:
     return authorships(spark, d).select("paper_id", "author_id").distinct()
 
 
-def topic_shares(spark: SparkSession, d: str) -> DataFrame:
-    """(paper, topic, share): quantity share of each brand in an order.
+def topic_shares(spark: SparkSession, d: str, papers: DataFrame | None = None) -> DataFrame:
+    """(paper, topic, share): quantity share of each brand in an order. ``papers``
+    (paper_id) limits the line items before anything is computed from them.
 
     A paper has at most one row a topic, so the per-paper window is bounded
     whatever the skew of the line items."""
     li = read(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_quantity")
+    if papers is not None:
+        li = li.join(papers.select(F.col("paper_id").alias("l_orderkey")), "l_orderkey", "left_semi")
     p = read(spark, d, "part", "p_partkey", "p_brand")
     q = (li.join(p, li.l_partkey == p.p_partkey)
          .groupBy(F.col("l_orderkey").alias("paper_id"),
@@ -93,14 +96,14 @@ def _by_paper():
     return Window.partitionBy("paper_id")
 
 
-def paper_topics(spark: SparkSession, d: str) -> DataFrame:
+def paper_topics(spark: SparkSession, d: str, papers: DataFrame | None = None) -> DataFrame:
     """One row per paper with shares: primary topic (outlier -1 when the best
     share is below OUTLIER_SHARE; ties to the lower topic id), its share, and the
     dense ``topic_distribution``, one slot a topic id up to the largest there is.
 
     One aggregation per paper: the best (share, -topic) struct and the sparse
     shares collected into a map, expanded row-locally to the dense array."""
-    s = topic_shares(spark, d)
+    s = topic_shares(spark, d, papers)
     g = s.groupBy("paper_id").agg(
         F.max(F.struct(F.col("share"), (-F.col("topic_id")).alias("neg_topic"))).alias("best"),
         F.map_from_entries(F.collect_list(F.struct("topic_id", "share"))).alias("m"),
@@ -139,11 +142,11 @@ def topics(spark: SparkSession, d: str) -> DataFrame:
     return dim.unionByName(outlier)
 
 
-def interactions(spark: SparkSession, d: str) -> DataFrame:
+def interactions(spark: SparkSession, d: str, papers: DataFrame | None = None) -> DataFrame:
     """Paper-topic interaction: primary topic, distribution and multi-labels
-    (T6 with the topic names of ``topics``)."""
+    (T6 with the topic names of ``topics``), of all papers or of ``papers``."""
     from scriptorium.operators.topics import multi_labels
-    pt = paper_topics(spark, d)
+    pt = paper_topics(spark, d, papers)
     labelled = multi_labels(pt, topic_names(spark, d), id_col="topic_id", dist_col="topic_distribution")
     return labelled.select("paper_id", F.col("topic_id").alias("primary_topic_id"),
                            "topic_distribution", "predicted_multi_labels")
