@@ -16,7 +16,6 @@ All but the last return the columns of ``documents``:
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from scriptorium.llm.common import table
 from scriptorium.llm.exact_dedup import drop_copies
@@ -45,11 +44,11 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, ids, and whether decoding gave the text back."""
-    spaced = F.translate(F.coalesce("text", F.lit("")), "\u2581", " ")
-    made = encode_texts(docs, vocabulary(), "doc_id", "source", "text")
-    return made.select("doc_id", "source", "n_tokens", "ids", (F.col("decoded") == spaced).alias("round_trip"))
+    return encode_texts(docs, vocabulary(), "doc_id", "source", remember=UNITS, with_text=False)
 
 
+UNITS = 50_000  # units a worker remembers: it shares its executor with idle workers of earlier stages
+
 STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup),
           ("mixing", mixing), ("pieces", pieces)]
 

@@ -24,7 +24,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from hashlib import sha256
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -32,45 +34,68 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import table
+from scriptorium.llm.common import table, texts, tidy
 
 SPACE = "▁"
-REMEMBERED = 300_000      # units a worker remembers
-ROWS = 1000               # rows of a result batch
-PAIRS = 1_000_000         # compatibility verdicts a worker remembers
+REMEMBERED = 300_000      # units, and verdicts on pairs, that a worker remembers: about 600 bytes for both
+ROWS = 500                # rows of a result batch
 
 
-class PieceCoder:
-    """Encoder and decoder over a piece vocabulary file."""
+@dataclass(frozen=True)
+class Vocabulary:
+    """What the coder needs of a piece vocabulary file. It is read on the driver and
+    travels with the tasks, so executors need neither the file nor its parser."""
 
-    def __init__(self, model_file: str):
-        import ahocorasick
+    name: str
+    pieces: tuple[str, ...]
+    scores: tuple[float, ...]
+    kinds: str                # one letter a piece: n(ormal), b(yte), c(ontrol), u(nknown)
+    prefix: bool              # a space mark is put before a text
+    unknown_text: str         # how the library shows an unknown piece
+
+    @classmethod
+    def read(cls, model_file: str) -> Vocabulary:
         from sentencepiece import sentencepiece_model_pb2
 
         with open(model_file, "rb") as f:
             model = sentencepiece_model_pb2.ModelProto.FromString(f.read())
-        spec, kinds = model.normalizer_spec, sentencepiece_model_pb2.ModelProto.SentencePiece
+        spec, kind = model.normalizer_spec, sentencepiece_model_pb2.ModelProto.SentencePiece
         if model.trainer_spec.model_type != 2 or spec.name != "identity" or spec.remove_extra_whitespaces:
             raise ValueError("only merge-type models with the identity normaliser are supported")
-        self.prefix = spec.add_dummy_prefix
-        self.pieces = [p.piece for p in model.pieces]
+        letter = {kind.NORMAL: "n", kind.BYTE: "b", kind.CONTROL: "c", kind.UNKNOWN: "u"}
+        if not {p.type for p in model.pieces} <= set(letter):
+            raise ValueError("user-defined and unused pieces are not supported")
+        return cls(model_file, tuple(p.piece for p in model.pieces), tuple(p.score for p in model.pieces),
+                   "".join(letter[p.type] for p in model.pieces), spec.add_dummy_prefix, model.trainer_spec.unk_surface)
+
+
+class PieceCoder:
+    """Encoder and decoder over a piece vocabulary."""
+
+    def __init__(self, words: Vocabulary, pairs: int = REMEMBERED):
+        import ahocorasick
+
+        self.pairs = pairs  # compatibility verdicts remembered
+        self.prefix, self.unknown_text, self.pieces = words.prefix, words.unknown_text, words.pieces
         self.score: dict[str, float] = {}
         self.id: dict[str, int] = {}
         self.byte: dict[int, int] = {}
-        self.unknown = model.trainer_spec.unk_id
-        self.hidden = set()
-        for i, p in enumerate(model.pieces):
-            if p.type == kinds.NORMAL:
-                self.score[p.piece], self.id[p.piece] = p.score, i
-            elif p.type == kinds.BYTE:
-                self.byte[int(p.piece[3:5], 16)] = i
-            elif p.type == kinds.CONTROL:
+        self.unknown, self.hidden = words.kinds.index("u"), set()
+        for i, (piece, kind) in enumerate(zip(words.pieces, words.kinds, strict=True)):
+            if kind == "n":
+                self.score[piece], self.id[piece] = words.scores[i], i
+            elif kind == "b":
+                self.byte[int(piece[3:5], 16)] = i
+            elif kind == "c":
                 self.hidden.add(i)
-            elif p.type != kinds.UNKNOWN:
-                raise ValueError("user-defined and unused pieces are not supported")
         self.byte_of = {i: b for b, i in self.byte.items()}
-        self.unknown_text = model.trainer_spec.unk_surface
         self.known = set("".join(self.id))
+        if not self.known <= set(self.id):
+            raise ValueError("a character of a piece is no piece itself")
+        self.strange = re.compile("([^" + re.escape("".join(sorted(self.known))) + "])")
+        self.shorter = {p: q for p in self.id for q in [self._prefix(p)] if q}
+        self.surface = [self.unknown_text if i == self.unknown else "" if i in self.hidden else p.replace(SPACE, " ")
+                        for i, p in enumerate(self.pieces)]
         self.automaton = ahocorasick.Automaton()
         for piece in self.id:
             self.automaton.add_word(piece[::-1], piece)
@@ -79,6 +104,10 @@ class PieceCoder:
         self._pairs: dict[tuple[str, str], bool] = {}
         self._whole: dict[str, bool] = {}
 
+    def _prefix(self, piece: str) -> str | None:
+        """The longest shorter piece that ``piece`` begins with."""
+        return next((piece[:n] for n in range(len(piece) - 1, 0, -1) if piece[:n] in self.id), None)
+
     def _units(self) -> re.Pattern:
         """Pattern of the units that never share a piece."""
         group: dict[str, str] = {}
@@ -124,8 +153,8 @@ class PieceCoder:
     def compatible(self, a: str, b: str) -> bool:
         verdict = self._pairs.get((a, b))
         if verdict is None:
-            if len(self._pairs) >= PAIRS:
-                self._pairs.clear()
+            if len(self._pairs) >= self.pairs:
+                self._pairs = dict(islice(self._pairs.items(), self.pairs // 2))
             verdict = self._pairs[a, b] = self.merged(a + b) == [a, b]
         return verdict
 
@@ -137,44 +166,47 @@ class PieceCoder:
 
     def _walk(self, text: str) -> list[str]:
         n = len(text)
-        starts: list[list[str]] = [[] for _ in range(n)]
-        for end, piece in self.automaton.iter(text[::-1]):
-            starts[n - 1 - end].append(piece)
-        for options in starts:
-            options.sort(key=len, reverse=True)
+        longest: dict[int, str] = {}  # by the end in the reversed text: the start here
+        last = -1
+        for end, piece in self.automaton.iter(text[::-1]):  # longest first at each end
+            if end != last:
+                longest[end] = piece
+                last = end
+        shorter = self.shorter
         taken: list[str] = []
-        choice: list[int] = []
-        failed, at, k = 0, 0, 0
+        failed, at, before, piece = 0, 0, None, longest.get(n - 1)
         while at < n:
-            options = starts[at]
-            while k < len(options):
-                piece = options[k]
-                if not failed >> (at + len(piece)) & 1 and (
-                        self.compatible(taken[-1], piece) if taken else self.stable(piece)):
-                    break
-                k += 1
-            if k < len(options):
-                taken.append(options[k])
-                choice.append(k)
-                at, k = at + len(options[k]), 0
-            else:
+            while piece is not None:
+                end = at + len(piece)
+                if not failed >> end & 1:
+                    if before is None:
+                        fits = self.stable(piece)
+                    else:
+                        fits = self._pairs.get((before, piece))
+                        if fits is None:
+                            fits = self.compatible(before, piece)
+                    if fits:
+                        break
+                piece = shorter.get(piece)
+            if piece is not None:
+                taken.append(piece)
+                at, before, piece = end, piece, longest.get(n - 1 - end)
+            else:  # nothing fits here: step back and try the next shorter piece there
                 failed |= 1 << at
-                at, k = at - len(taken.pop()), choice.pop() + 1
+                piece = taken.pop()
+                at -= len(piece)
+                before, piece = taken[-1] if taken else None, shorter.get(piece)
         return taken
 
     def encode_unit(self, unit: str) -> list[int]:
+        if self.known.issuperset(unit):
+            return [self.id[p] for p in self._walk(unit)]
         out: list[int] = []
-        run = []
-        for c in [*unit, None]:
-            if c in self.known:
-                run.append(c)
-                continue
-            if run:
-                text = "".join(run)
-                out += [self.id[text]] if len(text) == 1 else [self.id[p] for p in self._walk(text)]
-                run = []
-            if c is not None:
-                out += [self.byte.get(b, self.unknown) for b in c.encode()] if self.byte else [self.unknown]
+        for run in self.strange.split(unit):  # runs of known characters, and single unknown ones
+            if run and run[0] in self.known:
+                out += [self.id[p] for p in self._walk(run)]
+            elif run:
+                out += [self.byte.get(b, self.unknown) for b in run.encode()] if self.byte else [self.unknown]
         return out
 
     def units(self, text: str) -> list[str]:
@@ -189,23 +221,19 @@ class PieceCoder:
 
     def decode_inner(self, ids: list[int]) -> str:
         """Decode without regard to the start of the text."""
+        surface = self.surface
+        if self.byte_of.keys().isdisjoint(ids):
+            return "".join([surface[i] for i in ids])
         out, pending = [], bytearray()
-
-        def flush():
-            out.append(_utf8(bytes(pending)))
-            pending.clear()
-
-        for i in ids:
-            b = self.byte_of.get(i)
-            if b is not None:
-                pending.append(b)
+        for i in [*ids, None]:
+            if i in self.byte_of:
+                pending.append(self.byte_of[i])
                 continue
             if pending:
-                flush()
-            out.append(self.unknown_text if i == self.unknown else
-                       "" if i in self.hidden else self.pieces[i].replace(SPACE, " "))
-        if pending:
-            flush()
+                out.append(_utf8(bytes(pending)))
+                pending.clear()
+            if i is not None:
+                out.append(surface[i])
         return "".join(out)
 
     def decode(self, ids: list[int]) -> str:
@@ -229,79 +257,117 @@ def _utf8(data: bytes) -> str:
         return data[:e.start].decode() + "�" + _utf8(data[e.start + 1:])
 
 
-_CODERS: dict[str, PieceCoder] = {}
+_MEMORIES: dict = {}
 
 
-def _coder(model_file: str) -> PieceCoder:
-    if model_file not in _CODERS:  # one a worker process, not one a task
-        _CODERS[model_file] = PieceCoder(model_file)
-    return _CODERS[model_file]
+class Memory:
+    """What a worker remembers of units: ids and decoded text. When full, it keeps the
+    first half: frequent units come early."""
 
+    def __init__(self, coder: PieceCoder, form, most: int = REMEMBERED):
+        self.coder, self.form, self.most = coder, form, most
+        self.ids: dict = {}
+        self.text: dict[str, str] = {}
 
-def _encode(model_file: str):
+    def learn(self, units: list[str]) -> None:
+        for u in set(units).difference(self.ids):
+            ids = self.coder.encode_unit(u)
+            self.ids[u], self.text[u] = self.form(ids), self.coder.decode_inner(ids)
+
+    def trim(self) -> None:
+        if len(self.ids) > self.most:
+            self._keep(self.most // 2)
+
+    def _keep(self, n: int) -> None:
+        self.ids, self.text = (dict(islice(d.items(), n)) for d in (self.ids, self.text))
+
+    def rest(self) -> None:
+        """At the end of a task: what a worker holds for the next one is small."""
+        self._keep(self.most // 4)
+        self.coder._pairs = dict(islice(self.coder._pairs.items(), self.most // 2))
+
+    def decoded(self, units: list[str]) -> str:
+        text = "".join(map(self.text.__getitem__, units))
+        return text[1:] if self.coder.prefix and text else text
+
+
+def _joined(ids: list[int]) -> str:
+    return ",".join(map(str, ids))
+
+
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, np.int32).tobytes()
+
+
+def _memory(words: Vocabulary, form, most: int) -> Memory:
+    """A worker process's memory: one for all its tasks."""
+    key = (words.name, form.__name__, most)
+    if key not in _MEMORIES:
+        _MEMORIES.clear()
+        _MEMORIES[key] = Memory(PieceCoder(words, most), form, most)
+    return _MEMORIES[key]
+
+
+def _encode(words: Vocabulary, most: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, ids_of, text_of = _coder(model_file), {}, {}
+        memory = _memory(words, _packed, most)
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
-                values, ends, decoded = [np.empty(0, np.int32)], [0], []
+                values, ends, decoded = [], [0], []
                 for text in batch.column("_body").to_pylist():
-                    units = coder.units(text or "")
-                    for u in set(units).difference(ids_of):
-                        ids = coder.encode_unit(u)
-                        ids_of[u], text_of[u] = np.array(ids, np.int32), coder.decode_inner(ids)
-                    found = [ids_of[u] for u in units]
-                    values += found
-                    ends.append(ends[-1] + sum(map(len, found)))
-                    back = "".join(map(text_of.__getitem__, units))
-                    decoded.append(back[1:] if coder.prefix and back else back)
-                    if len(ids_of) > REMEMBERED:
-                        ids_of.clear()
-                        text_of.clear()
-                kept = [batch.column(c) for c in batch.schema.names if c != "_body"]
+                    units = memory.coder.units(text or "")
+                    memory.learn(units)
+                    values.append(b"".join(map(memory.ids.__getitem__, units)))
+                    ends.append(ends[-1] + len(values[-1]) // 4)
+                    back = memory.decoded(units)
+                    decoded.append(back if with_text else back == (text or "").replace(SPACE, " "))
+                    memory.trim()
                 names = [c for c in batch.schema.names if c != "_body"]
-                ends_ = np.array(ends, np.int32)
-                ids = pa.ListArray.from_arrays(ends_, pa.array(np.concatenate(values)))
+                cuts = np.array(ends, np.int32)
+                ids = pa.ListArray.from_arrays(cuts, pa.array(np.frombuffer(b"".join(values), np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [*kept, pa.array(np.diff(ends_).astype(np.int64)), ids, pa.array(decoded, pa.string())],
-                    names=[*names, "n_tokens", "ids", "decoded"])
-    return run
-
-
-def encode_texts(docs: DataFrame, model_file: str, *keep: str) -> DataFrame:
-    """The columns ``keep`` with n_tokens, ids (array<int>) and decoded."""
+                    [*map(batch.column, names), pa.array(np.diff(cuts).astype(np.int64)), ids,
+                     pa.array(decoded, pa.string() if with_text else pa.bool_())],
+                    names=[*names, "n_tokens", "ids", "decoded" if with_text else "round_trip"])
+        memory.rest()
+    return tidy(run)
+
+
+def encode_texts(docs: DataFrame, model_file: str, *keep: str, remember: int = REMEMBERED, with_text: bool = True) -> DataFrame:
+    """The columns ``keep`` with n_tokens, ids (array<int>) and decoded or, without
+    text, round_trip: whether the decoded text is the text again, a literal space
+    mark being a space. ``remember`` bounds what a worker remembers; it changes
+    speed and memory only."""
     kinds = dict(docs.dtypes)
-    schema = "".join(f"`{c}` {kinds[c]}, " for c in keep) + "n_tokens long, ids array<int>, decoded string"
-    return docs.select(*keep, F.col("text").alias("_body")).mapInArrow(_encode(model_file), schema)
+    schema = "".join(f"`{c}` {kinds[c]}, " for c in keep) + "n_tokens long, ids array<int>, "
+    schema += "decoded string" if with_text else "round_trip boolean"
+    return texts(docs).select(*keep, F.col("text").alias("_body")).mapInArrow(_encode(Vocabulary.read(model_file), remember, with_text), schema)
 
 
-def _digests(model_file: str):
+def _digests(words: Vocabulary, most: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder, ids_of, text_of = _coder(model_file), {}, {}
+        memory = _memory(words, _joined, most)
         for pdf in batches:
             rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                units = coder.units(text) if isinstance(text, str) else []
-                for u in set(units).difference(ids_of):
-                    ids = coder.encode_unit(u)
-                    ids_of[u], text_of[u] = ",".join(map(str, ids)), coder.decode_inner(ids)
-                ids = ",".join(map(ids_of.__getitem__, units))
-                back = "".join(map(text_of.__getitem__, units))
-                rows.append((doc_id, ids.count(",") + 1 if ids else 0, sha256(ids.encode()).hexdigest(),
-                             sha256((back[1:] if coder.prefix and back else back).encode()).hexdigest()))
-                if len(ids_of) > REMEMBERED:
-                    ids_of.clear()
-                    text_of.clear()
-            out = pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for text in pdf["text"]:
+                units = memory.coder.units(text) if isinstance(text, str) else []
+                memory.learn(units)
+                ids = ",".join(map(memory.ids.__getitem__, units))
+                rows.append((ids.count(",") + 1 if ids else 0, sha256(ids.encode()).hexdigest(),
+                             sha256(memory.decoded(units).encode()).hexdigest()))
+                memory.trim()
+            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             out["doc_id"] = pdf["doc_id"].astype("Int64").array
             yield out
-    return run
+        memory.rest()
+    return tidy(run)
 
 
 def digest_texts(docs: DataFrame, model_file: str) -> DataFrame:
     """doc_id, n_tokens and the SHA-256 of the ids and of the decoded text."""
-    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-            .mapInPandas(_digests(model_file),
+    return (texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+            .mapInPandas(_digests(Vocabulary.read(model_file), REMEMBERED),
                          "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"))
 
 

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 
 from scriptorium.llm import pieces as P
 
-CODER = P.PieceCoder(P.vocabulary())
+CODER = P.PieceCoder(P.Vocabulary.read(P.vocabulary()))
 LIB = sentencepiece.SentencePieceProcessor(model_file=P.vocabulary())
 
 
