@@ -1,8 +1,10 @@
 """Quality classifier by compression.
 
 One zstandard dictionary is built from good and one from bad labelled text. A
-text is compressed with each; the normalised difference of the two sizes, with
-the compression ratio and the length as context, becomes a probability through a
+text is compressed with each, in consecutive frames of ``FRAME`` bytes (all of
+them), so that it never becomes its own dictionary and its end counts as its
+beginning does; the normalised difference of the two summed sizes, with the
+compression ratio and the length as context, becomes a probability through a
 logistic curve fitted on other labelled rows than the dictionaries saw.
 
 Fitting reads bounded samples of labelled training rows: ``DICT_DOCS`` rows a
@@ -33,6 +35,7 @@ FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.7
 DICT_DOCS, PIECES, PIECE = 2000, 4, 1024
 CURVE_DOCS = 4000
 DICT_BYTES, LEVEL = 112640, 3
+FRAME = 2048              # bytes of a text compressed at once
 
 
 @dataclass
@@ -62,11 +65,13 @@ class CompressionModel:
 
 
 def sizes(good, bad, texts) -> np.ndarray:
-    """(n, 3): normalised size difference, log compression ratio, log length."""
+    """(n, 3): normalised size difference, log compression ratio, log length. The
+    sizes are sums over all consecutive frames of a text."""
     out = np.empty((len(texts), 3))
     for i, t in enumerate(texts):
         b = t.encode() if isinstance(t, str) else b""
-        g, h = len(good.compress(b)), len(bad.compress(b))
+        frames = [b[at:at + FRAME] for at in range(0, max(1, len(b)), FRAME)]
+        g, h = (sum(len(c.compress(f)) for f in frames) for c in (good, bad))
         out[i] = (h - g) / (h + g), np.log((min(g, h) + 1) / (len(b) + 1)), np.log(len(b) + 1)
     return out
 

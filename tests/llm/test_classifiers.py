@@ -134,3 +134,27 @@ def test_copies_prove_no_insult(spark):
     words, _ = T.entries(sample)
     assert "badword" in words and "oddity" not in words
     assert sample.filter(F.col("label") == 1).count() == 60
+
+
+def test_quality_by_length(spark):
+    """Held-out rows are told apart at every length, and joined ones at any length:
+    the size difference doesn't fade as a text grows."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", F.col("quality").cast("int").alias("label"))
+    model = Q.fit(docs, labels)
+    x = docs.filter("text is not null").join(labels, "doc_id").toPandas().sort_values("doc_id")
+    x = x[x["doc_id"].map(lambda i: zlib.crc32(str(i).encode()) % 4 == 2)]
+    pair = model.compressors()
+    right = (model.scores(Q.sizes(*pair, x["text"].tolist())) >= Q.THRESHOLD) == (x["label"] == 1)
+    n = x["text"].map(lambda t: len(t.encode()))
+    for low, high in ((300, 1000), (1000, 3000), (3000, 10_000), (10_000, 30_000)):
+        assert right[n.between(low, high)].mean() > 0.97
+    sides = {v: "\n".join(x["text"][x["label"] == v]) for v in (0, 1)}
+    for v, sign in ((1, 1), (0, -1)):
+        long = (sides[v] * (1 + 1_000_000 // len(sides[v])))[:1_000_000]
+        short = [long[at:at + 2000] for at in range(0, 100_000, 2000)]
+        near, far = Q.sizes(*pair, short)[:, 0].mean(), Q.sizes(*pair, [long])[0, 0]
+        assert sign * far > 0.6 * sign * near > 0
+        assert (model.scores(Q.sizes(*pair, [long]))[0] >= Q.THRESHOLD) == bool(v)
+    junk_at_end = sides[1][:20_000] + sides[0][:60_000]
+    assert Q.sizes(*pair, [junk_at_end])[0, 0] < 0  # the end counts as the beginning does
