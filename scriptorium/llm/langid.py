@@ -3,8 +3,8 @@
 Bytes are embedded, filters of several widths slide over fixed-length windows,
 each filter keeps its maximum, and a softmax over the pooled values gives the
 window's languages. The network is trained in numpy on windows of a bounded
-sample of labelled rows (``TRAIN_DOCS`` documents, at most ``DOC_WINDOWS``
-windows of each, spread over the whole text) and applied in Arrow batches to
+sample of labelled rows (``LANG_DOCS`` documents of each language, at most
+``DOC_WINDOWS`` windows of each, spread over the whole text) and applied in Arrow batches to
 every window of every text; windows overlap by the widest filter less one, so no
 byte sequence is cut. A text's score is the length-weighted mean of its windows.
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from scriptorium.llm.common import fold, table, texts, tidy
 
 FOLDS, HELD_OUT = 4, 2
-TRAIN_DOCS = 3000         # bound on labelled documents the network is fitted on
+LANG_DOCS = 750           # bound on labelled documents of a language the network is fitted on
 DOC_WINDOWS = 4
 WINDOW = 256
 DIM, FILTERS, WIDTHS = 8, 16, (3, 4, 5)
@@ -150,17 +150,43 @@ def _sample_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["codes", "lang"])
 
 
+def sample(docs: DataFrame, per_lang: int) -> list[tuple]:
+    """(doc_id, lang) of the ``per_lang`` training rows of smallest id hash of each
+    language. Hashes fall into levels, each as wide as all below it; the levels a
+    language needs follow from its counts, so about twice the rows wanted are
+    collected and none is ranked in a window."""
+    salt = F.xxhash64("doc_id")
+    rows = (docs.filter((fold("doc_id", FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+            .select("doc_id", "lang", salt.alias("salt"),
+                    F.floor(F.log2(F.greatest(salt.cast("double") + F.lit(2.0 ** 63), F.lit(1.0)))).alias("level")).distinct())
+    top, have = {}, {}
+    for r in sorted(rows.groupBy("lang", "level").agg(F.count(F.lit(1)).alias("n")).collect()):
+        if have.get(r["lang"], 0) < per_lang:
+            top[r["lang"]], have[r["lang"]] = r["level"], have.get(r["lang"], 0) + r["n"]
+    if not top:
+        return []
+    # one row a language
+    enough = F.broadcast(docs.sparkSession.createDataFrame(list(top.items()), "lang string, top long"))
+    near, taken = rows.join(enough, "lang").filter("level <= top").select("lang", "salt", "doc_id").collect(), {}
+    for r in sorted(near):
+        some = taken.setdefault(r["lang"], [])
+        if len(some) < per_lang:
+            some.append((r["doc_id"], r["lang"]))
+    return [row for some in taken.values() for row in some]
+
+
 def fit(docs: DataFrame) -> ByteCNN | None:
-    """Train on the ``TRAIN_DOCS`` training rows of smallest id hash (a top-k, so
-    the driver sees a bounded number of windows). None without labelled rows."""
+    """Train on the ``LANG_DOCS`` training rows of smallest id hash of each language
+    (the driver sees a bounded number of windows a language, so a rare language of
+    a large table is learnt as it is on a small one). None without labelled rows."""
     docs = texts(docs)
-    rows = (docs.filter((fold("doc_id", FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-            .select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS))
-    ids = sorted({r["doc_id"] for r in rows.collect()})
-    picked = (docs.filter(F.col("doc_id").isin(ids) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-              .select("text", "lang").mapInPandas(_sample_windows, "codes binary, lang string").toPandas()) if ids else None
-    if picked is None or len(picked) == 0:
+    rows = sample(docs, LANG_DOCS)
+    if not rows:
         return None
+    # at most LANG_DOCS narrow rows a language
+    ids = F.broadcast(docs.sparkSession.createDataFrame(rows, f"doc_id {dict(docs.dtypes)['doc_id']}, lang string"))
+    picked = (docs.filter("text is not null").select("doc_id", "lang", "text").join(ids, ["doc_id", "lang"])
+              .select("text", "lang").mapInPandas(_sample_windows, "codes binary, lang string").toPandas())
     picked = picked.sort_values(["lang", "codes"], kind="stable")
     languages = sorted(picked["lang"].unique())
     x = np.stack([np.frombuffer(c, np.int16) for c in picked["codes"]])

@@ -158,3 +158,33 @@ def test_quality_by_length(spark):
         assert (model.scores(Q.sizes(*pair, [long]))[0] >= Q.THRESHOLD) == bool(v)
     junk_at_end = sides[1][:20_000] + sides[0][:60_000]
     assert Q.sizes(*pair, [junk_at_end])[0, 0] < 0  # the end counts as the beginning does
+
+
+def test_rare_language_is_learnt(spark):
+    """A language of 20 rows among 12,000, all of large id hash, is found, and its
+    rows stay in the pipeline."""
+    r = np.random.default_rng(3)
+    vocabulary = {"aa": "the cat and dog of house with some water under green trees".split(),
+                  "bb": "der hund und die katze im haus ist gut aber nicht sehr alt".split(),
+                  "zz": "kivo zamule tirra pelok zunki movat rizel kanoti vulme".split()}
+    rare = {x.id for x in spark.range(12_000).orderBy(F.xxhash64("id").desc()).limit(20).collect()}
+    rows = [(i, " ".join(r.choice(vocabulary[lang], 30)), lang)
+            for i, lang in enumerate("zz" if i in rare else "bb" if i % 3 == 0 else "aa" for i in range(12_000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x.doc_id: x for x in L.identify(docs, L.fit(docs), "doc_id").collect()}
+    assert all(got[i].lang_pred == "zz" for i in rare)
+    assert np.mean([got[i].lang_pred == lang for i, _, lang in rows]) > 0.99
+    assert L.keep_identified(docs).filter("lang = 'zz'").count() == 20
+
+
+def test_sample_is_the_smallest_hashes_of_each_language(spark):
+    docs = spark.range(4000).selectExpr("id as doc_id", "'a text' as text",
+                                        "case when id % 200 = 0 then 'c' when id % 3 = 0 then 'b' else 'a' end as lang")
+    docs = docs.unionByName(docs)  # repeated rows count once
+    salted = docs.distinct().withColumn("salt", F.xxhash64("doc_id")).orderBy("salt").collect()
+    want = set()
+    for lang in "abc":
+        mine = [x.doc_id for x in salted if x.lang == lang and zlib.crc32(str(x.doc_id).encode()) % 4 != 2]
+        want |= {(i, lang) for i in mine[:100]}
+    assert set(L.sample(docs, 100)) == want and len(want) < 300
+    assert L.sample(docs.limit(0), 100) == []
