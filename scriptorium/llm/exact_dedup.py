@@ -205,18 +205,23 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """One row of each group of equal texts: the one of largest id. A row repeated
-    under that very id is dropped too."""
+    under that very id is dropped too. An id alone settles a row only where it is
+    there once; rows of repeated and of null ids are settled by id and digest."""
     made = exact_dedup(docs)
     gone = keep_narrow(made.filter("not kept").select("doc_id").distinct())
-    repeated = keep_narrow(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"))
-    left = drop_ids(docs, gone)
-    if not repeated.take(1):
-        return left
+    unclear = keep_narrow(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+                          .filter("n > 1 or doc_id is null").select(F.col("doc_id").alias("_again")))
+    if not unclear.take(1):
+        return drop_ids(docs, gone)
+    ids = small_side(unclear)
     same = F.col("doc_id").eqNullSafe(F.col("_again"))
-    again = left.join(repeated.select(F.col("doc_id").alias("_again")), same, "left_semi")
-    once = (again.withColumn("_body", lower_ascii(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "_body"])
-            .drop("_body"))
-    return left.join(repeated.select(F.col("doc_id").alias("_again")), same, "left_anti").unionByName(once)
+    stay = keep_narrow(made.filter("kept").join(ids, same, "left_semi")
+                       .select(F.col("doc_id").alias("_stays"), F.col("text_sha256").alias("_digest")).distinct())
+    once = (docs.join(ids, same, "left_semi").withColumn("_body", lower_ascii(F.coalesce("text", F.lit(""))))
+            .join(small_side(stay), F.col("doc_id").eqNullSafe(F.col("_stays"))
+                  & (F.sha2(F.col("_body").cast("binary"), 256) == F.col("_digest")), "left_semi")
+            .dropDuplicates(["doc_id", "_body"]).drop("_body"))
+    return drop_ids(docs.join(ids, same, "left_anti"), gone).unionByName(once)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,6 +55,25 @@ def test_pipeline_form_keeps_rows_as_they_are(spark):
     assert sorted((r.doc_id, r.text) for r in got.collect()) == [(2, "a"), (3, "b")]
 
 
+def test_pipeline_form_settles_unclear_ids_by_row(spark):
+    """An id repeated with another text keeps the text that has no copy; a null id
+    whose text stands under an id goes."""
+    def left(rows):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, digest string, key string")
+        return sorted(((r.doc_id, r.text) for r in X.drop_copies(docs).collect()), key=repr)
+
+    assert left([(5, "x", "p", "q"), (5, "y", None, None), (9, "y", None, None)]) == [(5, "x"), (9, "y")]
+    assert left([(None, "A", None, None), (3, "a", None, None)]) == [(3, "a")]
+    r = np.random.default_rng(1)
+    rows = [(None if i % 11 == 0 else int(r.integers(0, 200)), f"T{r.integers(0, 150)}", None, None) for i in range(600)]
+    want = set()
+    for t in {t for _, t, *_ in rows}:
+        ids = [i for i, u, *_ in rows if u == t]
+        known = [i for i in ids if i is not None]
+        want.add((max(known) if known else None, t))
+    assert left(rows) == sorted(want, key=repr)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 300, 5000, 70000])
 def test_filter_holds_its_keys(n):
     r = np.random.default_rng(n)
