@@ -4,7 +4,7 @@ A snapshot is a set of texts that no longer changes. Its distinct digests are
 dealt into shards of about ``SHARD_KEYS`` and each shard gets one 8-bit
 binary-fuse filter (about 9.2 bits a digest, one false positive in 256). The
 digests of an incoming batch, grouped on their own first, meet the filters shard
-by shard; only positives go on to the snapshot's exact buckets. Rows that share
+by shard, so a batch larger than the snapshot sets the number of shards; only positives go on to the snapshot's exact buckets. Rows that share
 a digest are compared byte for byte with the row that stays.
 
 Defined results: a null text counts as empty, empty texts equal each other; a
@@ -155,7 +155,7 @@ def merge_batch(snapshot: DataFrame, incoming: DataFrame) -> DataFrame:
     """Fold an incoming batch's buckets into a snapshot's: digest, keep_id, n.
     Incoming buckets that the filters reject are new as they are; positives meet
     the exact buckets."""
-    shards = max(1, -(-snapshot.count() // SHARD_KEYS))
+    shards = max(1, -(-max(snapshot.count(), incoming.count()) // SHARD_KEYS))
     hits = keep_narrow(screen(incoming, filters(snapshot, shards), shards))
     met = snapshot.join(hits.select("digest", F.col("keep_id").alias("new_id"), F.col("n").alias("more")),
                         "digest", "left")

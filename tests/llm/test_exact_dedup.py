@@ -5,6 +5,7 @@ from hashlib import sha256
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from scriptorium.llm import exact_dedup as X
 
@@ -74,6 +75,22 @@ def test_pipeline_form_settles_unclear_ids_by_row(spark):
     assert left(rows) == sorted(want, key=repr)
 
 
+def test_large_batch_meets_a_small_snapshot_in_pieces(spark, monkeypatch):
+    """One low id makes nearly all rows the incoming batch; no filter shard may meet much of it."""
+    real, most = X.screen, []
+
+    def watch(incoming, by_shard, shards):
+        sizes = incoming.groupBy((F.pmod("key", F.lit(shards))).alias("shard")).count()
+        most.append(sizes.agg(F.max("count")).first()[0])
+        return real(incoming, by_shard, shards)
+
+    monkeypatch.setattr(X, "screen", watch)
+    monkeypatch.setattr(X, "SHARD_KEYS", 64)
+    rows = [(-10 ** 9, "text 7", None, None)] + [(i, f"Text {i // 2}", None, None) for i in range(2000)]
+    assert run(spark, rows) == brute(rows)
+    assert max(most) <= 2 * 64
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 300, 5000, 70000])
 def test_filter_holds_its_keys(n):
     r = np.random.default_rng(n)
