@@ -9,7 +9,8 @@ All but the last return the columns of ``documents``:
 - near_dedup keeps, of documents linked by a Jaccard similarity of at least 0.8 on
   five-word shingles, the one of smallest id;
 - mixing repeats rows of small sources up to ``mixing.MAX_REPETITION`` times (whole
-  epochs and a block-permuted partial one); it drops none;
+  epochs and a block-permuted partial one) and writes them epoch by epoch, each in
+  the order of its block permutation; it drops none;
 - pieces encodes every text and decodes the ids again.
 """
 
@@ -39,7 +40,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix(docs).select(*docs.columns)
+    return mix(docs).orderBy("mix_epoch", "mix_key").select(*docs.columns)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,6 +52,15 @@ def test_run_is_the_stages(spark):
     assert out.count() > 0 and {"doc_id", "ids"} <= set(out.columns)
 
 
+def test_mixing_stage_writes_the_permutation(spark):
+    """Epoch by epoch, each in the order of its block permutation."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").dropDuplicates(["doc_id"])
+    want = [r.doc_id for r in mixing.mix(docs).select("doc_id", "mix_epoch", "mix_key").toPandas()
+            .sort_values(["mix_epoch", "mix_key"]).itertuples()]
+    got = [r.doc_id for r in corpus_pipeline.mixing(spark, docs, SF).collect()]
+    assert got == want != sorted(want)
+
+
 def test_odd_documents(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long, ids string"
     rows = [(1, None, None, None, None, "x"), (2, "", "en", "s", 0, None), (3, "123 456", "en", "s", 7, "x"),
