@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from scriptorium.llm.embedding_dedup import OP2_SQL, op2_embedding_dedup
 from scriptorium.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from scriptorium.llm.filter_audit import OP12_SQL, op12_filter_audit
 from scriptorium.llm.histogram_sort import op3_sharding
 from scriptorium.llm.langid import op5_language_id
 from scriptorium.llm.minhash import OP9_SQL, op9_minhash
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_minhash": op9_minhash,
     "op10_quality": op10_quality,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 ORACLE_SQL = {
@@ -31,4 +33,5 @@ ORACLE_SQL = {
     "op2_embedding_dedup": OP2_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op9_minhash": OP9_SQL,
+    "op12_filter_audit": OP12_SQL,
 }
