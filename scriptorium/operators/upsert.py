@@ -14,13 +14,26 @@ from pyspark.sql import functions as F
 from scriptorium.operators.marts import last_per_key
 
 
+def one_per_key(updates: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """One row per key: that of the largest ``order`` (null: before all others); of rows equal
+    in it, or without ``order``, the one of the largest hash over its columns, so a rerun picks the same."""
+    rest = [c for c in updates.columns if c not in keys and c != order]
+    numbered = updates
+    if order is not None:
+        ranked = updates.select("*", F.coalesce(F.col(order).cast("long"), F.lit(-(1 << 63))).alias("_o"))
+        numbered = last_per_key(ranked, keys, ["_o"], rest)  # all rows of the largest order
+    tie = F.xxhash64(*[F.col(c) for c in keys], *rest) if rest else F.lit(0).cast("long")
+    picked = last_per_key(numbered.select(*keys, *rest, tie.alias("_tie")), keys, ["_tie"], rest)
+    return picked.dropDuplicates(keys)  # rows equal in every column
+
+
 def upsert(base: DataFrame, updates: DataFrame, keys: list[str], update_cols: list[str],
            order: str | None = None) -> DataFrame:
     """Insert new keys; for existing keys replace ``update_cols`` only.
-    ``order`` (a column of ``updates``) picks the last row per key in a batch."""
-    if order is not None:
-        rest = [c for c in updates.columns if c not in keys and c != order]
-        updates = last_per_key(updates, keys, [order], rest)
+    ``order`` (a whole-number column of ``updates``) picks the last row per key in a
+    batch; ties are settled by ``one_per_key``, so a key gets one row of the batch at most. Null
+    keys equal nothing: base rows with one stay as they are, the batch's row with one is inserted."""
+    updates = one_per_key(updates, keys, order)
     u = updates.select(*keys, *[F.col(c).alias(f"_u_{c}") for c in updates.columns if c not in keys],
                        F.lit(True).alias("_u_present"))
     j = base.withColumn("_b_present", F.lit(True)).join(u, keys, "full_outer")

@@ -3,14 +3,14 @@ vectors in, marts out.
 
 raw works -> S9, F1 clean -> D1 dedupe with merged authors -> F2 model-ready ->
 T4 outlier reassignment -> T1/T2 keywords of the topics *after* the move -> J13
-labels -> T7 enrichment -> M1-M7 and G1. Clean records, survivors and results are
-read by several later steps, so each is materialised once in the shared checkpoint
-folder.
+labels -> T7 enrichment -> M1-M7 and G1 -> S4 one commit. Clean records, survivors and
+results are read by several later steps, so each is materialised once in the shared
+checkpoint folder.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +21,8 @@ from scriptorium.operators import marts as M
 from scriptorium.operators import topics as T
 from scriptorium.session import cut_lineage
 from scriptorium.sources import ingest as I
+from scriptorium.sources.martset import MartSet
+from scriptorium.sources.zones import stamp
 
 
 @dataclass(frozen=True)
@@ -64,3 +66,16 @@ def marts(loaded: DataFrame, roster: DataFrame, home: str) -> Marts:
                  paper_authors=M.paper_authors(loaded), interactions=M.interactions(loaded, topics),
                  faculty_topic_stat=M.faculty_topic_stat(loaded, authors),
                  yearly_topic_stat=M.yearly_topic_stat(loaded), coauthor_edges=M.coauthor_edges_from_results(loaded))
+
+
+def refresh(marts_: Marts, mart_set: MartSet) -> int:
+    """All tables of a run as one commit; the faculty statistics carry their load
+    time. Returns the commit's number. A run that fails leaves the last commit as it was."""
+    tables = {f.name: getattr(marts_, f.name) for f in fields(marts_)}
+    tables["faculty_topic_stat"] = stamp(tables["faculty_topic_stat"])
+    return mart_set.refresh(tables)
+
+
+def run(raw: DataFrame, vectors: DataFrame, roster: DataFrame, home: str, mart_set: MartSet) -> int:
+    """The whole run: raw works, vectors and the roster in, the tables of ``mart_set`` out."""
+    return refresh(marts(results(raw, vectors), roster, home), mart_set)

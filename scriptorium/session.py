@@ -8,6 +8,9 @@ shuffle sizing always win.
 from __future__ import annotations
 
 import os
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import SparkConf, SparkContext
 from pyspark.sql import DataFrame, SparkSession
@@ -75,3 +78,35 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     the files when the DataFrame goes out of scope."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_folders: list[str] = []
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def landing(spark: SparkSession) -> Iterator[str]:
+    """While it lasts, ``landed`` writes to a folder of this run, which is deleted at
+    the end: results that go on must be cut from it (``cut_lineage``) before."""
+    folder = f"{checkpoint_dir(spark)}/run-{uuid.uuid4().hex}"
+    _folders.append(folder)
+    try:
+        yield folder
+    finally:
+        _folders.remove(folder)
+        _delete(spark, folder)
+
+
+def landed(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the shared checkpoint folder and read again. For
+    loops of joins: a checkpointed DataFrame keeps the planner's size estimate, the product of the joined
+    sides, which grows from round to round; a table has the size of its files."""
+    spark = df.sparkSession
+    folder = _folders[-1] if _folders else f"{checkpoint_dir(spark)}/landed"
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

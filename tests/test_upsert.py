@@ -18,3 +18,13 @@ def test_append_distinct_ignores_conflicts(spark):
     upd = spark.createDataFrame([(1, 10), (1, 11), (1, 11), (2, 10)], "p long, a long")
     got = sorted(tuple(r) for r in U.append_distinct(base, upd, ["p", "a"]).collect())
     assert got == [(1, 10), (1, 11), (2, 10)]
+
+
+def test_ties_leave_one_row_a_key(spark):
+    base = spark.createDataFrame([(1, "a")], "k long, v string")
+    upd = spark.createDataFrame([(1, "x", 5), (1, "y", 5), (2, "p", 5), (2, "q", 5), (3, "s", 1), (3, "s", 1)], "k long, v string, o int")
+    for rows, order in ((upd, "o"), (upd.drop("o"), None)):
+        got = [tuple(r) for r in U.upsert(base, rows, ["k"], ["v"], order=order).orderBy("k").collect()]
+        assert [k for k, _ in got] == [1, 2, 3]
+        assert got == [tuple(r) for r in U.upsert(base, rows.orderBy("v"), ["k"], ["v"], order=order).orderBy("k").collect()]
+        assert got[0][1] in "xy" and got[1][1] in "pq"
