@@ -142,10 +142,10 @@ def _results(spark, d):
     return B.results(spark, d)
 
 
-_RESULTS_VIEWS = ("f_paper", "f_interaction", "f_topic", "f_authorship", "f_author")
+RESULTS_VIEWS = ("f_paper", "f_interaction", "f_topic", "f_authorship", "f_author")
 
 # results rows in SQL: one per paper with its ordered author structs.
-_RESULTS_SQL = """
+RESULTS_SQL = """
     select p.paper_id as seq, p.doi, p.title, '' as abstract, p.year, p.citation_count,
            coalesce(a.authors_struct, []) as authors_struct,
            i.primary_topic_id as cluster_id,
@@ -171,11 +171,11 @@ _AUTHORSHIP_SQL = """
     from (select seq, doi, generate_subscripts(authors_struct, 1) - 1 as pos, unnest(authors_struct) as a
           from results) u"""
 
-_ROSTER_SQL = """
+ROSTER_SQL = """
     select author_id as seq, case when author_id % 2 = 0 then upper(name) else name end as name, faculty
     from f_author where faculty is not null"""
 
-_AUTHOR_DIM_SQL = f"""
+AUTHOR_DIM_SQL = f"""
     select a.author_key, a.openalex_id, a.name, f.faculty,
            case when coalesce(f.faculty, '') <> '' then 'Home University' else 'External' end as institution,
            cast(null as varchar) as email
@@ -183,11 +183,11 @@ _AUTHOR_DIM_SQL = f"""
                  arg_min(openalex_id, seq * 1000 + pos) as openalex_id
           from ({_AUTHORSHIP_SQL}) x group by 1) a
     left join (select lower(name) as name_key, arg_max(faculty, seq) as faculty
-               from ({_ROSTER_SQL}) r group by 1) f on lower(a.name) = f.name_key"""
+               from ({ROSTER_SQL}) r group by 1) f on lower(a.name) = f.name_key"""
 
 
 def _results_sql(body: str) -> str:
-    return with_views(body, *_RESULTS_VIEWS, extra={"results": _RESULTS_SQL})
+    return with_views(body, *RESULTS_VIEWS, extra={"results": RESULTS_SQL})
 
 
 @register("topic_dim", _results_sql("""
@@ -209,7 +209,7 @@ def q_paper_dim(spark, d):
     return M.paper_dim(_results(spark, d))
 
 
-@register("author_dim", _results_sql(_AUTHOR_DIM_SQL))
+@register("author_dim", _results_sql(AUTHOR_DIM_SQL))
 def q_author_dim(spark, d):
     return M.author_dim(_results(spark, d), B.roster(spark, d), HOME)
 
@@ -233,7 +233,7 @@ def q_interactions(spark, d):
     select f.faculty, coalesce(r.cluster_id, -1) as topic_id, count(*) as total_papers,
            cast(sum(coalesce(r.citation_count, 0)) as bigint) as total_citations
     from (select distinct x.seq, a.faculty
-          from ({_AUTHORSHIP_SQL}) x join ({_AUTHOR_DIM_SQL}) a using (author_key)
+          from ({_AUTHORSHIP_SQL}) x join ({AUTHOR_DIM_SQL}) a using (author_key)
           where coalesce(a.faculty, '') <> '' and x.doi is not null) f
     join results r using (seq)
     group by 1, 2"""))
@@ -414,7 +414,7 @@ _AUTHORS_OF_SQL = """
     from f_paper_author pa join f_author a using (author_id) group by 1"""
 
 
-def _cards_sql(where: str, page_no: int, size: int = 12) -> str:
+def _cards_sql(where: str, page_no: int, size: int = 12, extra: dict[str, str] | None = None) -> str:
     return with_views(f"""
     select p.paper_id as id, p.title, p.year, coalesce(lt.ids, []) as topic_ids,
            coalesce(lt.nm, []) as topic_names, coalesce(lt.kw, []) as topic_keywords,
@@ -423,7 +423,7 @@ def _cards_sql(where: str, page_no: int, size: int = 12) -> str:
           order by year desc nulls first, citation_count desc nulls first, paper_id
           limit {size} offset {(page_no - 1) * size}) p
     left join au using (paper_id) left join lt using (paper_id)""",
-                      *_NET_VIEWS, extra={"au": _AUTHORS_OF_SQL, "lt": _LABEL_TOPICS_SQL})
+                      *_NET_VIEWS, extra={**(extra or {}), "au": _AUTHORS_OF_SQL, "lt": _LABEL_TOPICS_SQL})
 
 
 def _cards(spark, d, **kw):
@@ -434,9 +434,12 @@ def _cards(spark, d, **kw):
 
 _SEARCH_TEXT = "urgent order 12"
 _SEARCH_AUTHOR = "supplier#00000004"
-_SEARCH_WHERE = f"""where (contains(upper(title), upper('{_SEARCH_TEXT}'))
-        or paper_id in (select pa.paper_id from f_paper_author pa join f_author a using (author_id)
-                        where contains(upper(a.name), upper('{_SEARCH_TEXT}'))))"""
+_SEARCH_HITS = f"""
+    select paper_id from (select paper_id, upper(title) as t from f_paper) x where contains(t, upper('{_SEARCH_TEXT}'))
+    union
+    select pa.paper_id from f_paper_author pa
+    join (select author_id from (select author_id, upper(name) as t from f_author) y
+          where contains(t, upper('{_SEARCH_TEXT}'))) a using (author_id)"""
 _FILTERED_WHERE = _F5_FILTER + """
     and paper_id in (select paper_id from f_paper_author where author_id = 42)"""
 
@@ -451,7 +454,7 @@ def q_paper_cards_page3(spark, d):
     return _cards(spark, d, number=3, size=12)[0]
 
 
-@register("paper_cards_search", _cards_sql(_SEARCH_WHERE, 1))
+@register("paper_cards_search", _cards_sql("semi join hits h on h.paper_id = p.paper_id", 1, extra={"hits": _SEARCH_HITS}))
 def q_paper_cards_search(spark, d):
     return _cards(spark, d, number=1, size=12, text=_SEARCH_TEXT)[0]
 
@@ -487,7 +490,8 @@ def q_paper_page_info(spark, d):
 
 
 @register("paper_search", with_views(f"""
-    select paper_id, title from f_paper p {_SEARCH_WHERE}""", *_NET_VIEWS))
+    select p.paper_id, p.title from f_paper p semi join hits h on h.paper_id = p.paper_id""", *_NET_VIEWS,
+                                     extra={"hits": _SEARCH_HITS}))
 def q_paper_search(spark, d):
     return P.search_papers(B.papers(spark, d), B.paper_authors(spark, d), B.authors(spark, d),
                            _SEARCH_TEXT).select("paper_id", "title")
@@ -1085,7 +1089,7 @@ def q_assign_topics(spark, d):
 
 # ------------------------------------------------------------------- sinks
 
-_UPSERT_SQL = """
+UPSERT_SQL = """
     select coalesce(b.paper_id, u.paper_id) as paper_id,
            case when u.paper_id is not null then u.title else b.title end as title,
            case when b.paper_id is not null then b.year else u.year end as year,
@@ -1098,23 +1102,30 @@ _UPSERT_SQL = """
                      1 as seq from f_paper where paper_id % 3 = 0
               union all
               select paper_id, lower(title), cast(null as int), citation_count + 2, 2 from f_paper
-              where paper_id % 6 = 0) x
+              where paper_id % 6 = 0
+              union all
+              select paper_id, title, year, citation_count, 3 from f_paper where paper_id % 2 = 1 and paper_id % 3 <> 0) x
         group by 1) u on b.paper_id = u.paper_id"""
 
 
-@register("upsert", with_views(_UPSERT_SQL, "f_paper"))
-def q_upsert(spark, d):
+def upsert_inputs(spark, d):
+    """(base, updates): the even ids, and a batch with the odd ones and changes to every sixth."""
     p = B.papers(spark, d).select("paper_id", "title", "year", "citation_count")
-    base = p.filter(F.col("paper_id") % 2 == 0)
-    u1 = p.filter(F.col("paper_id") % 3 == 0).select("paper_id", F.upper("title").alias("title"),
-                                                      F.lit(None).cast("int").alias("year"),
-                                                      (F.col("citation_count") + 1).alias("citation_count"),
-                                                      F.lit(1).alias("seq"))
-    u2 = p.filter(F.col("paper_id") % 6 == 0).select("paper_id", F.lower("title").alias("title"),
-                                                      F.lit(None).cast("int").alias("year"),
-                                                      (F.col("citation_count") + 2).alias("citation_count"),
-                                                      F.lit(2).alias("seq"))
-    return U.upsert(base, u1.unionByName(u2), ["paper_id"], ["title", "citation_count"], order="seq")
+    k, no_year = F.col("paper_id"), F.lit(None).cast("int").alias("year")
+
+    def change(rows, title, more, seq):
+        return p.filter(rows).select("paper_id", title.alias("title"), no_year,
+                                     (F.col("citation_count") + more).alias("citation_count"), F.lit(seq).alias("seq"))
+
+    updates = (change(k % 3 == 0, F.upper("title"), 1, 1).unionByName(change(k % 6 == 0, F.lower("title"), 2, 2))
+               .unionByName(p.filter((k % 2 == 1) & (k % 3 != 0)).withColumn("seq", F.lit(3))))
+    return p.filter(k % 2 == 0), updates
+
+
+@register("upsert", with_views(UPSERT_SQL, "f_paper"))
+def q_upsert(spark, d):
+    base, updates = upsert_inputs(spark, d)
+    return U.upsert(base, updates, ["paper_id"], ["title", "citation_count"], order="seq")
 
 
 @register("append_distinct", with_views("""
@@ -1132,7 +1143,7 @@ def q_append_distinct(spark, d):
 # ------------------------------------------------ roster head, union, enrich
 
 @register("head_by", with_views("""
-    select seq, name, faculty from roster order by seq limit 10""", "f_author", extra={"roster": _ROSTER_SQL}))
+    select seq, name, faculty from roster order by seq limit 10""", "f_author", extra={"roster": ROSTER_SQL}))
 def q_head_by(spark, d):
     return I.head_by(B.roster(spark, d), 10).select("seq", "name", "faculty")
 
@@ -1235,7 +1246,7 @@ _BATCH_SQL = {
 }
 
 
-def _batch_sql(body: str) -> str:
+def batch_sql(body: str) -> str:
     return with_views(body, "f_vec", "f_author", extra=_BATCH_SQL)
 
 
@@ -1243,13 +1254,13 @@ def _batch(spark, d):
     return BATCH.marts(BATCH.results(B.raw_works(spark, d), B.vectors(spark, d)), B.roster(spark, d), HOME)
 
 
-@register("batch_paper_dim", _batch_sql("""
+@register("batch_paper_dim", batch_sql("""
     select doi, title, year, abstract, citation_count, venue, '' as url from bp"""))
 def q_batch_paper_dim(spark, d):
     return _batch(spark, d).papers
 
 
-@register("batch_topic_dim", _batch_sql("""
+@register("batch_topic_dim", batch_sql("""
     select t.topic_id, case when t.topic_id = -1 then 'Outlier / Noise'
                             else array_to_string(list_slice(k.keywords, 1, 5), ', ') end as name,
            coalesce(k.keywords, cast([] as varchar[])) as keywords
@@ -1258,25 +1269,25 @@ def q_batch_topic_dim(spark, d):
     return _batch(spark, d).topics
 
 
-@register("batch_yearly_topic_stat", _batch_sql("""
+@register("batch_yearly_topic_stat", batch_sql("""
     select p.year, a.topic_id, count(*) as total_papers from bp p join ba a using (seq) group by 1, 2"""))
 def q_batch_yearly_topic_stat(spark, d):
     return _batch(spark, d).yearly_topic_stat
 
 
-@register("batch_author_dim", _batch_sql(f"""
+@register("batch_author_dim", batch_sql(f"""
     select x.author_key, x.openalex_id, x.name, f.faculty,
            case when coalesce(f.faculty, '') <> '' then 'Home University' else 'External' end as institution,
            cast(null as varchar) as email
     from (select author_key, arg_min(name, seq * 1e9 + o) as name,
                  arg_min(struct_pack(v := openalex_id), seq * 1e9 + o).v as openalex_id from bas group by 1) x
-    left join (select lower(name) as name_key, arg_max(faculty, seq) as faculty from ({_ROSTER_SQL}) r group by 1) f
+    left join (select lower(name) as name_key, arg_max(faculty, seq) as faculty from ({ROSTER_SQL}) r group by 1) f
            on lower(x.name) = f.name_key"""))
 def q_batch_author_dim(spark, d):
     return _batch(spark, d).authors
 
 
-@register("batch_coauthor_edges", _batch_sql("""
+@register("batch_coauthor_edges", batch_sql("""
     select a.author_key as author_a, b.author_key as author_b, count(*) as weight
     from (select distinct seq, author_key from bas) a
     join (select distinct seq, author_key from bas) b on a.seq = b.seq and a.author_key < b.author_key group by 1, 2"""))
@@ -1284,6 +1295,9 @@ def q_batch_coauthor_edges(spark, d):
     return _batch(spark, d).coauthor_edges
 
 
-@register("batch_interactions", _batch_sql("select doi, topic_id as primary_topic_id from ba"))
+@register("batch_interactions", batch_sql("select doi, topic_id as primary_topic_id from ba"))
 def q_batch_interactions(spark, d):
     return _batch(spark, d).interactions.select("doi", "primary_topic_id")
+
+
+from scriptorium import registry_stored  # noqa: E402,F401
