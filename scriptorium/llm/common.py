@@ -70,10 +70,22 @@ def small_side(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each lengthened until ``df`` has no such column (in any case of letters)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is not in the materialised ``ids``."""
-    gone = small_side(ids.select(F.col("doc_id").alias("_gone")))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    (name,) = unused(docs, "gone")
+    gone = small_side(ids.select(F.col("doc_id").alias(name)))
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def lower_ascii(c: Column | str) -> Column:

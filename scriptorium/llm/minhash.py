@@ -14,28 +14,33 @@ paired up. Candidates are confirmed on full shingle sets (64-bit fingerprints):
 1. every class against the most central class it meets in any table, and
    the components of what is confirmed;
 2. what still meets across components: where a large component stands in a table,
-   the other classes there against all of it and each other, in blocks; where all
-   are small, pair by pair.
+   the other classes there against all of it and each other, in blocks; the classes of
+   tables without one by an exact similarity join on prefixes. Shingles are put in one
+   order, those of crowded hash buckets last; two sets similar enough share a shingle
+   among the first 1/9 of the smaller and the first 1/5 of the larger one (for 80 %). A passage that
+   many texts share stands behind these prefixes unless the texts are similar indeed.
 
 So no table's members are expanded into all pairs, and every candidate pair is
 either confirmed, refuted, or inside one component already.
 
 Defined results: null, empty and word-less texts have no shingles and link with
-nothing; rows with a null id keep n_shingles and have a null component and kept
-true; rows repeated under one id are one document; extra columns are ignored.
+nothing; texts of any length are hashed whole; rows with a null id keep n_shingles and have
+a null component and kept true; every row is a document of its own, so different texts under one id
+are settled one by one, and equal rows alike; extra columns are ignored, whatever their names; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import blake2b
+from hashlib import blake2b, sha256
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import drop_ids, keep_narrow, mix64, shingle_set, small_side, table, texts, tidy
+from scriptorium.llm.common import drop_ids, keep_narrow, mix64, shingle_set, small_side, table, texts, tidy, unused
 from scriptorium.llm.components import components, roots
 from scriptorium.session import cut_lineage
 
@@ -43,7 +48,8 @@ SIDE, DEPTH = 20, 4
 SIMILARITY = 80           # percent
 BLOCK = 256               # members of a component compared in one piece
 PIECE = 1 << 16           # shingles hashed at once
-SMALL = 8                 # a component up to this size is compared pair by pair
+SMALL = 8                 # a component up to this size stands for itself in no block
+BUCKETS = 1 << 20         # of the shingle counts that order the prefixes
 
 _SEEDS = mix64(np.arange(1, 2 * SIDE * DEPTH + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
 
@@ -96,8 +102,18 @@ def _sign(words: int):
 def _sets(words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"node": pdf["doc_id"],
-                                "shingles": [shingle_set(t.encode(), words).tobytes() for t in pdf["text"]]})
+            sets = [shingle_set(t.encode(), words).tobytes() for t in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "set_id": [blake2b(s, digest_size=16).digest() for s in sets],
+                                "shingles": sets})
+    return tidy(run)
+
+
+def _named(words: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            raw = [t.encode() for t in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "digest": [sha256(t).hexdigest() for t in raw],
+                                "set_id": [blake2b(shingle_set(t, words).tobytes(), digest_size=16).digest() for t in raw]})
     return tidy(run)
 
 
@@ -175,43 +191,97 @@ def against_components(tasks: DataFrame, members: DataFrame, sets: DataFrame, pe
             .applyInPandas(_against_block(percent), "a long, b long"))
 
 
+# ------------------------------------------------------- similarity join
+
+def _bucket(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+
+
+def _crowds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    total = np.zeros(BUCKETS, np.int64)
+    for pdf in batches:
+        for x in pdf["shingles"]:
+            np.add.at(total, _bucket(np.frombuffer(x, np.uint64)), 1)
+    at = np.flatnonzero(total)
+    yield pd.DataFrame({"bucket": at.astype(np.int32), "n": total[at]})
+
+
+def prefix_lengths(n: int, percent: int) -> tuple[int, int]:
+    """Shingles of a set of ``n`` among which one is shared: with any set similar enough of
+    its size or more, and with one of any size."""
+    return n - -(-2 * percent * n // (100 + percent)) + 1, n - -(-percent * n // 100) + 1
+
+
+def _prefixes(crowded: np.ndarray, n: np.ndarray, percent: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weight = np.zeros(BUCKETS, np.int64)
+        weight[crowded] = n
+        for pdf in batches:
+            out = []
+            for node, component, x in zip(pdf["node"].tolist(), pdf["component"].tolist(), pdf["shingles"], strict=True):
+                s = np.frombuffer(x, np.uint64)
+                few, more = prefix_lengths(len(s), percent)
+                first = s[np.lexsort((s, weight[_bucket(s)]))[:more]]
+                out.append(pd.DataFrame({"node": node, "component": component, "size": len(s),
+                                         "shingle": first.view(np.int64), "early": np.arange(len(first)) < few}))
+            if out:
+                yield pd.concat(out)
+    return tidy(run)
+
+
+def prefix_pairs(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``classes`` (node, component) in different components that may be similar
+    enough: every pair that is, and few others."""
+    own = cut_lineage(classes.join(sets, "node"))
+    counts = cut_lineage(own.select("shingles").mapInPandas(_crowds, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")))
+    mean = (counts.agg(F.sum("n")).first()[0] or 0) / BUCKETS
+    crowded = counts.filter(F.col("n") > 4 * mean + 8).toPandas()  # a quarter of the buckets at most
+    rows = cut_lineage(own.mapInPandas(_prefixes(crowded["bucket"].to_numpy(), crowded["n"].to_numpy(), percent),
+                                       "node long, component long, size long, shingle long, early boolean"))
+    x, y = rows.filter("early").alias("x"), rows.alias("y")
+    met = x.join(y, F.col("x.shingle") == F.col("y.shingle")).filter(
+        (F.col("x.component") != F.col("y.component"))
+        & ((F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.node") < F.col("y.node"))))
+        & (100 * F.col("x.size") >= percent * F.col("y.size")))
+    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
 # ----------------------------------------------------------------- candidates
 
 def table_rows(classes: DataFrame) -> DataFrame:
-    """(key, node, g, h): a class's rows in the tables it shares with another
-    class. ``g``, ``h`` are the positions whose pair keys the table."""
+    """(key, node): a class's rows in the tables it shares with another class."""
     halves = classes.select("node", F.posexplode("halves").alias("pos", "half"))
     shared = (halves.groupBy("half").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
               .filter("lo < hi").select("half"))
     kept = halves.join(shared, "half")
-    sides = kept.groupBy("node").agg(
-        F.collect_list(F.when(F.col("pos") < SIDE, F.struct("pos", "half"))).alias("gs"),
-        F.collect_list(F.when(F.col("pos") >= SIDE, F.struct("pos", "half"))).alias("hs"))
+    sides = kept.groupBy("node").agg(F.collect_list(F.when(F.col("pos") < SIDE, F.col("half"))).alias("gs"),
+                                     F.collect_list(F.when(F.col("pos") >= SIDE, F.col("half"))).alias("hs"))
     rows = (sides.select("node", F.explode("gs").alias("g"), "hs").select("node", "g", F.explode("hs").alias("h"))
-            .select(F.xxhash64("g.half", "h.half").alias("key"), "node",
-                    F.col("g.pos").cast("byte").alias("g"), (F.col("h.pos") - SIDE).cast("byte").alias("h")))
+            .select(F.xxhash64("g", "h").alias("key"), "node"))
     rows = cut_lineage(rows)
     many = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key")
     return cut_lineage(rows.join(many, "key"))
 
 
-def near_components(docs: DataFrame, words: int = 4, percent: int = SIMILARITY) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept."""
+def near_rows(docs: DataFrame, words: int = 4, percent: int = SIMILARITY) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, set_id (the digest of its shingles), component_id, kept."""
     docs = texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     sig = cut_lineage(docs.mapInPandas(_sign(words),
                                        "doc_id long, n_shingles long, set_id binary, halves array<long>"))
     named = sig.filter("n_shingles > 0 and doc_id is not null")
-    reps = keep_narrow(named.groupBy("set_id").agg(F.min("doc_id").alias("node")))
-    classes = named.join(reps.withColumnRenamed("node", "doc_id"), ["doc_id", "set_id"], "left_semi").select(
-        F.col("doc_id").alias("node"), "halves")
+    # a class is numbered, not named by an id: under one id there may be two texts
+    reps = keep_narrow(named.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
+                       .withColumn("node", F.monotonically_increasing_id()))
+    classes = cut_lineage(named.join(reps, ["doc_id", "set_id"]).select("node", "halves"))
     rows = table_rows(classes)
 
     # The score orders classes by the tables they share; it also names the class.
     score = F.shiftleft(F.count(F.lit(1)), 40) + F.xxhash64("node").bitwiseAND(F.lit((1 << 40) - 1))
     scores = keep_narrow(rows.groupBy("node").agg(score.alias("score")))
-    wanted = small_side(scores.select(F.col("node").alias("doc_id")))
-    sets = cut_lineage(docs.join(wanted, "doc_id", "left_semi")
-                       .filter("text is not null").mapInPandas(_sets(words), "node long, shingles binary"))
+    wanted = keep_narrow(reps.join(scores.select("node"), "node", "left_semi"))
+    found = (docs.join(small_side(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
+             .filter("text is not null").mapInPandas(_sets(words), "doc_id long, set_id binary, shingles binary"))
+    sets = cut_lineage(found.join(small_side(wanted), ["doc_id", "set_id"]).select("node", "shingles"))
     scored = cut_lineage(rows.join(scores, "node"))
     best = (scored.join(keep_narrow(scored.groupBy("key").agg(F.max("score").alias("top"))), "key")
             .groupBy("node", "score").agg(F.max("top").alias("top")).filter("top > score"))
@@ -223,8 +293,8 @@ def near_components(docs: DataFrame, words: int = 4, percent: int = SIMILARITY)
     # What meets across components.
     member = keep_narrow(scores.select("node").join(joined, "node", "left")
                          .select("node", F.coalesce("component", "node").alias("component")))
-    size = member.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    member = keep_narrow(member.join(size, "component"))
+    size = keep_narrow(member.groupBy("component").agg(F.count(F.lit(1)).alias("size")))
+    member = keep_narrow(member.join(small_side(size), "component"))
     seen = cut_lineage(rows.join(member, "node"))
     weight = F.shiftleft(F.col("size"), 32) + F.xxhash64("component").bitwiseAND(F.lit((1 << 32) - 1))
     mixed = keep_narrow(seen.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
@@ -236,30 +306,47 @@ def near_components(docs: DataFrame, words: int = 4, percent: int = SIMILARITY)
                         .join(heavy, "heavy").select("node", "component"))
     more = against_components(tasks, member.select("node", "component"), sets, percent)
 
-    # Where no large component stands in a table: pairs, each in the first table the two share only.
-    lists = classes.select("node", F.transform("halves", lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("hashes"))
-    rest = seen.filter(~large).select("key", "node", "component", "g", "h").join(lists, "node")
-    rest = cut_lineage(rest.select("key", "node", "component", F.expr("slice(hashes, 1, g)").alias("gs"),
-                                   F.expr(f"slice(hashes, {SIDE} + 1, h)").alias("hs")))
-    x, y = rest.alias("x"), rest.alias("y")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node"))
-                   & (F.col("x.component") != F.col("y.component"))
-                   & ~F.arrays_overlap("x.gs", "y.gs") & ~F.arrays_overlap("x.hs", "y.hs"))
-    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    links = links.unionByName(more).unionByName(confirm(pairs, sets, percent))
+    # The classes of tables in which no large component stands.
+    rest = keep_narrow(seen.filter(~large).select("node", "component").distinct())
+    links = links.unionByName(more).unionByName(confirm(prefix_pairs(rest, sets, percent), sets, percent))
     final = components(links)
 
-    named_sets = cut_lineage(reps.join(final, "node", "left")
-                             .select("set_id", F.coalesce("component", "node").alias("component_id")))
-    out = named.join(named_sets, "set_id").select("doc_id", "n_shingles", "component_id")
-    bare = sig.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    linked = keep_narrow(reps.select("node", "doc_id").join(final, "node"))
+    least = keep_narrow(linked.groupBy("component").agg(F.min("doc_id").alias("component_id")))
+    placed = linked.join(small_side(least), "component").select("node", "component_id")
+    named_sets = cut_lineage(reps.join(placed, "node", "left")
+                             .select("set_id", F.coalesce("component_id", "doc_id").alias("component_id")))
+    out = named.join(named_sets, "set_id").select("doc_id", "n_shingles", "set_id", "component_id")
+    bare = sig.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", "set_id", F.col("doc_id").alias("component_id"))
     return out.unionByName(bare).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def near_components(docs: DataFrame, words: int = 4, percent: int = SIMILARITY) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept."""
+    return near_rows(docs, words, percent).drop("set_id")
+
+
 def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = SIMILARITY) -> DataFrame:
-    """One document of each group of near copies: the one of smallest id."""
-    gone = keep_narrow(near_components(docs, words, percent).filter("not kept").select("doc_id").distinct())
-    return drop_ids(docs, gone)
+    """One document of each group of near copies: the one of smallest id. An id alone settles a
+    row unless rows of that id differ in their fate; these are settled by id and text. Columns
+    keep their names and values."""
+    made = cut_lineage(near_rows(docs, words, percent).select("doc_id", "set_id", "kept"))
+    gone = keep_narrow(made.filter("not kept").select("doc_id").distinct())
+    both = keep_narrow(made.filter("kept").join(small_side(gone), "doc_id", "left_semi").select("doc_id").distinct())
+    if not both.take(1):
+        return drop_ids(docs, gone)
+    unclear, name, digest = unused(docs, "unclear", "name", "digest")
+    ids = small_side(both.select(F.col("doc_id").alias(unclear)))
+    same = F.col("doc_id") == F.col(unclear)
+    apart = docs.join(ids, same, "left_semi")
+    shown = apart.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    bare = F.unhex(F.lit(blake2b(b"", digest_size=16).hexdigest()))       # of a text without words
+    told = shown.mapInPandas(_named(words), "doc_id long, set_id binary, digest string")
+    stays = keep_narrow(told.join(made.filter("kept").withColumn("set_id", F.coalesce("set_id", bare)).distinct(), ["doc_id", "set_id"])
+                        .select(F.col("doc_id").alias(name), F.col("digest").alias(digest)).distinct())
+    kept = apart.join(small_side(stays), (F.col("doc_id") == F.col(name))
+                      & (F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256) == F.col(digest)), "left_semi")
+    return drop_ids(docs.join(ids, same, "left_anti"), gone).unionByName(kept)
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

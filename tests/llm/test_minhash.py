@@ -96,6 +96,50 @@ def test_null_and_repeated_ids(spark):
     assert got == sorted([(1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (None, 3, None, True)], key=repr)
 
 
+def test_texts_that_share_a_long_passage_form_no_pairs(spark, monkeypatch):
+    """400 common words, 75 of their own: similar enough for many tables, not for a link."""
+    r, asked = random.Random(1), []
+    common = [f"c{i}" for i in range(400)]
+    rows = [(i, " ".join([f"o{r.randrange(10 ** 9)}" for _ in range(75)] + common)) for i in range(200)]
+    confirm = M.confirm
+
+    def counted(pairs, sets, percent):
+        pairs = M.cut_lineage(pairs)
+        asked.append(pairs.count())
+        return confirm(pairs, sets, percent)
+
+    monkeypatch.setattr(M, "confirm", counted)
+    assert run(spark, rows) == brute(rows)
+    assert asked[0] > 0 and sum(asked) < 3 * len(rows)
+
+
+def test_prefixes_keep_every_pair():
+    r = random.Random(5)
+    for percent in (50, 80, 95):
+        for _ in range(400):
+            a = set(range(r.randint(1, 40)))
+            b = {x for x in a if r.random() < 0.95} | {100 + i for i in range(r.randint(0, 4))}
+            a, b = sorted((a, b), key=len)
+            if not a or 100 * len(a & b) < percent * len(a | b):
+                continue
+            order = list(range(200))
+            r.shuffle(order)
+            first = [sorted(s, key=order.index)[:M.prefix_lengths(len(s), percent)[k]] for k, s in enumerate((a, b))]
+            assert set(first[0]) & set(first[1])
+
+
+def test_different_texts_under_one_id(spark):
+    text = [f"w{i}" for i in range(60)]
+    near, alone = " ".join([*text, "more"]), "a text of its own that nobody else has written so far"
+    rows = [(3, " ".join(text), 1, "g"), (5, near, 2, "g"), (5, alone, 3, "g"), (5, "", 4, "g"), (7, near, 5, "g"), (None, near, 6, "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, unclear int, gone string")
+    got = sorted((x.doc_id, x.text, x.unclear, x.gone) for x in M.drop_near_copies(docs).filter("doc_id is not null").collect())
+    assert got == sorted([(3, " ".join(text), 1, "g"), (5, alone, 3, "g"), (5, "", 4, "g")])
+    assert M.drop_near_copies(docs).filter("doc_id is null").count() == 1
+    made = sorted(((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in M.near_components(docs).collect()), key=repr)
+    assert made == sorted([(3, 57, 3, True), (5, 58, 3, False), (5, 9, 5, True), (5, 0, 5, True), (7, 58, 3, False), (None, 58, None, True)], key=repr)
+
+
 def test_empty(spark):
     assert run(spark, []) == {}
 
@@ -106,6 +150,8 @@ def test_documents(spark):
     sets = {i: shingles(t, 4) for i, t in rows}
     got = {x.doc_id: x for x in M.near_components(docs).collect()}
     assert all(got[i].n_shingles == len(s) for i, s in sets.items())
+    want = brute(rows)
+    assert {i: (x.n_shingles, x.component_id, x.kept) for i, x in got.items()} == want
 
 
 def test_miss_chance():
