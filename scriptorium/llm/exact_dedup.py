@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import drop_ids, keep_narrow, lower_ascii, mix64, small_side, table, texts, tidy
+from scriptorium.llm.common import drop_ids, keep_narrow, lower_ascii, mix64, small_side, table, texts, tidy, unused
 from scriptorium.session import cut_lineage
 
 SHARD_KEYS = 1 << 16      # digests a filter shard holds, about
@@ -206,21 +206,24 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 def drop_copies(docs: DataFrame) -> DataFrame:
     """One row of each group of equal texts: the one of largest id. A row repeated
     under that very id is dropped too. An id alone settles a row only where it is
-    there once; rows of repeated and of null ids are settled by id and digest."""
+    there once; rows of repeated and of null ids are settled by id and digest: a group with null
+    ids only keeps one row, and of rows equal in id and folded text one stays. Columns keep their
+    names and values, whatever they are called."""
     made = exact_dedup(docs)
+    again, body, stays, digest = unused(docs, "again", "body", "stays", "digest")
     gone = keep_narrow(made.filter("not kept").select("doc_id").distinct())
     unclear = keep_narrow(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-                          .filter("n > 1 or doc_id is null").select(F.col("doc_id").alias("_again")))
+                          .filter("n > 1 or doc_id is null").select(F.col("doc_id").alias(again)))
     if not unclear.take(1):
         return drop_ids(docs, gone)
     ids = small_side(unclear)
-    same = F.col("doc_id").eqNullSafe(F.col("_again"))
+    same = F.col("doc_id").eqNullSafe(F.col(again))
     stay = keep_narrow(made.filter("kept").join(ids, same, "left_semi")
-                       .select(F.col("doc_id").alias("_stays"), F.col("text_sha256").alias("_digest")).distinct())
-    once = (docs.join(ids, same, "left_semi").withColumn("_body", lower_ascii(F.coalesce("text", F.lit(""))))
-            .join(small_side(stay), F.col("doc_id").eqNullSafe(F.col("_stays"))
-                  & (F.sha2(F.col("_body").cast("binary"), 256) == F.col("_digest")), "left_semi")
-            .dropDuplicates(["doc_id", "_body"]).drop("_body"))
+                       .select(F.col("doc_id").alias(stays), F.col("text_sha256").alias(digest)).distinct())
+    once = (docs.join(ids, same, "left_semi").withColumn(body, lower_ascii(F.coalesce("text", F.lit(""))))
+            .join(small_side(stay), F.col("doc_id").eqNullSafe(F.col(stays))
+                  & (F.sha2(F.col(body).cast("binary"), 256) == F.col(digest)), "left_semi")
+            .dropDuplicates(["doc_id", body]).drop(body))
     return drop_ids(docs.join(ids, same, "left_anti"), gone).unionByName(once)
 
 

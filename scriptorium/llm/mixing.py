@@ -186,9 +186,13 @@ def realise(docs: DataFrame, plan_rows: DataFrame) -> DataFrame:
     """The rows of ``docs`` as often as the plan says, with mix_epoch (from 0),
     mix_block, mix_key (the order inside the epoch: rows of all sources sorted by
     it are the epoch's block permutation), mix_weight and mix_budget."""
+    added = ["mix_epoch", "mix_block", "mix_key", "mix_weight", "mix_budget"]
+    kept = [c for c in docs.columns if c not in added]
+    # the caller's columns travel under names that nothing here uses
+    bare = docs.select("doc_id", "source", *[F.col(f"`{c}`").alias(f"column_{i}") for i, c in enumerate(kept)])
     own = ("weight", "budget", "epochs", "cb", "cs", "cd")
     taken = _small(plan_rows.select("_source", *[F.col(c).alias(f"_mix_{c}") for c in own]))
-    row = placed(docs).join(taken, "_source")
+    row = placed(bare).join(taken, "_source")
     cb, cs, cd = (F.col(f"_mix_{c}") for c in ("cb", "cs", "cd"))
     k = keys(F.col("_mix_epochs"))
     last = ((k["bk"] < cb) | ((k["bk"] == cb) & ((k["sk"] < cs) | ((k["sk"] == cs) & (k["dk"] <= cd)))))
@@ -199,8 +203,7 @@ def realise(docs: DataFrame, plan_rows: DataFrame) -> DataFrame:
     key = F.concat(F.substring(k["bk"], 1, 12), F.substring(k["sk"], 1, 8), F.substring(k["dk"], 1, 12))
     row = row.withColumns({"mix_key": key, "mix_block": F.col("_block"), "mix_weight": F.col("_mix_weight"),
                            "mix_budget": F.col("_mix_budget")})
-    added = ["mix_epoch", "mix_block", "mix_key", "mix_weight", "mix_budget"]
-    return row.select(*[c for c in docs.columns if c not in added], *added)
+    return row.select(*[F.col(f"column_{i}").alias(c) for i, c in enumerate(kept)], *added)
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:

@@ -119,3 +119,13 @@ def test_collision_is_regrouped_by_bytes(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string, digest string, key string")
     got = sorted((r.doc_id, r.keep_id, r.group_size) for r in X.exact_dedup(docs).collect())
     assert got == [(1, 2, 2), (2, 2, 2), (3, 3, 1), (4, 4, 1)]
+
+
+def test_columns_of_any_name_and_groups_without_ids(spark):
+    rows = [(1, "One", "a", "b", "c", 1), (2, "one", "a", "b", "c", 2), (None, "two", "a", "b", "c", 3), (None, "TWO", "a", "b", "c", 4),
+            (3, "three", "a", "b", "c", 5), (3, "three", "a", "b", "c", 6), (4, "", "a", "b", "c", 7), (5, None, "a", "b", "c", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone string, _gone string, body string, again int")
+    got = X.drop_copies(docs)
+    assert got.columns == docs.columns
+    by = sorted(((r.doc_id or 0, (r.text or "").lower(), r.gone, r._gone, r.body) for r in got.collect()))
+    assert by == [(0, "two", "a", "b", "c"), (2, "one", "a", "b", "c"), (3, "three", "a", "b", "c"), (5, "", "a", "b", "c")]

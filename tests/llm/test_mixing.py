@@ -118,3 +118,11 @@ def test_bisect_equals_plain_halving():
             mid = (lo + hi) / 2
             lo, hi = (lo, mid) if mid >= at else (mid, hi)
         assert X.bisect(lambda points: [p >= at for p in points]) == hi
+
+
+def test_columns_keep_their_values(spark):
+    rows = [(1, "a", "x y z", "KEEP", 7, 8, "b", 9), (2, "b", "p", "ME", 1, 2, "c", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, _source string, _n int, _block int, _doc string, column_0 int")
+    got = X.mix(docs, max_repetition=3.0)
+    assert got.columns[:8] == docs.columns
+    assert {tuple(r)[:8] for r in got.collect()} == set(rows)
