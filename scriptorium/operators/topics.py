@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import text as X
 from scriptorium.functions.stopwords import ENGLISH_STOP_WORDS
-from scriptorium.session import cut_lineage, shuffle_slots
 
 # The academic stop words added to the English list, in the
 # order the original lists them (duplicates included there; a set here).
@@ -120,49 +119,47 @@ def explode_terms(df: DataFrame, *keep: str) -> DataFrame:
             .filter(F.col("term").isNotNull()))
 
 
-def class_weights(terms: DataFrame, topic_col: str = "topic_id") -> tuple[DataFrame, DataFrame]:
-    """T2 parts: (scores, idf). Scores are ``tf(t,c) / |c| * ln(1 + A / f(t))`` with
-    |c| the term total of class c, A the integer mean of |c| over classes and f(t)
-    the total count of term t over all classes (class-based TF-IDF, Grootendorst
-    2022); idf(term) is the logarithm alone.
+def term_weights(terms: DataFrame, topic_col: str = "topic_id") -> DataFrame:
+    """T2 in one row a term: (term, idf, in_topics), ``in_topics`` an array of (t, n, class_total,
+    s), one entry per topic that has the term. s is ``tf(t,c) / |c| * ln(1 + A / f(t))`` with |c| the term
+    total of class c, A the integer mean of |c| over classes and f(t) the total count of the term
+    over all classes (class-based TF-IDF, Grootendorst 2022); idf is the logarithm alone.
 
-    Class totals and term totals are aggregates joined back; A is a scalar
-    subquery. ``terms`` is read several times, so it is materialised once in the
-    shared checkpoint folder (the (topic, term) aggregate, far smaller than the
-    texts)."""
-    terms = cut_lineage(terms)
+    The (topic, term) counts are shuffled once, by term. Class totals and A are scalar subqueries
+    (one entry a topic) over the same counts, whose exchange Spark reuses."""
     per_class = terms.groupBy(topic_col).agg(F.sum("n").alias("class_total"))
-    avg = per_class.agg(F.floor(F.avg("class_total")).cast("double").alias("A")).scalar()
-    idf = (terms.groupBy("term").agg(F.sum("n").alias("term_total"))
-           .select("term", "term_total", F.log(1 + avg / F.col("term_total")).alias("idf")))
-    scores = (terms.join(per_class, topic_col).join(idf, "term")
-              .select(topic_col, "term", "n", "class_total",
-                      (F.col("n") / F.col("class_total") * F.col("idf")).alias("score")))
-    return scores, idf.select("term", "idf")
+    totals = per_class.agg(F.map_from_entries(F.collect_list(F.struct(topic_col, "class_total"))).alias("m"),
+                           F.floor(F.avg("class_total")).cast("double").alias("A"))
+    by_term = (terms.groupBy("term").agg(F.sum("n").alias("f"), F.collect_list(F.struct(F.col(topic_col).alias("t"), "n")).alias("c"))
+               .withColumn("_totals", totals.select("m").scalar())
+               .withColumn("idf", F.log(1 + totals.select("A").scalar() / F.col("f"))))
+    size = F.size("c")
+    cells = F.zip_with("c", F.array_repeat("idf", size), lambda x, idf: F.struct(
+        x["t"].alias("t"), x["n"].alias("n"), F.element_at(F.col("_totals"), x["t"]).alias("class_total"), idf.alias("idf")))
+    scored = F.transform(cells, lambda x: F.struct(x["t"].alias("t"), x["n"].alias("n"), x["class_total"].alias("class_total"),
+                                                   (x["n"] / x["class_total"] * x["idf"]).alias("s")))
+    return by_term.select("term", "idf", scored.alias("in_topics"))
 
 
 def ctfidf(terms: DataFrame, topic_col: str = "topic_id") -> DataFrame:
-    """T2 scores per (topic, term); see ``class_weights``."""
-    return class_weights(terms, topic_col)[0]
+    """T2 scores per (topic, term); see ``term_weights``."""
+    rows = term_weights(terms, topic_col).select("term", F.explode("in_topics").alias("x"))
+    return rows.select(F.col("x.t").alias(topic_col), "term", F.col("x.n").alias("n"), F.col("x.class_total").alias("class_total"),
+                       F.col("x.s").alias("score"))
 
 
 def top_terms(scores: DataFrame, group_col: str, n: int = TOP_N_WORDS, term_col: str = "term",
-              score_col: str = "score", salts: int | None = None) -> DataFrame:
+              score_col: str = "score") -> DataFrame:
     """The ``n`` best terms per group (score desc, term asc) as an ordered
     array ``keywords``.
 
-    Two-stage exact top-n: rank inside (group, hash(term) % salts) first, keep
-    n per bucket, then rank the at most ``salts * n`` survivors per group. A
-    group holding a third of all terms is thus ranked by ``salts`` tasks (the
-    shuffle partition count unless given), not one."""
-    salts = salts or shuffle_slots(scores)
+    Every task keeps the n best of each group among its own rows before the shuffle (Spark's
+    window group limit, for n up to ``spark.sql.optimizer.windowGroupLimitThreshold``), so a group
+    that holds a third of all terms sends n rows a task."""
     order = [F.desc(score_col), F.asc(term_col)]
-    salted = scores.withColumn("_salt", F.pmod(F.xxhash64(term_col), F.lit(salts)))
-    stage1 = (salted.withColumn("_r", F.row_number().over(Window.partitionBy(group_col, "_salt").orderBy(*order)))
-              .filter(F.col("_r") <= n))
-    stage2 = (stage1.withColumn("_r", F.row_number().over(Window.partitionBy(group_col).orderBy(*order)))
-              .filter(F.col("_r") <= n))
-    return (stage2.groupBy(group_col)
+    best = (scores.withColumn("_r", F.row_number().over(Window.partitionBy(group_col).orderBy(*order)))
+            .filter(F.col("_r") <= n))
+    return (best.groupBy(group_col)
             .agg(F.sort_array(F.collect_list(F.struct("_r", term_col))).alias("_k"))
             .select(group_col, F.col(f"_k.{term_col}").alias("keywords")))
 
@@ -366,14 +363,15 @@ def soft_topics(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_
     term and each term has at most one row per topic, so the fan-out of a
     document term is bounded by the topic count; the per-document window
     holds at most one row per topic."""
-    scores, idf = class_weights(terms, topic_col)
-    topics = scores.filter(F.col(topic_col) != X.OUTLIER_TOPIC_ID).select(topic_col, "term", "score")
-    norms = topics.groupBy(topic_col).agg(F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("tn"))
+    weights = term_weights(terms, topic_col)
+    real = F.filter("in_topics", lambda x: x["t"] != X.OUTLIER_TOPIC_ID)
+    norms = (weights.select(F.explode(real).alias("x")).groupBy(F.col("x.t").alias("t")).agg(F.sqrt(F.sum(F.col("x.s") * F.col("x.s"))).alias("tn"))
+             .agg(F.map_from_entries(F.collect_list(F.struct("t", "tn")))).scalar())
     # One row a term: its idf and its score in every topic that has it, already
     # divided by the topic's norm (at most one entry a topic).
-    per_term = (topics.join(norms, topic_col).groupBy("term")
-                .agg(F.collect_list(F.struct(F.col(topic_col).alias("t"), (F.col("score") / F.col("tn")).alias("s"))).alias("in_topics")))
-    lookup = idf.join(per_term, "term", "left")
+    lookup = (weights.select("term", "idf", real.alias("x"), norms.alias("_norms"))
+              .select("term", "idf", F.transform("x", lambda x: F.struct(
+                  x["t"].alias("t"), (x["s"] / F.element_at(F.col("_norms"), x["t"])).alias("s"))).alias("in_topics")))
     dt = (explode_terms(with_terms(docs.select(id_col, text_col), text_col, stop), id_col)
           .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("c")))
     # A document's length scales its vector only, so the cosine needs no length.
@@ -381,8 +379,7 @@ def soft_topics(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_
     w = F.col("c") * F.col("idf")
     own = F.array(F.struct(F.lit(None).cast("int").alias("t"), w.alias("s")))
     hits = (dt.join(lookup, "term")
-            .select(id_col, w.alias("w"), F.explode(F.concat(own, F.coalesce(
-                "in_topics", F.array().cast("array<struct<t:int,s:double>>")))).alias("e"))
+            .select(id_col, w.alias("w"), F.explode(F.concat(own, "in_topics")).alias("e"))
             .groupBy(id_col, F.col("e.t").alias("t")).agg(F.sum(F.col("w") * F.col("e.s")).alias("v")))
     per_doc = (hits.groupBy(id_col)
                .agg(F.sqrt(F.sum(F.when(F.col("t").isNull(), F.col("v")))).alias("dn"),
