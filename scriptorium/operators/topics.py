@@ -351,6 +351,18 @@ def assign_topics(vecs: DataFrame, k: int, seed: int = 42, vec_col: str = "embed
                       vector_to_array("probability").alias("topic_distribution"))
 
 
+def topic_lookup(terms: DataFrame, topic_col: str = "topic_id") -> DataFrame:
+    """(term, idf, in_topics): one row a term; ``in_topics`` its score in every real topic that has
+    it, divided by the topic's norm (t, s), at most one entry a topic."""
+    weights = term_weights(terms, topic_col)
+    real = F.filter("in_topics", lambda x: x["t"] != X.OUTLIER_TOPIC_ID)
+    norms = (weights.select(F.explode(real).alias("x")).groupBy(F.col("x.t").alias("t")).agg(F.sqrt(F.sum(F.col("x.s") * F.col("x.s"))).alias("tn"))
+             .agg(F.map_from_entries(F.collect_list(F.struct("t", "tn")))).scalar())
+    return (weights.select("term", "idf", real.alias("x"), norms.alias("_norms"))
+              .select("term", "idf", F.transform("x", lambda x: F.struct(
+                  x["t"].alias("t"), (x["s"] / F.element_at(F.col("_norms"), x["t"])).alias("s"))).alias("in_topics")))
+
+
 def soft_topics(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 topic_col: str = "topic_id", min_similarity: float = SOFT_MIN_SIMILARITY,
                 stop: list[str] | None = None) -> DataFrame:
@@ -358,20 +370,12 @@ def soft_topics(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_
     topic's c-TF-IDF vector; similarities below ``min_similarity`` are dropped
     and the rest normalised to sum 1 (A8). Long form (doc, topic, prob).
 
-    ``terms`` is T1's output for the fitted topics. Whole documents are scored
-    (the library's sliding token windows are not rebuilt). The join is on
+    ``terms`` is T1's output for the fitted topics. Whole documents are scored;
+    ``window_topics`` scores sliding token windows. The join is on
     term and each term has at most one row per topic, so the fan-out of a
     document term is bounded by the topic count; the per-document window
     holds at most one row per topic."""
-    weights = term_weights(terms, topic_col)
-    real = F.filter("in_topics", lambda x: x["t"] != X.OUTLIER_TOPIC_ID)
-    norms = (weights.select(F.explode(real).alias("x")).groupBy(F.col("x.t").alias("t")).agg(F.sqrt(F.sum(F.col("x.s") * F.col("x.s"))).alias("tn"))
-             .agg(F.map_from_entries(F.collect_list(F.struct("t", "tn")))).scalar())
-    # One row a term: its idf and its score in every topic that has it, already
-    # divided by the topic's norm (at most one entry a topic).
-    lookup = (weights.select("term", "idf", real.alias("x"), norms.alias("_norms"))
-              .select("term", "idf", F.transform("x", lambda x: F.struct(
-                  x["t"].alias("t"), (x["s"] / F.element_at(F.col("_norms"), x["t"])).alias("s"))).alias("in_topics")))
+    lookup = topic_lookup(terms, topic_col)
     dt = (explode_terms(with_terms(docs.select(id_col, text_col), text_col, stop), id_col)
           .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("c")))
     # A document's length scales its vector only, so the cosine needs no length.
@@ -389,3 +393,60 @@ def soft_topics(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_
             .filter(F.col("sim") >= min_similarity))
     total = F.sum("sim").over(Window.partitionBy(id_col))
     return sims.select(id_col, topic_col, F.round(F.col("sim") / total, 6).alias("prob"))
+
+
+WINDOW = 4                # tokens scored together
+
+
+def window_topics(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                  topic_col: str = "topic_id", window: int = WINDOW, min_similarity: float = SOFT_MIN_SIMILARITY,
+                  stop: list[str] | None = None) -> DataFrame:
+    """T5 by sliding windows: every run of ``window`` kept tokens (one token further each time; a
+    shorter text is one window) is scored against the topics by the cosine of c-TF-IDF vectors, similarities
+    below ``min_similarity`` are dropped window by window, the rest summed over the text and normalised
+    to sum 1 (A8). Long form (doc, topic, prob).
+
+    A text sends one row per distinct term, with the windows that hold it and how often; the term's scores
+    are joined once, whatever the number of windows. Work and rows grow with the text's length."""
+    kept = _remove_stop_words(docs.select(id_col, text_col).withColumn("_tok", tokens(text_col)), stop)
+    k, n = F.col("_kept"), F.size("_kept")
+    pairs = F.filter(F.zip_with(k, F.slice(k, 2, F.greatest(n, F.lit(1))), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b))),
+                     lambda b: b.isNotNull())
+
+    def placed(found: Column, m: int) -> Column:
+        return F.transform(found, lambda t, i: F.struct(t.alias("term"), i.alias("p"), F.lit(m).alias("m")))
+
+    marked = [placed(found, m) for m, found in ((1, k), (2, pairs)) if m <= window]
+    found = (kept.select(id_col, F.greatest(n - window, F.lit(0)).alias("last"), F.explode_outer(F.concat(*marked)).alias("x"))
+             .filter("x is not null").groupBy(id_col, "last", F.col("x.term").alias("term"), F.col("x.m").alias("m"))
+             .agg(F.array_sort(F.collect_list("x.p")).alias("ps")))
+    # A place opens the windows in which it is the term's first; the next places say how often the term is in them.
+    size = F.size("ps")
+    rows = found.withColumn("before", F.concat(F.array(F.lit(-1)), F.slice("ps", 1, F.greatest(size - 1, F.lit(0)))))
+    for j in range(1, window):
+        rows = rows.withColumn(f"n{j}", F.slice("ps", j + 1, F.greatest(size - j, F.lit(0))))
+    zipped = F.arrays_zip("ps", "before", *[f"n{j}" for j in range(1, window)])
+    shared = F.transform(zipped, lambda z: F.struct(z.alias("z"), F.col("m").alias("m"), F.col("last").alias("last")))
+
+    def opened(x):
+        z, m, last = x["z"], x["m"], x["last"]
+        first = F.greatest(z["ps"] + m - window, z["before"] + 1, F.lit(0))
+        end = F.least(z["ps"], last)
+        often = lambda w: sum((F.coalesce(z[f"n{j}"] + m <= w + window, F.lit(False)).cast("int") for j in range(1, window)), F.lit(1))
+        return F.when(first <= end, F.transform(F.sequence(first, F.greatest(first, end)), lambda w: F.struct(w.alias("w"), often(w).alias("c")))
+                      ).otherwise(F.array().cast("array<struct<w:int,c:int>>"))
+
+    rows = rows.withColumn("windows", F.flatten(F.transform(shared, opened))).select(id_col, "term", "windows")
+    hits = rows.join(topic_lookup(terms, topic_col), "term").select(id_col, "idf", "in_topics", F.explode("windows").alias("x"))
+    value = F.col("x.c") * F.col("idf")
+    own = F.array(F.struct(F.lit(None).cast("int").alias("t"), value.alias("s")))     # sums the squared norm
+    sums = (hits.select(id_col, F.col("x.w").alias("w"), value.alias("v"), F.explode(F.concat(own, "in_topics")).alias("e"))
+            .groupBy(id_col, "w", F.col("e.t").alias("t")).agg(F.sum(F.col("v") * F.col("e.s")).alias("v")))
+    per_window = sums.groupBy(id_col, "w").agg(
+        F.sqrt(F.sum(F.when(F.col("t").isNull(), F.col("v")))).alias("norm"),
+        F.collect_list(F.when(F.col("t").isNotNull(), F.struct("t", "v"))).alias("dots"))
+    sims = (per_window.select(id_col, "norm", F.explode("dots").alias("d"))
+            .select(id_col, F.col("d.t").alias(topic_col), (F.col("d.v") / F.col("norm")).alias("sim"))
+            .filter(F.col("sim") >= min_similarity).groupBy(id_col, topic_col).agg(F.sum("sim").alias("sim")))
+    total = F.sum("sim").over(Window.partitionBy(id_col))
+    return sims.select(id_col, topic_col, F.round(F.col("sim") / total, 6).alias("prob"))

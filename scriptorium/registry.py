@@ -432,14 +432,14 @@ def _cards(spark, d, **kw):
                          interaction_of=lambda ids: B.interactions(spark, d, ids), **kw)
 
 
-_SEARCH_TEXT = "urgent order 12"
-_SEARCH_AUTHOR = "supplier#00000004"
+SEARCH_TEXT = "urgent order 12"
+SEARCH_AUTHOR = "supplier#00000004"
 _SEARCH_HITS = f"""
-    select paper_id from (select paper_id, upper(title) as t from f_paper) x where contains(t, upper('{_SEARCH_TEXT}'))
+    select paper_id from (select paper_id, upper(title) as t from f_paper) x where contains(t, upper('{SEARCH_TEXT}'))
     union
     select pa.paper_id from f_paper_author pa
     join (select author_id from (select author_id, upper(name) as t from f_author) y
-          where contains(t, upper('{_SEARCH_TEXT}'))) a using (author_id)"""
+          where contains(t, upper('{SEARCH_TEXT}'))) a using (author_id)"""
 _FILTERED_WHERE = _F5_FILTER + """
     and paper_id in (select paper_id from f_paper_author where author_id = 42)"""
 
@@ -456,7 +456,7 @@ def q_paper_cards_page3(spark, d):
 
 @register("paper_cards_search", _cards_sql("semi join hits h on h.paper_id = p.paper_id", 1, extra={"hits": _SEARCH_HITS}))
 def q_paper_cards_search(spark, d):
-    return _cards(spark, d, number=1, size=12, text=_SEARCH_TEXT)[0]
+    return _cards(spark, d, number=1, size=12, text=SEARCH_TEXT)[0]
 
 
 def _filtered_pages_sql() -> str:
@@ -494,17 +494,17 @@ def q_paper_page_info(spark, d):
                                      extra={"hits": _SEARCH_HITS}))
 def q_paper_search(spark, d):
     return P.search_papers(B.papers(spark, d), B.paper_authors(spark, d), B.authors(spark, d),
-                           _SEARCH_TEXT).select("paper_id", "title")
+                           SEARCH_TEXT).select("paper_id", "title")
 
 
 @register("paper_search_author", with_views(f"""
     select paper_id, title from f_paper p
-    where contains(upper(title), upper('{_SEARCH_AUTHOR}'))
+    where contains(upper(title), upper('{SEARCH_AUTHOR}'))
        or paper_id in (select pa.paper_id from f_paper_author pa join f_author a using (author_id)
-                       where contains(upper(a.name), upper('{_SEARCH_AUTHOR}')))""", *_NET_VIEWS))
+                       where contains(upper(a.name), upper('{SEARCH_AUTHOR}')))""", *_NET_VIEWS))
 def q_paper_search_author(spark, d):
     return P.search_papers(B.papers(spark, d), B.paper_authors(spark, d), B.authors(spark, d),
-                           _SEARCH_AUTHOR).select("paper_id", "title")
+                           SEARCH_AUTHOR).select("paper_id", "title")
 
 
 @register("papers_of_author", with_views("""
@@ -1030,6 +1030,32 @@ def q_soft_topics(spark, d):
     return T.soft_topics(docs, _terms(spark, d))
 
 
+_WINDOW_SQL = {k: v for k, v in _SOFT_SQL.items() if k not in ("dt", "dl", "dvec", "dn", "sims")}
+_WINDOW_SQL.update({
+    "wt": """select doc_id, w, term, count(*) as c from (
+               select doc_id, w, unnest(list_concat(k[w + 1:w + 4], list_transform(range(1, least(4, len(k) - w)),
+                                                                                  lambda i: k[w + i] || ' ' || k[w + i + 1]))) as term
+               from (select doc_id, k, unnest(range(0, greatest(len(k) - 4, 0) + 1)) as w from alld where len(k) > 0) x) y
+             group by 1, 2, 3""",
+    "wv": "select doc_id, w, term, c * idf as v from wt join idf using (term)",
+    "wn": "select doc_id, w, sqrt(sum(v * v)) as wn from wv group by 1, 2",
+    "wsims": """select doc_id, topic_id, sum(sim) as sim from (
+                  select x.doc_id, x.topic_id, dot / (wn * tn) as sim
+                  from (select doc_id, w, topic_id, sum(v * score) as dot from wv join tsc using (term) group by 1, 2, 3) x
+                  join wn using (doc_id, w) join tn using (topic_id)) y
+                where sim >= 0.01 group by 1, 2""",
+})
+
+
+@register("window_topics", with_views("""
+    select doc_id, topic_id, round(sim / sum(sim) over (partition by doc_id), 6) as prob from wsims""",
+                                      "f_vec", extra=_WINDOW_SQL))
+def q_window_topics(spark, d):
+    docs = by_key(read(spark, d, "documents", "doc_id", "text"), "doc_id").select(
+        "doc_id", X.clean_text("text").alias("text"))
+    return T.window_topics(docs, _terms(spark, d))
+
+
 @register("multi_labels", with_views("select paper_id, predicted_multi_labels from f_interaction", *_NET_VIEWS))
 def q_multi_labels(spark, d):
     return B.interactions(spark, d).select("paper_id", "predicted_multi_labels")

@@ -19,6 +19,7 @@ from scriptorium.operators import density as DN
 from scriptorium.operators import filemerge as FM
 from scriptorium.operators import marts as M
 from scriptorium.operators import network as G
+from scriptorium.operators import textindex as TI
 from scriptorium.operators import topics as T
 from scriptorium.oracle_sql import HOME, with_views
 from scriptorium.plans import batch as BATCH
@@ -154,6 +155,24 @@ def q_scope_by_topic_text(spark, d):
     return G.scope_by_topics(B.papers(spark, d), B.interactions(spark, d), B.topic_names(spark, d), names).select("paper_id", "title")
 
 
+def _indexed_search(text):
+    def query(spark, d):
+        papers, authors = B.papers(spark, d).select("paper_id", "title"), B.authors(spark, d).select("author_id", "name")
+
+        def work(marts):
+            TI.build(marts, "titles", papers, "paper_id", "title")
+            TI.build(marts, "names", authors, "author_id", "name")
+            found = TI.search_papers(marts, text, B.paper_authors(spark, d))
+            return papers.join(found, "paper_id", "left_semi")
+
+        return _stored(spark, work)
+    return query
+
+
+register("paper_search_indexed", R.SQL["paper_search"])(_indexed_search(R.SEARCH_TEXT))
+register("paper_search_author_indexed", R.SQL["paper_search_author"])(_indexed_search(R.SEARCH_AUTHOR))
+
+
 # --------------------------------------------------------------------- T3, T4
 
 @register("density_topics")

@@ -60,3 +60,49 @@ def test_reassign_threshold(spark):
                               "vec_id long, embedding array<float>, topic_id int")
     got = {r["vec_id"]: r["new_topic_id"] for r in T.reassign_outliers(v, 0.5).collect()}
     assert got == {1: 0, 2: 1, 3: 0, 4: -1}
+
+
+def _windows_by_hand(docs, terms, window, floor):
+    """Every window scored on its own."""
+    import math
+    from collections import Counter
+    total, classes = Counter(), Counter()
+    for t, term, n in terms:
+        total[term] += n
+        classes[t] += n
+    mean = math.floor(sum(classes.values()) / len(classes))
+    idf = {term: math.log(1 + mean / f) for term, f in total.items()}
+    score = {(t, term): n / classes[t] * idf[term] for t, term, n in terms if t != -1}
+    norm = {c: math.sqrt(sum(s * s for (t, _), s in score.items() if t == c)) for c in classes if c != -1}
+    out = {}
+    for doc_id, text in docs:
+        k = [w for w in text.lower().split() if w != "the"]
+        sums = Counter()
+        for w in range(max(len(k) - window, 0) + 1 if k else 0):
+            part = k[w:w + window]
+            bag = Counter(part + [f"{a} {b}" for a, b in zip(part, part[1:])])
+            v = {term: n * idf[term] for term, n in bag.items() if term in idf}
+            length = math.sqrt(sum(x * x for x in v.values()))
+            for c in norm:
+                sim = sum(x * score.get((c, term), 0) for term, x in v.items()) / (length * norm[c]) if length else 0
+                sums[c] += sim if sim >= floor else 0
+        for c, s in sums.items():
+            if s:
+                out[doc_id, c] = round(s / sum(sums.values()), 6)
+    return out
+
+
+def test_window_topics(spark):
+    import random
+    rng = random.Random(6)
+    vocabulary = ["alpha", "beta", "gamma", "delta", "eps"]
+    docs = [(i, " ".join(rng.choices([*vocabulary, "the", "unknown"], k=rng.choice([0, 1, 3, 4, 5, 30])))) for i in range(25)]
+    docs += [(100, "alpha " * 60), (101, "the the"), (102, "")]
+    terms = [(t, term, rng.randint(1, 9)) for t in (-1, 0, 1, 4) for term in [*vocabulary, "alpha beta", "gamma gamma", "alpha alpha"] if rng.random() < 0.7]
+    frame = spark.createDataFrame(terms, "topic_id int, term string, n long")
+    for window, floor in ((4, 0.01), (3, 0.3), (1, 0.01)):
+        got = T.window_topics(spark.createDataFrame(docs, "doc_id long, text string"), frame, window=window, min_similarity=floor, stop=["the"])
+        got = {(r.doc_id, r.topic_id): r.prob for r in got.collect()}
+        want = _windows_by_hand(docs, terms, window, floor)
+        assert got.keys() == want.keys()
+        assert all(abs(got[k] - v) < 2e-6 for k, v in want.items())
