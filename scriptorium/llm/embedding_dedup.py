@@ -15,7 +15,8 @@ counted only in the first table it shares.
 Defined results: a null label or vector, a zero vector, and one with a null or
 non-finite component link with nothing; vectors of different length don't either;
 every input row is a vector of its own, so a row repeated under one id links with
-its twin, and different vectors under one id share that id's links; extra columns are ignored; an empty table gives an empty table.
+its twin, and different vectors under one id have links of their own; a null id links with nothing; extra columns are
+ignored, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import keep_narrow, mix64, table
+from scriptorium.llm.common import keep_narrow, mix64, small_side, table
 from scriptorium.llm.components import components, roots
 from scriptorium.session import cut_lineage
 
@@ -146,12 +147,13 @@ def near_components(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
             .withColumn("sound", F.coalesce(sound, F.lit(False))))
     # 128 bits name a (label, vector)
     rows = rows.withColumns({"h1": F.xxhash64("label", "embedding"), "h2": F.xxhash64(F.lit(1), "embedding", "label")})
+    # a class is numbered by its place in the checkpointed table, not named by an id: there may be two vectors under one
     classes = keep_narrow(rows.filter("sound").groupBy("h1", "h2", "label").agg(
-        F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("many")))
+        F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("many"))).withColumn("node", F.monotonically_increasing_id())
     largest = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     depth, tables = shape(largest, cosine)
-    named = (rows.filter("sound").join(classes.withColumnRenamed("node", "vec_id"), ["h1", "h2", "label", "vec_id"])
-             .dropDuplicates(["h1", "h2", "vec_id"]).select(F.col("vec_id").alias("node"), "many", "label", "embedding"))
+    named = (rows.filter("sound").join(classes, ["h1", "h2", "label", "vec_id"])
+             .dropDuplicates(["node"]).select("node", "many", "label", "embedding"))
     hashed = cut_lineage(named.mapInPandas(_keys(depth, tables), "node long, many long, embedding array<double>, keys array<long>"))
     entries = hashed.select("node", F.posexplode("keys").alias("t", "key"))
     shared = keep_narrow(entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"),
@@ -170,8 +172,10 @@ def near_components(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     counts = done.filter("root is null").groupBy("node").agg(F.sum("n").alias("n"))
     joined = components(done.filter("root is not null").select(F.col("root").alias("a"), F.col("node").alias("b")))
     known = keep_narrow(classes.join(counts, "node", "left").join(joined, "node", "left").select(
-        "h1", "h2", "label", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links"),
-        F.coalesce("component", "node").alias("component_id")))
+        "h1", "h2", "label", "vec_id", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links"),
+        F.coalesce("component", "node").alias("component")))
+    least = small_side(keep_narrow(known.groupBy("component").agg(F.min("vec_id").alias("component_id"))))
+    known = known.drop("vec_id").join(least, "component")
     out = rows.filter("sound").join(known, ["h1", "h2", "label"]).select("vec_id", "n_links", "component_id")
     bare = rows.filter("not sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(bare).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

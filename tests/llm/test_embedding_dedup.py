@@ -61,6 +61,17 @@ def test_chance_to_miss():
         assert (1 - p) ** tables <= D.MISS
 
 
+def test_repeated_and_null_ids(spark):
+    """Counts go by row: different vectors under one id have links of their own."""
+    a, b = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.1]
+    near_a, near_b = [1.0, 0.05, 0.0, 0.0], [0.0, 1.0, 0.02, 0.1]
+    rows = [(1, a), (1, a), (2, near_a), (2, b), (3, near_b), (None, a), (4, [0.0, 0.0, 1.0, 0.0])]
+    docs = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, label int")
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in D.near_components(docs).collect()), key=repr)
+    assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (2, 1, 2, True), (3, 1, 2, False), (4, 0, 4, True),
+                          (None, 0, None, True)], key=repr)
+
+
 def test_empty(spark):
     got, _ = run(spark, [])
     assert got == {}
