@@ -84,7 +84,8 @@ def transcribe(turns: DataFrame) -> DataFrame:
     for role, forms in SPELLINGS.items():
         for i, form in enumerate(forms):
             spelled = F.when((F.col("role") == role) & (style == i), form).otherwise(spelled)
-    prefix = F.when(bare | F.col("role").isNull(), "").otherwise(F.concat(spelled, F.lit(": ")))
+    plain = _marker(F.get("lines", F.lit(0))) == 0
+    prefix = F.when((bare & plain) | F.col("role").isNull(), "").otherwise(F.concat(spelled, F.lit(": ")))
     return (turns.withColumn("prefix", prefix)
             .select("conv_id", "role", "start", "prefix", F.posexplode("lines").alias("at", "body"))
             .select("conv_id", (F.col("start") + F.col("at")).alias("line_no"),

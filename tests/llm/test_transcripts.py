@@ -1,5 +1,7 @@
 """Roles against brute-force Viterbi and against the truth."""
 
+import random
+
 import numpy as np
 
 from scriptorium.llm import transcripts as T
@@ -82,3 +84,17 @@ def test_product_is_associative():
     r = np.random.default_rng(1)
     m = r.standard_normal((9, 7, 7))
     assert np.allclose(T.product(m), T.product(np.stack([T.product(m[:4]), T.product(m[4:])])))
+
+
+def test_no_word_of_a_text_is_lost(spark):
+    """Bodies that begin like a marker come back whole."""
+    rng = random.Random(12)
+    starts = ["Question: ", "Answer: ", "A: ", "User: ", "[user]: ", "**AI**: ", "", "plain ", "Note: "]
+    rows = [(c, t, ("user", "assistant")[t % 2], rng.choice(starts) + " ".join(rng.choices(["one", "two?", "three"], k=4)))
+            for c in range(60) for t in range(8)]
+    made = T.format_chats(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    found = {}
+    for r in made.orderBy("conv_id", "turn").collect():
+        body = r.rendered.removeprefix(f"<|im_start|>{r.role}\n").removesuffix("<|im_end|>\n")
+        found.setdefault(r.conv_id, []).append(body)
+    assert {c: "\n".join(b) for c, b in found.items()} == {c: "\n".join(x[3] for x in rows if x[0] == c) for c in range(60)}
