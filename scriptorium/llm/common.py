@@ -55,9 +55,10 @@ def tidy(run):
 
 def keep_narrow(df: DataFrame) -> DataFrame:
     """Checkpoint a table of ids and numbers. It is far smaller than the texts it
-    stands for, so it is written in an eighth of the shuffle's partitions: fewer
-    files to create and to list."""
-    return cut_lineage(df.coalesce(max(1, slots(df) // 8)))
+    stands for, so it is dealt into an eighth of the shuffle's partitions: fewer files
+    to create and to list. The rows are shuffled for it; the work before runs in
+    all its tasks."""
+    return cut_lineage(df.repartition(max(1, slots(df) // 8)))
 
 
 #: Rows of a narrow id table up to which it is broadcast: about 16 MB sent, 64 MB as a hash table.

@@ -269,9 +269,10 @@ def near_rows(docs: DataFrame, words: int = 4, percent: int = SIMILARITY) -> Dat
     sig = cut_lineage(docs.mapInPandas(_sign(words),
                                        "doc_id long, n_shingles long, set_id binary, halves array<long>"))
     named = sig.filter("n_shingles > 0 and doc_id is not null")
-    # a class is numbered, not named by an id: under one id there may be two texts
-    reps = keep_narrow(named.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-                       .withColumn("node", F.monotonically_increasing_id()))
+    # A class is numbered, not named by an id: under one id there may be two texts. The numbers
+    # are places in the checkpointed table, the same at every reading.
+    reps = (keep_narrow(named.groupBy("set_id").agg(F.min("doc_id").alias("doc_id")))
+            .withColumn("node", F.monotonically_increasing_id()))
     classes = cut_lineage(named.join(reps, ["doc_id", "set_id"]).select("node", "halves"))
     rows = table_rows(classes)
 
