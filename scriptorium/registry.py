@@ -920,18 +920,18 @@ def _topic_text_docs(spark, d):
                        X.clean_text("text").alias("text"))
 
 
-def _terms(spark, d):
+def topic_terms_of(spark, d):
     return T.topic_terms(_topic_text_docs(spark, d))
 
 
 def _keywords(spark, d):
     ids = B.vectors(spark, d).filter(F.col("topic_id") != -1).select("topic_id").distinct()
-    return T.topic_keywords(_terms(spark, d), ids)
+    return T.topic_keywords(topic_terms_of(spark, d), ids)
 
 
 @register("topic_terms", with_views("select topic_id, term, n from terms", "f_vec", extra=_TERMS_SQL))
 def q_topic_terms(spark, d):
-    return _terms(spark, d)
+    return topic_terms_of(spark, d)
 
 
 @register("topic_keywords", with_views("select topic_id, keywords from kw", "f_vec", extra=_TERMS_SQL))
@@ -1027,7 +1027,7 @@ _SOFT_SQL.update({
 def q_soft_topics(spark, d):
     docs = by_key(read(spark, d, "documents", "doc_id", "text"), "doc_id").select(
         "doc_id", X.clean_text("text").alias("text"))
-    return T.soft_topics(docs, _terms(spark, d))
+    return T.soft_topics(docs, topic_terms_of(spark, d))
 
 
 _WINDOW_SQL = {k: v for k, v in _SOFT_SQL.items() if k not in ("dt", "dl", "dvec", "dn", "sims")}
@@ -1053,7 +1053,7 @@ _WINDOW_SQL.update({
 def q_window_topics(spark, d):
     docs = by_key(read(spark, d, "documents", "doc_id", "text"), "doc_id").select(
         "doc_id", X.clean_text("text").alias("text"))
-    return T.window_topics(docs, _terms(spark, d))
+    return T.window_topics(docs, topic_terms_of(spark, d))
 
 
 @register("multi_labels", with_views("select paper_id, predicted_multi_labels from f_interaction", *_NET_VIEWS))

@@ -20,6 +20,7 @@ from scriptorium.operators import filemerge as FM
 from scriptorium.operators import marts as M
 from scriptorium.operators import network as G
 from scriptorium.operators import textindex as TI
+from scriptorium.operators import topicmerge as TM
 from scriptorium.operators import topics as T
 from scriptorium.oracle_sql import HOME, with_views
 from scriptorium.plans import batch as BATCH
@@ -184,3 +185,16 @@ def q_density_topics(spark, d):
     topics = vectors.join(found.select("vec_id", F.col("cluster_id").alias("topic_id")), "vec_id")
     moved = T.reassign_outliers(topics).select("vec_id", "new_topic_id")
     return found.join(moved, "vec_id")
+
+
+# --------------------------------------------------------------- T2, fewer topics
+
+@register("reduced_topics")
+def q_reduced_topics(spark, d):
+    """T2 (rows only): the fixture's topics as at most five, with the keywords of the merged ones."""
+    terms = cut_lineage(R.topic_terms_of(spark, d))
+    sizes = B.vectors(spark, d).groupBy("topic_id").agg(F.count(F.lit(1)).alias("n"))
+    mapping = TM.reduce_topics(terms, sizes, 5)
+    ids = mapping.filter(F.col("topic_id") != X.OUTLIER_TOPIC_ID).select(F.col("new_topic_id").alias("topic_id")).distinct()
+    words = T.topic_keywords(TM.merged_terms(terms, mapping), ids).withColumnRenamed("topic_id", "new_topic_id")
+    return mapping.join(words, "new_topic_id", "left")
