@@ -88,7 +88,7 @@ def page(df: DataFrame, number, size: int) -> tuple[DataFrame, PageInfo]:
     return card_order(rest).offset(skip).limit(size), info
 
 
-def _card_keys() -> list[Column]:
+def order_keys() -> list[Column]:
     """L3 as ascending whole numbers: nulls (first in descending order) are the largest."""
     null_first = F.lit((1 << 31) - 1)
     return [-F.coalesce(F.col("year"), null_first).cast("long"),
@@ -103,7 +103,7 @@ def seek(df: DataFrame, offset: int) -> tuple[DataFrame, int]:
     equal bins, the bin that holds the position is cut again until it is one value,
     then the next key takes over inside it. Each pass is one grouped count of at
     most ``SEEK_BINS`` rows, so no pass sorts or gathers rows."""
-    keys, cell, skip = _card_keys(), F.lit(True), offset
+    keys, cell, skip = order_keys(), F.lit(True), offset
     before = F.lit(False)  # rows that surely precede the position
     for key in keys:
         while skip > SEEK_ROWS:

@@ -24,6 +24,8 @@ from scriptorium.operators import topicmerge as TM
 from scriptorium.operators import topics as T
 from scriptorium.oracle_sql import HOME, with_views
 from scriptorium.plans import batch as BATCH
+from scriptorium.plans import pageindex as PI
+from scriptorium.plans import papers as P
 from scriptorium.registry import register
 from scriptorium.session import cut_lineage, landing
 from scriptorium.sources import bindings as B
@@ -174,6 +176,19 @@ register("paper_search_indexed", R.SQL["paper_search"])(_indexed_search(R.SEARCH
 register("paper_search_author_indexed", R.SQL["paper_search_author"])(_indexed_search(R.SEARCH_AUTHOR))
 
 
+@register("paper_cards_last_indexed", R.SQL["paper_cards_last"])
+def q_paper_cards_last_indexed(spark, d):
+    """The last page, looked up in the stored page index."""
+    def work(marts):
+        PI.build(marts, B.papers(spark, d))
+        found, _ = PI.page(marts, 999999, 12)
+        cards, _ = P.paper_cards(found, B.paper_authors(spark, d), B.authors(spark, d), B.interactions(spark, d), B.topics(spark, d),
+                                 interaction_of=lambda ids: B.interactions(spark, d, ids), number=1, size=12)
+        return cards
+
+    return _stored(spark, work)
+
+
 # --------------------------------------------------------------------- T3, T4
 
 @register("density_topics")
