@@ -745,12 +745,12 @@ def q_roster_from_staff(spark, d):
     return I.roster_from_staff(B.staff(spark, d), HOME)
 
 
-_CANDIDATES_SQL = """
+CANDIDATES_SQL = """
     select s_name as name, 'P' || l_partkey as candidate_id, l_orderkey * 10 + l_linenumber as rank
     from lineitem join supplier on l_suppkey = s_suppkey"""
 
 
-def _candidates(spark, d):
+def candidates_of(spark, d):
     li = read(spark, d, "lineitem", "l_suppkey", "l_partkey", "l_orderkey", "l_linenumber")
     s = read(spark, d, "supplier", "s_suppkey", "s_name")
     return li.join(s, li.l_suppkey == s.s_suppkey).select(
@@ -763,9 +763,9 @@ def _candidates(spark, d):
     from f_author a left join (
         select name, candidate_id from (
             select *, row_number() over (partition by name order by rank, candidate_id) as rn from cands) r
-        where rn = 1) c using (name)""", "f_author", extra={"cands": _CANDIDATES_SQL}))
+        where rn = 1) c using (name)""", "f_author", extra={"cands": CANDIDATES_SQL}))
 def q_resolve_author(spark, d):
-    return I.resolve_author(B.authors(spark, d).select("author_id", "name"), _candidates(spark, d))
+    return I.resolve_author(B.authors(spark, d).select("author_id", "name"), candidates_of(spark, d))
 
 
 def _works(spark, d):

@@ -18,6 +18,7 @@ from scriptorium.operators import deltas as DL
 from scriptorium.operators import density as DN
 from scriptorium.operators import filemerge as FM
 from scriptorium.operators import marts as M
+from scriptorium.operators import namesearch as NS
 from scriptorium.operators import network as G
 from scriptorium.operators import textindex as TI
 from scriptorium.operators import topicmerge as TM
@@ -189,6 +190,39 @@ def q_paper_cards_last_indexed(spark, d):
     return _stored(spark, work)
 
 
+# ------------------------------------------------------------ J14, misspelt names
+
+_MISSPELT = """select author_id, case when author_id % 3 = 0 then upper(name) when author_id % 3 = 1 then substr(name, 1, 3) || substr(name, 5)
+                       else replace(name, '#', '# ') || 'x' end as name from f_author"""
+
+
+@register("near_names", with_views("""
+    select a.name as name, c.name as candidate, cast(levenshtein(a.name, c.name) as int) as distance
+    from (select distinct lower(name) as name from m) a join (select distinct lower(name) as name from cands) c
+         on levenshtein(a.name, c.name) <= 2""", "f_author", extra={"m": _MISSPELT, "cands": R.CANDIDATES_SQL}))
+def q_near_names(spark, d):
+    return NS.near_names(_misspelt(spark, d), R.candidates_of(spark, d))
+
+
+@register("resolve_misspelt", with_views("""
+    select author_id, name, openalex_id from m left join (
+        select k, candidate_id as openalex_id from (
+            select a.k, c.candidate_id, row_number() over (partition by a.k order by levenshtein(a.k, lower(c.name)), c.rank, c.candidate_id) as rn
+            from (select distinct lower(name) as k from m) a
+            join (select name, min(struct_pack(r := rank, c := candidate_id)).r as rank,
+                         min(struct_pack(r := rank, c := candidate_id)).c as candidate_id from cands group by 1) c
+                 on levenshtein(a.k, lower(c.name)) <= 2) x where rn = 1) b on lower(name) = k""",
+                                         "f_author", extra={"m": _MISSPELT, "cands": R.CANDIDATES_SQL}))
+def q_resolve_misspelt(spark, d):
+    return NS.resolve_near(_misspelt(spark, d), R.candidates_of(spark, d)).select("author_id", "name", "openalex_id")
+
+
+def _misspelt(spark, d):
+    a, k, name = B.authors(spark, d).select("author_id", "name"), F.col("author_id"), F.col("name")
+    return a.select("author_id", F.when(k % 3 == 0, F.upper(name)).when(k % 3 == 1, F.concat(F.substr(name, F.lit(1), F.lit(3)), F.substr(name, F.lit(5))))
+                    .otherwise(F.concat(F.replace(name, F.lit("#"), F.lit("# ")), F.lit("x"))).alias("name"))
+
+
 # --------------------------------------------------------------------- T3, T4
 
 @register("density_topics")

@@ -1,4 +1,4 @@
-"""D1, D2, W4 cases and a property test against a sequential model."""
+"""D1, D2, W4 cases and a property test against brute force over the rules."""
 
 import random
 
@@ -32,27 +32,22 @@ def test_abstract_backfill_and_author_merge(spark):
     assert out["group_size"] == 3
 
 
-def _sequential(rows):
-    """Reference model: walk the records in order with two registries."""
-    by_doi, by_title, groups = {}, {}, []
-    for seq, doi, title in rows:
-        t = (title or "").lower()
-        if doi and doi in by_doi:
-            groups.append(by_doi[doi])
-        elif t and t in by_title:
-            groups.append(by_title[t])
-        elif doi:
-            by_doi[doi] = ("doi", doi)
-            groups.append(by_doi[doi])
-        elif t:
-            by_title[t] = ("title", t)
-            groups.append(by_title[t])
-        else:
-            groups.append((None, None))
-    return groups
-
-
-def test_dedupe_matches_sequential_model(spark):
+def _by_the_rules(rows):
+    """The closed form, term by term: t0 and d0 as minima over all records."""
+    low = {seq: (title or "").lower() for seq, _, title in rows}
+
+    def absorbed(seq):
+        t0 = min((s for s, d, _ in rows if not d and low[s] and low[s] == low[seq]), default=None)
+        return t0 is not None and t0 < seq
+
+    out = []
+    for seq, doi, _ in rows:
+        d0 = min((s for s, d, _ in rows if doi and d == doi and not absorbed(s)), default=None)
+        out.append(("doi", doi) if d0 is not None and d0 <= seq else ("title", low[seq]) if low[seq] else (None, None))
+    return out
+
+
+def test_dedupe_matches_the_rules(spark):
     rng = random.Random(7)
     batches = []
     for b in range(40):
@@ -70,7 +65,7 @@ def test_dedupe_matches_sequential_model(spark):
         got[r["seq"]] = (r["group_kind"], r["group_key"])
     for batch in batches:
         keyed = [(s, (f"{s // 100}{d}" if d else d), (f"{s // 100}{t}" if t else t)) for s, d, t in batch]
-        want = _sequential(keyed)
+        want = _by_the_rules(keyed)
         assert [got[s] for s, _, _ in keyed] == [(k, (v.lower() if k == "title" else v) if v else v) for k, v in want]
 
 
