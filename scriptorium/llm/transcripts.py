@@ -7,7 +7,8 @@ counted, smoothed, from transcripts whose turns are known. Viterbi's best path
 gives every line's role; lines are then grouped into turns and rendered in one
 canonical form, without the markers.
 
-A transcript of any length is decoded in blocks: a block of ``BLOCK`` lines is
+A transcript of up to ``BLOCK`` lines is decoded whole, many to a task. A longer one, of any
+length, is decoded in blocks: a block of ``BLOCK`` lines is
 reduced to its max-plus matrix (best score from each state before it to each state
 at its end), blocks of such matrices again, until one matrix a transcript is left;
 the path is then opened level by level between known end states. No task holds
@@ -24,6 +25,7 @@ columns are ignored; an empty table gives an empty table.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
 
@@ -32,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import fold, table
+from scriptorium.llm.common import fold, small_side, table
 from scriptorium.session import cut_lineage
 
 ROLES = ("system", "user", "assistant")
@@ -239,11 +241,51 @@ def _below(levels: DataFrame, known: DataFrame) -> DataFrame:
     return _grouped(levels).join(ends, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("up") == F.col("up_item")))
 
 
+def _whole(model: RoleModel):
+    """Viterbi over whole transcripts, which come one after the other in sorted rows. A
+    batch's last one may go on in the next batch and is held back."""
+    def states(pdf: pd.DataFrame) -> pd.DataFrame:
+        conv = pdf["conv"].to_numpy()
+        cuts = [0, *(np.flatnonzero(conv[1:] != conv[:-1]) + 1), len(pdf)]
+        m, entry = model.matrices(pdf), len(STATES)
+        leave = np.concatenate([path(m[lo:hi], entry, -1) for lo, hi in zip(cuts, cuts[1:])])
+        return pd.DataFrame({"conv": conv, "line_no": pdf["item"].to_numpy(), "state": leave})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            own = (pdf["conv"] == pdf["conv"].iloc[-1]).to_numpy() if len(pdf) else np.zeros(0, bool)
+            if not own.all():
+                yield states(pdf[~own])
+            held = pdf[own].reset_index(drop=True)
+        if held is not None and len(held):
+            yield states(held)
+    return run
+
+
+def decode_short(seen: DataFrame, model: RoleModel) -> DataFrame:
+    """(conv_id, line_no, state) of transcripts short enough for one batch of rows: many to a task."""
+    named = seen.withColumn("conv", F.coalesce(F.col("conv_id").cast("string"), F.lit("none")))
+    dealt = named.drop("conv_id").repartition("conv").sortWithinPartitions("conv", "item")
+    out = dealt.mapInPandas(_whole(model), "conv string, line_no long, state int")
+    return out.select(F.when(F.col("conv") != "none", F.col("conv").cast("long")).alias("conv_id"), "line_no", "state")
+
+
 def decode(lines: DataFrame, model: RoleModel) -> DataFrame:
-    """(conv_id, line_no, state): the best state of every line, as an index of STATES."""
-    s = len(STATES)
+    """(conv_id, line_no, state): the best state of every line, as an index of STATES. Transcripts of up to
+    ``BLOCK`` lines are decoded whole, longer ones by products over blocks."""
     seen = cut_lineage(features(lines).select("conv_id", F.col("line_no").alias("item"), "marker", "length", "asks"))
-    levels = [seen]
+    ends = cut_lineage(seen.filter(F.col("item") >= BLOCK).select(F.col("conv_id").alias("c")).distinct())
+    long = F.col("conv_id").eqNullSafe(F.col("c"))
+    ends = small_side(ends)
+    short = decode_short(seen.join(ends, long, "left_anti"), model)
+    return short.unionByName(decode_long(seen.join(ends, long, "left_semi"), model))
+
+
+def decode_long(seen: DataFrame, model: RoleModel) -> DataFrame:
+    """The same by blocks of lines: products up the levels, states down again."""
+    s, levels = len(STATES), [seen]
     longest = seen.agg(F.max("item")).first()[0]
     if longest is None:
         return seen.select("conv_id", F.col("item").alias("line_no"), F.lit(0).alias("state"))
