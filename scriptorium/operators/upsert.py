@@ -24,7 +24,7 @@ def one_per_key(updates: DataFrame, keys: list[str], order: str | None = None) -
         numbered = last_per_key(ranked, keys, ["_o"], rest)  # all rows of the largest order
     tie = F.xxhash64(*[F.col(c) for c in keys], *rest) if rest else F.lit(0).cast("long")
     picked = last_per_key(numbered.select(*keys, *rest, tie.alias("_tie")), keys, ["_tie"], rest)
-    return picked.dropDuplicates(keys)  # rows equal in every column
+    return picked.distinct()  # what is left are rows equal in every column
 
 
 def upsert(base: DataFrame, updates: DataFrame, keys: list[str], update_cols: list[str],
