@@ -33,6 +33,11 @@ from scriptorium.sources import bindings as B
 from scriptorium.sources.martset import MartSet
 
 
+#: Queries whose result is read back from a checkpoint: their last plan says nothing of their work.
+STORED = {"upsert_files", "dedupe_papers_batches", "stat_deltas", "batch_faculty_topic_stat", "paper_search_indexed",
+          "paper_search_author_indexed", "paper_cards_last_indexed", "density_topics", "reduced_topics"}
+
+
 def _stored(spark: SparkSession, work: Callable[[MartSet], DataFrame]) -> DataFrame:
     """The rows that ``work`` leaves in a set of tables, which is deleted afterwards."""
     with landing(spark) as folder:

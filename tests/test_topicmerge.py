@@ -37,7 +37,7 @@ def plain(terms, sizes, wanted):
     return {t: i for i, g in enumerate(order) for t in g} | {-1: -1}
 
 
-@pytest.mark.parametrize("wanted", [1, 4, 9, 14, 20])
+@pytest.mark.parametrize("wanted", [1, 5, 14])
 def test_equals_one_by_one(spark, wanted):
     terms = fixture(wanted)
     sizes = {t: random.Random(t).randint(1, 50) for t in range(-1, 14)}
