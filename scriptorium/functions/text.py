@@ -28,6 +28,12 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once a row however often ``use`` refers to it, also
+    inside lambdas: it is bound as the variable of a one-element walk."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def clean_text(col: Column | str) -> Column:
     """Tags and non-ASCII runs become blanks, whitespace runs collapse to one
     blank, the result is trimmed and blanks before ``.,;:?!`` are dropped.
@@ -49,19 +55,19 @@ def rebuild_abstract(index: Column | str) -> Column:
 
     The sorted array is compared with itself shifted by one (``zip_with``
     pads the shorter side with null): a triple is kept when the next one has
-    another position. Linear in the text length; the sorted array is an
-    argument, never referenced from inside a lambda (which would re-evaluate
-    it per element)."""
+    another position. Linear in the text length; the sorted array is bound
+    once (``once``), not made again for each use."""
     idx = _c(index)
-    triples = F.array_sort(F.flatten(F.transform(
+    triples = F.sort_array(F.flatten(F.transform(
         F.map_entries(idx),
         lambda e, i: F.transform(e["value"], lambda p: F.struct(p.alias("p"), i.alias("i"), e["key"].alias("w"))),
     )))
-    following = F.slice(triples, 2, F.greatest(F.size(triples), F.lit(1)))
-    kept = F.zip_with(triples, following,
-                      lambda x, y: F.when(y.isNull() | (y["p"] != x["p"]), x["w"]))
-    words = F.filter(kept, lambda w: w.isNotNull())
-    return clean_text(F.array_join(words, " "))
+
+    def words(t: Column) -> Column:
+        following = F.slice(t, 2, F.greatest(F.size(t), F.lit(1)))
+        return F.zip_with(t, following, lambda x, y: F.when(y.isNull() | (y["p"] != x["p"]), x["w"]))
+
+    return clean_text(F.array_join(once(triples, words), " "))   # which leaves nulls out
 
 
 def flatten_authors(authorships: Column | str) -> Column:

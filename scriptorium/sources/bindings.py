@@ -13,7 +13,7 @@ broadcasts a side only after measuring it against
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as X
@@ -249,40 +249,57 @@ def _doc_authors(spark: SparkSession, d: str, raw: bool) -> DataFrame:
             .select(F.col("paper_id").alias("doc_id"), F.col("_a.x").alias("authors")))
 
 
+def _indexed(texts: str) -> Column:
+    """word -> sorted positions over the blank-separated tokens of the array ``texts`` (null when it is
+    empty), row by row: the (word, position) pairs are sorted and cut where the word changes, so a
+    token never becomes a row."""
+    pairs = F.sort_array(F.flatten(F.transform(texts, lambda t: F.transform(
+        F.split(t, " "), lambda w, p: F.struct(w.alias("w"), p.alias("p"))))))
+
+    def cut(p: Column) -> Column:
+        n = F.size(p)
+        ends = F.filter(F.zip_with(F.sequence(F.lit(1), n), F.zip_with(p, F.slice(p, 2, n), lambda x, y: y.isNull() | (x["w"] != y["w"])),
+                                   lambda i, last: F.when(last, i)), lambda i: i.isNotNull())
+        return X.once(ends, lambda e: F.zip_with(F.concat(F.array(F.lit(0)), e), e, lambda i, j: F.when(j.isNotNull(), F.struct(
+            F.get(p, i)["w"].alias("w"), F.transform(F.slice(p, i + 1, j - i), lambda x: x["p"]).alias("ps")))))
+
+    runs = F.filter(X.once(pairs, cut), lambda r: r.isNotNull())
+    return F.when(F.size(texts) > 0, F.map_from_entries(runs))
+
+
 def inverted_index(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, abstract_inverted_index): word -> positions of the document's
-    blank-separated tokens. Positions are gathered per (document, word), then
-    per document; a document is one row, so a group is bounded by its text."""
-    t = by_key(read(spark, d, "documents", "doc_id", "text"), "doc_id")
-    # outer + filter: a plain posexplode gets an inferred size() filter pushed
-    # into the scan, splitting every text twice there
-    toks = (t.select("doc_id", F.posexplode_outer(F.split("text", " ")).alias("p", "w"))
-            .filter(F.col("p").isNotNull()))
-    per_word = toks.groupBy("doc_id", "w").agg(F.array_sort(F.collect_list("p")).alias("ps"))
-    return (per_word.groupBy("doc_id")
-            .agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("abstract_inverted_index")))
+    blank-separated tokens. Whole texts are shuffled once, by document; the index
+    is made row by row (a document is one row, bounded by its text)."""
+    t = by_key(read(spark, d, "documents", "doc_id", "text").filter("text is not null"), "doc_id")
+    texts = t.groupBy("doc_id").agg(F.collect_list("text").alias("_texts"))
+    return texts.select("doc_id", _indexed("_texts").alias("abstract_inverted_index"))
 
 
 def raw_works(spark: SparkSession, d: str) -> DataFrame:
     """Landed work items (the works API shape) from documents: a DOI URL for
     two thirds, title = first line, authorships from line items, year, venue,
-    inverted-index abstract (null for every fourth), citations."""
-    t = read(spark, d, "documents", "doc_id", "text", "source", "n_chars")
+    inverted-index abstract (null for every fourth), citations.
+
+    A document's index is made beside its row, from all texts of its id, so neither
+    an index nor a second copy of the text is shuffled or joined."""
+    from pyspark.sql import Window
+    t = by_key(read(spark, d, "documents", "doc_id", "text", "source", "n_chars"), "doc_id")
     k = F.col("doc_id")
     a = _doc_authors(spark, d, raw=True)
-    idx = inverted_index(spark, d)
-    return (t.join(a, "doc_id", "left").join(idx, "doc_id", "left")
-            .select(k.alias("seq"),
-                    F.when(k % 3 == 0, F.lit(None).cast("string"))
-                     .otherwise(F.concat(F.lit("https://doi.org/"), F.md5("text"))).alias("doi"),
+    # rows without an id have no index; gathering their texts would give each of them all
+    own = F.collect_list(F.when(k % 4 != 0, F.col("text"))).over(Window.partitionBy("doc_id"))
+    rows = t.join(a, "doc_id", "left").withColumn("_texts", own)
+    doi = F.when(k % 3 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("https://doi.org/"), F.md5("text")))
+    return (rows.select(
+                    k.alias("seq"), doi.alias("doi"),
                     F.when(k % 17 == 0, F.lit(None).cast("string"))
                      .otherwise(F.split_part(F.col("text"), F.lit("\n"), F.lit(1))).alias("title"),
                     F.coalesce("authors", F.array().cast(
                         "array<struct<author:struct<id:string,display_name:string>>>")).alias("authorships"),
                     (F.lit(2000) + k % 25).cast("int").alias("publication_year"),
                     F.col("source").alias("venue_name"),
-                    F.when(k % 4 == 0, F.lit(None)).otherwise(F.col("abstract_inverted_index"))
-                     .alias("abstract_inverted_index"),
+                    _indexed("_texts").alias("abstract_inverted_index"),
                     (F.col("n_chars") % 100).cast("int").alias("cited_by_count")))
 
 
