@@ -34,6 +34,19 @@ def once(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def runs(pairs: Column) -> Column:
+    """An array of (w, p) -> an array of (w, ps): the pairs are sorted and cut where ``w`` changes, so ``ps``
+    holds the sorted p of a word. Row-local; linear but for the sort."""
+    def cut(a: Column) -> Column:
+        n = F.size(a)
+        last = F.zip_with(a, F.slice(a, 2, n), lambda x, y: y.isNull() | (x["w"] != y["w"]))
+        ends = F.filter(F.transform(last, lambda end, i: F.when(end, i + 1)), lambda i: i.isNotNull())
+        return once(ends, lambda e: F.zip_with(F.concat(F.array(F.lit(0)), e), e, lambda i, j: F.when(j.isNotNull(), F.struct(
+            F.get(a, i)["w"].alias("w"), F.transform(F.slice(a, i + 1, j - i), lambda x: x["p"]).alias("ps")))))
+
+    return F.filter(once(F.sort_array(pairs), cut), lambda r: r.isNotNull())
+
+
 def clean_text(col: Column | str) -> Column:
     """Tags and non-ASCII runs become blanks, whitespace runs collapse to one
     blank, the result is trimmed and blanks before ``.,;:?!`` are dropped.

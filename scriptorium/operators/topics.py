@@ -13,8 +13,10 @@ a cross join nor a shuffle of the large side.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from scriptorium.functions import text as X
 from scriptorium.functions.stopwords import ENGLISH_STOP_WORDS
@@ -90,11 +92,21 @@ def with_terms(docs: DataFrame, text_col: str = "text", stop: list[str] | None =
     neighbours of the kept tokens, as a count vectorizer does when stop words
     are removed before n-grams are formed."""
     kept = _remove_stop_words(docs.withColumn("_tok", tokens(text_col)), stop)
-    k = F.col("_kept")
+    return kept.withColumn(out_col, F.concat("_kept", _bigrams(F.col("_kept")))).drop("_tok", "_kept")
+
+
+def _bigrams(k: Column) -> Column:
+    """The pairs of neighbours in an array of tokens."""
     nxt = F.slice(k, 2, F.greatest(F.size(k), F.lit(1)))
-    bigrams = F.filter(F.zip_with(k, nxt, lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b))),
-                       lambda b: b.isNotNull())
-    return kept.withColumn(out_col, F.concat(k, bigrams)).drop("_tok", "_kept")
+    return F.filter(F.zip_with(k, nxt, lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b))),
+                    lambda b: b.isNotNull())
+
+
+def _kept_by_id(docs: DataFrame, id_col: str, text_col: str, stop: list[str] | None) -> DataFrame:
+    """(id, ``_kept``): per id the kept tokens of its texts, an array a text (rows of one id count together)."""
+    words = stop if stop is not None else stop_words()
+    texts = docs.filter(F.col(text_col).isNotNull()).groupBy(id_col).agg(F.collect_list(text_col).alias("_texts"))
+    return texts.select(id_col, F.transform("_texts", lambda t: F.filter(tokens(t), lambda w: ~w.isin(words))).alias("_kept"))
 
 
 def topic_terms(docs: DataFrame, topic_col: str = "topic_id", text_col: str = "text",
@@ -376,8 +388,11 @@ def soft_topics(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_
     document term is bounded by the topic count; the per-document window
     holds at most one row per topic."""
     lookup = topic_lookup(terms, topic_col)
-    dt = (explode_terms(with_terms(docs.select(id_col, text_col), text_col, stop), id_col)
-          .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("c")))
+    # A document's equal terms meet in its row: no aggregation holds all (document, term) pairs.
+    counted = X.runs(F.flatten(F.transform("_kept", lambda k: F.transform(F.concat(k, _bigrams(k)), lambda t: F.struct(t.alias("w"), F.lit(0).alias("p"))))))
+    dt = (_kept_by_id(docs, id_col, text_col, stop)
+          .select(id_col, F.explode_outer(F.transform(counted, lambda r: F.struct(r["w"].alias("w"), F.size(r["ps"]).alias("c")))).alias("x"))
+          .filter(F.col("x").isNotNull()).select(id_col, F.col("x.w").alias("term"), F.col("x.c").alias("c")))
     # A document's length scales its vector only, so the cosine needs no length.
     # The entry without a topic sums the squared norm beside the dot products.
     w = F.col("c") * F.col("idf")
@@ -396,6 +411,85 @@ def soft_topics(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_
 
 
 WINDOW = 4                # tokens scored together
+_PLACE = 1 << 31          # a place times this, plus the text's last window
+
+
+def _scored(batches, window: int, min_similarity: float, id_col: str, topic_col: str):
+    """The summed similarities (id, topic, sim) of rows sorted by id; whole texts at a time."""
+    import pyarrow as pa
+
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table])
+        if not table.num_rows:
+            continue
+        begins = np.flatnonzero(_begins(table[id_col]))
+        if len(begins) > 1:
+            yield from _score_texts(table.slice(0, begins[-1]), begins[:-1], window, min_similarity, id_col, topic_col)
+        rest = table.slice(begins[-1])
+    if rest is not None:
+        yield from _score_texts(rest, np.zeros(1, dtype=int), window, min_similarity, id_col, topic_col)
+
+
+def _begins(ids):
+    """Where a row's id differs from the one before (nulls are equal)."""
+    import pyarrow.compute as pc
+
+    now, before = ids.slice(1), ids.slice(0, len(ids) - 1)
+    same = pc.or_(pc.fill_null(pc.equal(now, before), False), pc.and_(pc.is_null(now), pc.is_null(before)))
+    return np.concatenate([[True], ~same.to_numpy().astype(bool)])
+
+
+def _score_texts(table, begins, window: int, min_similarity: float, id_col: str, topic_col: str):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    n, texts = table.num_rows, len(begins)
+    doc = np.repeat(np.arange(texts), np.diff(np.append(begins, n)))
+    idf, m = table["idf"].to_numpy(), table["m"].to_numpy()
+
+    def lists(name):
+        column = table[name].combine_chunks()
+        return pc.list_value_length(column).to_numpy(zero_copy_only=False), pc.list_flatten(column).to_numpy(zero_copy_only=False)
+
+    def spread(sizes):
+        """Row number and place in the row of every element of lists of these sizes."""
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        return row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+    size, places = lists("places")
+    term, _ = spread(size)
+    p, last = places // _PLACE, places % _PLACE
+    low = np.maximum(p + m[term] - window, 0)
+    at, step = spread(np.minimum(p, last) - low + 1)
+    w, term = low[at] + step, term[at]
+    # windows of a text are numbered after those of the texts before
+    per_text = np.zeros(texts, dtype=np.int64)
+    np.maximum.at(per_text, doc[term], w + 1)
+    first = np.cumsum(per_text) - per_text
+    n_windows = int(per_text.sum())
+    pair, often = np.unique(term * (n_windows + 1) + first[doc[term]] + w, return_counts=True)
+    term, win = pair // (n_windows + 1), pair % (n_windows + 1)
+    value = often * idf[term]
+    norm = np.sqrt(np.bincount(win, value * value, n_windows))
+    sizes, t = lists("t")
+    _, s = lists("s")
+    if not len(t):
+        return
+    ids, code = np.unique(t, return_inverse=True)
+    starts, k = np.cumsum(sizes) - sizes, len(ids)
+    entry, step = spread(sizes[term])
+    at = starts[term[entry]] + step
+    cell = win[entry] * k + code[at]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        sim = np.bincount(cell, value[entry] * s[at], n_windows * k) / np.repeat(norm, k)
+    kept = np.flatnonzero((np.bincount(cell, minlength=n_windows * k) > 0) & (sim >= min_similarity))
+    to = np.repeat(np.arange(texts), per_text)[kept // k] * k + kept % k
+    total = np.bincount(to, sim[kept], texts * k)
+    rows = np.unique(to)
+    yield pa.RecordBatch.from_arrays([table[id_col].combine_chunks().take(pa.array(begins[rows // k])), pa.array(ids[rows % k]), pa.array(total[rows])],
+                                     names=[id_col, topic_col, "sim"])
 
 
 def window_topics(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -406,47 +500,26 @@ def window_topics(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", tex
     below ``min_similarity`` are dropped window by window, the rest summed over the text and normalised
     to sum 1 (A8). Long form (doc, topic, prob).
 
-    A text sends one row per distinct term, with the windows that hold it and how often; the term's scores
-    are joined once, whatever the number of windows. Work and rows grow with the text's length."""
-    kept = _remove_stop_words(docs.select(id_col, text_col).withColumn("_tok", tokens(text_col)), stop)
-    k, n = F.col("_kept"), F.size("_kept")
-    pairs = F.filter(F.zip_with(k, F.slice(k, 2, F.greatest(n, F.lit(1))), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b))),
-                     lambda b: b.isNotNull())
-
-    def placed(found: Column, m: int) -> Column:
-        return F.transform(found, lambda t, i: F.struct(t.alias("term"), i.alias("p"), F.lit(m).alias("m")))
-
-    marked = [placed(found, m) for m, found in ((1, k), (2, pairs)) if m <= window]
-    found = (kept.select(id_col, F.greatest(n - window, F.lit(0)).alias("last"), F.explode_outer(F.concat(*marked)).alias("x"))
-             .filter("x is not null").groupBy(id_col, "last", F.col("x.term").alias("term"), F.col("x.m").alias("m"))
-             .agg(F.array_sort(F.collect_list("x.p")).alias("ps")))
-    # A place opens the windows in which it is the term's first; the next places say how often the term is in them.
-    size = F.size("ps")
-    rows = found.withColumn("before", F.concat(F.array(F.lit(-1)), F.slice("ps", 1, F.greatest(size - 1, F.lit(0)))))
-    for j in range(1, window):
-        rows = rows.withColumn(f"n{j}", F.slice("ps", j + 1, F.greatest(size - j, F.lit(0))))
-    zipped = F.arrays_zip("ps", "before", *[f"n{j}" for j in range(1, window)])
-    shared = F.transform(zipped, lambda z: F.struct(z.alias("z"), F.col("m").alias("m"), F.col("last").alias("last")))
-
-    def opened(x):
-        z, m, last = x["z"], x["m"], x["last"]
-        first = F.greatest(z["ps"] + m - window, z["before"] + 1, F.lit(0))
-        end = F.least(z["ps"], last)
-        often = lambda w: sum((F.coalesce(z[f"n{j}"] + m <= w + window, F.lit(False)).cast("int") for j in range(1, window)), F.lit(1))
-        return F.when(first <= end, F.transform(F.sequence(first, F.greatest(first, end)), lambda w: F.struct(w.alias("w"), often(w).alias("c")))
-                      ).otherwise(F.array().cast("array<struct<w:int,c:int>>"))
-
-    rows = rows.withColumn("windows", F.flatten(F.transform(shared, opened))).select(id_col, "term", "windows")
-    hits = rows.join(topic_lookup(terms, topic_col), "term").select(id_col, "idf", "in_topics", F.explode("windows").alias("x"))
-    value = F.col("x.c") * F.col("idf")
-    own = F.array(F.struct(F.lit(None).cast("int").alias("t"), value.alias("s")))     # sums the squared norm
-    sums = (hits.select(id_col, F.col("x.w").alias("w"), value.alias("v"), F.explode(F.concat(own, "in_topics")).alias("e"))
-            .groupBy(id_col, "w", F.col("e.t").alias("t")).agg(F.sum(F.col("v") * F.col("e.s")).alias("v")))
-    per_window = sums.groupBy(id_col, "w").agg(
-        F.sqrt(F.sum(F.when(F.col("t").isNull(), F.col("v")))).alias("norm"),
-        F.collect_list(F.when(F.col("t").isNotNull(), F.struct("t", "v"))).alias("dots"))
-    sims = (per_window.select(id_col, "norm", F.explode("dots").alias("d"))
-            .select(id_col, F.col("d.t").alias(topic_col), (F.col("d.v") / F.col("norm")).alias("sim"))
-            .filter(F.col("sim") >= min_similarity).groupBy(id_col, topic_col).agg(F.sum("sim").alias("sim")))
+    A text sends one row per distinct term, with its places; the term's scores are joined once, whatever
+    the number of windows, and go back to the text. There all its windows are scored together (numpy,
+    many texts at a time), so no window of a term becomes a row. Work and rows grow with the text's length."""
+    def placed(k: Column) -> Column:
+        # a term's place and the text's last window in one number
+        last = F.greatest(F.size(k) - window, F.lit(0)).cast("long")
+        found = [k, _bigrams(k)] if window > 1 else [k]
+        return F.concat(*[F.zip_with(x, F.array_repeat(last, F.size(x)), lambda t, n: F.struct(t.alias("w"), n.alias("p"))) for x in found])
+
+    def at(pairs: Column, k: Column) -> Column:
+        return F.transform(pairs, lambda x, i: F.struct(
+            x["w"].alias("w"), (F.when(i < F.size(k), i).otherwise(i - F.size(k)).cast("long") * _PLACE + x["p"]).alias("p")))
+
+    found = X.runs(F.flatten(F.transform("_kept", lambda k: at(placed(k), k))))
+    rows = (_kept_by_id(docs, id_col, text_col, stop).select(id_col, F.explode_outer(found).alias("x")).filter(F.col("x").isNotNull())
+            .select(id_col, F.col("x.w").alias("term"), F.col("x.ps").alias("places"), F.when(F.instr("x.w", " ") > 0, 2).otherwise(1).alias("m")))
+    hits = (rows.join(topic_lookup(terms, topic_col), "term")
+            .select(id_col, "places", "m", "idf", F.col("in_topics.t").alias("t"), F.col("in_topics.s").alias("s"))
+            .repartition(id_col).sortWithinPartitions(id_col))
+    out = StructType([docs.schema[id_col], StructField(topic_col, terms.schema[topic_col].dataType), StructField("sim", DoubleType())])
+    sims = hits.mapInArrow(lambda batches: _scored(batches, window, min_similarity, id_col, topic_col), out)
     total = F.sum("sim").over(Window.partitionBy(id_col))
     return sims.select(id_col, topic_col, F.round(F.col("sim") / total, 6).alias("prob"))

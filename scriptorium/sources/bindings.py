@@ -251,20 +251,9 @@ def _doc_authors(spark: SparkSession, d: str, raw: bool) -> DataFrame:
 
 def _indexed(texts: str) -> Column:
     """word -> sorted positions over the blank-separated tokens of the array ``texts`` (null when it is
-    empty), row by row: the (word, position) pairs are sorted and cut where the word changes, so a
-    token never becomes a row."""
-    pairs = F.sort_array(F.flatten(F.transform(texts, lambda t: F.transform(
-        F.split(t, " "), lambda w, p: F.struct(w.alias("w"), p.alias("p"))))))
-
-    def cut(p: Column) -> Column:
-        n = F.size(p)
-        ends = F.filter(F.zip_with(F.sequence(F.lit(1), n), F.zip_with(p, F.slice(p, 2, n), lambda x, y: y.isNull() | (x["w"] != y["w"])),
-                                   lambda i, last: F.when(last, i)), lambda i: i.isNotNull())
-        return X.once(ends, lambda e: F.zip_with(F.concat(F.array(F.lit(0)), e), e, lambda i, j: F.when(j.isNotNull(), F.struct(
-            F.get(p, i)["w"].alias("w"), F.transform(F.slice(p, i + 1, j - i), lambda x: x["p"]).alias("ps")))))
-
-    runs = F.filter(X.once(pairs, cut), lambda r: r.isNotNull())
-    return F.when(F.size(texts) > 0, F.map_from_entries(runs))
+    empty), row by row: a token never becomes a row."""
+    pairs = F.flatten(F.transform(texts, lambda t: F.transform(F.split(t, " "), lambda w, p: F.struct(w.alias("w"), p.alias("p")))))
+    return F.when(F.size(texts) > 0, F.map_from_entries(X.runs(pairs)))
 
 
 def inverted_index(spark: SparkSession, d: str) -> DataFrame:
