@@ -6,7 +6,8 @@ per-pair weight is a partial aggregate. A paper with n authors yields n(n-1)/2
 pairs; that output is the edge table itself, so it is not capped. A paper's
 authors are dealt into hash blocks of about ``PAIR_BLOCK`` and the join key is
 (paper, block, block), so no task makes more than about ``PAIR_BLOCK`` squared
-pairs of one key, however long an author list is.
+pairs of one key, however long an author list is. The number of tasks follows the
+bridge's rows, so a task's memory doesn't grow with the input.
 """
 
 from __future__ import annotations
@@ -15,33 +16,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as X
-from scriptorium.session import cut_lineage
+from scriptorium.session import cut_lineage, dealt
 
 EXTERNAL_GROUP = "External Partner"
 EXTERNAL = "External"
 PAIR_BLOCK = 512          # authors of a paper joined with each other under one key, about
 
 
-def author_pairs(bridge: DataFrame, paper_col: str = "paper_id", author_col: str = "author_id") -> DataFrame:
-    """Unordered author pairs (a < b) per paper of a distinct bridge.
+def author_pairs(bridge: DataFrame, paper_col: str = "paper_id", author_col: str = "author_id", rows_in: int = 0) -> DataFrame:
+    """Unordered author pairs (a < b) per paper of a distinct bridge, of ``rows_in`` rows if given.
 
     Every unordered pair of a paper's blocks (i <= j) is one join key: block i on
     the left, block j on the right."""
-    rows = bridge.select(F.col(paper_col).alias("_p"), F.col(author_col).alias("_a"))
+    rows = dealt(bridge.select(F.col(paper_col).alias("_p"), F.col(author_col).alias("_a")), rows_in, "_p")
     sizes = rows.groupBy("_p").agg(F.ceil(F.count(F.lit(1)) / PAIR_BLOCK).cast("int").alias("_n")).filter("_n > 0")
-    dealt = rows.join(sizes, "_p").withColumn("_b", F.pmod(F.xxhash64("_a"), F.col("_n")).cast("int"))
-    left = dealt.select(F.col("_p"), F.col("_a").alias("x"), F.col("_b").alias("_i"),
+    blocks = rows.join(sizes, "_p").withColumn("_b", F.pmod(F.xxhash64("_a"), F.col("_n")).cast("int"))
+    left = blocks.select(F.col("_p"), F.col("_a").alias("x"), F.col("_b").alias("_i"),
                         F.explode(F.sequence(F.col("_b"), F.col("_n") - 1)).alias("_j"))
-    right = dealt.select(F.col("_p"), F.col("_a").alias("y"), F.explode(F.sequence(F.lit(0), F.col("_b"))).alias("_i"),
+    right = blocks.select(F.col("_p"), F.col("_a").alias("y"), F.explode(F.sequence(F.lit(0), F.col("_b"))).alias("_i"),
                          F.col("_b").alias("_j"))
-    return (left.join(right, ["_p", "_i", "_j"]).filter((F.col("_i") < F.col("_j")) | (F.col("x") < F.col("y")))
+    key = ["_p", "_i", "_j"]
+    return (dealt(left, rows_in, *key).join(dealt(right, rows_in, *key), key).filter((F.col("_i") < F.col("_j")) | (F.col("x") < F.col("y")))
             .select(F.col("_p").alias(paper_col), F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
 
 
 def coauthor_edges(bridge: DataFrame, paper_col: str = "paper_id", author_col: str = "author_id") -> DataFrame:
     """G1: (author_a, author_b, weight) with author_a < author_b and weight =
     number of shared papers."""
-    return (author_pairs(bridge.select(paper_col, author_col).distinct(), paper_col, author_col)
+    # stored, since its rows must be counted
+    rows = cut_lineage(bridge.select(paper_col, author_col).distinct())
+    n = rows.count()
+    return (dealt(author_pairs(rows, paper_col, author_col, n), 2 * n, "a", "b")
             .groupBy(F.col("a").alias("author_a"), F.col("b").alias("author_b"))
             .agg(F.count(F.lit(1)).alias("weight")))
 
@@ -124,8 +129,9 @@ def author_network(papers: DataFrame, bridge: DataFrame, authors: DataFrame, hom
     sb = cut_lineage(whole if limit is None and not topic_names else whole.join(scope, "paper_id", "left_semi"))
     involved = cut_lineage(authors_in(scope, sb, authors))
     is_home = involved.select("author_id", F.col("institution").eqNullSafe(home).alias("home"))
-    pairs = author_pairs(sb)
-    links_all = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))
+    n = sb.count() if limit is None else 0
+    pairs = author_pairs(sb, rows_in=n)
+    links_all = dealt(pairs, 2 * n, "a", "b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))
     collab = home_collaborators(pairs, is_home)
 
     home_nodes = involved.filter(F.col("institution").eqNullSafe(home)).select(

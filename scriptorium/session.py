@@ -71,6 +71,16 @@ def shuffle_slots(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+TASK_ROWS = 500_000       # narrow rows of one task where a join or grouping multiplies them
+
+
+def dealt(df: DataFrame, rows: int, *keys: str, task_rows: int = TASK_ROWS) -> DataFrame:
+    """``df`` by ``keys`` in enough partitions that ``rows`` rows come to about ``task_rows`` a task. Where
+    the session's shuffle partitions are enough, Spark's own exchange is left to do it."""
+    n = -(-rows // task_rows)
+    return df.repartition(n, *keys) if n > shuffle_slots(df) else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder (reliable, survives
     executor loss) and return a DataFrame reading from it. Set

@@ -195,3 +195,14 @@ def test_home_first_buckets_match_plain_ranking(spark):
         for i, r in enumerate(mine):
             want[(paper, r[2])] = i
     assert got == want
+
+
+def test_pair_tasks_follow_the_rows(spark):
+    """A bridge with more rows than the session's partitions should hold gets more tasks, none more rows."""
+    rows = spark.range(4000).select((F.col("id") % 1000).alias("paper_id"), F.col("id").alias("author_id"))
+    from scriptorium import session
+    assert session.dealt(rows, 4000, "paper_id", task_rows=100).rdd.getNumPartitions() == 40
+    assert session.dealt(rows, 700, "paper_id", task_rows=100).rdd.getNumPartitions() == rows.rdd.getNumPartitions()
+    few = G.author_pairs(rows)
+    many = G.author_pairs(rows, rows_in=40 * session.TASK_ROWS)
+    assert many.rdd.getNumPartitions() == 40 and sorted(many.collect()) == sorted(few.collect())
