@@ -461,17 +461,20 @@ def _score_texts(table, begins, window: int, min_similarity: float, id_col: str,
     size, places = lists("places")
     term, _ = spread(size)
     p, last = places // _PLACE, places % _PLACE
+    # rows of one id are counted together where their texts are equally long
+    wide = int(last.max()) + 1
+    lengths, group = np.unique(term * wide + last, return_inverse=True)
     low = np.maximum(p + m[term] - window, 0)
     at, step = spread(np.minimum(p, last) - low + 1)
-    w, term = low[at] + step, term[at]
+    w, term, group = low[at] + step, term[at], group[at]
     # windows of a text are numbered after those of the texts before
     per_text = np.zeros(texts, dtype=np.int64)
     np.maximum.at(per_text, doc[term], w + 1)
     first = np.cumsum(per_text) - per_text
     n_windows = int(per_text.sum())
-    pair, often = np.unique(term * (n_windows + 1) + first[doc[term]] + w, return_counts=True)
-    term, win = pair // (n_windows + 1), pair % (n_windows + 1)
-    value = often * idf[term]
+    pair, often = np.unique(group * (n_windows + 1) + first[doc[term]] + w, return_counts=True)
+    term, win = lengths[pair // (n_windows + 1)] // wide, pair % (n_windows + 1)
+    value = np.minimum(often, window) * idf[term]       # a window holds no more; repeated rows count so often at most
     norm = np.sqrt(np.bincount(win, value * value, n_windows))
     sizes, t = lists("t")
     _, s = lists("s")

@@ -34,14 +34,17 @@ def _plain(texts, terms, windows):
     bags = defaultdict(Counter)
     for i, text in texts:
         k = (text or "").split()
-        for w in range(max(len(k) - WINDOW, 0) + 1 if k else 0) if windows else [0]:
+        last = max(len(k) - WINDOW, 0) if windows else 0
+        for w in range(last + 1 if k else 0):
             part = k[w:w + WINDOW] if windows else k
-            bags[i, w].update(part + [f"{a} {b}" for a, b in zip(part, part[1:])])
+            # rows of one id are counted together, of windows only where equally long and up to the window
+            bags[i, w].update((t, last) for t in part + [f"{a} {b}" for a, b in zip(part, part[1:])])
     sums = defaultdict(float)
     for (i, _), bag in bags.items():
-        size = math.sqrt(sum((c * idf[w]) ** 2 for w, c in bag.items() if w in idf))
+        held = [(t, min(c, WINDOW) if windows else c) for (t, _), c in bag.items() if t in idf]
+        size = math.sqrt(sum((c * idf[w]) ** 2 for w, c in held))
         for t in norm:
-            dot = sum(c * idf[w] * score.get((t, w), 0) for w, c in bag.items() if w in idf)
+            dot = sum(c * idf[w] * score.get((t, w), 0) for w, c in held)
             if size and dot / size / math.sqrt(norm[t]) >= 0.01:
                 sums[i, t] += dot / size / math.sqrt(norm[t])
     whole = defaultdict(float)
