@@ -488,6 +488,8 @@ def _score_texts(table, begins, window: int, min_similarity: float, id_col: str,
     with np.errstate(divide="ignore", invalid="ignore"):
         sim = np.bincount(cell, value[entry] * s[at], n_windows * k) / np.repeat(norm, k)
     kept = np.flatnonzero((np.bincount(cell, minlength=n_windows * k) > 0) & (sim >= min_similarity))
+    if not len(kept):
+        return
     to = np.repeat(np.arange(texts), per_text)[kept // k] * k + kept % k
     total = np.bincount(to, sim[kept], texts * k)
     rows = np.unique(to)
