@@ -16,10 +16,11 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from scriptorium.functions import text as X
 from scriptorium.functions.stopwords import ENGLISH_STOP_WORDS
+from scriptorium.session import cut_lineage, landed, landing, shuffle_slots
 
 # The academic stop words added to the English list, in the
 # order the original lists them (duplicates included there; a set here).
@@ -110,14 +111,78 @@ def _kept_by_id(docs: DataFrame, id_col: str, text_col: str, stop: list[str] | N
 
 
 def topic_terms(docs: DataFrame, topic_col: str = "topic_id", text_col: str = "text",
-                stop: list[str] | None = None) -> DataFrame:
+                stop: list[str] | None = None, tasks: int = 0) -> DataFrame:
     """(topic, term, n) term counts per topic.
 
-    Terms are generated row-locally and aggregated with partial (map-side)
-    aggregation before the shuffle on (topic, term), so a topic that holds a
-    large share of the documents only adds rows to many partial buffers."""
-    return (explode_terms(with_terms(docs.select(topic_col, text_col), text_col, stop), topic_col)
-            .groupBy(topic_col, "term").agg(F.count(F.lit(1)).alias("n")))
+    Tokens are cut and filtered row-locally in the JVM; a task then counts the terms of many texts at once
+    (``_term_counts``), so only terms that differ there become rows. Their counts are summed after one shuffle on
+    (topic, term), into ``tasks`` partitions (``text_tasks``) where the session has fewer; a topic that holds a large
+    share of the documents only adds rows to many tasks."""
+    words = stop if stop is not None else stop_words()
+    kept = docs.select(topic_col, F.filter(tokens(text_col), lambda w: ~w.isin(words)).alias("_kept"))
+    out = StructType([kept.schema[topic_col], StructField("term", StringType()), StructField("n", LongType())])
+    counted = kept.mapInArrow(lambda batches: _term_counts(batches), out)
+    if tasks > shuffle_slots(docs):
+        counted = counted.repartition(tasks, topic_col, "term")
+    return counted.groupBy(topic_col, "term").agg(F.sum("n").alias("n"))
+
+
+COUNTED_TOKENS = 2_000_000      # tokens of the texts that a task counts together
+TASK_TEXT = 16 << 20            # bytes of text whose terms one task holds
+
+
+def text_tasks(texts: DataFrame, text_col: str = "text") -> int:
+    """Tasks for the terms of ``texts``, about ``TASK_TEXT`` bytes a task: what a task holds stays as the table
+    grows, whatever its files and the session's partitions are. Reads the texts' lengths once."""
+    size = texts.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(-(-size // TASK_TEXT), texts.sparkSession.sparkContext.defaultParallelism)
+
+
+def _term_counts(batches, most: int = COUNTED_TOKENS):
+    """(topic, term, n) of rows (topic, kept tokens): unigrams and the pairs of neighbours, counted over texts
+    of about ``most`` tokens. Tokens are numbered, so a pair is a number and is spelt out once."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def counts(rows):
+        texts = rows.column(1)
+        row = pc.list_parent_indices(texts).to_numpy(zero_copy_only=False)
+        topics, words = rows.column(0).dictionary_encode("encode"), texts.flatten().dictionary_encode()
+        size = len(words.dictionary)
+        if len(topics.dictionary) * size * size >= 1 << 63:      # the pairs of these texts have no 64-bit numbers
+            half = rows.num_rows // 2
+            yield from counts(rows.slice(0, half))
+            yield from counts(rows.slice(half))
+            return
+        word = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        first = topics.indices.to_numpy(zero_copy_only=False).astype(np.int64)[row] * size + word
+        together = row[1:] == row[:-1]
+        for number, pair in ((first, False), ((first[:-1] * size + word[1:])[together], True)):
+            number, n = np.unique(number, return_counts=True)
+            term = words.dictionary.take(pa.array(number % size))
+            if pair:
+                number = number // size
+                term = pc.binary_join_element_wise(words.dictionary.take(pa.array(number % size)), term, " ")
+            found = pa.Table.from_arrays([topics.dictionary.take(pa.array(number // size)), term, pa.array(n, pa.int64())],
+                                         [rows.schema.names[0], "term", "n"])
+            yield from found.to_batches(max_chunksize=1 << 16)
+
+    def together(parts):
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        return counts(rows.to_batches()[0])
+
+    held, size = [], 0
+    for batch in batches:
+        batch = batch.filter(pc.fill_null(pc.greater(pc.list_value_length(batch.column(1)), 0), False))
+        if batch.num_rows:
+            held.append(batch)
+            size += len(batch.column(1).flatten())
+        if size >= most:
+            yield from together(held)
+            held, size = [], 0
+    if held:
+        yield from together(held)
 
 
 def explode_terms(df: DataFrame, *keep: str) -> DataFrame:
@@ -179,12 +244,56 @@ def top_terms(scores: DataFrame, group_col: str, n: int = TOP_N_WORDS, term_col:
 def topic_keywords(terms: DataFrame, topic_ids: DataFrame, topic_col: str = "topic_id",
                    n: int = TOP_N_WORDS) -> DataFrame:
     """Top ``n`` c-TF-IDF words for every topic id of ``topic_ids``
-    (0..n-1 in the original); a topic without terms gets an empty list."""
-    top = top_terms(ctfidf(terms, topic_col), topic_col, n=n)
+    (0..n-1 in the original); a topic without terms gets an empty list. Runs at once: the counts are
+    landed, so the passes of ``best_scores`` read them and not the texts."""
+    with landing(terms.sparkSession):
+        top = cut_lineage(top_terms(best_scores(landed(terms), topic_col, n), topic_col, n=n))
     return (topic_ids.select(topic_col).join(top, topic_col, "left")
             .select(topic_col, F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords")))
 
 
+BROADCAST_TERMS = 1_000_000   # counted rows, at most, whose terms every task may hold
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """``rows`` landed, for a broadcast when they are counted to be few; else the join is left to Spark."""
+    rows = landed(rows)
+    return F.broadcast(rows) if rows.count() <= BROADCAST_TERMS else rows
+
+
+PROBED = 20               # times the wanted words: the most frequent terms of a topic, whose scores give the bound
+
+
+def best_scores(counts: DataFrame, topic_col: str = "topic_id", n: int = TOP_N_WORDS) -> DataFrame:
+    """``ctfidf`` (topic, term, score), exact, without the terms that can't be among the ``n`` best of their topic.
+
+    A term's total count over the classes is at least its count in one, so a count k scores at most
+    ``k / |c| * ln(1 + A / k)``, which grows with k. The n-th best score of a topic's most frequent terms is a lower bound
+    of its n-th best of all; counts whose highest score is below it need no totals. ``counts`` must be cheap to read again."""
+    levels = landed(counts.groupBy(topic_col, "n").agg(F.count(F.lit(1)).alias("m")))
+    classes = levels.groupBy(topic_col).agg(F.sum(F.col("n") * F.col("m")).alias("class_total"))
+    mean = classes.agg(F.floor(F.avg("class_total")).cast("double").alias("A"))
+
+    def score(k, total):
+        return k / F.col("class_total") * F.log(1 + mean.scalar() / total)
+
+    def scored(least):
+        rows = landed(counts.join(_few(least), topic_col).filter(F.col("n") >= F.col("least")).select(topic_col, "term", "n"))
+        totals = counts.join(_few(rows.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("f"))
+        return rows.join(totals, "term").join(classes, topic_col).select(topic_col, "term", score(F.col("n"), F.col("f")).alias("score"))
+
+    above = F.sum("m").over(Window.partitionBy(topic_col).orderBy(F.desc("n")))
+    probe = scored(levels.select(topic_col, "n", (above - F.col("m")).alias("before")).filter(F.col("before") < PROBED * n)
+                   .groupBy(topic_col).agg(F.min("n").alias("least")))
+    nth = (probe.withColumn("_r", F.row_number().over(Window.partitionBy(topic_col).orderBy(F.desc("score")))).filter(F.col("_r") == n)
+           .select(topic_col, F.col("score").alias("bound")))
+    # a topic with fewer terms has no bound; the factor is far above what rounding takes from a score
+    highest = score(F.col("n"), F.col("n")) * (1 + 1e-9)
+    least = (levels.join(classes, topic_col).join(landed(nth), topic_col, "left").filter(highest >= F.coalesce("bound", F.lit(0.0)))
+             .groupBy(topic_col).agg(F.min("n").alias("least")))
+    return scored(least)
+
+
 def topic_diversity(keywords: DataFrame, n: int = TOP_N_WORDS) -> DataFrame:
     """Distinct words / total words over the first ``n`` keywords of each
     topic; 0 when there are none."""

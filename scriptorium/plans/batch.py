@@ -53,7 +53,7 @@ def results(raw: DataFrame, vectors: DataFrame, threshold: float = T.OUTLIER_THR
                 F.coalesce("topic_distribution", F.array().cast("array<double>")).alias("topic_distribution")))
     docs = papers.select("seq", "doc").join(assign.select("seq", F.col("cluster_id").alias("topic_id")), "seq")
     ids = assign.filter(F.col("cluster_id") != X.OUTLIER_TOPIC_ID).select(F.col("cluster_id").alias("topic_id")).distinct()
-    keywords = T.topic_keywords(T.topic_terms(docs, text_col="doc"), ids)
+    keywords = T.topic_keywords(T.topic_terms(docs, text_col="doc", tasks=T.text_tasks(papers, "doc")), ids)
     labels = cut_lineage(T.topic_labels(keywords))
     return cut_lineage(T.enrich(papers.drop("doc"), assign, labels))
 

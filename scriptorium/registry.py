@@ -912,16 +912,18 @@ _TERMS_SQL = {
 }
 
 
-def _topic_text_docs(spark, d):
+def _topic_text_docs(spark, d, tasks=None):
     # every document has a topic: that of its vector, else the outlier
     v = B.vectors(spark, d).select(F.col("vec_id").alias("doc_id"), "topic_id")
-    docs = read(spark, d, "documents", "doc_id", "text").join(v, "doc_id", "left")
+    docs = read(spark, d, "documents", "doc_id", "text")
+    docs = (docs.repartition(tasks, "doc_id") if tasks else docs).join(v, "doc_id", "left")
     return docs.select("doc_id", F.coalesce("topic_id", F.lit(X.OUTLIER_TOPIC_ID)).alias("topic_id"),
                        X.clean_text("text").alias("text"))
 
 
 def topic_terms_of(spark, d):
-    return T.topic_terms(_topic_text_docs(spark, d))
+    tasks = T.text_tasks(read(spark, d, "documents", "text"))
+    return T.topic_terms(_topic_text_docs(spark, d, tasks), tasks=tasks)
 
 
 def _keywords(spark, d):
