@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import text as X
 from scriptorium.operators import topics as T
-from scriptorium.session import landed, landing
+from scriptorium.session import dealt, landed, landing
 
 _MERGE = "a int, b int, similarity double"
 
@@ -94,7 +94,7 @@ def reduce_topics(terms: DataFrame, topic_sizes: DataFrame, wanted: int, topic_c
     return spark.createDataFrame(rows, "topic_id int, new_topic_id int")
 
 
-def merged_terms(terms: DataFrame, mapping: DataFrame, topic_col: str = "topic_id") -> DataFrame:
-    """T1's counts under the new topics."""
-    return (terms.join(mapping.withColumnRenamed("topic_id", topic_col), topic_col)
-            .groupBy(F.col("new_topic_id").alias(topic_col), "term").agg(F.sum("n").alias("n")))
+def merged_terms(terms: DataFrame, mapping: DataFrame, topic_col: str = "topic_id", rows: int = 0) -> DataFrame:
+    """T1's counts under the new topics. ``rows``, the rows of ``terms``, decides how many tasks hold them."""
+    moved = terms.join(mapping.withColumnRenamed("topic_id", topic_col), topic_col).select(F.col("new_topic_id").alias(topic_col), "term", "n")
+    return dealt(moved, rows, topic_col, "term").groupBy(topic_col, "term").agg(F.sum("n").alias("n"))

@@ -28,7 +28,7 @@ from scriptorium.plans import batch as BATCH
 from scriptorium.plans import pageindex as PI
 from scriptorium.plans import papers as P
 from scriptorium.registry import register
-from scriptorium.session import cut_lineage, landing
+from scriptorium.session import cut_lineage, dealt, landing
 from scriptorium.sources import bindings as B
 from scriptorium.sources.martset import MartSet
 
@@ -248,7 +248,8 @@ def q_reduced_topics(spark, d):
     """T2 (rows only): the fixture's topics as at most five, with the keywords of the merged ones."""
     terms = cut_lineage(R.topic_terms_of(spark, d))
     sizes = B.vectors(spark, d).groupBy("topic_id").agg(F.count(F.lit(1)).alias("n"))
-    mapping = TM.reduce_topics(terms, sizes, 5)
+    rows = terms.count()
+    mapping = TM.reduce_topics(dealt(terms, rows, "term"), sizes, 5)
     ids = mapping.filter(F.col("topic_id") != X.OUTLIER_TOPIC_ID).select(F.col("new_topic_id").alias("topic_id")).distinct()
-    words = T.topic_keywords(TM.merged_terms(terms, mapping), ids).withColumnRenamed("topic_id", "new_topic_id")
+    words = T.topic_keywords(TM.merged_terms(terms, mapping, rows=rows), ids).withColumnRenamed("topic_id", "new_topic_id")
     return mapping.join(words, "new_topic_id", "left")
