@@ -67,8 +67,9 @@ def apply(mart_set: MartSet, batch: DataFrame, authors: DataFrame) -> int:
     entries = mart_set.manifest(at)
     with landing(mart_set.spark):
         fresh = landed(_last(batch))
-        replaced = landed(FM.rows_with_keys(mart_set, entries["results"], fresh))
-        new = {"results": FM.merged(mart_set, "results", entries, fresh, [c for c in fresh.columns if c != "doi"])}
+        hit = FM.hits(mart_set, entries["results"], fresh)
+        replaced = landed(FM.rows_with_keys(mart_set, entries["results"], fresh, hit))
+        new = {"results": FM.merged_in(mart_set, "results", entries, fresh, [c for c in fresh.columns if c != "doi"], hit)}
         added, gone = contributions(fresh, authors), contributions(replaced, authors)
         for name in SUMS:
             old = mart_set.open(entries[name])

@@ -20,13 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
-from scriptorium.operators.upsert import one_per_key, upsert
+from scriptorium.operators.upsert import laid_over, one_per_key
 from scriptorium.session import landed
 from scriptorium.sources.martset import MartSet
 
 PROBES = 3                # bits of a key in a filter
 BITS_A_KEY = 16           # with 3 probes: about 1 key in 190 is taken for one that is there
 TILES = 4096              # of the whole range of places
+FIRST_ASKED = 64          # one key in so many asks first; only files that none of these finds are asked about all keys
 _FILES = "file string, lo long, hi long, keys long, bits long, words string"
 
 
@@ -93,10 +94,19 @@ def touched(index: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
     asked = batch.select(*keys, place_of(batch, keys).alias("_place")).distinct().withColumn("tile", tile("_place"))
     near = (asked.join(covers, "tile").filter(F.col("_place").between(F.col("lo"), F.col("hi")))
             .select(*keys, "file", "bits", "words"))
+    few = F.pmod(F.xxhash64(*keys, F.lit(PROBES)), F.lit(FIRST_ASKED)) == 0
+    first = landed(_found(near.filter(few), keys))
+    others = _found(near.filter(~few).join(first, "file", "left_anti"), keys)
+    return first.unionByName(others)
+
+
+def _found(near: DataFrame, keys: list[str]) -> DataFrame:
+    """(file): the files whose filter has all bits of one of the keys that ``near`` (keys, file, bits, words) asks it for."""
+    spark = near.sparkSession
     probes = landed(_probes(near, keys, "bits").withColumn("word", F.shiftright("probe", 6)))
     folders = [r["words"] for r in probes.select("words").distinct().collect()]  # one a commit
     if not folders:
-        return index.select("file").limit(0)
+        return near.select("file").limit(0)
     words = spark.read.parquet(*folders)
     bit = F.expr("shiftleft(1L, cast(probe & 63 as int))")
     there = probes.join(words, ["file", "word"]).filter(F.col("set").bitwiseAND(bit) != 0)
@@ -108,14 +118,24 @@ def touched(index: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
 def merged(mart_set: MartSet, table: str, entries: dict, updates: DataFrame, update_cols: list[str], order: str | None = None) -> dict:
     """The entry of the table with ``updates`` merged in: files are written, nothing is published."""
     entry = entries[table]
+    batch = landed(one_per_key(updates, entry["keys"], order))
+    return merged_in(mart_set, table, entries, batch, update_cols, hits(mart_set, entry, batch))
+
+
+def hits(mart_set: MartSet, entry: dict, batch: DataFrame) -> DataFrame:
+    """(file), stored: the table's files that may hold a key of ``batch``."""
+    return landed(touched(mart_set.spark.read.schema(_FILES).parquet(entry["files"]), batch, entry["keys"]))
+
+
+def merged_in(mart_set: MartSet, table: str, entries: dict, batch: DataFrame, update_cols: list[str], hit: DataFrame) -> dict:
+    """``merged`` for a stored batch of one row per key whose files (``hits``) are known."""
+    entry = entries[table]
     keys, spark = entry["keys"], mart_set.spark
     index = spark.read.schema(_FILES).parquet(entry["files"])
-    batch = landed(one_per_key(updates, keys, order))
-    hit = landed(touched(index, batch, keys))
     names = [r["file"] for r in hit.collect()]  # files to be rewritten
     empty = spark.createDataFrame([], entry["schema"])
     base = spark.read.schema(entry["schema"]).parquet(*names) if names else empty
-    fresh = store(mart_set, table, empty.unionByName(upsert(base, batch, keys, update_cols)), keys)
+    fresh = store(mart_set, table, empty.unionByName(laid_over(base, batch, keys, update_cols)), keys)
     columns = ["file", "lo", "hi", "keys", "bits", "words"]
     kept = index.join(hit, "file", "left_anti")
     return _entry(mart_set, table, kept.select(*columns).unionByName(fresh.select(*columns)), empty, keys)
@@ -129,10 +149,10 @@ def merge(mart_set: MartSet, table: str, updates: DataFrame, update_cols: list[s
     return mart_set.publish({**entries, table: merged(mart_set, table, entries, updates, update_cols, order)}, start)
 
 
-def rows_with_keys(mart_set: MartSet, entry: dict, batch: DataFrame) -> DataFrame:
-    """The stored rows whose key is in ``batch``, from the files that may hold one."""
+def rows_with_keys(mart_set: MartSet, entry: dict, batch: DataFrame, hit: DataFrame | None = None) -> DataFrame:
+    """The stored rows whose key is in ``batch``, from the files that may hold one (``hit``, if known)."""
     keys, spark = entry["keys"], mart_set.spark
-    names = [r["file"] for r in touched(spark.read.schema(_FILES).parquet(entry["files"]), batch, keys).collect()]
+    names = [r["file"] for r in (hits(mart_set, entry, batch) if hit is None else hit).collect()]
     if not names:
         return spark.createDataFrame([], entry["schema"])
     return spark.read.schema(entry["schema"]).parquet(*names).join(batch.select(*keys).distinct(), keys, "left_semi")

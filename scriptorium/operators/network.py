@@ -31,13 +31,19 @@ def author_pairs(bridge: DataFrame, paper_col: str = "paper_id", author_col: str
     rows = dealt(bridge.select(F.col(paper_col).alias("_p"), F.col(author_col).alias("_a")), rows_in, "_p")
     sizes = rows.groupBy("_p").agg(F.ceil(F.count(F.lit(1)) / PAIR_BLOCK).cast("int").alias("_n")).filter("_n > 0")
     blocks = rows.join(sizes, "_p").withColumn("_b", F.pmod(F.xxhash64("_a"), F.col("_n")).cast("int"))
+    # a paper of one block pairs its authors in one row; only larger papers meet block by block
+    listed = blocks.filter("_n = 1").groupBy("_p").agg(F.sort_array(F.collect_list("_a")).alias("_l"))
+    begun = listed.select("_p", "_l", F.posexplode("_l").alias("_i", "a"))
+    paired = begun.select("_p", "a", F.explode(F.slice("_l", F.col("_i") + 2, F.size("_l"))).alias("b")).filter("a < b")
+    blocks = blocks.filter("_n > 1")
     left = blocks.select(F.col("_p"), F.col("_a").alias("x"), F.col("_b").alias("_i"),
                         F.explode(F.sequence(F.col("_b"), F.col("_n") - 1)).alias("_j"))
     right = blocks.select(F.col("_p"), F.col("_a").alias("y"), F.explode(F.sequence(F.lit(0), F.col("_b"))).alias("_i"),
                          F.col("_b").alias("_j"))
     key = ["_p", "_i", "_j"]
-    return (dealt(left, rows_in, *key).join(dealt(right, rows_in, *key), key).filter((F.col("_i") < F.col("_j")) | (F.col("x") < F.col("y")))
-            .select(F.col("_p").alias(paper_col), F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    large = (dealt(left, rows_in, *key).join(dealt(right, rows_in, *key), key).filter((F.col("_i") < F.col("_j")) | (F.col("x") < F.col("y")))
+            .select("_p", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    return paired.unionByName(large).withColumnRenamed("_p", paper_col)
 
 
 def coauthor_edges(bridge: DataFrame, paper_col: str = "paper_id", author_col: str = "author_id") -> DataFrame:

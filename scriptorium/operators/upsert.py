@@ -8,6 +8,8 @@ original's database would reject a second hit on one row.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +18,18 @@ from scriptorium.operators.marts import last_per_key
 
 def one_per_key(updates: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
     """One row per key: that of the largest ``order`` (null: before all others); of rows equal
-    in it, or without ``order``, the one of the largest hash over its columns, so a rerun picks the same."""
+    in it, or without ``order``, the one of the largest hash over its columns, so a rerun picks the same.
+
+    Only rows of keys that come twice are compared; the others pass after one join against the (few) such keys."""
     rest = [c for c in updates.columns if c not in keys and c != order]
+    twice = (updates.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
+             .filter("_n > 1").drop("_n"))
+    among = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    once = updates.join(twice, among, "left_anti").select(*keys, *rest)
+    return once.unionByName(_last_of(updates.join(twice, among, "left_semi"), keys, rest, order))
+
+
+def _last_of(updates: DataFrame, keys: list[str], rest: list[str], order: str | None) -> DataFrame:
     numbered = updates
     if order is not None:
         ranked = updates.select("*", F.coalesce(F.col(order).cast("long"), F.lit(-(1 << 63))).alias("_o"))
@@ -33,7 +45,11 @@ def upsert(base: DataFrame, updates: DataFrame, keys: list[str], update_cols: li
     ``order`` (a whole-number column of ``updates``) picks the last row per key in a
     batch; ties are settled by ``one_per_key``, so a key gets one row of the batch at most. Null
     keys equal nothing: base rows with one stay as they are, the batch's row with one is inserted."""
-    updates = one_per_key(updates, keys, order)
+    return laid_over(base, one_per_key(updates, keys, order), keys, update_cols)
+
+
+def laid_over(base: DataFrame, updates: DataFrame, keys: list[str], update_cols: list[str]) -> DataFrame:
+    """``upsert`` of a batch that has one row per key."""
     u = updates.select(*keys, *[F.col(c).alias(f"_u_{c}") for c in updates.columns if c not in keys],
                        F.lit(True).alias("_u_present"))
     j = base.withColumn("_b_present", F.lit(True)).join(u, keys, "full_outer")

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from scriptorium.operators import arrivals as A
 from scriptorium.operators import dedupe as DD
 from scriptorium.operators import deltas as D
+from scriptorium.operators import filemerge as FM
 from scriptorium.operators import marts as M
+from scriptorium.operators import network as G
+from scriptorium.operators import upsert as U
 from scriptorium.sources.martset import MartSet
 
 RECORD = "seq long, doi string, title string, abstract string"
@@ -71,3 +74,45 @@ def test_deltas_equal_a_rebuild(spark, tmp_path):
     assert before == {name: rows_of(marts.read(name), *keys, *sums) for name, (keys, sums) in D.SUMS.items()}
     assert marts.read("other").count() == 2
     assert M.yearly_topic_stat(marts.read("results")).count() > 0
+
+
+def test_a_batch_asks_for_its_files_once(spark, tmp_path, monkeypatch):
+    """The files of a batch are looked for once a commit, by few keys if these find all files, and
+    rows of keys that come once aren't compared with others."""
+    rows = [(s, f"d{s}", [("P1", None), ("P2", None)], 2020, 1, s % 3, None) for s in range(600)]
+    papers = spark.createDataFrame(rows, RESULT)
+    authors = spark.createDataFrame([("p1", "F"), ("p2", "G")], "author_key string, faculty string")
+    marts = MartSet(spark, str(tmp_path / "marts"))
+    D.start(marts, papers, authors)
+    asked, touched, probes = [], FM.touched, FM._probes
+
+    def counted(index, batch, keys):
+        asked.append([])
+        monkeypatch.setattr(FM, "_probes", lambda df, *a: asked[-1].append(df.count()) or probes(df, *a))
+        found = touched(index, batch, keys)
+        monkeypatch.setattr(FM, "_probes", probes)
+        return found
+
+    monkeypatch.setattr(FM, "touched", counted)
+    D.apply(marts, papers.withColumn("year", F.col("year") + 1), authors)
+    assert len(asked) == 1 and sum(asked[0]) < 600
+    assert rows_of(marts.read("yearly_topic_stat"), "year", "topic_id", "total_papers") == [(2021, t, 200) for t in range(3)]
+    assert rows_of(marts.read("coauthor_edges"), "author_a", "author_b", "weight") == [("p1", "p2", 600)]
+
+
+def test_one_row_a_key_with_null_keys_and_ties(spark):
+    rows = [(1, "a", 1), (1, "b", 2), (2, "c", None), (3, "e", 5), (3, "e", 5), (None, "x", 1), (None, "y", 2), (4, None, 1)]
+    got = U.one_per_key(spark.createDataFrame(rows, "k long, v string, o int"), ["k"], "o")
+    assert rows_of(got, "k", "v") == sorted([(1, "b"), (2, "c"), (3, "e"), (None, "y"), (4, None)], key=repr)
+
+
+def test_pairs_of_small_and_large_papers(spark, monkeypatch):
+    """Papers within a block pair in a row, others by blocks; repeated rows and nulls count as in a self-join."""
+    monkeypatch.setattr(G, "PAIR_BLOCK", 4)
+    rows = [(1, f"a{i}") for i in range(9)] + [(2, "b"), (2, "a"), (2, "a"), (2, None), (3, "z"), (None, "p"), (None, "q")]
+    bridge = spark.createDataFrame(rows, "paper_id long, author_id string")
+    want = sorted((p, x, y) for p, x in rows for q, y in rows if p is not None and p == q and x and y and x < y)
+    pairs = G.author_pairs(bridge)
+    assert rows_of(pairs, "paper_id", "a", "b") == sorted(want, key=repr)
+    small = G.author_pairs(bridge.filter("paper_id = 2"))
+    assert "_l" in small._jdf.queryExecution().optimizedPlan().toString()
