@@ -39,6 +39,7 @@ ORDERS = 4                # random orders that give the first neighbours
 EXCHANGES = 3             # rounds of neighbour exchange
 SIDES = 48                # hyperplanes of an order's code
 AROUND = 128              # vectors of a sorted run compared with each other and with the next run
+GROUPS = 256              # groups whose members are compared in one step
 BOUND = 1 << 18           # edges of a hierarchy that one task walks
 NEAREST = 1e-6            # smaller distances count as this one in strengths
 NOISE = -1
@@ -156,16 +157,30 @@ def _around(k: int):
 def _exchange(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for ids, worst, xs in zip(pdf["ids"], pdf["worst"], pdf["xs"], strict=True):
-                ids, x = np.asarray(ids), np.stack(xs)
-                rows = _top(ids, _distances(x, x), ids, k)
-                out.append(rows[rows["d"].to_numpy() < np.repeat(np.asarray(worst), min(k, len(ids)))[rows.index]])
-            if out:
-                yield pd.concat(out)
+            counts = pdf["ids"].map(len).to_numpy()
+            for n in np.unique(counts):             # groups of one size are compared together
+                alike = np.flatnonzero(counts == n)
+                for s in range(0, len(alike), GROUPS):
+                    rows = pdf.iloc[alike[s:s + GROUPS]]
+                    yield _closer(*(np.concatenate(rows[c].to_numpy()) for c in ("ids", "worst")),
+                                  np.stack([x for xs in rows["xs"] for x in xs]), int(n), k)
     return run
 
 
+def _closer(ids: np.ndarray, worst: np.ndarray, x: np.ndarray, n: int, k: int) -> pd.DataFrame:
+    """Of groups of ``n`` rows each: the k nearest of a row's group that are closer than its ``worst``."""
+    ids, worst, x = ids.reshape(-1, n), worst.reshape(-1, n), x.astype(np.float64).reshape(len(ids) // n, n, -1)
+    length = (x * x).sum(2)
+    d = np.sqrt(np.maximum(0.0, length[:, :, None] + length[:, None, :] - 2 * x @ x.transpose(0, 2, 1)))
+    d = np.where(ids[:, None, :] == ids[:, :, None], np.inf, d)
+    k = min(k, n)
+    at = np.argpartition(d, k - 1, axis=2)[:, :, :k]
+    near = np.take_along_axis(d, at, 2)
+    others = np.take_along_axis(np.broadcast_to(ids[:, None, :], d.shape), at, 2)
+    better = np.isfinite(near) & (near < worst[:, :, None])
+    return pd.DataFrame({"a": np.broadcast_to(ids[:, :, None], near.shape)[better], "b": others[better], "d": near[better]})
+
+
 _EDGE = "a long, b long, d double"
 
 
@@ -367,12 +382,66 @@ def condense(hierarchy: DataFrame, nodes: DataFrame, min_size: int = MIN_SIZE) -
     return landed(born.unionByName(tops)), landed(points)
 
 
+def _chains(links: DataFrame) -> DataFrame:
+    """``links`` (x, down, a, b), a value of x being max(a, b + that of ``down``): followed down to the
+    end of each chain. Every round doubles the way."""
+    links = landed(links)
+    while True:
+        nxt = links.select(F.col("x").alias("down"), F.col("down").alias("far"), F.col("a").alias("far_a"), F.col("b").alias("far_b"))
+        step = landed(links.join(nxt, "down", "left").select(
+            "x", F.coalesce("far", "down").alias("down"), F.greatest("a", F.col("b") + F.col("far_a")).alias("a"),
+            (F.col("b") + F.coalesce("far_b", F.lit(0.0))).alias("b"), F.col("far").isNotNull().alias("moved")))
+        links = step.select("x", "down", "a", "b")
+        if not step.filter("moved").take(1):
+            return links
+
+
+def best_totals(stable: DataFrame) -> DataFrame:
+    """(cluster, best): the larger of a cluster's own stability and its children's best totals together.
+
+    Every round takes the leaves off the tree, then shrinks each chain of clusters with one open child to
+    the chain's end, so at least half of the rest goes however deep the tree is. An open cluster's best is
+    max(a, b + what its open children give), and it gives max(p, q + best) to its parent; chains of such
+    steps are steps of the same form."""
+    tree = stable.select(F.col("cluster").alias("x"), F.col("parent").alias("up"), F.col("stability").alias("a"), F.lit(0.0).alias("b"),
+                         F.lit(float("-inf")).alias("p"), F.lit(0.0).alias("q"))
+    bests, shrunk = None, []
+    while True:
+        tree = landed(tree)
+        if not tree.take(1):
+            break
+        open_ups = tree.filter("up is not null").select(F.col("up").alias("x")).distinct()
+        leaves = landed(tree.join(open_ups, "x", "left_anti").withColumn("best", F.greatest("a", "b")))
+        found = leaves.select("x", "best")
+        bests = found if bests is None else bests.unionByName(found)
+        given = leaves.filter("up is not null").groupBy(F.col("up").alias("x")).agg(F.sum(F.greatest("p", F.col("q") + F.col("best"))).alias("given"))
+        rest = landed(tree.join(leaves.select("x"), "x", "left_anti").join(given, "x", "left")
+                      .withColumn("b", F.col("b") + F.coalesce("given", F.lit(0.0))).drop("given"))
+        single = (rest.filter("up is not null").groupBy(F.col("up").alias("x"))
+                  .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("down")).filter("n = 1"))
+        steps = rest.select(F.col("x").alias("down"), F.col("p").alias("down_p"), F.col("q").alias("down_q"))
+        links = _chains(rest.join(single, "x").join(steps, "down").select(
+            "x", "down", F.greatest("a", F.col("b") + F.col("down_p")).alias("a"), (F.col("b") + F.col("down_q")).alias("b")))
+        shrunk.append(links)
+        # the end of a chain stands where the chain's top stood
+        tops = (rest.select("x", "up", "p", "q").join(links, "x").join(links.select(F.col("x").alias("up")), "up", "left_anti")
+                .select(F.col("down").alias("x"), F.col("up").alias("top_up"), F.greatest("p", F.col("q") + F.col("a")).alias("top_p"),
+                        (F.col("q") + F.col("b")).alias("top_q")))
+        tree = rest.join(links.select("x"), "x", "left_anti").join(tops, "x", "left").select(
+            "x", F.when(F.col("top_q").isNull(), F.col("up")).otherwise(F.col("top_up")).alias("up"), "a", "b",
+            F.coalesce("top_p", "p").alias("p"), F.coalesce("top_q", "q").alias("q"))
+    if bests is None:
+        return stable.select("cluster", F.col("stability").alias("best"))
+    for links in reversed(shrunk):
+        ends = bests.select(F.col("x").alias("down"), "best")
+        bests = landed(bests.unionByName(links.join(ends, "down").select("x", F.greatest("a", F.col("b") + F.col("best")).alias("best"))))
+    return bests.withColumnRenamed("x", "cluster")
+
+
 def select(clusters: DataFrame, points: DataFrame) -> DataFrame:
     """(cluster, chosen): for every cluster the chosen one it belongs to, null if none.
     A cluster is chosen if it is at least as stable as its descendants together
-    and no larger one above it is; a forest's only tree is never one cluster.
-
-    The choice goes up the tree of clusters, one round a level."""
+    and no larger one above it is; a forest's only tree is never one cluster."""
     own = points.groupBy("cluster").agg(F.sum("copies").alias("n"), F.sum(F.col("copies") * F.col("strength")).alias("s"))
     below = clusters.filter("parent is not null").groupBy(F.col("parent").alias("cluster")).agg(
         F.sum("size").alias("m"), F.sum(F.col("size") * F.col("birth")).alias("t"))
@@ -381,27 +450,13 @@ def select(clusters: DataFrame, points: DataFrame) -> DataFrame:
                               - F.col("birth") * (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0)))).alias("stability"))
     only = clusters.filter("parent is null").limit(2).count() < 2
     stable = landed(stable)
-    todo, done = stable, None
-    while True:
-        waiting = todo.filter("parent is not null").select(F.col("parent").alias("cluster")).distinct()
-        ready = todo.join(waiting, "cluster", "left_anti")
-        if done is not None:
-            sums = done.filter("parent is not null").groupBy(F.col("parent").alias("cluster")).agg(F.sum("best").alias("under"))
-            ready = ready.join(sums, "cluster", "left")
-        else:
-            ready = ready.withColumn("under", F.lit(None).cast("double"))
-        under = F.coalesce("under", F.lit(0.0))
-        allowed = F.col("parent").isNotNull() if only else F.lit(True)
-        ready = landed(ready.select("cluster", "parent", F.greatest("stability", under).alias("best"),
-                                         ((F.col("stability") >= under) & allowed).alias("takes")))
-        if not ready.take(1):
-            break
-        done = ready if done is None else landed(done.unionByName(ready))
-        todo = landed(todo.join(ready.select("cluster"), "cluster", "left_anti"))
-    if done is None:
-        return clusters.select("cluster", F.lit(None).cast("long").alias("chosen"))
+    under = (stable.filter("parent is not null").join(best_totals(stable), "cluster")
+             .groupBy(F.col("parent").alias("cluster")).agg(F.sum("best").alias("under")))
+    allowed = F.col("parent").isNotNull() if only else F.lit(True)
+    takes = (F.col("stability") >= F.coalesce("under", F.lit(0.0))) & allowed
+    state = stable.join(under, "cluster", "left").select("cluster", F.col("parent").alias("up"), F.when(takes, F.col("cluster")).alias("chosen"))
+    state = landed(state)
     # The topmost taker on the way up: every round doubles the way looked at.
-    state = landed(done.select("cluster", F.col("parent").alias("up"), F.when(F.col("takes"), F.col("cluster")).alias("chosen")))
     while state.filter("up is not null").take(1):
         above = state.select(F.col("cluster").alias("up"), F.col("up").alias("far"), F.col("chosen").alias("higher"))
         state = landed(state.join(above, "up", "left").select("cluster", F.col("far").alias("up"), F.coalesce("higher", "chosen").alias("chosen")))

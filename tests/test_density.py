@@ -189,3 +189,58 @@ def test_small_inputs(spark):
     assert D.density_clusters(spark.createDataFrame([], SCHEMA)).collect() == []
     one = D.density_clusters(spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [0.0, 1.0])], SCHEMA)).collect()
     assert sorted((r.vec_id is None, r.cluster_id) for r in one) == [(False, -1), (False, -1), (True, -1)]
+
+
+def test_choice_in_a_deep_tree(spark, monkeypatch):
+    """The rounds grow with the logarithm of the depth, and the choice is that of a plain walk."""
+    rng, depth = np.random.default_rng(5), 60
+    parent, top = {0: None}, 0
+    for _ in range(depth):                          # a spine with a leaf beside each of its clusters
+        parent |= {len(parent): top, len(parent) + 1: top}
+        top = len(parent) - 1
+    for _ in range(20):                             # and splits elsewhere
+        leaf = rng.choice([c for c in parent if c not in parent.values()])
+        parent |= {len(parent): int(leaf), len(parent) + 1: int(leaf)}
+    birth = {c: 0.0 if p is None else float(rng.uniform(0.1, 4)) for c, p in parent.items()}
+    n = {c: int(rng.integers(1, 40)) for c in parent}
+    strength = {c: float(rng.uniform(0.1, 6)) for c in parent}
+    size = dict(n)
+    for c in sorted(parent, reverse=True):
+        if parent[c] is not None:
+            size[parent[c]] += size[c]
+    clusters = spark.createDataFrame([(c, p, birth[c], size[c]) for c, p in parent.items()], "cluster long, parent long, birth double, size long")
+    points = spark.createDataFrame([(c, n[c], c, strength[c]) for c in parent], "node long, copies long, cluster long, strength double")
+
+    under, takes = dict.fromkeys(parent, 0.0), {}
+    for c in sorted(parent, reverse=True):
+        below = [x for x in parent if parent[x] == c]
+        own = n[c] * strength[c] + sum(size[x] * birth[x] for x in below) - birth[c] * (n[c] + sum(size[x] for x in below))
+        takes[c] = own >= under[c] and parent[c] is not None
+        if parent[c] is not None:
+            under[parent[c]] += max(own, under[c])
+    want = {}
+    for c in sorted(parent):
+        above = None if parent[c] is None else want[parent[c]]
+        want[c] = c if above is None and takes[c] else above
+
+    rounds, landed = [], D.landed
+    monkeypatch.setattr(D, "landed", lambda df: rounds.append(1) or landed(df))
+    assert {r.cluster: r.chosen for r in D.select(clusters, points).collect()} == want
+    assert len(set(want.values())) > 2
+    assert len(rounds) < depth
+
+
+def test_exchange_compares_each_group_whole():
+    """Groups of several sizes in one batch: every closer neighbour of a row's own group, no other."""
+    import pandas as pd
+    rng, k = np.random.default_rng(2), 3
+    groups = [(rng.choice(500, n, replace=False), rng.uniform(0.5, 2, n), rng.normal(size=(n, 4)).astype(np.float32)) for n in (2, 5, 5, 9, 2, 7)]
+    groups[1][1][0] = np.inf
+    want = set()
+    for ids, worst, x in groups:
+        for i in range(len(ids)):
+            near = sorted((float(np.linalg.norm(x[i].astype(float) - x[j])), int(ids[j])) for j in range(len(ids)) if j != i)[:k]
+            want |= {(int(ids[i]), b, round(d, 5)) for d, b in near if d < worst[i]}
+    pdf = pd.DataFrame({"ids": [g[0] for g in groups], "worst": [g[1] for g in groups], "xs": [list(g[2]) for g in groups]})
+    got = pd.concat(D._exchange(k)([pdf]))
+    assert {(int(a), int(b), round(d, 5)) for a, b, d in got.itertuples(index=False)} == want
