@@ -13,13 +13,15 @@ a cross join nor a shuffle of the large side.
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from scriptorium.functions import text as X
 from scriptorium.functions.stopwords import ENGLISH_STOP_WORDS
+from scriptorium.operators import packed as K
+from scriptorium.operators import softtopics as S
 from scriptorium.session import cut_lineage, landed, landing, shuffle_slots
 
 # The academic stop words added to the English list, in the
@@ -115,16 +117,38 @@ def topic_terms(docs: DataFrame, topic_col: str = "topic_id", text_col: str = "t
     """(topic, term, n) term counts per topic.
 
     Tokens are cut and filtered row-locally in the JVM; a task then counts the terms of many texts at once
-    (``_term_counts``), so only terms that differ there become rows. Their counts are summed after one shuffle on
-    (topic, term), into ``tasks`` partitions (``text_tasks``) where the session has fewer; a topic that holds a large
-    share of the documents only adds rows to many tasks."""
+    (``_term_counts``), so only terms that differ there become rows. Their counts are summed after one shuffle of
+    packed tables (``packed``), by parts of the terms, into ``tasks`` partitions (``text_tasks``) where the session
+    has fewer; a topic that holds a large share of the documents only adds rows to many tasks."""
     words = stop if stop is not None else stop_words()
     kept = docs.select(topic_col, F.filter(tokens(text_col), lambda w: ~w.isin(words)).alias("_kept"))
     out = StructType([kept.schema[topic_col], StructField("term", StringType()), StructField("n", LongType())])
-    counted = kept.mapInArrow(lambda batches: _term_counts(batches), out)
-    if tasks > shuffle_slots(docs):
-        counted = counted.repartition(tasks, topic_col, "term")
-    return counted.groupBy(topic_col, "term").agg(F.sum("n").alias("n"))
+    parts = max(tasks, shuffle_slots(docs))
+    counted = kept.mapInArrow(lambda batches: K.pack(_term_counts(batches), parts), K.PACKED)
+    return counted.repartitionById(parts, "part").mapInArrow(lambda batches: _summed(batches), out)
+
+
+SUMMED_ROWS = 4_000_000         # rows of counts a task holds before it sums them
+
+
+def _summed(batches, most: int = SUMMED_ROWS):
+    """The packed counts of one part of the terms, summed by topic and term."""
+    import pyarrow as pa
+
+    def total(tables):
+        topic, term, n = tables[0].schema.names
+        return pa.concat_tables(tables).group_by([topic, term], use_threads=False).aggregate([(n, "sum")]).rename_columns([topic, term, n])
+
+    held, size = [], 0
+    for batch in batches:
+        for data in batch.column("rows"):
+            held.append(K.from_bytes(data.as_py()))
+            size += held[-1].num_rows
+            if size >= 2 * most:
+                held = [total(held)]
+                size, most = held[0].num_rows, max(most, held[0].num_rows)
+    if held:
+        yield from total(held).sort_by("term").to_batches(max_chunksize=1 << 16)
 
 
 COUNTED_TOKENS = 2_000_000      # tokens of the texts that a task counts together
@@ -492,118 +516,50 @@ def soft_topics(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_
     and the rest normalised to sum 1 (A8). Long form (doc, topic, prob).
 
     ``terms`` is T1's output for the fitted topics. Whole documents are scored;
-    ``window_topics`` scores sliding token windows. The join is on
-    term and each term has at most one row per topic, so the fan-out of a
-    document term is bounded by the topic count; the per-document window
-    holds at most one row per topic."""
-    lookup = topic_lookup(terms, topic_col)
-    # A document's equal terms meet in its row: no aggregation holds all (document, term) pairs.
-    counted = X.runs(F.flatten(F.transform("_kept", lambda k: F.transform(F.concat(k, _bigrams(k)), lambda t: F.struct(t.alias("w"), F.lit(0).alias("p"))))))
-    dt = (_kept_by_id(docs, id_col, text_col, stop)
-          .select(id_col, F.explode_outer(F.transform(counted, lambda r: F.struct(r["w"].alias("w"), F.size(r["ps"]).alias("c")))).alias("x"))
-          .filter(F.col("x").isNotNull()).select(id_col, F.col("x.w").alias("term"), F.col("x.c").alias("c")))
-    # A document's length scales its vector only, so the cosine needs no length.
-    # The entry without a topic sums the squared norm beside the dot products.
-    w = F.col("c") * F.col("idf")
-    own = F.array(F.struct(F.lit(None).cast("int").alias("t"), w.alias("s")))
-    hits = (dt.join(lookup, "term")
-            .select(id_col, w.alias("w"), F.explode(F.concat(own, "in_topics")).alias("e"))
-            .groupBy(id_col, F.col("e.t").alias("t")).agg(F.sum(F.col("w") * F.col("e.s")).alias("v")))
-    per_doc = (hits.groupBy(id_col)
-               .agg(F.sqrt(F.sum(F.when(F.col("t").isNull(), F.col("v")))).alias("dn"),
-                    F.collect_list(F.when(F.col("t").isNotNull(), F.struct("t", "v"))).alias("dots")))
-    sims = (per_doc.select(id_col, F.explode("dots").alias("d"), "dn")
-            .select(id_col, F.col("d.t").alias(topic_col), (F.col("d.v") / F.col("dn")).alias("sim"))
-            .filter(F.col("sim") >= min_similarity))
-    total = F.sum("sim").over(Window.partitionBy(id_col))
-    return sims.select(id_col, topic_col, F.round(F.col("sim") / total, 6).alias("prob"))
+    ``window_topics`` scores sliding token windows. Runs at once, see ``_shares``."""
+    return _shares(docs, terms, id_col, text_col, topic_col, min_similarity, stop, None)
+
+
+# terms landed front-coded and compressed
+_SMALL = {"compression": "zstd", "parquet.writer.version": "PARQUET_2_0"}
+
+
+def _shares(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str, topic_col: str, min_similarity: float,
+            stop: list[str] | None, window: int | None) -> DataFrame:
+    """(id, topic, prob) of whole documents, or of their windows summed (``softtopics``).
+
+    Kept tokens travel as numbers, in batches of many texts. A batch asks for each of its distinct terms once, and
+    the answers go back to it, so no (document, term) pair is a row. Every step is landed, and its shuffles
+    are gone before the next."""
+    spark = docs.sparkSession
+    topic_type = terms.schema[topic_col].dataType
+    with landing(spark):
+        counts = landed(terms.select(F.col(topic_col).alias("t"), "term", "n"), **_SMALL)
+        classes = counts.groupBy("t").agg(F.sum("n").alias("total"))
+        row = classes.agg(F.collect_list(F.struct("t", "total")).alias("c"), F.floor(F.avg("total")).cast("double").alias("A")).first()
+        totals, mean = {x["t"]: x["total"] for x in row["c"]}, row["A"] or 0.0
+        batches = landed(_kept_by_id(docs, id_col, text_col, stop).mapInArrow(lambda b: S.pack_texts(b), S.BATCH))
+        n_batches, tokens = batches.agg(F.count(F.lit(1)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+        tasks = spark.sparkContext.defaultParallelism
+        parts = max(-(-max(tokens, counts.count()) // S.PART_ROWS), tasks)
+        pairs = window != 1
+        known = counts.mapInArrow(lambda b: K.pack(b, parts), K.PACKED).select("part", F.lit(None).cast("long").alias("batch"), "rows")
+        asked = batches.select("batch", "texts", "codes", "words").mapInArrow(lambda b: S.ask(b, parts, pairs), S.ASKED)
+        out = StructType([StructField("part", IntegerType()), StructField("batch", LongType()), StructField("found", BinaryType()),
+                          StructField("entries", BinaryType()),
+                          StructField("norms", ArrayType(StructType([StructField("t", topic_type), StructField("v", DoubleType())])))])
+        answers = landed(known.unionByName(asked).repartitionById(parts, "part")
+                         .mapInArrow(lambda b: S.answer(b, totals, mean, X.OUTLIER_TOPIC_ID), out))
+        norms = {x["t"]: x["v"] for x in answers.select(F.explode("norms").alias("x")).groupBy("x.t").agg(F.sum("x.v").alias("v")).collect()}
+        met = (batches.drop("tokens").unionByName(answers.filter("batch is not null").drop("norms"), allowMissingColumns=True)
+               .repartition(max(2 * n_batches, tasks), "batch"))
+        arrow = to_arrow_type(topic_type)
+        scored = cut_lineage(met.mapInArrow(lambda b: S.score(b, parts, totals, norms, mean, window, min_similarity, arrow), "rows binary"))
+    out = StructType([docs.schema[id_col], StructField(topic_col, topic_type), StructField("prob", DoubleType())])
+    return scored.mapInArrow(lambda b: S.unpack(b, id_col, topic_col), out).select(id_col, topic_col, F.round("prob", 6).alias("prob"))
 
 
 WINDOW = 4                # tokens scored together
-_PLACE = 1 << 31          # a place times this, plus the text's last window
-
-
-def _scored(batches, window: int, min_similarity: float, id_col: str, topic_col: str):
-    """The summed similarities (id, topic, sim) of rows sorted by id; whole texts at a time."""
-    import pyarrow as pa
-
-    rest = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        table = table if rest is None else pa.concat_tables([rest, table])
-        if not table.num_rows:
-            continue
-        begins = np.flatnonzero(_begins(table[id_col]))
-        if len(begins) > 1:
-            yield from _score_texts(table.slice(0, begins[-1]), begins[:-1], window, min_similarity, id_col, topic_col)
-        rest = table.slice(begins[-1])
-    if rest is not None:
-        yield from _score_texts(rest, np.zeros(1, dtype=int), window, min_similarity, id_col, topic_col)
-
-
-def _begins(ids):
-    """Where a row's id differs from the one before (nulls are equal)."""
-    import pyarrow.compute as pc
-
-    now, before = ids.slice(1), ids.slice(0, len(ids) - 1)
-    same = pc.or_(pc.fill_null(pc.equal(now, before), False), pc.and_(pc.is_null(now), pc.is_null(before)))
-    return np.concatenate([[True], ~same.to_numpy().astype(bool)])
-
-
-def _score_texts(table, begins, window: int, min_similarity: float, id_col: str, topic_col: str):
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
-    n, texts = table.num_rows, len(begins)
-    doc = np.repeat(np.arange(texts), np.diff(np.append(begins, n)))
-    idf, m = table["idf"].to_numpy(), table["m"].to_numpy()
-
-    def lists(name):
-        column = table[name].combine_chunks()
-        return pc.list_value_length(column).to_numpy(zero_copy_only=False), pc.list_flatten(column).to_numpy(zero_copy_only=False)
-
-    def spread(sizes):
-        """Row number and place in the row of every element of lists of these sizes."""
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        return row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-
-    size, places = lists("places")
-    term, _ = spread(size)
-    p, last = places // _PLACE, places % _PLACE
-    # rows of one id are counted together where their texts are equally long
-    wide = int(last.max()) + 1
-    lengths, group = np.unique(term * wide + last, return_inverse=True)
-    low = np.maximum(p + m[term] - window, 0)
-    at, step = spread(np.minimum(p, last) - low + 1)
-    w, term, group = low[at] + step, term[at], group[at]
-    # windows of a text are numbered after those of the texts before
-    per_text = np.zeros(texts, dtype=np.int64)
-    np.maximum.at(per_text, doc[term], w + 1)
-    first = np.cumsum(per_text) - per_text
-    n_windows = int(per_text.sum())
-    pair, often = np.unique(group * (n_windows + 1) + first[doc[term]] + w, return_counts=True)
-    term, win = lengths[pair // (n_windows + 1)] // wide, pair % (n_windows + 1)
-    value = np.minimum(often, window) * idf[term]       # a window holds no more; repeated rows count so often at most
-    norm = np.sqrt(np.bincount(win, value * value, n_windows))
-    sizes, t = lists("t")
-    _, s = lists("s")
-    if not len(t):
-        return
-    ids, code = np.unique(t, return_inverse=True)
-    starts, k = np.cumsum(sizes) - sizes, len(ids)
-    entry, step = spread(sizes[term])
-    at = starts[term[entry]] + step
-    cell = win[entry] * k + code[at]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        sim = np.bincount(cell, value[entry] * s[at], n_windows * k) / np.repeat(norm, k)
-    kept = np.flatnonzero((np.bincount(cell, minlength=n_windows * k) > 0) & (sim >= min_similarity))
-    if not len(kept):
-        return
-    to = np.repeat(np.arange(texts), per_text)[kept // k] * k + kept % k
-    total = np.bincount(to, sim[kept], texts * k)
-    rows = np.unique(to)
-    yield pa.RecordBatch.from_arrays([table[id_col].combine_chunks().take(pa.array(begins[rows // k])), pa.array(ids[rows % k]), pa.array(total[rows])],
-                                     names=[id_col, topic_col, "sim"])
 
 
 def window_topics(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -614,26 +570,6 @@ def window_topics(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", tex
     below ``min_similarity`` are dropped window by window, the rest summed over the text and normalised
     to sum 1 (A8). Long form (doc, topic, prob).
 
-    A text sends one row per distinct term, with its places; the term's scores are joined once, whatever
-    the number of windows, and go back to the text. There all its windows are scored together (numpy,
-    many texts at a time), so no window of a term becomes a row. Work and rows grow with the text's length."""
-    def placed(k: Column) -> Column:
-        # a term's place and the text's last window in one number
-        last = F.greatest(F.size(k) - window, F.lit(0)).cast("long")
-        found = [k, _bigrams(k)] if window > 1 else [k]
-        return F.concat(*[F.zip_with(x, F.array_repeat(last, F.size(x)), lambda t, n: F.struct(t.alias("w"), n.alias("p"))) for x in found])
-
-    def at(pairs: Column, k: Column) -> Column:
-        return F.transform(pairs, lambda x, i: F.struct(
-            x["w"].alias("w"), (F.when(i < F.size(k), i).otherwise(i - F.size(k)).cast("long") * _PLACE + x["p"]).alias("p")))
-
-    found = X.runs(F.flatten(F.transform("_kept", lambda k: at(placed(k), k))))
-    rows = (_kept_by_id(docs, id_col, text_col, stop).select(id_col, F.explode_outer(found).alias("x")).filter(F.col("x").isNotNull())
-            .select(id_col, F.col("x.w").alias("term"), F.col("x.ps").alias("places"), F.when(F.instr("x.w", " ") > 0, 2).otherwise(1).alias("m")))
-    hits = (rows.join(topic_lookup(terms, topic_col), "term")
-            .select(id_col, "places", "m", "idf", F.col("in_topics.t").alias("t"), F.col("in_topics.s").alias("s"))
-            .repartition(id_col).sortWithinPartitions(id_col))
-    out = StructType([docs.schema[id_col], StructField(topic_col, terms.schema[topic_col].dataType), StructField("sim", DoubleType())])
-    sims = hits.mapInArrow(lambda batches: _scored(batches, window, min_similarity, id_col, topic_col), out)
-    total = F.sum("sim").over(Window.partitionBy(id_col))
-    return sims.select(id_col, topic_col, F.round(F.col("sim") / total, 6).alias("prob"))
+    A text's windows are scored where its tokens and the scores of its batch's terms meet (``_shares``; numpy,
+    many texts at a time), so no window of a term becomes a row. Work grows with the text's length. Runs at once."""
+    return _shares(docs, terms, id_col, text_col, topic_col, min_similarity, stop, window)

@@ -111,12 +111,26 @@ def landing(spark: SparkSession) -> Iterator[str]:
         _delete(spark, folder)
 
 
-def landed(df: DataFrame) -> DataFrame:
+@contextmanager
+def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of an execution begun while it lasts are deleted at its end, not when the driver's memory
+    happens to be collected."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def landed(df: DataFrame, **options: str) -> DataFrame:
     """``df`` written as a table in the shared checkpoint folder and read again. For
     loops of joins: a checkpointed DataFrame keeps the planner's size estimate, the product of the joined
-    sides, which grows from round to round; a table has the size of its files."""
+    sides, which grows from round to round; a table has the size of its files. ``options`` go to the writer."""
     spark = df.sparkSession
     folder = _folders[-1] if _folders else f"{checkpoint_dir(spark)}/landed"
     path = f"{folder}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _shuffles_deleted(spark):
+        df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -71,3 +71,65 @@ def test_no_window_of_a_term_becomes_a_row(spark):
     terms = spark.createDataFrame([(0, "a1", 1)], "topic_id int, term string, n long")
     plan = T.window_topics(docs, terms)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and plan.count("explode") < 5
+
+
+@pytest.mark.parametrize("batch", [1, 40, 1_000_000])
+def test_a_batch_asks_for_a_term_once(spark, monkeypatch, batch):
+    """Whatever the number of its texts: no (document, term) pair is sent, and batches of any size give the same shares."""
+    from scriptorium.operators import packed as K
+    from scriptorium.operators import softtopics as S
+    docs = spark.createDataFrame([(i, [["aa", "bb", "aa"], ["cc"]]) for i in range(60)] + [(None, [["dd"], []]), (61, [])],
+                                 "doc_id long, _kept array<array<string>>").coalesce(1)
+    batches = docs.mapInArrow(lambda b: S.pack_texts(b, batch), S.BATCH)
+    asked = [(r["batch"], t) for r in batches.mapInArrow(lambda b: S.ask(b, 3, True), S.ASKED).collect()
+             for t in K.from_bytes(r["rows"])["term"].to_pylist()]
+    assert len(asked) == len(set(asked)) and {t for _, t in asked} == {"aa", "bb", "cc", "dd", "aa bb", "bb aa"}
+    assert len({b for b, _ in asked}) <= max(1, 2 * 241 // batch)
+
+
+@pytest.mark.parametrize("score", [T.window_topics, T.soft_topics])
+def test_steps_of_any_size_give_the_same_shares(spark, monkeypatch, score):
+    from scriptorium.operators import softtopics as S
+    texts = [(i, t) for i, t in _texts()]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    terms = T.topic_terms(spark.createDataFrame([(i % 3 - 1, t) for i, t in texts if i and t], "topic_id int, text string"), stop=["none"])
+    whole = sorted(map(tuple, score(docs, terms, stop=["none"]).collect()), key=str)
+    monkeypatch.setattr(S, "STEP_CELLS", 50)
+    monkeypatch.setattr(S, "PART_ROWS", 7)
+    assert whole and sorted(map(tuple, score(docs, terms, stop=["none"]).collect()), key=str) == whole
+
+
+@pytest.mark.parametrize("score", [T.window_topics, T.soft_topics])
+def test_no_term_of_a_text_is_joined_as_a_row(spark, score):
+    docs = spark.createDataFrame([(1, "a1 b1 c1")], "doc_id long, text string")
+    terms = spark.createDataFrame([(0, "a1", 1), (-1, "b1", 2)], "topic_id int, term string, n long")
+    out = score(docs, terms)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "explode" not in plan and [tuple(r) for r in out.collect()] == [(1, 0, 1.0)]
+
+
+def test_terms_without_any_count_give_no_rows(spark):
+    docs = spark.createDataFrame([(1, "a1 b1 c1")], "doc_id long, text string")
+    for rows in ([], [(0, "zz", 1)], [(-1, "a1", 1)]):
+        terms = spark.createDataFrame(rows, "topic_id int, term string, n long")
+        assert T.soft_topics(docs, terms).count() == T.window_topics(docs, terms).count() == 0
+
+
+def test_shuffles_of_a_landed_table_are_deleted(spark):
+    import glob
+    import time
+
+    from scriptorium.session import landed, landing
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    folders = list(env.blockManager().diskBlockManager().localDirsString())
+
+    def files():
+        return {f for d in folders for f in glob.glob(f"{d}/*/shuffle_*")}
+
+    before = files()
+    with landing(spark):
+        landed(spark.range(10_000).repartition(7, "id"))
+        until = time.time() + 20
+        while (left := files() - before) and time.time() < until:
+            time.sleep(0.5)
+    assert not left
