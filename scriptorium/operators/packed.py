@@ -53,17 +53,24 @@ def mixed(first: np.ndarray, second: np.ndarray, parts: int) -> np.ndarray:
     return (x % np.uint64(parts)).astype(np.int32)
 
 
-def parts_of(terms, parts: int) -> np.ndarray:
-    """The part of each term of an Arrow array without nulls: a word, or what blanks join."""
+def placed(terms, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The part of each term of an Arrow array without nulls (a word, or what blanks join), and an order of the terms by
+    part and word: words are sorted, not terms."""
     import pyarrow.compute as pc
 
     words = pc.split_pattern(terms, " ", max_splits=1)
     size, flat = pc.list_value_length(words).to_numpy(zero_copy_only=False), pc.list_flatten(words).dictionary_encode()
-    hashes = word_hashes(flat.dictionary)[flat.indices.to_numpy(zero_copy_only=False)]
-    begin = np.cumsum(size) - size
-    second = np.zeros(len(size), np.uint64)
-    second[size == 2] = hashes[begin[size == 2] + 1]
-    return mixed(hashes[begin], second, parts)
+    code = flat.indices.to_numpy(zero_copy_only=False)
+    place = np.empty(len(flat.dictionary), np.int64)
+    place[pc.sort_indices(flat.dictionary).to_numpy()] = np.arange(len(place))
+    hashes = word_hashes(flat.dictionary)
+    begin, two = np.cumsum(size) - size, size == 2
+    second, number = np.zeros(len(size), np.uint64), place[code[begin]] * (len(place) + 1)
+    second[two] = hashes[code[begin[two] + 1]]
+    number[two] += place[code[begin[two] + 1]] + 1
+    part = mixed(hashes[code[begin]], second, parts)
+    order = np.argsort(number, kind="stable")
+    return part, order[np.argsort(part[order], kind="stable")]
 
 
 def cut(part: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -80,10 +87,9 @@ def pack(batches: Iterable, parts: int, most: int = PACKED_ROWS) -> Iterator:
 
     def packed(held):
         rows = pa.Table.from_batches(held).combine_chunks()
-        part = pa.array(parts_of(rows["term"].combine_chunks(), parts))
-        order = pc.sort_indices(pa.table({"part": part, "term": rows["term"]}), sort_keys=[("part", "ascending"), ("term", "ascending")])
-        rows, part = rows.take(order), part.take(order).to_numpy()
-        found = [(p, to_bytes(rows.slice(b, e - b))) for p, b, e in cut(part)]
+        part, order = placed(rows["term"].combine_chunks(), parts)
+        rows = rows.take(pa.array(order))
+        found = [(p, to_bytes(rows.slice(b, e - b))) for p, b, e in cut(part[order])]
         return pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int32()), pa.array([d for _, d in found], pa.binary())],
                                           names=["part", "rows"])
 

@@ -148,7 +148,7 @@ def _summed(batches, most: int = SUMMED_ROWS):
                 held = [total(held)]
                 size, most = held[0].num_rows, max(most, held[0].num_rows)
     if held:
-        yield from total(held).sort_by("term").to_batches(max_chunksize=1 << 16)
+        yield from total(held).to_batches(max_chunksize=1 << 16)
 
 
 COUNTED_TOKENS = 2_000_000      # tokens of the texts that a task counts together
