@@ -7,7 +7,7 @@ pairs; that output is the edge table itself, so it is not capped. A paper's
 authors are dealt into hash blocks of about ``PAIR_BLOCK`` and the join key is
 (paper, block, block), so no task makes more than about ``PAIR_BLOCK`` squared
 pairs of one key, however long an author list is. The number of tasks follows the
-bridge's rows, so a task's memory doesn't grow with the input.
+bridge's rows and, of edges, the pairs, so a task's memory doesn't grow with the input.
 """
 
 from __future__ import annotations
@@ -46,13 +46,24 @@ def author_pairs(bridge: DataFrame, paper_col: str = "paper_id", author_col: str
     return paired.unionByName(large).withColumnRenamed("_p", paper_col)
 
 
+def pair_counts(bridge: DataFrame, paper_col: str = "paper_id") -> tuple[int, int]:
+    """Rows of a distinct bridge and the author pairs of its papers: a few papers of many authors may hold most pairs."""
+    n = F.count(F.lit(1))
+    sizes = bridge.groupBy(paper_col).agg(n.alias("n"))
+    rows, pairs = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") * (F.col("n") - 1)).cast("decimal(38,0)")), F.lit(0))).first()
+    return rows, int(pairs) // 2
+
+
+PAIRS_PER_ROW = 16        # pairs that a row of a task's blocks makes, where tasks follow the pairs
+
+
 def coauthor_edges(bridge: DataFrame, paper_col: str = "paper_id", author_col: str = "author_id") -> DataFrame:
     """G1: (author_a, author_b, weight) with author_a < author_b and weight =
     number of shared papers."""
     # stored, since its rows must be counted
     rows = cut_lineage(bridge.select(paper_col, author_col).distinct())
-    n = rows.count()
-    return (dealt(author_pairs(rows, paper_col, author_col, n), 2 * n, "a", "b")
+    n, pairs = pair_counts(rows, paper_col)
+    return (dealt(author_pairs(rows, paper_col, author_col, max(n, pairs // PAIRS_PER_ROW)), max(2 * n, pairs), "a", "b")
             .groupBy(F.col("a").alias("author_a"), F.col("b").alias("author_b"))
             .agg(F.count(F.lit(1)).alias("weight")))
 

@@ -1,5 +1,7 @@
 """Paging, ordering, marts, network and plan-shape checks."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,3 +208,22 @@ def test_pair_tasks_follow_the_rows(spark):
     few = G.author_pairs(rows)
     many = G.author_pairs(rows, rows_in=40 * session.TASK_ROWS)
     assert many.rdd.getNumPartitions() == 40 and sorted(many.collect()) == sorted(few.collect())
+
+
+def test_edge_tasks_follow_the_pairs(spark):
+    """A paper of many authors holds most pairs: 5,000 rows, 12.5 million pairs."""
+    from scriptorium.session import TASK_ROWS
+    bridge = spark.range(5000).select(F.lit("p").alias("paper_id"), F.col("id").cast("string").alias("author_id"))
+    rows = bridge.unionByName(bridge.limit(3)).unionByName(spark.sql("select 'q' as paper_id, '1' as author_id"))
+    assert G.pair_counts(bridge) == (5000, 12_497_500) and G.pair_counts(bridge.limit(0)) == (0, 0)
+    plan = G.coauthor_edges(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert f", {-(-12_497_500 // TASK_ROWS)}" in plan.split("RepartitionByExpression")[1].splitlines()[0]
+
+
+def test_edges_of_many_pairs_equal_plain_counts(spark, monkeypatch):
+    monkeypatch.setattr(G, "PAIR_BLOCK", 50)
+    monkeypatch.setattr(G.dealt, "__kwdefaults__", {"task_rows": 100})
+    lists = {1: range(130), 2: range(100, 160), 3: (1, 2), 4: (7,)}
+    rows = [(p, a) for p, x in lists.items() for a in x]
+    got = {(r.author_a, r.author_b): r.weight for r in G.coauthor_edges(spark.createDataFrame(rows + rows[:9], "paper_id long, author_id long")).collect()}
+    assert got == Counter((a, b) for x in lists.values() for a in x for b in x if a < b)
